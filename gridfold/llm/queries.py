@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import bpe, line_dedup, mixing, quality, token_counts
+from gridfold.llm import bpe, line_dedup, mixing, quality, secrets, token_counts
 from gridfold.llm.common import table
 
 
@@ -33,11 +33,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_digests(secrets.scan(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op4_token_counts, op5_source_mixing, op7_quality_rules, op9_line_dedup)
+    own = (op1_byte_bpe, op4_token_counts, op5_source_mixing, op7_quality_rules, op8_secret_scan, op9_line_dedup)
     return {f.__name__: f for f in own}
