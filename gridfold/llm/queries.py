@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import bpe, line_dedup, mixing, quality, secrets, token_counts
+from gridfold.llm import bpe, licenses, line_dedup, mixing, pii, quality, secrets, token_counts
 from gridfold.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.decode(ids, path))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -43,6 +47,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join("licences", ",").alias("licenses"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op4_token_counts, op5_source_mixing, op7_quality_rules, op8_secret_scan, op9_line_dedup)
+    own = (op1_byte_bpe, op2_pii, op4_token_counts, op5_source_mixing, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan)
     return {f.__name__: f for f in own}
