@@ -190,8 +190,12 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans_col: str, kind: str) -> Column:
+    return F.size(F.filter(spans_col, lambda s: s["kind"] == kind)).cast("long")
+
+
 def with_digests(found: DataFrame, spans_col: str = "spans") -> DataFrame:
     """n_email, n_ip, n_card, n_phone, base_sha256, and the spans as a string."""
     base = F.filter(spans_col, lambda s: s["kind"].isin(*BASE))
-    counts = {f"n_{kind}": F.size(F.filter(spans_col, lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in BASE}
+    counts = {f"n_{kind}": _count(spans_col, kind) for kind in BASE}
     return replace_columns(found, counts | {"base_sha256": F.sha2(spans_text(base), 256), spans_col: spans_text(F.col(spans_col))})

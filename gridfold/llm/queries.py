@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import bpe, licenses, line_dedup, mixing, pii, quality, secrets, token_counts
+from gridfold.llm import bpe, licenses, line_dedup, mixing, pii, quality, secrets, token_counts, topk
 from gridfold.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,5 +62,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_pii, op4_token_counts, op5_source_mixing, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan)
+    own = (op1_byte_bpe, op2_pii, op4_token_counts, op5_source_mixing, op6_exact_topk, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan)
     return {f.__name__: f for f in own}

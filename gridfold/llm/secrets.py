@@ -196,8 +196,12 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+
 def with_digests(found: DataFrame) -> DataFrame:
     """n_assign, n_access, n_hex, base_sha256 and spans in place of the secrets."""
     base = F.filter("secrets", lambda s: s["kind"] < KINDS.index("random"))
-    counts = {f"n_{name}": F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long") for k, name in enumerate(KINDS[:3])}
+    counts = {f"n_{name}": _count(k) for k, name in enumerate(KINDS[:3])}
     return replace_columns(found, counts | {"base_sha256": F.sha2(spans_text(base), 256), "spans": spans_text(F.col("secrets"))}).drop("secrets")
