@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import scalars
 from gridfold.operators import evidence, lidar, match, pose, score, traverse
 from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Mover, Polygon, Pose, Scenario, Trajectory
+from gridfold.plans import report, studies
 from gridfold.plans import run as runs
 from gridfold.sources import scenarios
 
@@ -652,3 +653,56 @@ def state_counts(spark, sf_dir):
 def run_totals(spark, sf_dir):
     counters = evidence.sweep_counters(visits(spark, sf_dir), beams(spark, sf_dir), SWEEP)
     return counters.agg(F.count("*").alias("sweeps"), *(F.sum(c).alias(c) for c in ("beams", "placed_returns", "cell_visits")))
+
+
+# Whole studies: they take no table, and their random stream has no SQL, so they have none; the tests hold them against published figures.
+
+
+@query(None)
+def room_map(spark, sf_dir):
+    return studies.static_map(spark, scenarios.enclosed_room(12))
+
+
+@query(None)
+def static_map(spark, sf_dir):
+    return studies.static_map(spark)
+
+
+@query(None)
+def static_map_thresholds(spark, sf_dir):
+    return studies.agreement_sweeps(spark)[0]
+
+
+@query(None)
+def static_map_tolerances(spark, sf_dir):
+    return studies.agreement_sweeps(spark)[1]
+
+
+@query(None)
+def grid_frames(spark, sf_dir):
+    return studies.frames(spark, ("world", "snap", "nearest"))
+
+
+@query(None)
+def smear_cases(spark, sf_dir):
+    return studies.smear_cases(spark)
+
+
+@query(None)
+def pose_drift(spark, sf_dir):
+    return studies.drift(spark)
+
+
+@query(None)
+def run_step_records(spark, sf_dir):
+    return runs.step_records(runs.run(spark, scenarios.enclosed_room(12)))
+
+
+@query(None)
+def run_summary(spark, sf_dir):
+    return report.to_json(runs.run(spark, scenarios.enclosed_room(12)).summary())
+
+
+@query(f"WITH {CELLS} SELECT row, col, CASE WHEN abs(log_odds) < {L['l_decision']} THEN 0.55 WHEN log_odds < 0 THEN 0.97 ELSE 0.10 END::DOUBLE AS red FROM cells")
+def state_image(spark, sf_dir):
+    return report.state_image(cells(spark, sf_dir), MODEL).select("row", "col", "red")

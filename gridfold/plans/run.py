@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridfold.functions.scalars import heading_error, pose, position_error, state
 from gridfold.operators import evidence, lidar, match, traverse
 from gridfold.params import FREE, OCCUPIED, EvidenceModel, Grid, Pose, RunConfig, Scenario, SearchWindow, composed
+from gridfold.session import checkpoint
 from gridfold.sources import scenarios
 
 KEYS = ["run_id"]
@@ -160,23 +161,13 @@ def fold_blended(touch: DataFrame, windows: list[Window_], model: EvidenceModel)
         cells = cells.join(added, ["row", "col"], "full").select("row", "col", F.least(F.greatest(value, F.lit(model.l_min)), F.lit(model.l_max)).alias("log_odds"))
         count = lambda c, one: (F.coalesce(c, F.lit(0)) + F.coalesce(one, F.lit(0))).cast("long").alias(c)
         counted = counted.join(added, ["row", "col"], "full").select("row", "col", count("observed", F.col("is_occ").isNotNull().cast("int")), count("occ_obs", F.col("is_occ").cast("int")))
-        both = _cut(cells.join(counted, ["row", "col"], "full"))
+        both = checkpoint(cells.join(counted, ["row", "col"], "full"))
         cells, counted = both.select("row", "col", "log_odds").filter("log_odds is not null"), both.select("row", "col", "observed", "occ_obs").filter("observed is not null")
     touch.unpersist()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return cells.join(counted, ["row", "col"], "left").select("row", "col", "log_odds", zero("observed"), zero("occ_obs"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint: in the session's shared folder, or a temporary one where none is set."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridfold-checkpoint-"))
-    return df.checkpoint()
-
-
 def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None, run_id: str = "run") -> Run:
     """A run's tables, lazily, but for poses that are matched and windows that blend."""
     config = config or RunConfig()
@@ -236,7 +227,7 @@ def matched_poses(spark: SparkSession, scenario: Scenario, config: RunConfig, ru
         p = estimates[-1]
         placed = beams.filter(F.col("scan_idx") == i).withColumns({"est_x": F.lit(p.x), "est_y": F.lit(p.y), "est_theta": F.lit(p.theta)})
         own = evidence.touches(traverse.walk(lidar.endpoints(placed), scenario.grid, ["run_id", "scan_idx", "beam_idx", "is_hit"]), SWEEP)
-        touch = _cut(own if touch is None else touch.unionByName(own))
+        touch = checkpoint(own if touch is None else touch.unionByName(own))
     points.unpersist()
     beams.unpersist()
     rows = [(run_id, i, t, q.x, q.y, q.theta, e.x, e.y, e.theta) for i, (t, q, e) in enumerate(zip(path.times, path.poses, estimates, strict=True))]

@@ -120,7 +120,7 @@ def increments(scenario: Scenario, trajectory: Trajectory, noise: OdometryNoise)
     made = []
     for before, after in zip(trajectory.poses, trajectory.poses[1:], strict=False):
         d = composed(inverted(before), after)
-        n0, n1, n2 = rng.normal(0.0, 1.0, 3)
+        n0, n1, n2 = rng.normal(0.0, 1.0, 3).tolist()
         distance, turn = math.hypot(d.x, d.y), abs(d.theta)
         heading = noise.heading_std_per_m * distance + noise.heading_std_per_rad * turn
         along = noise.translation_std_per_m * distance
@@ -145,10 +145,11 @@ def poses(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: st
 
 def scene(spark: SparkSession, scenario: Scenario, run_id: str) -> DataFrame:
     """One row for a run: edges, discs and movers as arrays."""
-    edges = [e for p in scenario.polygons for e in p.edges()]
-    rings = [list(p.vertices) for p in scenario.polygons]
-    discs = [(d.x, d.y, d.r) for d in scenario.discs]
-    movers = [(m.x, m.y, m.vx, m.vy, m.r) for m in scenario.movers]
+    floats = lambda *v: tuple(map(float, v))
+    edges = [floats(*e) for p in scenario.polygons for e in p.edges()]
+    rings = [[floats(*v) for v in p.vertices] for p in scenario.polygons]
+    discs = [floats(d.x, d.y, d.r) for d in scenario.discs]
+    movers = [floats(m.x, m.y, m.vx, m.vy, m.r) for m in scenario.movers]
     schema = (
         "run_id string, edges array<struct<ax:double,ay:double,bx:double,by:double>>, rings array<array<struct<x:double,y:double>>>, "
         "discs array<struct<x:double,y:double,r:double>>, movers array<struct<x:double,y:double,vx:double,vy:double,r:double>>"
