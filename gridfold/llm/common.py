@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridfold.session import checkpoint
+
+__all__ = ["BLANKS", "NO_ID", "WORD", "checkpoint", "free_shuffles", "let", "replace_columns", "table"]
 #: ASCII white space, as the contracts count it: space, and tab to carriage return.
 BLANKS = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of `df` with a reliable checkpoint in the shared folder.
-
-    The folder is the session's spark.checkpoint.dir. Only a session without one (tests, notebooks)
-    gets a temporary folder, which is right there since driver and executors are then one process.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridfold-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that a checkpoint has made unreachable."""
     import gc

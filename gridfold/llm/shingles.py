@@ -5,43 +5,88 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 
-#: Words whose hashes a Python worker remembers.
-CACHED = 1_000_000
+#: Bytes of a text that are hashed at once, cut at a blank.
+CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(29), np.uint64(32)
+#: A word's hash is the sum of its bytes' values times powers of BASE, all modulo 2 ** 64. BASE is odd, and so has an inverse.
+_BASE = 0x5851F42D4C957F2D
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _values() -> np.ndarray:
+    """A random 64-bit value for each byte, the same everywhere."""
+    raw = b"".join(hashlib.blake2b(bytes([b]), digest_size=8, key=b"shingles").digest() for b in range(256))
+    return np.frombuffer(raw, np.uint64).copy()
 
 
-_words = _Words()
+_VALUE = _values()
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, up to the n-th at least."""
+    if len(_powers["up"]) < n + 1:
+        size = max(n + 1, 1 << 12)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[name] = np.cumprod(table)
+    return _powers["up"], _powers["down"]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _B)) * _ODD
+    return h ^ (h >> _A)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of lower-cased bytes, in order."""
+    if len(raw) > CHUNK:
+        cut = CHUNK
+        while cut < len(raw) and not _BLANK[raw[cut]]:
+            cut += 1
+        parts, start = [], 0
+        while start < len(raw):
+            parts.append(_chunk_hashes(raw[start:cut]))
+            start, cut = cut, min(len(raw), cut + CHUNK)
+            while cut < len(raw) and not _BLANK[raw[cut]]:
+                cut += 1
+        return np.concatenate(parts)
+    return _chunk_hashes(raw)
+
+
+def _chunk_hashes(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    up, down = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
+    lengths = (ends - starts).astype(np.uint64)
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + lengths)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct shingles of `width` words; fewer words are one shingle, none an empty set.
 
-    Words are runs of anything but ASCII blanks, with A-Z lower-cased; both are what `bytes` takes
-    as blank and upper case.
+    Words are runs of anything but ASCII blanks, with A-Z lower-cased, as `bytes.lower` does.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    hashes = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(hashes):
+        return hashes
+    width = min(width, len(hashes))
+    n = len(hashes) - width + 1
     h = np.full(n, width, np.uint64)
     for k in range(width):
         h = (h ^ (h >> _A)) * _ODD + hashes[k : k + n]
-    h = (h ^ (h >> _B)) * _ODD
-    h ^= h >> _A
-    return np.unique(h)
+    h = np.sort(_mixed(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
