@@ -40,7 +40,7 @@ SUBSET = 2
 MOST_LIGHT = 128
 #: Sets in one window of hashes from which an element counts as common, and bound on the elements that are put last.
 #: Both only order the elements: whatever comes last, no link is lost.
-COMMON, MOST_COMMON = 32, 1 << 20
+COMMON, MOST_COMMON = 8, 1 << 20
 #: Hashes that are counted together by a Python worker (32 MB).
 WINDOW = 4_000_000
 #: Documents in a row or column of the grid of verified pairs.
