@@ -45,7 +45,7 @@ COMMON, MOST_COMMON = 8, 1 << 20
 WINDOW = 4_000_000
 #: Documents in a row or column of the grid of verified pairs.
 CELL = 2048
-#: Up to so many ids of documents to verify are broadcast (8 bytes each); more are joined by shuffle.
+#: Up to so many ids of documents are broadcast (8 bytes each, and 8 for each cell of one to verify); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -220,28 +220,29 @@ def _can_link(a: str, b: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest + (SUBSET - 1) * F.when(F.col(f"{a}.light") & F.col(f"{b}.light"), 1).otherwise(0) >= need)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, n, hashes) of the wanted documents, hashes as bytes."""
+def _shipped(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(box, doc, hashes): the set of each needed document (doc, boxes), hashes as bytes, once for each of its boxes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "hashes"])
+            boxes = batch.column(2).to_pylist()
+            at = np.repeat(np.arange(len(boxes)), [len(x) for x in boxes])
+            sets = pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x for own in boxes for x in own], pa.int64()), batch.column(0).take(pa.array(at)), sets.take(pa.array(at))], names=["box", "doc", "hashes"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("doc", "text")
-    return chosen.mapInArrow(run, "doc long, hashes binary")
+    few = needed.count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(needed) if few else needed, "doc").select("doc", "text", "boxes")
+    return chosen.mapInArrow(run, "box long, doc long, hashes binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose sets link. Pairs are dealt over a grid, and a document's set goes once to each cell that has a pair of it."""
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    sets = _sets(docs, wanted, width).dropDuplicates(["doc"])
-    cells = max(1, -(-wanted.count() // CELL))
+    ends = F.explode(F.array("a", "b")).alias("doc")
+    cells = max(1, -(-pairs.select(ends).distinct().count() // CELL))
     row, column = F.pmod(F.xxhash64("a"), F.lit(cells)), F.pmod(F.xxhash64("b"), F.lit(cells))
     dealt = pairs.select("a", "b", (row * cells + column).alias("cell"))
-    needed = dealt.select(F.col("cell").alias("box"), F.explode(F.array("a", "b")).alias("doc")).distinct()
-    shipped = needed.join(sets, "doc")
+    needed = checkpoint(dealt.select(F.col("cell").alias("box"), ends).groupBy("doc").agg(F.collect_set("box").alias("boxes")))
+    shipped = _shipped(docs, needed, width)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         held = dict(zip(left["doc"].to_pylist(), (np.frombuffer(x.as_py(), np.uint64) for x in left["hashes"]), strict=True))
@@ -284,13 +285,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     first = own.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("class"))
     classes = own.join(first, ["k1", "k2"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class"))
     classes = checkpoint(classes)
-    class_of = classes.filter("n > 1").select("doc", "class")
+    copies = classes.filter("doc <> class").select("doc")
+    few_copies = copies.count() <= BROADCAST_IDS
+    # With few copies only a class's first document is posted. Otherwise all are, and the lists are brought down to classes.
+    own_docs = docs.join(F.broadcast(copies), "doc", "left_anti") if few_copies else docs
 
     # Members that have company in their list: one shuffle by key, and a sorted stream of each list.
-    posted = _postings(docs, common, boundary, width, percent)
+    posted = _postings(own_docs, common, boundary, width, percent)
     by_key = Window.partitionBy("key").orderBy("doc")
     beside = posted.withColumns({"before": F.lag("doc").over(by_key), "after": F.lead("doc").over(by_key)}).filter("before is not null or after is not null")
-    lists = beside.join(class_of, "doc").select("key", F.col("class").alias("doc"), "n", "pos", "light").distinct()
+    lists = beside.select("key", "doc", "n", "pos", "light")
+    if not few_copies:
+        class_of = classes.filter("n > 1").select("doc", "class")
+        lists = lists.join(class_of, "doc").select("key", F.col("class").alias("doc"), "n", "pos", "light")
+    lists = lists.distinct()
     lists = checkpoint(lists)
     free_shuffles(df.sparkSession)
     counted = lists.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
