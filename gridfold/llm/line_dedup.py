@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import NO_ID, let, replace_columns
+from gridfold.llm.common import NO_ID, checkpoint, let, replace_columns
 
 #: The blanks that are stripped from both ends of a line to make its key.
 _STRIP = " \t\n\x0b\x0c\r"
+#: Lines in more documents than this, and than this part of all, are joined by broadcast: MOST_HOT rows of 24 bytes at most.
+LEAST_HOT, MOST_HOT = 200, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,10 +45,17 @@ def dropped_positions(df: DataFrame, id_col: str, text_col: str, min_chars: int,
         .agg(F.count("*").alias("docs"), F.min("doc").alias("keeper"))
         .filter(F.col("docs") >= min_docs)
     )
-    # A very common line makes its join partition large; both sides come from plain exchanges, so
-    # that adaptive execution splits it, and each split joins the one row of `drop`.
+    drop = checkpoint(drop)
+    # Documents of lines that are very common would fill one task of a join by hash. Those lines are few: each has
+    # over a share of all documents counted here, so that there are at most MOST_HOT, and they are broadcast.
+    total = drop.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    least = max(LEAST_HOT, total // MOST_HOT)
+    hot = drop.filter(F.col("docs") > least).select("h1", "h2", "keeper")
+    tagged = held.join(F.broadcast(hot), ["h1", "h2"], "left")
+    of_hot = tagged.filter("keeper is not null")
+    rest = tagged.filter("keeper is null").drop("keeper").join(drop.filter(F.col("docs") <= least).select("h1", "h2", "keeper"), ["h1", "h2"])
     return (
-        held.join(drop, ["h1", "h2"])
+        of_hot.unionByName(rest)
         .filter(F.col("doc") != F.col("keeper"))
         .select("doc", F.explode("at").alias("at"))
         .groupBy("doc", F.col("at.text_hash").alias("text_hash"))

@@ -44,7 +44,9 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-def test_line_dedup(docs, texts):
+@pytest.mark.parametrize("least_hot", [200, 1])
+def test_line_dedup(docs, texts, least_hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", least_hot)
     want = brute.dedup_lines(texts)
     clash = docs.withColumns({"n_lines": F.lit("x"), "key": F.lit(1), "doc": F.lit(2)})
     rows = line_dedup.dedup_lines(clash).collect()
