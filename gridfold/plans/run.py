@@ -51,6 +51,8 @@ class Run:
     truth: DataFrame
     windows: list[Window_]
     matches: list[dict]
+    #: Free, occupied and unknown cells after each sweep, where the map was made sweep by sweep.
+    counts: list[tuple[int, int, int]]
 
     @property
     def resamples(self) -> int:
@@ -88,31 +90,44 @@ def sweeps(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: s
     return lidar.simulate(poses, scenarios.scene(spark, scenario, run_id), scenarios.variates(spark, scenario, n, run_id), scenario.lidar)
 
 
+#: Kept of a window that didn't move: everything.
+EVERYTHING = (-(10**9), 10**9, -(10**9), 10**9)
+
+
+def first_window(scenario: Scenario, config: RunConfig, at: Pose) -> Window_:
+    if config.frame == "world":
+        return Window_(scenario.grid, 0, 0, EVERYTHING, False, True)
+    return Window_(Grid(scenario.grid.resolution, config.ego_rows, config.ego_cols).recentered(at.x, at.y), 0, 0, EVERYTHING, False, True)
+
+
+def next_window(before: Window_, config: RunConfig, at: Pose) -> Window_:
+    """The window centred on a pose; `snap` moves it by whole cells, halves to even. In the world frame it stands still."""
+    grid = before.grid
+    if config.frame == "world":
+        return before
+    target = grid.recentered(at.x, at.y)
+    d_row, d_col = evidence.shift(grid, target)
+    if config.shift_policy == "snap":
+        d_row, d_col = round(d_row), round(d_col)
+        target = replace(grid, origin_x=grid.origin_x + d_col * grid.resolution, origin_y=grid.origin_y + d_row * grid.resolution)
+    if target == grid:
+        return replace(before, kept=EVERYTHING, moved=False, lossless=True)
+    lossless = evidence.is_whole_cell_shift(d_row, d_col)
+    if lossless:
+        d_row, d_col = round(d_row), round(d_col)
+    # The target's cell i comes from the source's i + d, which must lie in 0 to n - 1.
+    kept = []
+    for d, n, lattice in ((d_row, grid.rows, before.row), (d_col, grid.cols, before.col)):
+        moved = lattice + math.floor(d + 0.5)
+        kept += [math.ceil(max(0.0, -d)) + moved, math.floor(min(n - 1.0, n - 1.0 - d)) + moved]
+    return Window_(target, before.row + math.floor(d_row + 0.5), before.col + math.floor(d_col + 0.5), tuple(kept), True, lossless)
+
+
 def ego_windows(scenario: Scenario, config: RunConfig, path: list[Pose]) -> list[Window_]:
-    """The window of each sweep, centred on its pose; `snap` moves it by whole cells, halves to even."""
-    start = Grid(scenario.grid.resolution, config.ego_rows, config.ego_cols)
-    grid, row, col, found = start.recentered(path[0].x, path[0].y), 0, 0, []
-    everything = (-(10**9), 10**9, -(10**9), 10**9)
-    for p in path:
-        target = grid.recentered(p.x, p.y)
-        d_row, d_col = evidence.shift(grid, target)
-        if config.shift_policy == "snap":
-            d_row, d_col = round(d_row), round(d_col)
-            target = replace(grid, origin_x=grid.origin_x + d_col * grid.resolution, origin_y=grid.origin_y + d_row * grid.resolution)
-        if target == grid:
-            found.append(Window_(grid, row, col, everything, False, True))
-            continue
-        # The target's cell i comes from the source's i + d, which must lie in 0 to n - 1.
-        kept = []
-        lossless = evidence.is_whole_cell_shift(d_row, d_col)
-        for d, n, at in ((d_row, grid.rows, row), (d_col, grid.cols, col)):
-            d = round(d) if lossless else d
-            whole = math.floor(d + 0.5)
-            low, high = math.ceil(max(0.0, -d)), math.floor(min(n - 1.0, n - 1.0 - d))
-            kept += [low + at + whole, high + at + whole]
-        row, col = row + math.floor((round(d_row) if lossless else d_row) + 0.5), col + math.floor((round(d_col) if lossless else d_col) + 0.5)
-        grid = target
-        found.append(Window_(grid, row, col, tuple(kept), True, lossless))
+    """The window of each sweep."""
+    found = [next_window(first_window(scenario, config, path[0]), config, path[0])]
+    for p in path[1:]:
+        found.append(next_window(found[-1], config, p))
     return found
 
 
@@ -125,47 +140,79 @@ def window_rays(rays: DataFrame, windows: list[Window_]) -> DataFrame:
     return moved.withColumns({c: F.col(c) - F.col("_ox" if c[0] == "x" else "_oy") for c in ("x0", "y0", "x1", "y1")})
 
 
+def with_resets(touch: DataFrame, windows: list[Window_]) -> DataFrame:
+    """(run_id, row, col, events): each lattice cell's sorted (scan_idx, kind): 1 occupied, 0 free, -1 lost in the move to that sweep."""
+    boxes = [F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for n, v in zip(("r0", "r1", "c0", "c1"), w.kept, strict=True))) for i, w in enumerate(windows) if w.moved]
+    lost = lambda m: (F.col("row") < m["r0"]) | (F.col("row") > m["r1"]) | (F.col("col") < m["c0"]) | (F.col("col") > m["c1"])
+    none = F.array().cast("array<struct<scan_idx:int,kind:int>>")
+    resets = F.transform(F.filter(F.array(*boxes), lost), lambda m: F.struct(m["i"].alias("scan_idx"), F.lit(-1).alias("kind"))) if boxes else none
+    seen = touch.groupBy("run_id", "row", "col").agg(F.collect_list(F.struct("scan_idx", F.when(F.col("is_occ"), 1).otherwise(0).alias("kind"))).alias("seen"))
+    return seen.select("run_id", "row", "col", F.sort_array(F.concat("seen", resets)).alias("events"))
+
+
+def stepped(log_odds: Column, kind: Column, model: EvidenceModel) -> Column:
+    """The clamped sum after one event; a reset gives the prior."""
+    added = F.least(F.greatest(log_odds + F.when(kind == 1, model.l_occupied).otherwise(model.l_free), F.lit(model.l_min)), F.lit(model.l_max))
+    return F.when(kind < 0, F.lit(model.l_prior)).otherwise(added)
+
+
 def fold_moving(touch: DataFrame, windows: list[Window_], model: EvidenceModel) -> DataFrame:
     """Fold on the lattice, with the prior and no counts again after each move that a cell didn't survive.
 
     `touch` has lattice row and col; the result has rows and columns of the last window.
     """
-    moves = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for n, v in zip(("r0", "r1", "c0", "c1"), w.kept, strict=True))) for i, w in enumerate(windows) if w.moved))
-    lost = lambda m: (F.col("row") < m["r0"]) | (F.col("row") > m["r1"]) | (F.col("col") < m["c0"]) | (F.col("col") > m["c1"])
-    resets = F.transform(F.filter(moves, lost), lambda m: F.struct(m["i"].alias("scan_idx"), F.lit(-1).alias("kind"))) if any(w.moved for w in windows) else F.array().cast("array<struct<scan_idx:int,kind:int>>")
-    seen = touch.groupBy("run_id", "row", "col").agg(F.collect_list(F.struct("scan_idx", F.when(F.col("is_occ"), 1).otherwise(0).alias("kind"))).alias("seen"))
     blank = F.struct(F.lit(model.l_prior).alias("l"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("o"))
-    added = lambda acc, s: F.least(F.greatest(acc["l"] + F.when(s["kind"] == 1, model.l_occupied).otherwise(model.l_free), F.lit(model.l_min)), F.lit(model.l_max))
-    step = lambda acc, s: F.when(s["kind"] < 0, blank).otherwise(F.struct(added(acc, s).alias("l"), (acc["n"] + 1).alias("n"), (acc["o"] + s["kind"]).alias("o")))
-    folded = seen.select("run_id", "row", "col", F.aggregate(F.sort_array(F.concat("seen", resets)), blank, step).alias("s"))
+    step = lambda acc, s: F.when(s["kind"] < 0, blank).otherwise(F.struct(stepped(acc["l"], s["kind"], model).alias("l"), (acc["n"] + 1).alias("n"), (acc["o"] + s["kind"]).alias("o")))
+    folded = with_resets(touch, windows).select("run_id", "row", "col", F.aggregate("events", blank, step).alias("s"))
     last = windows[-1]
     placed = folded.select("run_id", (F.col("row") - last.row).alias("row"), (F.col("col") - last.col).alias("col"), F.col("s.l").alias("log_odds"), F.col("s.n").alias("observed"), F.col("s.o").alias("occ_obs"))
     inside = (F.col("row") >= 0) & (F.col("row") < last.grid.rows) & (F.col("col") >= 0) & (F.col("col") < last.grid.cols)
     return placed.filter(inside & (F.col("observed") > 0))
 
 
-def fold_blended(touch: DataFrame, windows: list[Window_], model: EvidenceModel) -> DataFrame:
+class Blended:
+    """A map that is made sweep by sweep, in the coordinates of its window, with state counts after each sweep."""
+
+    def __init__(self, spark: SparkSession, window: Window_, model: EvidenceModel, policy: str):
+        self.window, self.model, self.policy = window, model, policy
+        self.cells = spark.createDataFrame([], "row int, col int, log_odds double, observed long, occ_obs long")
+        self.counts: list[tuple[int, int, int]] = []
+
+    def move(self, window: Window_) -> None:
+        """The evidence as the policy moves it, counts by the nearest cell."""
+        if window.moved:
+            before, model = self.window.grid, self.model
+            evidence_ = evidence.resample(self.cells.filter("log_odds is not null"), before, window.grid, model, self.policy)
+            counted = self.cells.filter("observed > 0").withColumn("both", F.struct("observed", "occ_obs"))
+            counted = evidence.resample_counts(counted, before, window.grid, "both").select("row", "col", "both.*")
+            self.cells = evidence_.join(counted, ["row", "col"], "full").select("row", "col", F.coalesce("log_odds", F.lit(model.l_prior)).alias("log_odds"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("observed", "occ_obs")))
+        self.window = window
+
+    def add(self, touched: DataFrame) -> None:
+        """One sweep's (row, col, is_occ)."""
+        model = self.model
+        joined = self.cells.join(touched.select("row", "col", "is_occ"), ["row", "col"], "full")
+        held = F.coalesce("log_odds", F.lit(model.l_prior))
+        value = F.when(F.col("is_occ").isNull(), held).otherwise(stepped(held, F.col("is_occ").cast("int"), model))
+        count = lambda c, one: (F.coalesce(c, F.lit(0)) + F.coalesce(one, F.lit(0))).cast("long").alias(c)
+        self.cells = checkpoint(joined.select("row", "col", value.alias("log_odds"), count("observed", F.col("is_occ").isNotNull().cast("int")), count("occ_obs", F.col("is_occ").cast("int"))))
+        s = state("log_odds", model)
+        row = self.cells.agg(F.count_if(s == FREE).alias("free"), F.count_if(s == OCCUPIED).alias("occ")).first()
+        self.counts.append((row["free"], row["occ"], self.window.grid.size - row["free"] - row["occ"]))
+
+
+def fold_blended(touch: DataFrame, windows: list[Window_], model: EvidenceModel, policy: str = "bilinear") -> Blended:
     """Sweep by sweep: the map is blended onto the next window, then the sweep is added. `touch` has rows and columns of its sweep's window."""
-    spark = touch.sparkSession
-    cells = spark.createDataFrame([], "row int, col int, log_odds double")
-    counted = spark.createDataFrame([], "row int, col int, observed long, occ_obs long")
-    grid = windows[0].grid
     touch = touch.cache()
+    made = Blended(touch.sparkSession, windows[0], model, policy)
     for i, w in enumerate(windows):
-        if w.moved:
-            cells = evidence.resample(cells, grid, w.grid, model, "bilinear")
-            counted = evidence.resample_counts(counted.withColumn("both", F.struct("observed", "occ_obs")), grid, w.grid, "both").select("row", "col", "both.*")
-            grid = w.grid
-        added = touch.filter(F.col("scan_idx") == i).select("row", "col", "is_occ")
-        value = F.coalesce("log_odds", F.lit(model.l_prior)) + F.coalesce(F.when(F.col("is_occ"), model.l_occupied).otherwise(F.when(~F.col("is_occ"), model.l_free)), F.lit(0.0))
-        cells = cells.join(added, ["row", "col"], "full").select("row", "col", F.least(F.greatest(value, F.lit(model.l_min)), F.lit(model.l_max)).alias("log_odds"))
-        count = lambda c, one: (F.coalesce(c, F.lit(0)) + F.coalesce(one, F.lit(0))).cast("long").alias(c)
-        counted = counted.join(added, ["row", "col"], "full").select("row", "col", count("observed", F.col("is_occ").isNotNull().cast("int")), count("occ_obs", F.col("is_occ").cast("int")))
-        both = checkpoint(cells.join(counted, ["row", "col"], "full"))
-        cells, counted = both.select("row", "col", "log_odds").filter("log_odds is not null"), both.select("row", "col", "observed", "occ_obs").filter("observed is not null")
+        made.move(w)
+        made.add(touch.filter(F.col("scan_idx") == i))
     touch.unpersist()
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return cells.join(counted, ["row", "col"], "left").select("row", "col", "log_odds", zero("observed"), zero("occ_obs"))
+    return made
+
+
+KEEP = ["run_id", "scan_idx", "beam_idx", "is_hit"]
 
 
 def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None, run_id: str = "run") -> Run:
@@ -173,17 +220,15 @@ def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None
     config = config or RunConfig()
     poses = scenarios.poses(spark, scenario, config, run_id)
     path = scenario.trajectory if config.max_steps is None else scenario.trajectory.subsample(config.max_steps)
-    simulated = sweeps(spark, scenario, config, run_id, poses, len(path))
-    beams = simulated.filter("kept")
+    beams = sweeps(spark, scenario, config, run_id, poses, len(path)).filter("kept")
     matches: list[dict] = []
+    counts: list[tuple[int, int, int]] = []
     if config.pose_correction:
-        poses, matches = matched_poses(spark, scenario, config, run_id, path, beams)
-        beams = beams.drop("est_x", "est_y", "est_theta").join(F.broadcast(poses.select("scan_idx", "est_x", "est_y", "est_theta")), "scan_idx")
-    rays = lidar.endpoints(beams)
-    keep = ["run_id", "scan_idx", "beam_idx", "is_hit"]
-    if config.frame == "world":
+        poses, matches, windows, made, beams, visits, touch = matched(spark, scenario, config, run_id, path, beams)
+        grid, cells, counts = windows[-1].grid, made.cells, made.counts
+    elif config.frame == "world":
         grid, windows = scenario.grid, []
-        visits = traverse.walk(rays, grid, keep)
+        visits = traverse.walk(lidar.endpoints(beams), grid, KEEP)
         touch = evidence.touches(visits, SWEEP)
         cells = evidence.fold(touch, KEYS, scenario.model).drop("run_id")
     else:
@@ -191,79 +236,103 @@ def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None
         windows = ego_windows(scenario, config, believed)
         grid = windows[-1].grid
         local = replace(grid, origin_x=0.0, origin_y=0.0)
-        visits = traverse.walk(window_rays(rays, windows), local, [*keep, "_row", "_col"])
+        visits = traverse.walk(window_rays(lidar.endpoints(beams), windows), local, [*KEEP, "_row", "_col"])
         if config.shift_policy == "bilinear":
             touch = evidence.touches(visits, SWEEP)
-            cells = fold_blended(touch, windows, scenario.model)
+            made = fold_blended(touch, windows, scenario.model)
+            cells, counts = made.cells, made.counts
         else:
             on_lattice = visits.withColumns({"row": F.col("row") + F.col("_row"), "col": F.col("col") + F.col("_col")})
             touch = evidence.touches(on_lattice, SWEEP)
             cells = fold_moving(touch, windows, scenario.model).drop("run_id")
     truth = lidar.truth(scenarios.scene(spark, scenario, run_id), grid, path.times[-1])
-    return Run(scenario, config, grid, poses, beams, visits, touch, cells, truth, windows, matches)
+    return Run(scenario, config, grid, poses, beams, visits, touch, cells, truth, windows, matches, counts)
 
 
-def matched_poses(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: str, path, beams: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """Poses corrected sweep by sweep against the map of the sweeps before; a world frame is needed.
+def matched(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: str, path, beams: DataFrame):
+    """Poses corrected sweep by sweep against the map of the sweeps before, in either frame.
 
     Each sweep needs the map that the one before made, so this is a loop of jobs over sweeps. Candidates
-    within a sweep are scored in parallel.
+    within a sweep are scored in parallel. The window moves to the predicted pose before it is matched.
     """
-    if config.frame != "world":
-        raise ValueError("pose correction is for maps in the world frame")
     moves = scenarios.increments(scenario, path, config.odometry)
     search = config.search or SearchWindow.for_resolution(scenario.grid.resolution)
     beams = beams.cache()
     points = match.body_points(beams, config.match_stride).cache()
-    estimates, results = [path.poses[0]], []
-    touch: DataFrame | None = None
+    estimates, results, windows = [path.poses[0]], [], []
+    window = first_window(scenario, config, path.poses[0])
+    made = Blended(spark, window, scenario.model, config.shift_policy)
+    walked: DataFrame | None = None
     for i in range(len(path)):
+        predicted = composed(estimates[-1], moves[i - 1]) if i else estimates[0]
+        window = next_window(window, config, predicted)
+        windows.append(window)
+        made.move(window)
         if i:
-            predicted = composed(estimates[-1], moves[i - 1])
-            cells = evidence.fold(touch, KEYS, scenario.model)
-            found = match.match(cells, points.filter(F.col("scan_idx") == i), scenario.grid, scenario.model, predicted, search)
+            made.cells = checkpoint(made.cells)
+            found = match.match(made.cells, points.filter(F.col("scan_idx") == i), window.grid, scenario.model, predicted, search)
             results.append(found)
             estimates.append(found["pose"])
         p = estimates[-1]
         placed = beams.filter(F.col("scan_idx") == i).withColumns({"est_x": F.lit(p.x), "est_y": F.lit(p.y), "est_theta": F.lit(p.theta)})
-        own = evidence.touches(traverse.walk(lidar.endpoints(placed), scenario.grid, ["run_id", "scan_idx", "beam_idx", "is_hit"]), SWEEP)
-        touch = checkpoint(own if touch is None else touch.unionByName(own))
+        own = checkpoint(traverse.walk(lidar.endpoints(placed), window.grid, KEEP))
+        made.add(evidence.touches(own, SWEEP))
+        walked = own if walked is None else walked.unionByName(own)
     points.unpersist()
-    beams.unpersist()
     rows = [(run_id, i, t, q.x, q.y, q.theta, e.x, e.y, e.theta) for i, (t, q, e) in enumerate(zip(path.times, path.poses, estimates, strict=True))]
-    return spark.createDataFrame(rows, "run_id string, scan_idx int, time double, x double, y double, theta double, est_x double, est_y double, est_theta double"), results
+    poses = spark.createDataFrame(rows, "run_id string, scan_idx int, time double, x double, y double, theta double, est_x double, est_y double, est_theta double")
+    return poses, results, windows, made, beams, walked, evidence.touches(walked, SWEEP)
 
 
 def state_counts(touch: DataFrame, keys: list[str], model: EvidenceModel, size: int) -> DataFrame:
-    """(keys, scan_idx, free_cells, occupied_cells, unknown_cells) after each sweep, for a grid that stands still.
+    """(keys, scan_idx, free_cells, occupied_cells, unknown_cells) after each sweep, for a grid that stands still."""
+    kind = lambda s: F.struct(s["scan_idx"].alias("scan_idx"), F.when(s["is_occ"], 1).otherwise(0).alias("kind"))
+    gathered = evidence.gather(touch, keys).select(*keys, F.transform("sweeps", kind).alias("events"))
+    return counted_changes(gathered, touch.select(*keys, "scan_idx").distinct(), keys, model, size)
+
 
-    Each cell's fold is kept after every step; only changes of state are summed, and running sums give the counts.
+def counted_changes(cells: DataFrame, every: DataFrame, keys: list[str], model: EvidenceModel, size: int) -> DataFrame:
+    """State counts after each of `every` (keys, scan_idx), from cells with sorted events.
+
+    Each cell's sum is kept after every event; only changes of state are summed, and running sums give the counts.
+    A cell that a window has lost is reset, and so isn't counted any more.
     """
-    gathered = evidence.gather(touch, keys)
     start = F.struct(F.lit(model.l_prior).alias("l"), F.lit(0).alias("state"), F.array().cast("array<struct<scan_idx:int,old:int,new:int>>").alias("changes"))
 
     def step(acc: Column, s: Column) -> Column:
-        value = F.least(F.greatest(acc["l"] + F.when(s["is_occ"], model.l_occupied).otherwise(model.l_free), F.lit(model.l_min)), F.lit(model.l_max))
+        value = stepped(acc["l"], s["kind"], model)
         now = state(value, model)
         change = F.when(now != acc["state"], F.array_append(acc["changes"], F.struct(s["scan_idx"].alias("scan_idx"), acc["state"].alias("old"), now.alias("new")))).otherwise(acc["changes"])
         return F.struct(value.alias("l"), now.alias("state"), change.alias("changes"))
 
-    changes = gathered.select(*keys, F.explode(F.aggregate("sweeps", start, step)["changes"]).alias("c"))
+    changes = cells.select(*keys, F.explode(F.aggregate("events", start, step)["changes"]).alias("c"))
     gain = lambda s: F.sum(F.when(F.col("c.new") == s, 1).otherwise(0) - F.when(F.col("c.old") == s, 1).otherwise(0))
     per_sweep = changes.groupBy(*keys, F.col("c.scan_idx").alias("scan_idx")).agg(gain(FREE).alias("f"), gain(OCCUPIED).alias("o"))
-    every = touch.select(*keys, "scan_idx").distinct().join(per_sweep, [*keys, "scan_idx"], "left")
+    joined = every.join(per_sweep, [*keys, "scan_idx"], "left")
     upto = Window.partitionBy(*keys).orderBy("scan_idx").rowsBetween(Window.unboundedPreceding, 0)
-    summed = every.withColumns({"free_cells": F.coalesce(F.sum("f").over(upto), F.lit(0)), "occupied_cells": F.coalesce(F.sum("o").over(upto), F.lit(0))})
+    summed = joined.withColumns({"free_cells": F.coalesce(F.sum("f").over(upto), F.lit(0)), "occupied_cells": F.coalesce(F.sum("o").over(upto), F.lit(0))})
     return summed.select(*keys, "scan_idx", "free_cells", "occupied_cells", (F.lit(size) - F.col("free_cells") - F.col("occupied_cells")).alias("unknown_cells"))
 
 
+def run_state_counts(made: Run) -> DataFrame:
+    """(run_id, scan_idx, free_cells, occupied_cells, unknown_cells) after each sweep of a run, in its window of that sweep."""
+    model, size, spark = made.scenario.model, made.grid.size, made.poses.sparkSession
+    if made.counts:
+        rows = [(i, *c) for i, c in enumerate(made.counts)]
+        counted = spark.createDataFrame(rows, "scan_idx int, free_cells long, occupied_cells long, unknown_cells long")  # one row for a sweep
+        return made.poses.select(*SWEEP).join(F.broadcast(counted), "scan_idx").select(*SWEEP, "free_cells", "occupied_cells", "unknown_cells")
+    if made.windows:
+        return counted_changes(with_resets(made.touch, made.windows), made.poses.select(*SWEEP), KEYS, model, size)
+    return state_counts(made.touch, KEYS, model, size)
+
+
 def step_records(made: Run) -> DataFrame:
-    """One row for each sweep of a run in the world frame: pose, counters, states after it, and pose errors."""
+    """One row for each sweep of a run: pose, counters, states after it, and pose errors."""
     estimate, truth = pose(F.col("est_x"), F.col("est_y"), F.col("est_theta")), pose(F.col("x"), F.col("y"), F.col("theta"))
     with_errors = made.poses.withColumns({"position_error": position_error(estimate, truth), "heading_error": heading_error(estimate, truth)})
     counters = evidence.sweep_counters(made.visits, made.beams, SWEEP)
     dropped = F.lit(made.scenario.lidar.beams) - F.col("beams")
-    records = with_errors.join(counters, SWEEP).join(state_counts(made.touch, KEYS, made.scenario.model, made.grid.size), SWEEP)
+    records = with_errors.join(counters, SWEEP).join(run_state_counts(made), SWEEP)
     matched = made.poses.sparkSession.createDataFrame([(i + 1, m["evaluations"], m["translation_correction"]) for i, m in enumerate(made.matches)], "scan_idx int, match_evaluations int, translation_correction double")
     zero = {"match_evaluations": F.coalesce("match_evaluations", F.lit(0)), "translation_correction": F.coalesce("translation_correction", F.lit(0.0))}
     return records.withColumn("dropped", dropped).join(F.broadcast(matched), "scan_idx", "left").withColumns(zero)

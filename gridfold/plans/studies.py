@@ -88,13 +88,14 @@ def drift(spark: SparkSession, scales=(1.0, 2.0, 4.0), corrections=(False,), max
         for correct in corrections:
             config = RunConfig(odometry=scenarios.SCANNER_ODOMETRY.scaled(scale), pose_correction=correct, max_steps=max_steps)
             made = runs.run(spark, scenarios.urban_block(), config)
-            errors = runs.pose_errors(_errors(made))
+            errors = runs.pose_errors(with_errors(made))
             named = errors.select(F.lit(scale).alias("scale"), F.lit(correct).alias("corrected"), "final_position_error", "peak_position_error", "final_heading_error")
             found.append(named.crossJoin(score.score(made.scored_cells(), made.scenario.model)))
     return _union(found)
 
 
-def _errors(made: runs.Run) -> DataFrame:
+def with_errors(made: runs.Run) -> DataFrame:
+    """The run's poses with position_error and heading_error."""
     estimate, truth = pose(F.col("est_x"), F.col("est_y"), F.col("est_theta")), pose(F.col("x"), F.col("y"), F.col("theta"))
     return made.poses.withColumns({"position_error": position_error(estimate, truth), "heading_error": heading_error(estimate, truth)})
 
