@@ -278,7 +278,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         docs = docs.groupBy("doc").agg(F.min("text").alias("text"))
         sketch, own = _sets_of(docs, width, percent)
     common_rows = sketch.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
-    common = np.sort(np.array([r[0] for r in common_rows.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").collect()], np.int64).view(np.uint64))
+    most = common_rows.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").toArrow()["a"].to_numpy()  # 8 MB at most
+    common = np.sort(most.astype(np.int64).view(np.uint64))
     boundary = _boundary(sketch, percent)
 
     # Equal sets are a class, named by its smallest document. Its rows are summed before they are shuffled.
