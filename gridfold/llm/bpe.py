@@ -24,7 +24,7 @@ from gridfold.llm.pretokens import CHUNK, OVERLAP, compiled, cuts, load_ranks, p
 #: Texts of more code points have their chunks cut by tasks of their own.
 LONG_CHARS = 1 << 22
 #: Pre-tokens whose ids a Python worker remembers, and the longest that it remembers, in code points.
-CACHED, CACHED_CHARS = 500_000, 64
+CACHED, CACHED_CHARS = 150_000, 64
 
 
 class Encoder:
@@ -81,8 +81,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
 
 
-#: Ids of one Arrow batch that goes back to Spark.
-BATCH_IDS = 4_000_000
+#: Ids of one Arrow batch that goes back to Spark, and rows of one that is decoded.
+BATCH_IDS, BATCH_ROWS = 1_000_000, 512
 
 
 def _in_batches(batch: pa.RecordBatch, column: str, arrays: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
@@ -171,10 +171,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = token_bytes(path).__getitem__
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            raw = pa.array([None if x is None else b"".join(map(get, x)) for x in (v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else None for v in lists)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, bytes_col])
+        for whole in batches:
+            for start in range(0, max(1, whole.num_rows), BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                lists = batch.column(batch.schema.get_field_index(ids_col))
+                raw = pa.array([None if not v.is_valid else b"".join(map(get, v.values.to_numpy(zero_copy_only=False).tolist())) for v in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, bytes_col])
 
     return df.mapInArrow(run, schema)
 
