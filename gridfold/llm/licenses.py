@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from gridfold.llm.common import let
 
-#: Where a sentence ends: a line's end, or a period, semicolon, colon, question or exclamation mark before a blank.
-SENTENCE_END = r"[.;:?!](?=[\x20\x09-\x0D]|$)|\n"
-#: Words without which no known sentence is there; texts with none of them aren't cut.
-HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|public domain|liable|as is"
+#: Where a sentence ends: a line's end, or a period, semicolon, colon, question or exclamation mark before a blank;
+#: the period of "v. 2.0" is none.
+SENTENCE_END = r"[.;:?!](?=[\x20\x09-\x0D]|$)(?<!\b[vV]\.(?=[\x20\x09-\x0D][0-9]))|\n"
 #: Normalised sentences by identifier; fixed values, from the licences' public texts.
 SENTENCES = (
     ("ApacheRef", r"(this (work|file|program|software|project) is )?licensed under the apache license version 2( 0)?( the license)?"),
@@ -44,6 +43,8 @@ SENTENCES = (
     ("CopyrightLine", r"copyright (c )?[0-9]{4}.*"),
     ("AllRights", r"all rights reserved"),
 )
+#: Any known sentence.
+KNOWN = "^(" + "|".join(pattern for _, pattern in SENTENCES) + ")$"
 #: Ordered rules: a licence and its sequence of identifiers; longer ones come before their parts.
 RULES = (
     ("Apache-2.0", ("ApacheRef", "ApacheComply", "ApacheObtain", "ApacheAsIs")),
@@ -66,6 +67,7 @@ RULES = (
     ("CC-BY", ("CcByRef",)),
     ("Public-Domain", ("PublicDomain",)),
     ("All-Rights-Reserved", ("CopyrightLine", "AllRights")),
+    ("All-Rights-Reserved", ("AllRights",)),
 )
 
 
@@ -78,13 +80,12 @@ def identifier(sentence: Column) -> Column:
     found = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         found = F.when(sentence.rlike(f"^({pattern})$"), F.lit(name)).otherwise(found)
-    return F.when(sentence.rlike(HINT) | sentence.rlike("obtain a copy|redistributions|in compliance|endorse|mozilla"), found)
+    return F.when(sentence.rlike(KNOWN), found)
 
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, in order."""
-    cut = F.transform(F.split(text, SENTENCE_END, -1), lambda s: identifier(normalised(s)))
-    return F.when(text.rlike(HINT), F.array_compact(cut)).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.transform(F.split(text, SENTENCE_END, -1), lambda s: identifier(normalised(s))))
 
 
 def _rule(name: str, sequence: tuple[str, ...]):

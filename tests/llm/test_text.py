@@ -126,6 +126,39 @@ def test_licences(docs):
     assert all(got[i] == ([], []) for i in range(len(TEXTS)) if i not in (12, 13))
 
 
+#: A text for each known sentence.
+KNOWN_SENTENCES = {
+    "ApacheRef": "Licensed under the Apache License, Version 2.0 (the \"License\")", "ApacheObtain": "You may obtain a copy of the License at",
+    "ApacheComply": "you may not use this file except in compliance with the License",
+    "ApacheAsIs": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "MitRef": "Released under the MIT License", "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "MitAsIs": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY",
+    "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
+    "BsdEndorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "GplRef3": "Licensed under the GNU General Public License, version 3 or later", "GplRef2": "Licensed under the GNU General Public License version 2",
+    "GplGrant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GplNoWarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the implied warranty of MERCHANTABILITY",
+    "LgplRef": "Licensed under the GNU Lesser General Public License v2.1", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "CcByNcRef": "Licensed under CC BY-NC 4.0", "CcByRef": "Licensed under CC BY 4.0", "CcBySaRef": "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "PublicDomain": "This work is in the public domain", "CopyrightLine": "Copyright (c) 2020 X", "AllRights": "All rights reserved",
+}
+
+
+def test_every_known_sentence_and_rule_is_found(spark):
+    assert list(KNOWN_SENTENCES) == [name for name, _ in licenses.SENTENCES]
+    texts = list(KNOWN_SENTENCES.values()) + [". ".join(KNOWN_SENTENCES[i] for i in sequence) + "." for _, sequence in licenses.RULES]
+    texts.append("Copyright (c) 2020 X. All rights reserved.")
+    got = {r.doc: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    n = len(KNOWN_SENTENCES)
+    assert [got[i].sentences for i in range(n)] == [[name] for name in KNOWN_SENTENCES]
+    for i, (name, sequence) in enumerate(licenses.RULES):
+        assert got[n + i].sentences == list(sequence) and got[n + i].licences[0] == name
+    assert got[len(texts) - 1].licences == ["All-Rights-Reserved"]
+
+
 def test_statistics(docs):
     for r in quality.statistics(docs, "text", ("n",)).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.statistics(TEXTS[r.n])
