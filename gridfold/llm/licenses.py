@@ -1,22 +1,25 @@
 """Licence scans by sentences: known sentences become identifiers, rules match sequences of identifiers.
 
-A text is cut into sentences, and each is normalised (lower case, letters and digits only, single
-blanks). A table of normalised licence sentences, with holes for versions and names, gives each its
-identifier. Rules are ordered: the first whose identifiers occur in its order, with nothing but
+A text is normalised (lower case, letters and digits only, single blanks) with marks where lines and
+sentences end; a blank line ends a sentence too. A known sentence is one whole line or several whole
+lines in a row without a sentence's end between them, so that notices may be wrapped anywhere. A table
+of normalised licence sentences, with holes for versions and names, gives each its identifier. Rules are ordered: the first whose identifiers occur in its order, with nothing but
 unknown sentences between them, names the licence, takes its sentences, and so on down the list.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import let
 
-#: Where a sentence ends: a line's end, or a period, semicolon, colon, question or exclamation mark before a blank;
-#: the period of "v. 2.0" is none.
-SENTENCE_END = r"[.;:?!](?=[\x20\x09-\x0D]|$)(?<!\b[vV]\.(?=[\x20\x09-\x0D][0-9]))|\n"
-#: Normalised sentences by identifier; fixed values, from the licences' public texts.
+#: Where a sentence ends: a period, semicolon, colon, question or exclamation mark before a blank; the period of "v. 2.0" is none.
+SENTENCE_END = r"[.;:?!](?=[\x20\x09-\x0D]|$)(?<!\b[vV]\.(?=[\x20\x09-\x0D][0-9]))"
+#: Normalised sentences by identifier; fixed values, from the licences' public texts. The first that matches counts:
+#: a sentence that goes on from another's words comes before it.
 SENTENCES = (
     ("ApacheRef", r"(this (work|file|program|software|project) is )?licensed under the apache license version 2( 0)?( the license)?"),
     ("ApacheObtain", r"you may obtain a copy of the license at"),
@@ -37,14 +40,14 @@ SENTENCES = (
     ("LgplRef", r"(this (work|file|program|software|project) is )?licensed under the gnu lesser general public license.*"),
     ("MplRef", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("CcByNcRef", r"(this (work|file|program|software|project) is )?licensed under (a )?(cc by nc|creative commons attribution noncommercial)( [0-9] 0)?( international)?( license)?"),
-    ("CcByRef", r"(this (work|file|program|software|project) is )?licensed under (a )?(cc by|creative commons attribution)( [0-9] 0)?( international)?( license)?"),
     ("CcBySaRef", r"(this (work|file|program|software|project) is )?licensed under (a )?(cc by sa|creative commons attribution sharealike)( [0-9] 0)?( international)?( license)?"),
+    ("CcByRef", r"(this (work|file|program|software|project) is )?licensed under (a )?(cc by|creative commons attribution)( [0-9] 0)?( international)?( license)?"),
     ("PublicDomain", r"this (work|file|program|software) is (released into|in) the public domain"),
     ("CopyrightLine", r"copyright (c )?[0-9]{4}.*"),
     ("AllRights", r"all rights reserved"),
 )
-#: Any known sentence.
-KNOWN = "^(" + "|".join(pattern for _, pattern in SENTENCES) + ")$"
+#: Any known sentence in a marked text: each blank may be a line's end, a hole at the end ends with its line.
+KNOWN = "(?<![a-z0-9 ])(?:" + "|".join(re.sub(r"\.\*$", r"[^\n|]*", p).replace(".*", "[^|]*?").replace(" ", r"[ \n]") for _, p in SENTENCES) + ")(?![a-z0-9 ])"
 #: Ordered rules: a licence and its sequence of identifiers; longer ones come before their parts.
 RULES = (
     ("Apache-2.0", ("ApacheRef", "ApacheComply", "ApacheObtain", "ApacheAsIs")),
@@ -71,8 +74,11 @@ RULES = (
 )
 
 
-def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-case words with single blanks between them, \\n between lines and | between sentences."""
+    ends = F.regexp_replace(F.lower(text), SENTENCE_END, "\n\n")
+    lines = F.regexp_replace(F.regexp_replace(ends, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+    return F.btrim(F.regexp_replace(lines, r"\n{2,}", "|"))
 
 
 def identifier(sentence: Column) -> Column:
@@ -80,12 +86,13 @@ def identifier(sentence: Column) -> Column:
     found = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         found = F.when(sentence.rlike(f"^({pattern})$"), F.lit(name)).otherwise(found)
-    return F.when(sentence.rlike(KNOWN), found)
+    return found
 
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, in order."""
-    return F.array_compact(F.transform(F.split(text, SENTENCE_END, -1), lambda s: identifier(normalised(s))))
+    found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
+    return let(found, lambda all_of: F.transform(all_of, lambda s: identifier(F.translate(s, "\n", " "))))
 
 
 def _rule(name: str, sequence: tuple[str, ...]):

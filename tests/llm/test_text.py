@@ -2,6 +2,7 @@
 
 import base64
 import random
+import textwrap
 
 import public_tokenizers as P
 import pytest
@@ -148,7 +149,7 @@ KNOWN_SENTENCES = {
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
-    assert list(KNOWN_SENTENCES) == [name for name, _ in licenses.SENTENCES]
+    assert sorted(KNOWN_SENTENCES) == sorted(name for name, _ in licenses.SENTENCES)
     texts = list(KNOWN_SENTENCES.values()) + [". ".join(KNOWN_SENTENCES[i] for i in sequence) + "." for _, sequence in licenses.RULES]
     texts.append("Copyright (c) 2020 X. All rights reserved.")
     got = {r.doc: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
@@ -159,6 +160,28 @@ def test_every_known_sentence_and_rule_is_found(spark):
     assert got[len(texts) - 1].licences == ["All-Rights-Reserved"]
 
 
+@pytest.mark.parametrize("prefix, width", [("", 72), (" * ", 76), ("# ", 40), ("", 12)])
+def test_wrapped_notices(spark, prefix, width):
+    k = KNOWN_SENTENCES
+    notices = {
+        "MIT": [["CopyrightLine"], ["MitGrant"], ["MitNotice"], ["MitAsIs"]],
+        "BSD-3-Clause": [["CopyrightLine", "AllRights"], ["BsdGrant"], ["BsdSource"], ["BsdBinary"], ["BsdEndorse"]],
+        "Apache-2.0": [["CopyrightLine"], ["ApacheRef", "ApacheComply", "ApacheObtain"], ["ApacheAsIs"]],
+        "GPL": [["GplGrant"], ["GplNoWarranty"]],
+        "CC-BY-SA": [["CcBySaRef"]],
+    }
+    rows = []
+    for name, paragraphs in notices.items():
+        blocks = [textwrap.wrap(". ".join(k[i] for i in p) + ".", width, break_long_words=False, break_on_hyphens=False) for p in paragraphs]
+        rows.append((name, f"\n{prefix.rstrip()}\n".join("\n".join(prefix + line for line in b) for b in blocks)))
+    rows.append(("lines", "Some words\nLicensed under the MIT License\nCopyright 2020 A\r\nCopyright 2021 B\nAll rights\r\nreserved\nmore words"))
+    rows.append(("none", "All rights\n\nreserved, and all rights reserved\nPermission is hereby granted. Free of charge, to any person"))
+    got = {r.doc: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, paragraphs in notices.items():
+        assert got[name].sentences == [i for p in paragraphs for i in p] and name in got[name].licences
+    assert got["lines"].sentences == ["MitRef", "CopyrightLine", "CopyrightLine", "AllRights"] and got["none"].sentences == []
+
+
 def test_statistics(docs):
     for r in quality.statistics(docs, "text", ("n",)).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.statistics(TEXTS[r.n])
