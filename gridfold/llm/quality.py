@@ -27,7 +27,8 @@ SCALE = 1000
 SUBSET, STEPS = 0.75, 4
 #: Probability that a text of a normal distribution passes.
 PASS = 1 - 1e-7
-#: Groups of fewer documents share an estimate with the other small groups of their language.
+#: Groups of fewer documents share an estimate with the other small groups of their language, with the whole
+#: language if these are few too, and with the whole corpus if that is small.
 MIN_GROUP = 50
 #: Up to so many groups their estimates are broadcast (200 bytes each); above, they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
@@ -223,12 +224,22 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """(lang, source, g): g is the pair itself, or what its language's small groups share; null if that is small too."""
-    pair = F.to_json(F.array("lang", "source"), {"ignoreNullFields": "false"})
+    """(lang, source, g, fits): g is the estimate that judges the pair, fits those that its rows go into.
+
+    g is the pair itself, or what its language's small groups share, or its whole language, or the whole corpus.
+    """
+    named = lambda *c: F.to_json(F.array(*c), {"ignoreNullFields": "false"})
+    pair, shared = named("lang", "source"), named("lang")
+    language, corpus = F.concat(shared, F.lit("+")), F.lit("+")  # no JSON ends in +
+    part = Window.partitionBy("lang")
     counts = rows.groupBy("lang", "source").count()
-    in_language = F.sum(F.when(F.col("count") < MIN_GROUP, F.col("count")).otherwise(0)).over(Window.partitionBy("lang"))
-    shared = F.to_json(F.array("lang"), {"ignoreNullFields": "false"})
-    return counts.withColumn("small", in_language).select("lang", "source", F.when(F.col("count") >= MIN_GROUP, pair).when(F.col("small") >= MIN_GROUP, shared).alias("g"))
+    counts = counts.withColumns({"small": F.sum(F.when(F.col("count") < MIN_GROUP, F.col("count")).otherwise(0)).over(part), "whole": F.sum("count").over(part)})
+    g = F.when(F.col("count") >= MIN_GROUP, pair).when(F.col("small") >= MIN_GROUP, shared).when(F.col("whole") >= MIN_GROUP, language).otherwise(corpus)
+    judged = checkpoint(counts.withColumn("g", g).withColumn("by_language", F.max(F.col("g") == language).over(part)))
+    by_corpus = F.lit(not judged.filter(F.col("g") == corpus).isEmpty())
+    own = F.when((F.col("g") != language) & (F.col("g") != corpus), F.col("g"))
+    fits = F.array_compact(F.array(own, F.when(F.col("by_language"), language), F.when(by_corpus, corpus)))
+    return judged.select("lang", "source", "g", fits.alias("fits"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -236,8 +247,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not
     base_failed, and not an outlier of its group. Estimates take the rows that passed the base rules.
-    A null text counts as empty. A null language or source is one of its own. Rows in groups too
-    small for any estimate have a null distance and are kept. Repeated rows count each for
+    A null text counts as empty. A null language or source is one of its own. Each row that passed them
+    has a distance, whatever the size of its group. Repeated rows count each for
     themselves; other columns aren't read.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
@@ -246,8 +257,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     groups = checkpoint(_groups(rows.filter(~F.col("base_failed"))))
     few = groups.count() <= BROADCAST_GROUPS
     same = F.col("r.lang").eqNullSafe(F.col("q.lang")) & F.col("r.source").eqNullSafe(F.col("q.source"))
-    grouped = rows.alias("r").join((F.broadcast(groups) if few else groups).alias("q"), same, "left").select("r.*", "g")
-    fitted = grouped.filter(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *NAMES)
+    grouped = rows.alias("r").join((F.broadcast(groups) if few else groups).alias("q"), same, "left").select("r.*", "g", "fits")
+    fitted = grouped.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), *NAMES)
     d = len(VECTOR)
     factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
     estimate = checkpoint(_start(fitted))
@@ -260,7 +271,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         estimate = checkpoint(_estimate(_joined(near, cut, few).filter(F.col("b") <= F.col("cut")).select("g", *NAMES), factor))
     last = F.broadcast(estimate) if few else estimate
     scored = grouped.join(last, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(PASS, d)))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(PASS, d))
     return scored.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", kept.alias("kept"), *NAMES, "g")
 
 

@@ -161,6 +161,21 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975) and quality.chi2_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
 
 
+def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(60, 300)))
+    junk = lambda: " ".join(word() + "###" for _ in range(100))
+    rows = [(clean(), "en", "s0") for _ in range(200)] + [(clean(), "xx", "s0"), (clean(), None, None)]
+    bad = [(junk(), "en", "s1") for _ in range(49)] + [(junk(), "xx", "s1"), (junk(), None, None)]
+    df = spark.createDataFrame([(i, *x, 0) for i, x in enumerate(rows + bad)], SCHEMA).repartition(3)
+    got = {r.doc: r for r in quality.judge(df).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert [i for i in got if got[i].kept] and {i for i in got if got[i].kept} == set(range(len(rows)))
+    few = {r.doc: r for r in quality.judge(df.filter("doc_id < 30")).collect()}
+    assert all(r.kept and r.distance is not None for r in few.values())
+
+
 def test_estimates_are_the_concentration_steps(spark):
     """Distances against the same steps in numpy."""
     rng = random.Random(6)
