@@ -1,9 +1,10 @@
 """Quality rules: fixed rules on each text, and robust multivariate outliers per language and source.
 
 Statistics of a text are transformed to a vector of whole numbers. For each language and source a
-minimum-covariance-determinant estimate is made by concentration steps: from medians and quartile
-ranges on, each step takes the three quarters of the vectors that are nearest to the centre, and from
-them the next centre and covariance. Documents far from their group's estimate by Mahalanobis
+minimum-covariance-determinant estimate is made by concentration steps: from several quantiles as centres
+and quartile ranges on, each step takes the half of the vectors that is nearest to the centre, and from
+it the next centre and covariance, until the determinant falls no further; the start with the least
+determinant counts. Equal vectors are one in the estimate, so that copies don't outweigh the others. Documents far from their group's estimate by Mahalanobis
 distance are rejected. Vectors are whole numbers and distances are cut by histograms, so sums and cuts are exact, and
 the verdict doesn't depend on how rows are dealt over the cluster.
 """
@@ -23,11 +24,14 @@ SYMBOLS = r"[#*$%&|<>]"
 #: have no symbol and no repeated line, so that without it any would be infinitely far away.
 VECTOR = (("v_words", 500), ("v_word_chars", 500), ("v_symbols", 100), ("v_dup_lines", 100), ("v_repeats", 100))
 SCALE = 1000
-#: Share of the vectors in each concentration step, and number of steps.
-SUBSET, STEPS = 0.75, 4
+#: Share of the vectors in each concentration step, and the most steps, should the determinant not settle before.
+SUBSET, STEPS = 0.5, 100
+#: Quantiles of all statistics that are the starts' centres. The first counts unless another's determinant is smaller
+#: by over TIE in its logarithm: distances are cut in bins of a percent, so that less says nothing.
+STARTS, TIE = (0.5, 0.25, 0.75, 0.1, 0.9), 0.01
 #: Probability that a text of a normal distribution passes.
 PASS = 1 - 1e-7
-#: Groups of fewer documents share an estimate with the other small groups of their language, with the whole
+#: Groups of fewer different vectors share an estimate with the other small groups of their language, with the whole
 #: language if these are few too, and with the whole corpus if that is small.
 MIN_GROUP = 50
 #: Up to so many groups their estimates are broadcast (200 bytes each); above, they are joined by shuffle.
@@ -157,22 +161,23 @@ NAMES = [name for name, _ in VECTOR]
 PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
 
 
-def _joined(rows: DataFrame, per_group: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(per_group) if few else per_group, "g")
+def _joined(rows: DataFrame, per_group: DataFrame, few: bool, on: tuple[str, ...] = ("g",)) -> DataFrame:
+    return rows.join(F.broadcast(per_group) if few else per_group, list(on))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and quartile range of each statistic and group, from counts of values."""
+    """For each group and start, quantile and quartile range of each statistic, from counts of values."""
     values = rows.select("g", F.posexplode(F.array(*NAMES)).alias("j", "x")).groupBy("g", "j", F.floor(F.col("x") / 10).alias("x")).count()
     part = Window.partitionBy("g", "j")
     ranked = values.withColumns({"upto": F.sum("count").over(part.orderBy("x")), "n": F.sum("count").over(part)})
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), 10 * F.col("x") + 5))
-    each = ranked.groupBy("g", "j").agg(quartile(0.5).alias("mid"), ((quartile(0.75) - quartile(0.25)) / 1.349).alias("spread"))
+    each = ranked.groupBy("g", "j").agg(*(quartile(q).alias(f"q{s}") for s, q in enumerate(STARTS)), ((quartile(0.75) - quartile(0.25)) / 1.349).alias("spread"))
     pick = lambda j, c: F.max(F.when(F.col("j") == j, F.col(c)))
     least = [s for _, s in VECTOR]
-    centre = [pick(j, "mid").cast("double").alias(f"m{j}") for j in range(len(VECTOR))]
+    centre = lambda s: F.struct(F.lit(s).alias("s"), *(pick(j, f"q{s}").cast("double").alias(f"m{j}") for j in range(len(VECTOR))))
     inverse = [(1 / F.sqrt(pick(i, "spread") * pick(i, "spread") + least[i] ** 2) if i == j else F.lit(0.0)).alias(f"k{i}{j}") for i, j in PAIRS]
-    return each.groupBy("g").agg(*centre, *inverse)
+    made = each.groupBy("g").agg(F.array(*(centre(s) for s in range(len(STARTS)))).alias("starts"), *inverse)
+    return made.select("g", F.inline("starts"), *(f"k{i}{j}" for i, j in PAIRS), F.lit(None).cast("double").alias("logdet"))
 
 
 def _distance() -> Column:
@@ -192,10 +197,10 @@ def _bin(distance: Column) -> Column:
 
 
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Centre and inverse Cholesky factor of each group's rows; sums of whole numbers are exact."""
+    """Centre, inverse Cholesky factor and the determinant's logarithm of each group's and start's rows; sums of whole numbers are exact."""
     sums = [F.sum(F.col(n).cast("decimal(20,0)")).cast("double").alias(f"s{i}") for i, n in enumerate(NAMES)]
     products = [F.sum((F.col(NAMES[i]) * F.col(NAMES[j])).cast("decimal(20,0)")).cast("double").alias(f"p{i}{j}") for i, j in PAIRS]
-    summed = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), *sums, *products)
+    summed = rows.groupBy("g", "s").agg(F.count("*").cast("double").alias("n"), *sums, *products)
     d = len(VECTOR)
     made = summed.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
     cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(float(VECTOR[i][1] ** 2) if i == j else 0.0) for i, j in PAIRS}
@@ -220,7 +225,41 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
             for q in range(j, i):
                 value = value + F.col(f"l{i}{q}") * F.col(f"k{q}{j}")
             made = made.withColumn(f"k{i}{j}", -value * F.col(f"k{i}{i}"))
-    return made.select("g", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS))
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
+    return made.select("g", "s", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
+
+
+def _step(fitted: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """The next estimate of each group and start; `falls` says whether its determinant is smaller than before."""
+    d = len(VECTOR)
+    factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
+    near = _joined(fitted, estimate.drop("logdet"), few).withColumn("b", _bin(_distance())).select("g", "s", "b", *NAMES)
+    counts = near.groupBy("g", "s", "b").count()
+    part = Window.partitionBy("g", "s")
+    upto = counts.withColumns({"upto": F.sum("count").over(part.orderBy("b")), "n": F.sum("count").over(part)})
+    cut = upto.filter(F.col("upto") >= SUBSET * F.col("n")).groupBy("g", "s").agg(F.min("b").alias("cut"))
+    nearest = _joined(near, cut, few, ("g", "s")).filter(F.col("b") <= F.col("cut"))
+    before = estimate.select("g", "s", F.col("logdet").alias("before"))
+    falls = F.col("before").isNull() | (F.col("logdet") < F.col("before"))
+    return _joined(_estimate(nearest.select("g", "s", *NAMES), factor), before, few, ("g", "s")).withColumn("falls", falls).drop("before")
+
+
+def _least(fitted: DataFrame, few: bool) -> DataFrame:
+    """Each group's estimate with the least determinant."""
+    moving, settled = checkpoint(_start(fitted)), []
+    for _ in range(STEPS):
+        made = checkpoint(_step(fitted, moving, few))
+        settled.append(made.filter(~F.col("falls")).drop("falls"))
+        moving = made.filter("falls").drop("falls")
+        if moving.isEmpty():
+            break
+    settled.append(moving)
+    every = settled[0]
+    for some in settled[1:]:
+        every = every.unionByName(some)
+    rank = F.struct((F.col("logdet") + F.when(F.col("s") > 0, F.lit(TIE)).otherwise(F.lit(0.0))).alias("at"), F.col("s"))
+    values = [c for c in every.columns if c not in ("g", "s", "logdet")]
+    return checkpoint(every.groupBy("g").agg(F.min_by(F.struct(*values), rank).alias("least")).select("g", "least.*"))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -246,29 +285,22 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(doc, statistics, base_failed, distance, kept): one row for each row of `df`.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not
-    base_failed, and not an outlier of its group. Estimates take the rows that passed the base rules.
+    base_failed, and not an outlier of its group. Estimates take the rows that passed the base rules,
+    those with equal vectors once.
     A null text counts as empty. A null language or source is one of its own. Each row that passed them
-    has a distance, whatever the size of its group. Repeated rows count each for
-    themselves; other columns aren't read.
+    has a distance, whatever the size of its group. Repeated rows are judged each
+    for themselves; other columns aren't read.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
     rows = statistics(rows, "text", ("doc", "lang", "source")).withColumn("base_failed", base_failed()).withColumns(vector())
     rows = checkpoint(rows)  # numbers only; the texts aren't read again
-    groups = checkpoint(_groups(rows.filter(~F.col("base_failed"))))
+    groups = checkpoint(_groups(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES).distinct()))
     few = groups.count() <= BROADCAST_GROUPS
     same = F.col("r.lang").eqNullSafe(F.col("q.lang")) & F.col("r.source").eqNullSafe(F.col("q.source"))
     grouped = rows.alias("r").join((F.broadcast(groups) if few else groups).alias("q"), same, "left").select("r.*", "g", "fits")
-    fitted = grouped.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), *NAMES)
+    fitted = checkpoint(grouped.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), *NAMES).distinct())
     d = len(VECTOR)
-    factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
-    estimate = checkpoint(_start(fitted))
-    for _ in range(STEPS):
-        near = _joined(fitted, estimate, few).withColumn("b", _bin(_distance()))
-        counts = near.groupBy("g", "b").count()
-        part = Window.partitionBy("g")
-        upto = counts.withColumns({"upto": F.sum("count").over(part.orderBy("b")), "n": F.sum("count").over(part)})
-        cut = upto.filter(F.col("upto") >= SUBSET * F.col("n")).groupBy("g").agg(F.min("b").alias("cut"))
-        estimate = checkpoint(_estimate(_joined(near, cut, few).filter(F.col("b") <= F.col("cut")).select("g", *NAMES), factor))
+    estimate = _least(fitted, few)
     last = F.broadcast(estimate) if few else estimate
     scored = grouped.join(last, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(PASS, d))

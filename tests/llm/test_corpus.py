@@ -176,6 +176,18 @@ def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
     assert all(r.kept and r.distance is not None for r in few.values())
 
 
+@pytest.mark.parametrize("percent, copies", [(34, False), (45, False), (34, True), (45, True)])
+def test_heavy_contamination_is_rejected(spark, percent, copies):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(200)]
+    n = 200 * percent // (100 - percent)
+    junk = [" ".join(word() + "#" * rng.randint(0, 5) + "xy" * rng.randint(0, 3) for _ in range(rng.randint(60, 900))) for _ in range(n)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(clean + ([junk[0]] * n if copies else junk))]
+    got = {r.doc: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert {i for i in got if got[i]} == set(range(200))
+
+
 def test_estimates_are_the_concentration_steps(spark):
     """Distances against the same steps in numpy."""
     rng = random.Random(6)
