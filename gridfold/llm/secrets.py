@@ -26,8 +26,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the battery.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the battery, and their segments between slashes; = is part of one as padding at its end only.
+PADDING = r"(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}" + PADDING
+SEGMENT = r"[A-Za-z0-9+_-]{20,}" + PADDING
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets by encoding; the first whose characters cover the string is inferred. Fixed values.
 ALPHABETS = (
@@ -144,9 +146,8 @@ def p_random(token: Column) -> Column:
     return let(bare, lambda b: let(F.struct(b.alias("bare"), alphabet_of(b).alias("alphabet")), prepared))
 
 
-def _candidates(text: Column) -> Column:
-    """Candidates with at least two of lower case, upper case and digits, 20 characters without padding, and their p-values."""
-    spans = matches_at(text, CANDIDATE, KINDS.index("random"))
+def _tested(spans: Column) -> Column:
+    """Spans with at least two of lower case, upper case and digits, 20 characters without padding, and their p-values."""
     mixed = F.filter(
         spans,
         lambda s: (F.char_length(F.rtrim(s["value"], F.lit("="))) >= 20)
@@ -155,6 +156,18 @@ def _candidates(text: Column) -> Column:
     return F.transform(mixed, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], p_random(s["value"]).alias("p")))
 
 
+def _candidates(text: Column) -> Column:
+    """Tested candidates, each with its tested segments between slashes: a secret may be a part of a path."""
+    kind = KINDS.index("random")
+
+    def with_parts(c: Column) -> Column:
+        inner = lambda: F.transform(matches_at(c["value"], SEGMENT, kind), lambda m: F.struct((c["start"] + m["start"]).alias("start"), m["kind"].alias("kind"), (c["start"] + m["end"]).alias("end"), m["value"].alias("value")))
+        spans = F.when(F.contains(c["value"], F.lit("/")), inner()).otherwise(F.array().cast(SPAN))
+        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value"), c["p"].alias("p"), _tested(spans).alias("parts"))
+
+    return F.transform(_tested(matches_at(text, CANDIDATE, kind)), with_parts)
+
+
 def _cut(weighted: DataFrame, n: int, fdr: float) -> float:
     """The Benjamini-Hochberg cut on the weighted p-values of n candidates: those at or under it aren't random."""
     level = F.floor(F.least(-F.log(F.greatest(F.col("weighted"), F.lit(1e-300))), F.lit(float(UNITS))) * BINS_PER_UNIT).cast("int")
@@ -180,12 +193,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
     long_enough = F.filter(matches_at(text, ASSIGN, 0), lambda s: F.char_length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
     found = rows.select("doc", F.concat(long_enough, matches_at(text, ACCESS, 1), matches_at(text, HEX, 2)).alias("base"), _candidates(text).alias("candidates"))
     found = checkpoint(found)  # spans only; the texts aren't scanned again
-    each = found.select(F.explode("candidates").alias("c"))
+    alone = lambda c: F.struct(*(c[n].alias(n) for n in ("start", "kind", "end", "value", "p")))
+    all_of = F.flatten(F.transform("candidates", lambda c: F.concat(F.array(alone(c)), c["parts"])))
+    each = found.select(F.explode(all_of).alias("c"))
     length = lambda c: c["end"] - c["start"]
     n, total = each.agg(F.count("*"), F.sum(length(F.col("c")))).first()
     weighted = lambda c: c["p"] * F.lit(total / n if n else 1.0) / length(c)
     cut = _cut(each.select(weighted(F.col("c")).alias("weighted")), n, fdr)
-    random = F.filter("candidates", lambda c: weighted(c) > cut)
+    # Segments count where their whole isn't random.
+    passed = lambda c: F.when(weighted(c) > cut, F.array(alone(c))).otherwise(F.filter(c["parts"], lambda p: weighted(p) > cut))
+    random = F.flatten(F.transform("candidates", passed))
     plain = F.transform(random, lambda c: F.struct(c["start"], c["kind"], c["end"], c["value"]))
     return found.select("doc", F.sort_array(F.concat("base", plain)).alias("secrets"))
 

@@ -120,6 +120,25 @@ def test_battery_tells_random_strings_from_words(spark):
     assert sum(got[i] > 0.01 for i in range(60)) >= 54 and all(got[i] < 1e-3 for i in range(60, 120))
 
 
+def test_secrets_beside_names_and_in_paths(spark):
+    rng = random.Random(3)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, base62, base64_ = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABETS[6][1]
+    made = [("SESSION_KEY_VALUE={}", upper, 40), ("export KEY={} x", upper, 40), ("AWS_SECRET_ACCESS_KEY={}", base64_, 40), ("https://h.example/services/hooks/incoming/{}", base62, 24)]
+    rows, want = [], []
+    for i in range(200):
+        form, letters, n = made[i % 4]
+        want.append(of(letters, n))
+        rows.append((i, form.format(want[-1])))
+    rows.append((200, "padded " + (padded := of(base62, 43) + "=")))
+    rows += [(201 + i, f"dull aaaaaaaaaaaaaaaaaaaaaaaa1aaaaaaaaaaaaaaaaaaa{i}") for i in range(200)]
+    got = {r.doc: r.secrets for r in secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    hit = [any(s.kind == 3 and want[i] in s.value for s in got[i]) for i in range(200)]
+    assert all(sum(hit[k::4]) >= 45 for k in range(4))
+    assert all(rows[i][1][s.start : s.end] == s.value for i in range(201) for s in got[i])
+    assert [s.value for s in got[200]] == [padded]
+
+
 def test_licences(docs):
     got = {r.doc: (r.sentences, r.licences) for r in licenses.scan(docs.select(F.col("n").alias("doc_id"), "text")).collect()}
     assert got[12] == (["ApacheRef", "ApacheObtain", "MitRef"], ["Apache-2.0", "MIT"])
