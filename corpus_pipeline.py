@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: rules, line dedup, near-duplicates, mixing, encoding.
 
-Each stage works on all rows that the one before it kept. Ids are unique up to the mixing stage,
-which repeats a row as often as the mix takes it.
+Each stage works on all rows that the one before it kept. Rows keep their own decisions, also under
+repeated and null ids. The mixing stage repeats a row as often as the mix takes it.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import NO_ID, checkpoint, free_shuffles
+from gridfold.llm.common import NO_ID, checkpoint, free_shuffles, keyed
 from gridfold.llm.components import components
 from gridfold.llm.shingles import set_key, shingle_set
 
@@ -330,6 +330,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `df` whose document is the smallest of its component. Ids must be unique and not null."""
-    kept = join(df, id_col, text_col, **how).filter("doc = component").select(F.col("doc").alias("_gf_doc"))
-    return df.join(kept, F.col(f"`{id_col}`") == F.col("_gf_doc"), "left_semi")
+    """The rows of `df` that are the smallest of their component. Each row is a document of its own, also under a repeated or null id."""
+    rows = keyed(df, id_col, text_col, "_gf_key")
+    kept = join(rows, "_gf_key", text_col, **how).filter("doc = component").select(F.col("doc").alias("_gf_doc"))
+    return rows.join(kept, F.col("_gf_key") == F.col("_gf_doc"), "left_semi").drop("_gf_key")

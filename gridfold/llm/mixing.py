@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import WORD, checkpoint
+from gridfold.llm.common import WORD, checkpoint, keyed
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -115,7 +115,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of the mix itself: each row of `df` as often as `mix` takes it. Ids must be unique and not null."""
-    taken = mix(df, id_col, text_col, source_col, **how).filter("copies > 0").select(F.col("doc").alias("_gf_doc"), F.col("copies").alias("_gf_copies"))
-    joined = df.join(taken, F.col(f"`{id_col}`") == F.col("_gf_doc"))
+    """The rows of the mix itself: each row of `df` as often as `mix` takes it, also under a repeated or null id."""
+    rows = keyed(df, id_col, text_col, "_gf_key")
+    taken = mix(rows, "_gf_key", text_col, source_col, **how).filter("copies > 0").select(F.col("doc").alias("_gf_doc"), F.col("copies").alias("_gf_copies"))
+    joined = rows.join(taken, F.col("_gf_key") == F.col("_gf_doc"))
     return joined.withColumn("_gf_copy", F.explode(F.sequence(F.lit(1), F.col("_gf_copies")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import WORD, checkpoint, let
+from gridfold.llm.common import WORD, checkpoint, keyed, let
 
 #: Characters counted as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -308,6 +308,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of `df` that `judge` keeps. Ids must be unique and not null."""
-    kept = judge(df, id_col, text_col, lang_col, source_col).filter("kept").select(F.col("doc").alias("_gf_doc"))
-    return df.join(kept, F.col(f"`{id_col}`") == F.col("_gf_doc"), "left_semi")
+    """The rows of `df` that `judge` keeps, each by its own verdict, also under a repeated or null id."""
+    rows = keyed(df, id_col, text_col, "_gf_key")
+    kept = judge(rows, "_gf_key", text_col, lang_col, source_col).filter("kept").select(F.col("doc").alias("_gf_doc"))
+    return rows.join(kept, F.col("_gf_key") == F.col("_gf_doc"), "left_semi").drop("_gf_key")

@@ -231,5 +231,23 @@ def test_pipeline_stages_against_brute_force(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids)
 
 
+def test_pipeline_keeps_rows_of_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(100)) for _ in range(80)]
+    ids = [None] * 5 + [7] * 5 + list(range(100, 170))
+    rows = list(zip(ids, clean, strict=True)) + [(None, "x " * 80), (7, "x " * 80)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    pairs = lambda d: sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in d.collect())
+    want = sorted((-1 if i is None else i, t) for i, t in rows[:80])
+    good = quality.keep_good(df)
+    assert pairs(good) == want and good.columns == df.columns
+    unique = jaccard_join.keep_one(good.union(good))
+    assert pairs(unique) == want and unique.columns == df.columns
+    mixed = pairs(mixing.repeat_rows(unique))
+    assert set(mixed) == set(want) and max(mixed.count(x) for x in want) <= 2
+    assert len(mixed) == 120  # 150 percent of equal sizes
+
+
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
