@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridfold.session import checkpoint
 
-__all__ = ["BLANKS", "NO_ID", "WORD", "checkpoint", "free_shuffles", "keyed", "let", "replace_columns", "table"]
+__all__ = ["BLANKS", "NO_ID", "WORD", "checkpoint", "free_shuffles", "ids_are_keys", "keyed", "let", "numbered", "replace_columns", "table"]
 #: ASCII white space, as the contracts count it: space, and tab to carriage return.
 BLANKS = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,20 +27,26 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """`df` with a long `key` that no two rows share, in the order of the ids, null ones last.
-
-    It is the id itself where ids are whole numbers, unique and not null. Otherwise rows are numbered, and
-    written once so that the numbers stay.
-    """
+def ids_are_keys(df: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers, unique and not null."""
     of = F.col(f"`{id_col}`")
     whole = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    if whole and df.select(of.alias("id")).groupBy("id").count().filter("id is null or count > 1").isEmpty():
-        return df.withColumn(key, of.cast("long"))
-    ordered = df.orderBy(of.asc_nulls_last(), F.xxhash64(F.col(f"`{text_col}`")))
+    return whole and df.select(of.alias("id")).groupBy("id").count().filter("id is null or count > 1").isEmpty()
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """`df` with a long `key` for each row, in the order of the ids, null ones last; written once so that the numbers stay."""
+    ordered = df.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.xxhash64(F.col(f"`{text_col}`")))
     return checkpoint(ordered.withColumn(key, F.monotonically_increasing_id()))
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """`df` with a long `key` that no two rows share, in the order of the ids: the id itself where it can be."""
+    if ids_are_keys(df, id_col):
+        return df.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    return numbered(df, id_col, text_col, key)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with `value` evaluated once per row, even if the body reads it in each step of a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

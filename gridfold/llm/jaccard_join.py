@@ -9,16 +9,21 @@ size. So under one order of all elements they share k of the first n - ceil(t *
   that are large enough to link with a heavy one post their elements as well.
 
 The boundary is where the measured cost of enumerating gets higher than that of scanning. Elements
-that many sets hold come last in the order, so that a passage that many documents share makes no
-long lists. Equal sets are one class from the start. Then, so that a group of near copies doesn't
-make all its pairs:
+that many sets hold come last in the order, the most frequent of them at the very end, so that a passage that many
+documents share makes no long lists. Equal sets are one class from the start. Then, so that a group of near
+copies doesn't make all its pairs:
 
-1. Each list compares its members with its hub, the member with the most company over all lists;
-   links are verified exactly, and connected components are formed.
-2. Lists whose members are all in one component are done. In the others, all pairs between different
-   components are compared exactly, so that no link between components is lost.
+1. Each list compares its members with its first; links are verified exactly, and connected components
+   are formed.
+2. Lists whose members are all in one component are done. In the others, pairs between different components
+   are counted over all the lists that they share: with the count the overlap has a bound, and the
+   pairs that the bound lets through are compared exactly. All lists that two documents of different components
+   share are among these, so that no link between components is lost.
 
 What isn't compared would only join documents that are in one component already.
+
+Pairs are dealt over boxes by their second document, which is the first of a list; one with very many partners has several
+boxes. A set is sent once to each box that has a pair of it, so its copies don't grow with the number of boxes.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import NO_ID, checkpoint, free_shuffles, keyed
+from gridfold.llm.common import checkpoint, free_shuffles, ids_are_keys, keyed, numbered
 from gridfold.llm.components import components
 from gridfold.llm.shingles import set_key, shingle_set
 
@@ -43,10 +48,12 @@ MOST_LIGHT = 128
 COMMON, MOST_COMMON = 8, 1 << 20
 #: Hashes that are counted together by a Python worker (32 MB).
 WINDOW = 4_000_000
-#: Documents in a row or column of the grid of verified pairs.
-CELL = 2048
-#: Up to so many ids of documents are broadcast (8 bytes each, and 8 for each cell of one to verify); more are joined by shuffle.
+#: Elements of the sets in one box of pairs to verify (2 MB). A document whose partners have more gets several boxes.
+BOX = 1 << 18
+#: Up to so many ids are broadcast (16 bytes each); with more the plan does without.
 BROADCAST_IDS = 500_000
+#: Bits of the map that tells which documents are certainly not needed; 8 MB at any size of the corpus.
+MAP_BITS = 1 << 26
 
 
 def least_common(n: int | np.ndarray, percent: int):
@@ -138,60 +145,107 @@ def _boundary(sketch: DataFrame, percent: int) -> int:
     return at
 
 
-def ordered_prefix(hashes: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
-    """The first elements of a set in the order: common ones last, by hash otherwise."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        last = common[at] == hashes
-        if last.any():
-            return np.concatenate([hashes[~last], hashes[last]])[:length]
-    return hashes[:length]
+class Order:
+    """The common elements in order of their hashes, with the place of each in the order of frequency."""
+
+    def __init__(self, elements: np.ndarray, counts: np.ndarray):
+        by_hash = np.argsort(elements)
+        self.elements = elements[by_hash]
+        place = np.empty(len(elements), np.int32)
+        place[np.lexsort((self.elements, counts[by_hash]))] = np.arange(len(elements), dtype=np.int32)
+        self.place = place
+
+    def prefix(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """The first elements of a set: common ones last, from rare to frequent; the others by hash."""
+        if len(self.elements):
+            at = np.minimum(np.searchsorted(self.elements, hashes), len(self.elements) - 1)
+            last = self.elements[at] == hashes
+            if last.any():
+                rare, often = hashes[~last], hashes[last]
+                return np.concatenate([rare, often[np.argsort(self.place[at[last]])]])[:length]
+        return hashes[:length]
 
 
-def keys_of(hashes: np.ndarray, common: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Keys of a set, the position of each key's last element, and whether the set is light.
+def keys_of(hashes: np.ndarray, order: Order, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and for each its set's size, the position of its last element, and flags, packed as by `packed`.
 
     A light set's subsets come first. Its single elements follow if a heavy set can link with it.
     """
     n = len(hashes)
     least = least_common(n, percent)
-    single = ordered_prefix(hashes, common, n - least + 1)
+    single = order.prefix(hashes, n - least + 1)
     if n > boundary:
-        return single, np.arange(len(single)), False
-    prefix = ordered_prefix(hashes, common, n - least + SUBSET)
+        return single, packed(n, np.arange(len(single)), False, True)
+    prefix = order.prefix(hashes, n - least + SUBSET)
     i, j = np.triu_indices(len(prefix), 1)
     pairs = (prefix[i] ^ (prefix[i] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + prefix[j]
-    pairs, at = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), j - 1
+    pairs, at = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), packed(n, j - 1, True, False)
     if 100 * n >= percent * (boundary + 1):
-        return np.concatenate([pairs, single]), np.concatenate([at, np.arange(len(single))]), True
-    return pairs, at, True
+        return np.concatenate([pairs, single]), np.concatenate([at, packed(n, np.arange(len(single)), True, True)])
+    return pairs, at
+
+
+def packed(n: int, pos: np.ndarray, light: bool, single: bool) -> np.ndarray:
+    """Size, position and flags in one long."""
+    return (np.int64(n) << 32) | (pos.astype(np.int64) << 2) | (int(light) << 1) | int(single)
+
+
+def _size(at: str) -> Column:
+    return F.shiftright(at, 32)
+
+
+def _position(at: str) -> Column:
+    return F.shiftright(F.col(at).bitwiseAND(F.lit(0xFFFFFFFF)), 2)
+
+
+def _light(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit(2)) != 0
+
+
+def _meet(a: str, b: str, percent: int) -> Column:
+    """Whether two members of a list can link by their sizes. Two light sets meet by their subsets, any others by single elements."""
+    n, m = _size(a), _size(b)
+    single = F.col(a).bitwiseAND(F.col(b)).bitwiseAND(F.lit(1)) != 0
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (single != (_light(a) & _light(b)))
+
+
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """Elements that two sets that link share at least."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """_meet, and what is left of the shorter rest suffices if the key is the first that they share."""
+    n, m = _size(a), _size(b)
+    rest = F.least(n - _position(a), m - _position(b)) + F.when(_light(a) & _light(b), SUBSET - 1).otherwise(0)
+    return _meet(a, b, percent) & (rest >= _need(n, m, percent))
 
 
-def _postings(docs: DataFrame, common: np.ndarray, boundary: int, width: int, percent: int) -> DataFrame:
-    """(key, doc, n, pos, light) of the sets of two elements or more; smaller ones link with equal sets alone.
+def _postings(docs: DataFrame, order: Order, boundary: int, width: int, percent: int) -> DataFrame:
+    """(key, doc, at) of the sets of two elements or more; smaller ones link with equal sets alone.
 
     A window's copies of a set are posted once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common.tobytes())  # at most MOST_COMMON hashes, 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast((order.elements.tobytes(), order.place.tobytes()))  # at most MOST_COMMON of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(shared.value, np.uint64)
+        own = Order(np.empty(0, np.uint64), np.empty(0, np.int64))
+        own.elements, own.place = (np.frombuffer(raw, t) for raw, t in zip(shared.value, (np.uint64, np.int32), strict=True))
         seen: set[tuple[int, int]] = set()
         held: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             nonlocal size
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.empty(0, np.int64)] * 5
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.empty(0, np.int64)] * 3
             held.clear()
             size = 0
-            types = (np.int64, np.int64, np.int32, np.int32, bool)
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, types, strict=True)], names=["key", "doc", "n", "pos", "light"])
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "doc", "at"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingle_set(text.as_py(), width)
-                if (n := len(hashes)) <= 1:
+                if len(hashes) <= 1:
                     continue
                 key = set_key(hashes)
                 if key in seen:
@@ -199,25 +253,44 @@ def _postings(docs: DataFrame, common: np.ndarray, boundary: int, width: int, pe
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(key)
-                keys, at, light = keys_of(hashes, own, boundary, percent)
-                held.append((_signed(keys), np.full(len(keys), doc), np.full(len(keys), n), at, np.full(len(keys), light)))
+                keys, at = keys_of(hashes, own, boundary, percent)
+                held.append((_signed(keys), np.full(len(keys), doc), at))
                 size += len(keys)
                 if size >= 200_000:
                     yield out()
         yield out()
 
-    return docs.mapInArrow(run, "key long, doc long, n int, pos int, light boolean")
+    return docs.mapInArrow(run, "key long, doc long, at long")
 
 
-def _can_link(a: str, b: str, percent: int):
-    """Whether sizes and positions let two members of a list link; light sets meet by their subsets.
+def _listed(posted: DataFrame) -> DataFrame:
+    """(key, doc, at, hub, hub_at) of the members that have company in their list, beside the list's first member.
 
-    Before the first shared key, what one set has isn't shared; so what is left of the shorter rest bounds the overlap.
+    One shuffle by key, and a sorted stream of each list.
     """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil((n + m).cast("long") * percent / (100 + percent))
-    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")).cast("long")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest + (SUBSET - 1) * F.when(F.col(f"{a}.light") & F.col(f"{b}.light"), 1).otherwise(0) >= need)
+    by_key = Window.partitionBy("key").orderBy("doc")
+    beside = {"_before": F.lag("doc").over(by_key), "_next": F.lead("doc").over(by_key), "hub": F.first("doc").over(by_key), "hub_at": F.first("at").over(by_key)}
+    held = posted.withColumns(beside).filter("_before is not null or _next is not null")
+    return held.select("key", "doc", "at", "hub", "hub_at")
+
+
+def _possible(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """`docs` without most of those that `needed` lacks, by a map of MAP_BITS bits of hashed ids, so that their texts aren't shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = needed.select(F.shiftright(bit("doc"), 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {MAP_BITS}) % 64 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows, 16 MB
+    bits = np.zeros(MAP_BITS >> 6, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.frombuffer(shared.value, np.int64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            set_ = (own[at >> 6] >> (at & 63)) & 1
+            yield batch.filter(pa.array(set_ == 1)).select(["doc", "text"])
+
+    return docs.select("doc", "text", bit("doc").alias("bit")).mapInArrow(run, "doc long, text string")
 
 
 def _shipped(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -230,18 +303,22 @@ def _shipped(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             sets = pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x for own in boxes for x in own], pa.int64()), batch.column(0).take(pa.array(at)), sets.take(pa.array(at))], names=["box", "doc", "hashes"])
 
-    few = needed.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(needed) if few else needed, "doc").select("doc", "text", "boxes")
-    return chosen.mapInArrow(run, "box long, doc long, hashes binary")
+    few = (needed.agg(F.sum(1 + F.size("boxes"))).first()[0] or 0) <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(needed), "doc") if few else _possible(docs, needed).join(needed, "doc")
+    return chosen.select("doc", "text", "boxes").mapInArrow(run, "box long, doc long, hashes binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose sets link. Pairs are dealt over a grid, and a document's set goes once to each cell that has a pair of it."""
+    """Those of the distinct pairs (a, b, n, m), of sets of n and m elements, whose sets link."""
+    load = pairs.agg(F.sum("n")).first()[0] or 0
+    boxes = max(1, -(-load // BOX))
+    heavy = checkpoint(pairs.groupBy("b").agg(F.sum("n").alias("load")).filter(F.col("load") > BOX).select("b", F.ceil(F.col("load") / BOX).alias("parts")))
+    few = heavy.count() <= BROADCAST_IDS
+    split = pairs.join(F.broadcast(heavy) if few else heavy, "b", "left")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))
+    dealt = split.select("a", "b", F.pmod(F.xxhash64("b", part), F.lit(boxes)).alias("box"))
     ends = F.explode(F.array("a", "b")).alias("doc")
-    cells = max(1, -(-pairs.select(ends).distinct().count() // CELL))
-    row, column = F.pmod(F.xxhash64("a"), F.lit(cells)), F.pmod(F.xxhash64("b"), F.lit(cells))
-    dealt = pairs.select("a", "b", (row * cells + column).alias("cell"))
-    needed = checkpoint(dealt.select(F.col("cell").alias("box"), ends).groupBy("doc").agg(F.collect_set("box").alias("boxes")))
+    needed = checkpoint(dealt.select("box", ends).groupBy("doc").agg(F.collect_set("box").alias("boxes")))
     shipped = _shipped(docs, needed, width)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -255,82 +332,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
         return right.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return shipped.groupBy("box").cogroup(dealt.groupBy("cell")).applyInArrow(run, "a long, b long")
+    return shipped.groupBy("box").cogroup(dealt.groupBy("box")).applyInArrow(run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    sketch = checkpoint(_sketched(docs, width, percent))
-    own = sketch.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
-    return sketch, own.distinct()
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, m) of the pairs of different components that could link, from the lists (key, doc, at, root) that hold several components.
+
+    Of the elements up to where the prefix of one of them ends, two sets share at most as many as they share keys, and
+    after it at most the rest of that set. And before the first key that they share, nothing is shared.
+    """
+    x, y = rest.select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "at", "root"))), rest.select("key", *(F.col(c).alias(f"y_{c}") for c in ("doc", "at", "root")))
+    met = x.join(y, "key").filter((F.col("x_doc") > F.col("y_doc")) & (F.col("x_root") != F.col("y_root")) & _meet("x_at", "y_at", percent))
+    both = (_light("x_at") & _light("y_at")).alias("light")
+    counted = met.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"), _size("x_at").alias("n"), _size("y_at").alias("m"), both).agg(
+        F.count("*").alias("keys"), F.min(_position("x_at")).alias("p"), F.min(_position("y_at")).alias("q")
+    )
+    # Light sets share k * (k - 1) / 2 subsets of the k elements that their prefixes share.
+    shared = F.when(F.col("light"), F.ceil((1 + F.sqrt(1 + 8 * F.col("keys"))) / 2)).otherwise(F.col("keys"))
+    rest_of = lambda n: F.ceil(n * percent / 100) - F.when(F.col("light"), SUBSET).otherwise(1)
+    n, m = F.col("n"), F.col("m")
+    need = _need(n, m, percent)
+    by_count = shared + F.greatest(rest_of(n), rest_of(m)) >= need
+    by_place = F.least(n - F.col("p"), m - F.col("q")) + F.when(F.col("light"), SUBSET - 1).otherwise(0) >= need
+    return counted.filter(by_count & by_place).select("a", "b", "n", "m")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, n_shingles, component): the size of each document's set, and the smallest document it reaches by links.
+    """(doc, n_shingles, component): for each row of `df` its id, the size of its set, and the smallest id it reaches by links.
 
     Two sets link when 100 * intersection >= percent * union; `percent` is over 50. A null or empty text, or one of blanks
     only, has no set and links with nothing. Documents with fewer words than `width` have one
-    shingle. One row for each id: of rows that repeat an id the smallest text counts. Rows with a null
-    id are one document, after all others, and come back with null. Columns other than the two aren't read.
+    shingle. Each row is a document of its own, also under a repeated or null id. Null ids come after all others, so
+    that a component is null only if all its ids are. An empty table gives no rows. Columns other than the two aren't read.
     """
-    docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    sketch, own = _sets_of(docs, width, percent)
-    if own.groupBy("doc").count().filter("count > 1").limit(1).count():
-        docs = docs.groupBy("doc").agg(F.min("text").alias("text"))
-        sketch, own = _sets_of(docs, width, percent)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if ids_are_keys(rows, "id"):
+        return _joined(rows.select(F.col("id").cast("long").alias("doc"), "text"), width, percent)
+    own = numbered(rows, "id", "text", "doc")
+    ids = own.select("doc", "id")
+    found = _joined(own.select("doc", "text"), width, percent)
+    found = found.join(ids, "doc").join(ids.select(F.col("doc").alias("component"), F.col("id").alias("least")), "component")
+    return found.select(F.col("id").alias("doc"), "n_shingles", F.col("least").alias("component"))
+
+
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """`join` of rows (doc, text) with keys that no two share."""
+    sketch = checkpoint(_sketched(docs, width, percent))
+    own = sketch.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
     common_rows = sketch.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
-    most = common_rows.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").toArrow()["a"].to_numpy()  # 8 MB at most
-    common = np.sort(most.astype(np.int64).view(np.uint64))
+    most = common_rows.orderBy(F.desc("n"), "a").limit(MOST_COMMON).toArrow()  # 16 MB at most
+    order = Order(most["a"].to_numpy().astype(np.int64).view(np.uint64), most["n"].to_numpy())
     boundary = _boundary(sketch, percent)
 
     # Equal sets are a class, named by its smallest document. Its rows are summed before they are shuffled.
     first = own.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("class"))
-    classes = own.join(first, ["k1", "k2"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class"))
-    classes = checkpoint(classes)
+    classes = checkpoint(own.join(first, ["k1", "k2"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class")))
     copies = classes.filter("doc <> class").select("doc")
-    few_copies = copies.count() <= BROADCAST_IDS
     # With few copies only a class's first document is posted. Otherwise all are, and the lists are brought down to classes.
-    own_docs = docs.join(F.broadcast(copies), "doc", "left_anti") if few_copies else docs
-
-    # Members that have company in their list: one shuffle by key, and a sorted stream of each list.
-    posted = _postings(own_docs, common, boundary, width, percent)
-    by_key = Window.partitionBy("key").orderBy("doc")
-    beside = posted.withColumns({"before": F.lag("doc").over(by_key), "after": F.lead("doc").over(by_key)}).filter("before is not null or after is not null")
-    lists = beside.select("key", "doc", "n", "pos", "light")
-    if not few_copies:
-        class_of = classes.filter("n > 1").select("doc", "class")
-        lists = lists.join(class_of, "doc").select("key", F.col("class").alias("doc"), "n", "pos", "light")
-    lists = lists.distinct()
+    if copies.count() <= BROADCAST_IDS:
+        lists = _listed(_postings(docs.join(F.broadcast(copies), "doc", "left_anti"), order, boundary, width, percent))
+    else:
+        posted = _listed(_postings(docs, order, boundary, width, percent)).select("key", "doc", "at")
+        of = classes.filter("n > 1").select("doc", "class")
+        lists = _listed(posted.join(of, "doc").select("key", F.col("class").alias("doc"), "at").distinct())
     lists = checkpoint(lists)
-    free_shuffles(df.sparkSession)
-    counted = lists.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    company = lists.join(counted, "key").groupBy("doc").agg(F.sum(F.col("held") - 1).alias("company"))
-    ranked = checkpoint(lists.join(counted.select("key"), "key", "left_semi").join(company, "doc"))
-
-    member = F.struct("company", (-F.col("doc")).alias("order"), "doc", "n", "pos", "light")
-    hubs = ranked.groupBy("key").agg(F.max(member).alias("hub")).select("key", "hub.*")
-    distinct = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = ranked.alias("m").join(hubs.alias("h"), "key").filter((F.col("m.doc") != F.col("h.doc")) & _can_link("m", "h", percent))
-    pairs = checkpoint(distinct(near.select(F.col("m.doc").alias("a"), F.col("h.doc").alias("b"))))
+    free_shuffles(docs.sparkSession)
+
+    near = lists.filter((F.col("doc") != F.col("hub")) & _near("at", "hub_at", percent))
+    pairs = checkpoint(near.select(F.col("doc").alias("a"), F.col("hub").alias("b"), _size("at").alias("n"), _size("hub_at").alias("m")).distinct())
     links = checkpoint(_verified(pairs, docs, width, percent))
+    free_shuffles(docs.sparkSession)
 
     roots = checkpoint(components(links))
-    labelled = ranked.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    labelled = lists.select("key", "doc", "at").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_lists = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = checkpoint(labelled.join(open_lists, "key", "left_semi").select("key", "doc", "n", "pos", "light", "root"))
-    free_shuffles(df.sparkSession)
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & _can_link("x", "y", percent)
-    more = distinct(rest.alias("x").join(rest.alias("y"), across).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")))
-    more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
+    rest = checkpoint(labelled.join(open_lists, "key", "left_semi").select("key", "doc", "at", "root"))
+    free_shuffles(docs.sparkSession)
+    more = checkpoint(_across(rest, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     links = checkpoint(links.union(_verified(more, docs, width, percent)))
 
     roots = components(links).withColumnRenamed("node", "class")
-    found = classes.join(roots, "class", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component"))
-    no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.select(no_id("doc").alias("doc"), "n_shingles", no_id("component").alias("component"))
+    found = classes.join(roots, "class", "left")
+    return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` that are the smallest of their component. Each row is a document of its own, also under a repeated or null id."""
     rows = keyed(df, id_col, text_col, "_gf_key")
-    kept = join(rows, "_gf_key", text_col, **how).filter("doc = component").select(F.col("doc").alias("_gf_doc"))
+    docs = rows.select(F.col("_gf_key").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    kept = _joined(docs, width, percent).filter("doc = component").select(F.col("doc").alias("_gf_doc"))
     return rows.join(kept, F.col("_gf_key") == F.col("_gf_doc"), "left_semi").drop("_gf_key")

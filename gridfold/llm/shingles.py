@@ -6,35 +6,28 @@ import hashlib
 
 import numpy as np
 
-#: Bytes of a text that are hashed at once, cut at a blank.
+#: Bytes of a text whose words are split at once, cut at a blank.
 CHUNK = 1 << 20
+#: Words whose hashes a Python worker remembers, and the longest that it remembers, in bytes.
+CACHED, CACHED_BYTES = 200_000, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(29), np.uint64(32)
-#: A word's hash is the sum of its bytes' values times powers of BASE, all modulo 2 ** 64. BASE is odd, and so has an inverse.
-_BASE = 0x5851F42D4C957F2D
+_BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def _values() -> np.ndarray:
-    """A random 64-bit value for each byte, the same everywhere."""
-    raw = b"".join(hashlib.blake2b(bytes([b]), digest_size=8, key=b"shingles").digest() for b in range(256))
-    return np.frombuffer(raw, np.uint64).copy()
+class _Words(dict):
+    """Word to 8 bytes of its keyed BLAKE2 hash, which has no structure that texts could be built to collide by."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        made = hashlib.blake2b(word, digest_size=8, key=b"words").digest()
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = made
+        return made
 
-_VALUE = _values()
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, up to the n-th at least."""
-    if len(_powers["up"]) < n + 1:
-        size = max(n + 1, 1 << 12)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table)
-    return _powers["up"], _powers["down"]
+_words = _Words()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -42,34 +35,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _A)
 
 
+def _pieces(raw: bytes):
+    """Parts of about CHUNK bytes that end at blanks."""
+    start = 0
+    while start < len(raw):
+        end = start + CHUNK
+        while end < len(raw) and raw[end] not in _BLANKS:
+            end += 1
+        yield raw[start:end]
+        start = end
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word of lower-cased bytes, in order."""
-    if len(raw) > CHUNK:
-        cut = CHUNK
-        while cut < len(raw) and not _BLANK[raw[cut]]:
-            cut += 1
-        parts, start = [], 0
-        while start < len(raw):
-            parts.append(_chunk_hashes(raw[start:cut]))
-            start, cut = cut, min(len(raw), cut + CHUNK)
-            while cut < len(raw) and not _BLANK[raw[cut]]:
-                cut += 1
-        return np.concatenate(parts)
-    return _chunk_hashes(raw)
-
-
-def _chunk_hashes(raw: bytes) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8)
-    blank = _BLANK[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + lengths)
+    """A hash of each word of lower-cased bytes, in order. `bytes.split` splits at the ASCII blanks."""
+    get = _words.__getitem__
+    if len(raw) <= CHUNK:
+        return np.frombuffer(b"".join(map(get, raw.split())), np.uint64)
+    return np.frombuffer(b"".join(b"".join(map(get, piece.split())) for piece in _pieces(raw)), np.uint64)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:

@@ -62,20 +62,61 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert got == sorted([(1, "the same long line\nx"), (1, "the same long line\nx"), (2, "z"), (None, "y")], key=str)
 
 
-@pytest.mark.parametrize("boundary", [None, 0, 60])
-def test_jaccard_join(docs, texts, boundary, monkeypatch):
+@pytest.mark.parametrize(("boundary", "tight"), [(None, False), (0, False), (60, False), (30, True)])
+def test_jaccard_join(docs, texts, boundary, tight, monkeypatch):
+    """With `tight`, nothing is broadcast and a box holds a few sets, so that all paths for large tables are taken."""
     if boundary is not None:
         monkeypatch.setattr(jaccard_join, "_boundary", lambda sketch, percent: boundary)
+    if tight:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(jaccard_join, "BOX", 300)
     want, n = brute.components(texts), {i: len(brute.shingles(t)) for i, t in texts.items()}
-    got = {r.doc: (r.n_shingles, r.component) for r in jaccard_join.join(docs).collect()}
+    clash = docs.withColumns({"doc": F.lit("x"), "key": F.lit(1), "component": F.lit(2), "id": F.lit(None)})
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard_join.join(clash).collect()}
     assert got == {i: (n[i], want[i]) for i in texts}
 
 
 def test_jaccard_join_of_repeated_and_null_ids_and_nothing(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "z"), (2, "A b c d e f"), (None, "q"), (None, None)]
+    top = 2**63 - 1
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "k"), (2, "z"), (2, "A b c d e f"), (None, "q"), (None, None), (None, "p"), (5, "q"), (top, "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc, r.n_shingles, r.component) for r in jaccard_join.join(df).collect()} == {(1, 2, 1), (2, 2, 1), (None, 1, None)}
+    got = sorted(((r.doc, r.n_shingles, r.component) for r in jaccard_join.join(df).collect()), key=str)
+    want = [(1, 2, 1), (1, 2, 1), (1, 1, 1), (2, 1, 2), (2, 2, 1), (None, 1, 5), (None, 0, None), (None, 1, top), (5, 1, 5), (top, 1, top)]
+    assert got == sorted(want, key=str)
     assert jaccard_join.join(df.filter("false")).count() == 0
+    kept = jaccard_join.keep_one(df)
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None) == [(1, "a b c d e f"), (1, "k"), (2, "z"), (5, "q"), (top, "p")]
+
+
+def test_jaccard_join_tells_constructed_words_apart(spark):
+    """Words that every polynomial hash modulo 2 ** 64 takes for equal: a Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, "w " + word), (2, "w " + word.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {(r.doc, r.component) for r in jaccard_join.join(df).collect()} == {(1, 1), (2, 2)}
+
+
+def test_jaccard_join_of_a_passage_that_many_unlike_documents_hold(spark):
+    """Half of each text is one of three passages; a few are near copies over and above that."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(3)]
+    rows = [(i, " ".join(word() for _ in range(30)) + " " + passages[i % 3]) for i in range(3000)]
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(20)]
+    got = {r.doc: r.component for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_jaccard_join_of_texts_over_a_chunk(spark):
+    rng = random.Random(6)
+    words = [str(rng.randrange(10**6)) for _ in range(200_000)]
+    near = [*words[:1000], "x", *words[1001:]]
+    far = words[:100_000] + [str(rng.randrange(10**6)) for _ in range(100_000)]
+    rows = [(3, " ".join(words)), (4, "\n".join(near)), (5, " ".join(far))]
+    assert len(rows[0][1]) > shingles.CHUNK
+    got = {(r.doc, r.n_shingles, r.component) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, len(brute.shingles(t)), 5 if i == 5 else 3) for i, t in rows}
 
 
 def test_components_of_a_path_and_a_star(spark):
