@@ -15,10 +15,10 @@ copies doesn't make all its pairs:
 
 1. Each list compares its members with its first; links are verified exactly, and connected components
    are formed.
-2. Lists whose members are all in one component are done. In the others, pairs between different components
-   are counted over all the lists that they share: with the count the overlap has a bound, and the
-   pairs that the bound lets through are compared exactly. All lists that two documents of different components
-   share are among these, so that no link between components is lost.
+2. Lists whose members are all in one component are done. In the others, the lists that two components share are
+   counted: with the count the overlap of any two of their documents has a bound. Between the components
+   that the bound lets through, all pairs are compared exactly. All lists that two documents of different
+   components share are among these, so that no link between components is lost.
 
 What isn't compared would only join documents that are in one component already.
 
@@ -335,26 +335,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return shipped.groupBy("box").cogroup(dealt.groupBy("box")).applyInArrow(run, "a long, b long")
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, m) of the pairs of different components that could link, from the lists (key, doc, at, root) that hold several components.
+def _shared_lists(rest: DataFrame, percent: int) -> DataFrame:
+    """(key, r, s) of two components r < s in one list (key, doc, at, root) whose documents could link.
 
     Of the elements up to where the prefix of one of them ends, two sets share at most as many as they share keys, and
-    after it at most the rest of that set. And before the first key that they share, nothing is shared.
+    after it at most the rest of that set. What is needed beyond the rest is least at a corner of the two ranges of sizes.
+    Components with light sets, whose keys aren't elements, are all let through.
     """
-    x, y = rest.select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "at", "root"))), rest.select("key", *(F.col(c).alias(f"y_{c}") for c in ("doc", "at", "root")))
-    met = x.join(y, "key").filter((F.col("x_doc") > F.col("y_doc")) & (F.col("x_root") != F.col("y_root")) & _meet("x_at", "y_at", percent))
-    both = (_light("x_at") & _light("y_at")).alias("light")
-    counted = met.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b"), _size("x_at").alias("n"), _size("y_at").alias("m"), both).agg(
-        F.count("*").alias("keys"), F.min(_position("x_at")).alias("p"), F.min(_position("y_at")).alias("q")
-    )
-    # Light sets share k * (k - 1) / 2 subsets of the k elements that their prefixes share.
-    shared = F.when(F.col("light"), F.ceil((1 + F.sqrt(1 + 8 * F.col("keys"))) / 2)).otherwise(F.col("keys"))
-    rest_of = lambda n: F.ceil(n * percent / 100) - F.when(F.col("light"), SUBSET).otherwise(1)
-    n, m = F.col("n"), F.col("m")
-    need = _need(n, m, percent)
-    by_count = shared + F.greatest(rest_of(n), rest_of(m)) >= need
-    by_place = F.least(n - F.col("p"), m - F.col("q")) + F.when(F.col("light"), SUBSET - 1).otherwise(0) >= need
-    return counted.filter(by_count & by_place).select("a", "b", "n", "m")
+    size = _size("at")
+    own = rest.groupBy("key", "root").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.bool_or(_light("at")).alias("light"))
+    x, y = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "low", "high", "light"))) for side in "xy")
+    comparable = (100 * F.col("x_high") >= percent * F.col("y_low")) & (100 * F.col("y_high") >= percent * F.col("x_low"))
+    met = x.join(y, "key").filter((F.col("x_root") < F.col("y_root")) & comparable)
+    ends = [F.min("x_low").alias("x_low"), F.max("x_high").alias("x_high"), F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high")]
+    counted = met.groupBy("x_root", "y_root").agg(F.count("*").alias("keys"), *ends, F.bool_or(F.col("x_light") | F.col("y_light")).alias("light"))
+    beyond = lambda n, m: _need(n, m, percent) - F.ceil(F.greatest(n, m) * percent / 100)
+    needed = F.least(*(beyond(F.col(f"x_{p}"), F.col(f"y_{q}")) for p in ("low", "high") for q in ("low", "high")))
+    possible = counted.filter(F.col("light") | (F.col("keys") >= needed)).select("x_root", "y_root")
+    return met.select("key", "x_root", "y_root").join(possible, ["x_root", "y_root"]).select("key", F.col("x_root").alias("r"), F.col("y_root").alias("s"))
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, m) of the pairs of different components that could link, a > b, from the lists that hold several components."""
+    lists = checkpoint(_shared_lists(rest, percent))
+    x, y = (rest.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("doc", "at")), F.col("root").alias(end)) for side, end in (("x", "r"), ("y", "s")))
+    near = lists.join(x, ["key", "r"]).join(y, ["key", "s"]).filter(_near("x_at", "y_at", percent))
+    last = F.col("x_doc") > F.col("y_doc")
+    either = lambda u, v, name: F.when(last, u).otherwise(v).alias(name)
+    doc, at = [F.col("x_doc"), F.col("y_doc")], [_size("x_at"), _size("y_at")]
+    return near.select(either(*doc, "a"), either(*doc[::-1], "b"), either(*at, "n"), either(*at[::-1], "m")).distinct()
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
