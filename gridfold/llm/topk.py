@@ -1,32 +1,35 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors are packed into blocks, and each block of candidates is scored against each block of queries
-by a matrix product. No scores are kept. A first pass counts each query's scores in wide bins,
-which are summed over all candidates; the bin that holds the k-th highest score is cut again in the next pass, until
-bins are one integer wide and the k-th value is known. A last pass emits the candidates above that value, and of
-those equal to it the smallest ids. From each pair of blocks a pass gets at most k counts for a
-query, since a bin under the block's own k-th score can't hold the k-th of all.
+Candidates and queries are dealt over a grid of cells by salts, so that each query meets each candidate in one cell;
+a cell's scores are matrix products in blocks, and none are kept. A first pass counts each query's scores in wide
+bins, which are summed over all cells; the bin that holds the k-th highest score is cut again in
+the next pass, until bins are one integer wide and the k-th value is known. A last pass emits the
+candidates above that value, and of those equal to it the smallest ids. From each cell a pass gets
+at most k counts for a query, since a bin under the cell's own k-th score can't hold the k-th of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import checkpoint
 
-#: Vectors of a block, so that a block of 64 components is 2 MB, and the scores of a pair of blocks 32 MB.
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Most candidates and queries of a cell, where the memory of a Python worker is bounded: 16 MB of 2-byte components with 64 of them.
+CELL_CANDIDATES, CELL_QUERIES = 1 << 16, 1 << 14
+#: Fewest candidates for which a cell is made, where there are cores to spare.
+LEAST_CELL = 1 << 10
+#: Scores of a block are a matrix of so many queries and candidates (32 MB).
+QUERY_BLOCK, CANDIDATE_BLOCK = 1 << 10, 1 << 12
 #: Each pass cuts the bin of the k-th value into so many.
 SPLIT_BITS = 12
-#: Products are summed exactly by doubles up to this; larger ones are refused.
-EXACT = 2**53
-
-_BLOCK = "dim int, n int, ids binary, vectors binary, low binary, width binary"
+#: Inner products up to the first bound are exact in doubles, up to the second in 64-bit integers; beyond it in integers of any size.
+EXACT, LONG = 2**53, 2**63
+LOWEST = np.iinfo(np.int64).min
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -36,83 +39,83 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) and, for queries, their state (low, width) as blocks of one dimension each."""
-    has_state = "low" in rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            rows = held.pop(dim)
-            ids = np.array([r[0] for r in rows], np.int64)
-            vectors = np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim)
-            states = [np.array([r[k] for r in rows], np.int64).tobytes() if has_state else b"" for k in (2, 3)]
-            values = [dim, len(rows), ids.tobytes(), vectors.tobytes(), *states]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["dim", "n", "ids", "vectors", "low", "width"])
-
-        for batch in batches:
-            lists = batch.column(1)
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            state = [batch.column(k).to_pylist() for k in ((0, 2, 3) if has_state else (0,))]
-            for k, row in enumerate(zip(*state, strict=True)):
-                v = flat[offsets[k] : offsets[k + 1]]
-                held.setdefault(len(v), []).append((row[0], v, *row[1:]))
-                if len(held[len(v)]) >= size:
-                    yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
-
-    return rows.mapInArrow(run, _BLOCK)
-
-
-def _pairs(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each block of candidates beside each block of queries of the same dimension: the stated queries against all rows, in blocks."""
-    named = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    return candidates.crossJoin(named).filter(F.col("dim") == F.col("q_dim")).select("dim", "n", "ids", "vectors", "q_n", "q_ids", "q_vectors", "q_low", "q_width")
-
-
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate ids, query ids, and the scores of one row of _pairs, a query's own row far below all."""
-    d = row["dim"]
-    ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-    c = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), d)
-    q = np.frombuffer(row["q_vectors"], np.float64).reshape(len(queries), d)
-    if d and len(c) and len(q) and np.abs(c).max() * np.abs(q).max() * d >= EXACT:
-        raise ValueError("inner products are too large to be exact")
-    scores = (q @ c.T).astype(np.int64)
-    order = np.argsort(ids, kind="stable")
-    sorted_ids = ids[order]
-    lo, hi = np.searchsorted(sorted_ids, queries), np.searchsorted(sorted_ids, queries, side="right")
-    for j in np.nonzero(hi > lo)[0]:
-        scores[j, order[lo[j] : hi[j]]] = np.iinfo(np.int64).min
-    return ids, queries, scores
-
-
-def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the k highest scores, and whether each is one of a candidate."""
-    k = min(k, scores.shape[1])
-    top = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :]
-    return top, top > np.iinfo(np.int64).min
-
-
-def _counts(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, bin, n): for each query, counts of the scores at or over its low, in bins of its width; those from its high on go into the last bin."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, queries, scores = _scores(row)
-                low, width = np.frombuffer(row["q_low"], np.int64), np.frombuffer(row["q_width"], np.int64)
-                top, real = _top(scores, k)
-                real &= top >= low[:, None]
-                bins = np.minimum((top - low[:, None]) // width[:, None], 1 << SPLIT_BITS)
-                at = np.nonzero(real)
-                keys, counts = np.unique(np.stack([at[0], bins[at]]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[keys[0]]), pa.array(keys[1].astype(np.int64)), pa.array(counts.astype(np.int64))], names=["id", "bin", "n"])
-
-    return pairs.mapInArrow(run, "id long, bin long, n long")
+def _salts(n: int, most: int) -> int:
+    return max(1, -(-n // most))
+
+
+class _Grid:
+    """How candidates and queries are dealt: `across` salts of candidates, `down` salts of queries, and cells for each pair and length."""
+
+    def __init__(self, candidates: int, queries: int, cores: int):
+        self.down = _salts(queries, CELL_QUERIES)
+        spread = min(2 * cores // self.down, _salts(candidates, LEAST_CELL))
+        self.across = max(_salts(candidates, CELL_CANDIDATES), spread, 1)
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        # Rows are salted by their place, so that copies of one row spread as well.
+        salted = rows.select(F.size("v").alias("dim"), "id", "v", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(self.across)).alias("across"))
+        return salted.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(self.down - 1))))
+
+    def queries(self, rows: DataFrame) -> DataFrame:
+        salted = rows.select(F.size("v").alias("dim"), "id", "v", "low", "width", F.pmod(F.xxhash64("id"), F.lit(self.down)).alias("down"))
+        return salted.withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.across - 1).cast("long"))))
+
+    def map(self, rows: DataFrame, queries: DataFrame, run: Callable, schema: str) -> DataFrame:
+        keys = ("dim", "across", "down")
+        same = lambda df: df.withColumns({"across": F.col("across").cast("long"), "down": F.col("down").cast("long")})
+        return same(self.candidates(rows)).groupBy(*keys).cogroup(same(self.queries(queries)).groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _matrix(table: pa.Table, dim: int) -> np.ndarray:
+    column = table["v"].combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def _product(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Inner products as int64, exact; those that don't fit raise."""
+    if not queries.size or not candidates.size:
+        return np.zeros((len(queries), len(candidates)), np.int64)
+    most = max(map(abs, (int(queries.min()), int(queries.max())))) * max(map(abs, (int(candidates.min()), int(candidates.max())))) * queries.shape[1]
+    if most < EXACT:
+        return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
+    if most < LONG:
+        return queries.astype(np.int64) @ candidates.astype(np.int64).T
+    return (queries.astype(object) @ candidates.astype(object).T).astype(np.int64)
+
+
+def _blocks(left: pa.Table, right: pa.Table) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Of a cell's table of candidates and of queries: each block's slice of queries, its candidate ids, and its scores, a query's own row far below all."""
+    if not left.num_rows or not right.num_rows:
+        return
+    dim = left["dim"][0].as_py()
+    ids, asked = left["id"].to_numpy(), right["id"].to_numpy()
+    vectors, queries = _matrix(left, dim), _matrix(right, dim)
+    for j in range(0, len(asked), QUERY_BLOCK):
+        own = slice(j, min(j + QUERY_BLOCK, len(asked)))
+        for i in range(0, len(ids), CANDIDATE_BLOCK):
+            part = ids[i : i + CANDIDATE_BLOCK]
+            scores = _product(queries[own], vectors[i : i + CANDIDATE_BLOCK])
+            scores[asked[own][:, None] == part[None, :]] = LOWEST
+            yield own, part, scores
+
+
+def _counts(k: int) -> Callable:
+    """(id, bin, n): for each query, counts of the cell's k highest scores at or over its low, in bins of its width; those from its high on go into the last bin."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, low, width = (right[c].to_numpy() for c in ("id", "low", "width"))
+        top = np.full((len(asked), k), LOWEST)
+        for own, _, scores in _blocks(left, right):
+            both = np.concatenate([top[own], scores], axis=1)
+            top[own] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        at = np.nonzero((top > LOWEST) & (top >= low[:, None]))
+        # The difference of two longs is right as an unsigned one.
+        above = (top[at].view(np.uint64) - low[at[0]].view(np.uint64)) // width[at[0]].view(np.uint64)
+        bins = np.minimum(above, np.uint64(1 << SPLIT_BITS)).astype(np.int64)
+        keys, counts = np.unique(np.stack([at[0], bins]), axis=1, return_counts=True)
+        return pa.table({"id": asked[keys[0]], "bin": keys[1].astype(np.int64), "n": counts.astype(np.int64)})
+
+    return run
 
 
 def _refined(counts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -121,27 +124,34 @@ def _refined(counts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     upto = summed.withColumn("upto", F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("bin"))))
     found = upto.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
     joined = queries.join(found, "id")
-    width = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("width") / (1 << SPLIT_BITS)))
+    width = F.greatest(F.lit(1).cast("long"), F.expr(f"(width - 1) div {1 << SPLIT_BITS} + 1"))
     return joined.select("id", "v", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), width.alias("width"))
 
 
-def _emitted(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): candidates over each query's k-th value, and of those equal to it the k smallest ids of each pair of blocks."""
+def _emitted(k: int) -> Callable:
+    """(query_id, id, score): candidates at or over each query's k-th value, of a block the k best with ties to smaller ids."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, low = right["id"].to_numpy(), right["low"].to_numpy()
+        found = [np.empty((3, 0), np.int64)]
+        for own, ids, scores in _blocks(left, right):
+            least = np.maximum(low[own], LOWEST + 1)
+            for j in np.nonzero((scores >= least[:, None]).any(axis=1))[0]:
+                at = np.nonzero(scores[j] >= least[j])[0]
+                best = at[np.lexsort((ids[at], -scores[j, at]))][:k]
+                found.append(np.stack([np.full(len(best), asked[own][j]), ids[best], scores[j, best]]))
+        return pa.table(dict(zip(("query_id", "id", "score"), np.concatenate(found, axis=1), strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, queries, scores = _scores(row)
-                least = np.maximum(np.frombuffer(row["q_low"], np.int64), np.iinfo(np.int64).min + 1)
-                found = []
-                for j in np.nonzero((scores >= least[:, None]).any(axis=1))[0]:
-                    at = np.nonzero(scores[j] >= least[j])[0]
-                    best = at[np.lexsort((ids[at], -scores[j, at]))][:k]
-                    found.append(np.stack([np.full(len(best), queries[j]), ids[best], scores[j, best]]))
-                made = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["query_id", "id", "score"])
+    return run
 
-    return pairs.mapInArrow(run, "query_id long, id long, score long")
+
+def _element(largest: int) -> str:
+    """The narrowest type of the components."""
+    return next(t for t, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if largest < 1 << bits)
+
+
+def _magnitude(v: str) -> Column:
+    return F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(0).cast("long"))
 
 
 def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -151,23 +161,24 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     query's own id. With fewer than k candidates all are returned. Null ids, null vectors and
     vectors with null or non-finite components take no part. Vectors of another length than the
     query's have no score with it. Repeated ids count as candidates each; of repeated query ids the
-    smallest vector asks. An empty table gives no rows. Other columns aren't read.
+    smallest vector asks. An empty table gives no rows. Other columns aren't read. Scores are exact as far as a long holds them;
+    a component times `scale`, or a score, that a long doesn't hold raises.
     """
     rows = quantised(df, id_col, vector_col, scale)
-    candidates = _packed(rows, CANDIDATE_BLOCK)
-    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    n, asking, largest, dim = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(_magnitude("v")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{_element(largest)}>"))
+    grid = _Grid(n, asking, df.sparkSession.sparkContext.defaultParallelism)
     # Any score is within the product of the largest components; the first bins span that range.
-    norm = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    bounds = rows.agg(F.max(norm * norm * F.size("v"))).first()[0]
-    reach = int(bounds or 0) + 1
+    reach = min(largest * largest * dim + 1, LONG - 1)
     width = -(-2 * reach // (1 << SPLIT_BITS))
-    queries = asked.select("id", "v", F.lit(-reach).cast("long").alias("low"), F.lit(width).cast("long").alias("width"))
+    asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = checkpoint(asked.select("id", "v", F.lit(-reach).cast("long").alias("low"), F.lit(width).cast("long").alias("width")))
     while True:
-        counts = _counts(_pairs(candidates, _packed(queries, QUERY_BLOCK)), k)
+        counts = grid.map(rows, queries, _counts(k), "id long, bin long, n long")
         queries = checkpoint(_refined(counts, queries, k))
         if width == 1:
             break
         width = max(1, -(-width // (1 << SPLIT_BITS)))
-    emitted = _emitted(_pairs(candidates, _packed(queries, QUERY_BLOCK)), k)
+    emitted = grid.map(rows, queries, _emitted(k), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return emitted.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
