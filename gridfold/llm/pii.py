@@ -1,8 +1,9 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust a score.
 
-The base kinds (email, ip, card, phone) are reported whenever their pattern and check hold; the score
-says how sure that is. The kinds that the method adds (iban, card_group, national_id) are reported
-only at a score of at least LEAST_SCORE.
+The score starts from the kind's own, rises with a context word of the kind nearby, and falls with a word that speaks
+against it, such as "example" or "version". The base kinds (email, ip, card, phone) are reported whenever their
+pattern and check hold; the score says how sure that is. The kinds that the method adds (iban,
+card_group, national_id) are reported only at a score of at least LEAST_SCORE.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CONTEXT_WORDS = {
     "card_group": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     "national_id": ("ssn", "social security", "national id", "sozialversicherung"),
 }
+#: Words that lower the score by CONTEXT. Fixed values.
+DOUBT_WORDS = ("example", "sample", "dummy", "placeholder", "version", "isbn", "issn", "part number", "serial")
 #: Lengths of IBANs by country. Fixed values.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28,
@@ -47,7 +50,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(IBAN_LENGTHS) + r")[0-9]{2}(?= ?[A-Z0-9])")
 _GROUPS = re.compile(r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -102,26 +105,40 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
+def _letter_or_digit(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
 def _iban_end(text: str, start: int) -> int | None:
-    """End of a confirmed IBAN that starts here: its country's length, with single spaces between."""
-    length = IBAN_LENGTHS.get(text[start : start + 2])
-    taken, end = [], start
-    while length and len(taken) < length:
-        taken.append(text[end])
-        end += 1
-        if len(taken) < length and text[end : end + 1] == " ":
+    """End of a confirmed IBAN that starts here: its country's length in capitals and digits, with single spaces between, up to a word's end."""
+    length = IBAN_LENGTHS[text[start : start + 2]]
+    taken, end = "", start
+    while len(taken) < length:
+        c = text[end : end + 1]
+        if c == " " and text[end - 1] != " ":
             end += 1
-        if len(taken) < length and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()):
+            continue
+        if not _letter_or_digit(c) or c.islower():
             return None
-    return end if length and mod97("".join(taken).upper()) else None
+        taken, end = taken + c, end + 1
+    return end if not _letter_or_digit(text[end : end + 1]) and mod97(taken) else None
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each country code starts a candidate of that country's length; the search goes on from the end of a confirmed one."""
+    m = _IBAN.search(text)
+    while m:
+        end = _iban_end(text, m.start())
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return
-    for m in _IBAN.finditer(text):
-        if end := _iban_end(text, m.start()):
-            yield "iban", m.start(), end
+    for start, end in ibans(text):
+        yield "iban", start, end
     cards = [(a, b) for kind, a, b in base if kind == "card"]
     for m in _GROUPS.finditer(text):
         if luhn(_digits(m[0])) and not any(a < m.end() and m.start() < b for a, b in cards):
@@ -130,9 +147,18 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[s
         yield "national_id", m.start(), m.end()
 
 
+def _any_of(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + ")")
+
+
+_CONTEXT, _DOUBT = {kind: _any_of(words) for kind, words in CONTEXT_WORDS.items()}, _any_of(DOUBT_WORDS)
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = (text[max(0, start - NEARBY) : start] + " " + text[end : end + NEARBY]).lower()
-    return min(1.0, SCORES[kind] + CONTEXT * any(re.search(rf"\b{w}", near) for w in CONTEXT_WORDS[kind]))
+    """From 0 to 1. The words beside a span are read within NEARBY code points; the span's own text doesn't count."""
+    near = (text[max(0, start - NEARBY) : start] + " \n " + text[end : end + NEARBY]).lower()
+    made = SCORES[kind] + CONTEXT * bool(_CONTEXT[kind].search(near)) - CONTEXT * bool(_DOUBT.search(near))
+    return round(min(1.0, max(0.0, made)), 2)
 
 
 def spans_of(text: str) -> list[dict]:
@@ -195,7 +221,8 @@ def _count(spans_col: str, kind: str) -> Column:
 
 
 def with_digests(found: DataFrame, spans_col: str = "spans") -> DataFrame:
-    """n_email, n_ip, n_card, n_phone, base_sha256, and the spans as a string."""
+    """The number of spans of each kind and of all, base_sha256, the spans as a string, and their scores in the same order."""
     base = F.filter(spans_col, lambda s: s["kind"].isin(*BASE))
-    counts = {f"n_{kind}": _count(spans_col, kind) for kind in BASE}
-    return replace_columns(found, counts | {"base_sha256": F.sha2(spans_text(base), 256), spans_col: spans_text(F.col(spans_col))})
+    counts = {f"n_{kind}": _count(spans_col, kind) for kind in KINDS}
+    scores = F.array_join(F.transform(spans_col, lambda s: F.format_string("%.2f", s["score"])), ",")
+    return replace_columns(found, counts | {"base_sha256": F.sha2(spans_text(base), 256), "n_spans": F.size(spans_col).cast("long"), "scores": scores, spans_col: spans_text(F.col(spans_col))})

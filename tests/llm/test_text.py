@@ -90,6 +90,34 @@ def test_personal_data(docs):
     assert "[EMAIL]" in redacted[9] and redacted[0] is None and redacted[4] == TEXTS[4]
 
 
+def test_ibans_by_their_countrys_length(spark):
+    texts = [
+        "NO9386011117947 BE68539007547034", "DE89370400440532013000X", "xDE89370400440532013000", "de GB82 WEST 1234 5698 7654 32, FR1420041010050500013M02606.", "DE89370400440532013001",
+        "DE8937040044053201300", "AT61  1904300234573201", "ZZ9386011117947", "NO93 8601 1117 947 NO9386011117947NO9386011117947",
+    ]
+    got = {r.n: [texts[r.n][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).collect()}
+    want = [["NO9386011117947", "BE68539007547034"], [], [], ["GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"], [], [], [], [], ["NO93 8601 1117 947"]]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_context_raises_and_lowers_scores():
+    ssn = "123-45-6789"
+    of = lambda text: {s["kind"]: s["score"] for s in pii.spans_of(text)}
+    assert of(f"ssn {ssn}") == {"national_id": 0.65} and of(f"no {ssn}") == {} and of(f"a sample ssn {ssn}") == {}
+    assert of("host 10.0.0.1") == {"ip": 0.85} and of("it is 10.0.0.1") == {"ip": 0.6} and of("version 10.0.0.1") == {"ip": 0.35}
+
+
+def test_personal_data_of_odd_rows(spark):
+    """Clashing columns, repeated rows, nothing, and a long text."""
+    text = "mail a@b.cd and DE89 3704 0044 0532 0130 00 " + "words and 12 words " * 20_000 + "+1 (269) 555-3296"
+    df = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string").withColumns({"spans": F.lit("x"), "n_ip": F.lit("y"), "scores": F.lit(0)})
+    rows = pii.with_digests(pii.find(df)).collect()
+    at = len(text) - 17
+    assert [r.spans for r in rows if r.doc_id] == [f"email:5:11,phone:{at}:{len(text)},iban:16:43"] * 2
+    assert [(r.n_email, r.n_phone, r.n_iban, r.n_ip, r.n_spans, r.scores) for r in rows if r.doc_id] == [(1, 1, 1, 0, 3, "1.00,0.60,0.90")] * 2
+    assert [(r.spans, r.n_spans) for r in rows if not r.doc_id] == [("", 0)] and pii.find(df.filter("false")).count() == 0
+
+
 def test_secrets(docs, spark):
     found = secrets.scan(docs.select(F.col("n").alias("doc_id"), "text"))
     rows = found.collect()
