@@ -4,8 +4,9 @@ Statistics of a text are transformed to a vector of whole numbers. For each lang
 minimum-covariance-determinant estimate is made by concentration steps: from several quantiles as centres
 and quartile ranges on, each step takes the half of the vectors that is nearest to the centre, and from
 it the next centre and covariance, until the determinant falls no further; the start with the least
-determinant counts. Equal vectors are one in the estimate, so that copies don't outweigh the others. Documents far from their group's estimate by Mahalanobis
-distance are rejected. Vectors are whole numbers and distances are cut by histograms, so sums and cuts are exact, and
+determinant counts. Equal vectors are one in the estimate, so that copies don't outweigh the others. Each estimate is drawn toward that of
+its language, and that toward the whole corpus's, with a weight that falls as it has more vectors: one formula for all sizes of
+groups. Documents far from their group's estimate by Mahalanobis distance are rejected. Vectors are whole numbers and distances are cut by histograms, so sums and cuts are exact, and
 the verdict doesn't depend on how rows are dealt over the cluster.
 """
 
@@ -31,9 +32,8 @@ SUBSET, STEPS = 0.5, 100
 STARTS, TIE = (0.5, 0.25, 0.75, 0.1, 0.9), 0.01
 #: Probability that a text of a normal distribution passes.
 PASS = 1 - 1e-7
-#: Groups of fewer different vectors share an estimate with the other small groups of their language, with the whole
-#: language if these are few too, and with the whole corpus if that is small.
-MIN_GROUP = 50
+#: An estimate that its last step took from n different vectors, half of its group, counts n; the one it is drawn toward counts this.
+SHRINK = 25
 #: Up to so many groups their estimates are broadcast (200 bytes each); above, they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -204,7 +204,13 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
     d = len(VECTOR)
     made = summed.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
     cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(float(VECTOR[i][1] ** 2) if i == j else 0.0) for i, j in PAIRS}
-    made = made.withColumns(cov)
+    made = _factored(made.withColumns(cov))
+    return made.select("g", "s", "n", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS), *(f"c{i}{j}" for i, j in PAIRS), "logdet")
+
+
+def _factored(made: DataFrame) -> DataFrame:
+    """`made` with k, the inverse of the Cholesky factor of the covariance c, and the determinant's logarithm."""
+    d = len(VECTOR)
     for j in range(d):  # the Cholesky factor by columns; the least deviations keep it positive
         diagonal = F.col(f"c{j}{j}")
         for q in range(j):
@@ -226,14 +232,14 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
                 value = value + F.col(f"l{i}{q}") * F.col(f"k{q}{j}")
             made = made.withColumn(f"k{i}{j}", -value * F.col(f"k{i}{i}"))
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
-    return made.select("g", "s", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
+    return made.withColumn("logdet", logdet).drop(*(f"l{i}{j}" for i, j in PAIRS))
 
 
 def _step(fitted: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """The next estimate of each group and start; `falls` says whether its determinant is smaller than before."""
     d = len(VECTOR)
     factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
-    near = _joined(fitted, estimate.drop("logdet"), few).withColumn("b", _bin(_distance())).select("g", "s", "b", *NAMES)
+    near = _joined(fitted, estimate.select("g", "s", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS)), few).withColumn("b", _bin(_distance())).select("g", "s", "b", *NAMES)
     counts = near.groupBy("g", "s", "b").count()
     part = Window.partitionBy("g", "s")
     upto = counts.withColumns({"upto": F.sum("count").over(part.orderBy("b")), "n": F.sum("count").over(part)})
@@ -262,31 +268,27 @@ def _least(fitted: DataFrame, few: bool) -> DataFrame:
     return checkpoint(every.groupBy("g").agg(F.min_by(F.struct(*values), rank).alias("least")).select("g", "least.*"))
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(lang, source, g, fits): g is the estimate that judges the pair, fits those that its rows go into.
+def _name(*of: str) -> Column:
+    """The name of a group: its language and source, its language, or nothing for the corpus; nulls are told from the word null."""
+    return F.to_json(F.array(*(F.col(c) for c in of)), {"ignoreNullFields": "false"}) if of else F.lit("[]")
 
-    g is the pair itself, or what its language's small groups share, or its whole language, or the whole corpus.
-    """
-    named = lambda *c: F.to_json(F.array(*c), {"ignoreNullFields": "false"})
-    pair, shared = named("lang", "source"), named("lang")
-    language, corpus = F.concat(shared, F.lit("+")), F.lit("+")  # no JSON ends in +
-    part = Window.partitionBy("lang")
-    counts = rows.groupBy("lang", "source").count()
-    counts = counts.withColumns({"small": F.sum(F.when(F.col("count") < MIN_GROUP, F.col("count")).otherwise(0)).over(part), "whole": F.sum("count").over(part)})
-    g = F.when(F.col("count") >= MIN_GROUP, pair).when(F.col("small") >= MIN_GROUP, shared).when(F.col("whole") >= MIN_GROUP, language).otherwise(corpus)
-    judged = checkpoint(counts.withColumn("g", g).withColumn("by_language", F.max(F.col("g") == language).over(part)))
-    by_corpus = F.lit(not judged.filter(F.col("g") == corpus).isEmpty())
-    own = F.when((F.col("g") != language) & (F.col("g") != corpus), F.col("g"))
-    fits = F.array_compact(F.array(own, F.when(F.col("by_language"), language), F.when(by_corpus, corpus)))
-    return judged.select("lang", "source", "g", fits.alias("fits"))
+
+def _shrunk(own: DataFrame, parent: DataFrame, few: bool) -> DataFrame:
+    """`own` (g, up, n, m, c) drawn toward the estimate of `up` in `parent` (g, m, c), factored anew."""
+    d = len(VECTOR)
+    values = [*(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i, j in PAIRS)]
+    above = parent.select(F.col("g").alias("up"), *(F.col(v).alias(f"up_{v}") for v in values))
+    weight = F.col("n") / (F.col("n") + SHRINK)
+    drawn = _joined(own, above, few, ("up",)).select("g", *((weight * F.col(v) + (1 - weight) * F.col(f"up_{v}")).alias(v) for v in values))
+    return _factored(drawn)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc, statistics, base_failed, distance, kept): one row for each row of `df`.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not
-    base_failed, and not an outlier of its group. Estimates take the rows that passed the base rules,
-    those with equal vectors once.
+    base_failed, and not an outlier of its language and source. Estimates take the rows that passed the base rules,
+    those with equal vectors once, and are drawn toward the language's and the corpus's (see SHRINK).
     A null text counts as empty. A null language or source is one of its own. Each row that passed them
     has a distance, whatever the size of its group. Repeated rows are judged each
     for themselves; other columns aren't read.
@@ -294,15 +296,19 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
     rows = statistics(rows, "text", ("doc", "lang", "source")).withColumn("base_failed", base_failed()).withColumns(vector())
     rows = checkpoint(rows)  # numbers only; the texts aren't read again
-    groups = checkpoint(_groups(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES).distinct()))
+    named = rows.withColumns({"g": _name("lang", "source"), "language": _name("lang")})
+    passed = named.filter(~F.col("base_failed"))
+    groups = checkpoint(passed.select("g", F.col("language").alias("up")).distinct())
     few = groups.count() <= BROADCAST_GROUPS
-    same = F.col("r.lang").eqNullSafe(F.col("q.lang")) & F.col("r.source").eqNullSafe(F.col("q.source"))
-    grouped = rows.alias("r").join((F.broadcast(groups) if few else groups).alias("q"), same, "left").select("r.*", "g", "fits")
-    fitted = checkpoint(grouped.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), *NAMES).distinct())
+    fitted = checkpoint(passed.select(F.explode(F.array("g", "language", _name())).alias("g"), *NAMES).distinct())
+    made = _least(fitted, few)
+    corpus = made.filter(F.col("g") == _name())
+    language = _joined(made, groups.select(F.col("up").alias("g")).distinct(), few).withColumn("up", _name())
+    language = checkpoint(_shrunk(language, corpus, few))
+    estimate = checkpoint(_shrunk(_joined(made, groups, few), language, few))
     d = len(VECTOR)
-    estimate = _least(fitted, few)
-    last = F.broadcast(estimate) if few else estimate
-    scored = grouped.join(last, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    last = estimate.select("g", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS))
+    scored = named.join(F.broadcast(last) if few else last, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(PASS, d))
     return scored.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", kept.alias("kept"), *NAMES, "g")
 

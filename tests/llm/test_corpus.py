@@ -174,20 +174,49 @@ def exact_topk(rows, k=20):
     return want
 
 
-@pytest.mark.parametrize("blocks", [(4096, 1024), (7, 2)])
-def test_topk(spark, blocks, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[1])
+@pytest.mark.parametrize("small", [False, True])
+def test_topk(spark, small, monkeypatch):
+    """With `small`, a cell holds a few vectors, so that there are several cells each way."""
+    if small:
+        for name, value in (("CANDIDATE_BLOCK", 7), ("QUERY_BLOCK", 2), ("CELL_CANDIDATES", 30), ("CELL_QUERIES", 4), ("LEAST_CELL", 20)):
+            monkeypatch.setattr(topk, name, value)
     rng = random.Random(8)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(90)]
     rows += [(i, [0.5] * 8) for i in range(90, 130)] + [(200, None), (220, [1.0, None]), (240, [float("nan")] * 8), (260, [1.0, 2.0]), (None, [0.1] * 8), (261, [3.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).withColumns({"id": F.lit("x"), "v": F.lit(0), "score": F.lit(1)})
     got = {(r.query_id, r.rank, r.id, r.score) for r in topk.search(df).collect()}
     assert got == exact_topk(rows)
     assert topk.search(df.filter("false")).count() == 0
     assert {(r.query_id, r.rank, r.id, r.score) for r in topk.search(df.filter("vec_id in (0, 1, 2)")).collect()} == exact_topk(rows[:3])
 
 
+@pytest.mark.parametrize("size", [1e6, 2.0**31, 2.0**40])
+def test_topk_of_large_components(spark, size):
+    """Products over what doubles hold, and at last components whose greatest product a long doesn't hold though the scores fit."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(10**3)) * (size / 1000) if size < 2**35 or i % 20 else float(rng.randrange(9)), float(rng.randrange(9))]) for i in range(60)]
+    if size > 2**35:
+        rows += [(1000 + i, [size, 1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    for q in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+            want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best[:20], 1)}
+    if any(s >= 2**63 for *_, s in want):
+        with pytest.raises(Exception, match="too large"):
+            topk.search(df).collect()
+    else:
+        assert {(r.query_id, r.rank, r.id, r.score) for r in topk.search(df).collect()} == want
+
+
+def test_topk_of_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 0.0])]
+    got = sorted((r.query_id, r.rank, r.id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(20, 1, 4, 32 * 128), (20, 2, 3, 32 * 64), (20, 3, 3, 32 * 64)]
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
@@ -202,17 +231,17 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975) and quality.chi2_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
 
 
-def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+def test_small_groups_are_drawn_toward_their_language_and_the_corpus(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
     clean = lambda: " ".join(word() for _ in range(rng.randint(60, 300)))
     junk = lambda: " ".join(word() + "###" for _ in range(100))
     rows = [(clean(), "en", "s0") for _ in range(200)] + [(clean(), "xx", "s0"), (clean(), None, None)]
-    bad = [(junk(), "en", "s1") for _ in range(49)] + [(junk(), "xx", "s1"), (junk(), None, None)]
+    bad = [(junk(), "en", "s1") for _ in range(20)] + [(junk(), "xx", "s1"), (junk(), None, None)]
     df = spark.createDataFrame([(i, *x, 0) for i, x in enumerate(rows + bad)], SCHEMA).repartition(3)
     got = {r.doc: r for r in quality.judge(df).collect()}
     assert all(r.distance is not None for r in got.values())
-    assert [i for i in got if got[i].kept] and {i for i in got if got[i].kept} == set(range(len(rows)))
+    assert {i for i in got if got[i].kept} == set(range(len(rows)))
     few = {r.doc: r for r in quality.judge(df.filter("doc_id < 30")).collect()}
     assert all(r.kept and r.distance is not None for r in few.values())
 
@@ -229,23 +258,50 @@ def test_heavy_contamination_is_rejected(spark, percent, copies):
     assert {i for i in got if got[i]} == set(range(200))
 
 
-def test_estimates_are_the_concentration_steps(spark):
-    """Distances against the same steps in numpy."""
+def least_determinant(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number taken, centre and covariance of distinct vectors: concentration steps from each start until the determinant falls no further."""
+    least, d, n = np.array([s for _, s in quality.VECTOR], float), x.shape[1], len(x)
+    quantile = lambda q: 10 * np.sort(np.floor(x / 10), axis=0)[math.ceil(q * n) - 1] + 5
+    factor = quality.SUBSET / quality.chi2_cdf(quality.chi2_quantile(quality.SUBSET, d), d + 2)
+    found = []
+    for s, q in enumerate(quality.STARTS):
+        centre, cov, before = quantile(q), np.diag(((quantile(0.75) - quantile(0.25)) / 1.349) ** 2 + least**2), math.inf
+        while True:
+            far = np.einsum("ij,ij->i", x - centre, np.linalg.solve(cov, (x - centre).T).T)
+            bins = np.floor(100 * np.log1p(far)).astype(int)
+            near = x[bins <= np.sort(bins)[math.ceil(quality.SUBSET * n) - 1]]
+            centre, cov = near.mean(0), factor * np.cov(near.T, bias=True).reshape(d, d) + np.diag(least**2)
+            now = np.linalg.slogdet(cov)[1]
+            if now >= before:
+                break
+            before = now
+        found.append((now + (quality.TIE if s else 0), s, len(near), centre, cov))
+    return min(found, key=lambda f: f[:2])[2:]
+
+
+def test_verdicts_against_numpy(spark):
+    """Every distance and verdict by the whole method restated: groups of 1 to 200 vectors, null names, copies."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
-    texts = [" ".join(word() + ("#" if rng.random() < 0.02 else "") for _ in range(rng.randint(60, 400))) for _ in range(200)]
-    rows = quality.judge(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
-    x = np.array([[r[n] for n in quality.NAMES] for r in rows], float)
-    least, d = np.array([s for _, s in quality.VECTOR], float), x.shape[1]
-    quartile = lambda q: np.array([10 * np.sort(np.floor(x[:, j] / 10))[math.ceil(q * len(x)) - 1] + 5 for j in range(d)])
-    centre, inverse = quartile(0.5), np.diag(1 / (((quartile(0.75) - quartile(0.25)) / 1.349) ** 2 + least**2))
-    factor = quality.SUBSET / quality.chi2_cdf(quality.chi2_quantile(quality.SUBSET, d), d + 2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
-    for _ in range(quality.STEPS):
-        bins = np.floor(100 * np.log1p(far())).astype(int)
-        near = x[bins <= np.sort(bins)[math.ceil(quality.SUBSET * len(x)) - 1]]
-        centre, inverse = near.mean(0), np.linalg.inv(factor * np.cov(near.T, bias=True) + np.diag(least**2))
-    assert [r.distance for r in rows] == pytest.approx(far().tolist(), rel=1e-6, abs=1e-6)
+    text = lambda p: " ".join(word() + ("#" if rng.random() < p else "") for _ in range(rng.randint(60, 400)))
+    names = [("en", "s")] * 150 + [("en", "t")] * 60 + [("de", "s")] * 30 + [("de", None), (None, "s"), (None, "null"), ("null", "s")]
+    rows = [(i, text(rng.choice((0.0, 0.02, 0.9))), *name, 0) for i, name in enumerate(names)]
+    rows += [(len(rows) + k, rows[0][1], "en", "s", 0) for k in range(40)] + [(1000, "few words", "en", "s", 0), (1001, None, None, None, 0)]
+    got = {r.doc: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    group = {i: (lang, source) for i, _, lang, source, _ in rows}
+    vectors = {i: tuple(r[n] for n in quality.NAMES) for i, r in got.items() if not r.base_failed}
+    fit = lambda of: (lambda x: least_determinant(np.array(sorted(x), float)))({v for i, v in vectors.items() if of(group[i])})
+    drawn = lambda own, up: [(own[0] * a + quality.SHRINK * b) / (own[0] + quality.SHRINK) for a, b in zip(own[1:], up, strict=True)]
+    corpus = fit(lambda g: True)[1:]
+    language = {lang: drawn(fit(lambda g, lang=lang: g[0] == lang), corpus) for lang in {group[i][0] for i in vectors}}
+    final = {g: drawn(fit(lambda x, g=g: x == g), language[g[0]]) for g in {group[i] for i in vectors}}
+    limit = quality.chi2_quantile(quality.PASS, len(quality.NAMES))
+    assert got[1000].base_failed and got[1001].base_failed and got[1000].distance is None
+    for i, v in vectors.items():
+        centre, cov = final[group[i]]
+        far = float((np.array(v) - centre) @ np.linalg.solve(cov, np.array(v) - centre))
+        assert got[i].distance == pytest.approx(far, rel=1e-6, abs=1e-6) and got[i].kept == (far <= limit)
+    assert {got[i].kept for i in vectors} == {True, False}
 
 
 def test_pipeline_stages_against_brute_force(spark):
