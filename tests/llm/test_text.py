@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 import textwrap
 
 import public_tokenizers as P
@@ -192,11 +193,36 @@ KNOWN_SENTENCES = {
     "LgplRef": "Licensed under the GNU Lesser General Public License v2.1", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "CcByNcRef": "Licensed under CC BY-NC 4.0", "CcByRef": "Licensed under CC BY 4.0", "CcBySaRef": "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "PublicDomain": "This work is in the public domain", "CopyrightLine": "Copyright (c) 2020 X", "AllRights": "All rights reserved",
+    "ApacheSee": "See the License for the specific language governing permissions and limitations under the License",
+    "MitStyleRef": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file",
+    "BoostGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display",
+    "NcsaGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal with the Software without restriction, including without limitation the rights to use",
+    "MitLiability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "BsdStyleRef": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "Bsd3Ref": "Licensed under the 3-clause BSD license", "Bsd2Ref": "Released under the Simplified BSD License",
+    "BsdAdvertising": "3. All advertising materials mentioning features or use of this software must display the following acknowledgement", "BsdAsIs": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "ZeroBsdGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "IscAsIs": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES", "IscRef": "Licensed under the ISC license",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty", "ZlibOrigin": "1. The origin of this software must not be misrepresented, you must not claim that you wrote it",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "ZlibRef": "Distributed under the zlib license", "BoostRef": "Distributed under the Boost Software License, Version 1.0", "UnlicenseFree": "This is free and unencumbered software released into the public domain",
+    "UnlicenseAnyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
+    "AgplRef": "Licensed under the GNU Affero General Public License v3", "AgplGrant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "LgplGrant": "This library is free software, you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "GplGrantOnly": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "PerlTerms": "you can redistribute it and/or modify it under the same terms as Perl itself", "GplSee": "See the GNU General Public License for more details",
+    "GplReceived": "You should have received a copy of the GNU General Public License along with this program", "MplObtain": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.example/MPL/2.0/",
+    "EplRef2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "EplRef1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "CddlRef": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")", "EuplRef": "Licensed under the EUPL, Version 1.2 or later",
+    "MsPlRef": "This source is subject to the Microsoft Public License", "OflRef": "This Font Software is licensed under the SIL Open Font License, Version 1.1", "PsfRef": "Licensed to PSF under a Contributor Agreement",
+    "Cc0Ref": "Licensed under CC0 1.0 Universal", "Cc0Waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "CcByNcSaRef": "Licensed under CC BY-NC-SA 4.0",
+    "CcByNcNdRef": "Licensed under CC BY-NC-ND 4.0", "CcByNdRef": "Licensed under CC BY-ND 4.0",
 }
+KNOWN_SENTENCES |= {name: f"SPDX-License-Identifier: {name.removeprefix('Spdx-')}" for name, _ in licenses.SPDX}
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
-    assert sorted(KNOWN_SENTENCES) == sorted(name for name, _ in licenses.SENTENCES)
+    assert sorted(KNOWN_SENTENCES) == sorted(name for name, _ in (*licenses.SENTENCES, *licenses.SPDX))
     texts = list(KNOWN_SENTENCES.values()) + [". ".join(KNOWN_SENTENCES[i] for i in sequence) + "." for _, sequence in licenses.RULES]
     texts.append("Copyright (c) 2020 X. All rights reserved.")
     got = {r.doc: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
@@ -229,6 +255,55 @@ def test_wrapped_notices(spark, prefix, width):
     assert got["lines"].sentences == ["MitRef", "CopyrightLine", "CopyrightLine", "AllRights"] and got["none"].sentences == []
 
 
+def plain_licences(text: str | None) -> tuple[list[str], list[str]]:
+    """The scan restated: lines are runs of normalised words, known sentences are looked for from each line on, rules are taken one after the other."""
+    lower = re.sub(licenses.SENTENCE_END, "\n\n", (text or "").lower())
+    lines = [" ".join(re.findall("[a-z0-9]+", line)) for line in lower.split("\n")]
+    blocks = [b for b in "\n".join(lines).strip("\n").split("\n\n") if b]
+    sentences = []
+    for block in blocks:
+        own = [line for line in block.split("\n") if line]
+        i = 0
+        while i < len(own):
+            for name, pattern in (*licenses.SENTENCES, *licenses.SPDX):
+                open_end = pattern.endswith(".*")
+                ends = [j for j in range(i + 1, len(own) + 1) if (m := re.fullmatch(pattern, " ".join(own[i:j]))) and not (open_end and re.fullmatch(pattern, " ".join(own[i : j - 1])))]
+                if ends:
+                    sentences.append(name)
+                    i = ends[0]
+                    break
+            else:
+                i += 1
+    left, names = [sentences] if sentences else [], []
+    for name, sequence in licenses.RULES:
+        parts, hit = [], False
+        for part in left:
+            while (at := next((k for k in range(len(part)) if tuple(part[k : k + len(sequence)]) == sequence), None)) is not None:
+                parts.append(part[:at])
+                part, hit = part[at + len(sequence) :], True
+            parts.append(part)
+        left = parts
+        if hit and name not in names:
+            names.append(name)
+    return sentences, names
+
+
+def test_licences_against_the_scan_restated(spark):
+    """Over the whole table, and over notices put together, wrapped and cut at random."""
+    rng = random.Random(8)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    made = []
+    for i in range(300):
+        parts = [KNOWN_SENTENCES[rng.choice(list(KNOWN_SENTENCES))] if rng.random() < 0.8 else "some other words" for _ in range(rng.randint(1, 8))]
+        text = "".join(p + rng.choice((". ", ".\n", "\n", "; ", "\n\n")) for p in parts)
+        made.append((10**6 + i, "\n".join("# " + line for line in textwrap.wrap(text, 60)) if rng.random() < 0.4 else text))
+    rows = [*((r.doc_id, r.text) for r in table.collect()), *made, (None, None), (None, ""), (7, "x " * 400_000 + "\nAll rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).withColumns({"sentences": F.lit(0), "licences": F.lit("x"), "doc": F.lit(1)})
+    got = sorted(((r.doc, r.sentences, r.licences) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted(((i, *plain_licences(text)) for i, text in rows), key=str)
+    assert licenses.scan(df.filter("false")).count() == 0
+
+
 def test_statistics(docs):
     for r in quality.statistics(docs, "text", ("n",)).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.statistics(TEXTS[r.n])
