@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfold.functions.scalars import wrap_angle
 from gridfold.params import EvidenceModel, Grid, Pose, SearchWindow, wrap
+from gridfold.session import checkpoint
 
 
 def body_points(beams: DataFrame, stride: int = 1) -> DataFrame:
@@ -44,10 +46,14 @@ def likelihood_field(cells: DataFrame, grid: Grid, model: EvidenceModel, blur_ce
     return field
 
 
-def packed(field: DataFrame, grid: Grid) -> DataFrame:
-    """The field as one row with one array, row by row: a grid's size, 8 bytes a cell."""
-    every = field.sparkSession.range(grid.size).withColumn("at", F.col("id"))
-    filled = every.join(field.withColumn("at", F.col("row").cast("long") * grid.cols + F.col("col")), "at", "left").select("at", F.coalesce("v", F.lit(0.0)).alias("v"))
+def packed(field: DataFrame, grid: Grid, part: Grid | None = None) -> DataFrame:
+    """The field, or that of a part of the grid, as one row with one array, row by row: 8 bytes a cell."""
+    part = part or grid
+    row0, col0 = round((part.origin_y - grid.origin_y) / grid.resolution), round((part.origin_x - grid.origin_x) / grid.resolution)
+    row, col = F.col("row") - row0, F.col("col") - col0
+    own = field.filter((row >= 0) & (row < part.rows) & (col >= 0) & (col < part.cols)).withColumn("at", row.cast("long") * part.cols + col)
+    every = field.sparkSession.range(part.size).withColumn("at", F.col("id"))
+    filled = every.join(own, "at", "left").select("at", F.coalesce("v", F.lit(0.0)).alias("v"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("field"))
 
 
@@ -76,24 +82,63 @@ def candidates(spark, center: Pose, translation_radius: float, heading_radius: f
     return spark.range(n * n * h).select(idx.alias("idx"), (center.x + (t0 + i * translation_step)).alias("x"), (center.y + (t0 + j * translation_step)).alias("y"), (center.theta + (h0 + k * heading_step)).alias("theta"))
 
 
-def scores(points: DataFrame, poses: DataFrame, field: DataFrame, grid: Grid) -> DataFrame:
-    """(idx, x, y, theta, score): sum of the field under all points, for each candidate pose.
+def window_around(grid: Grid, x: float, y: float, reach: float) -> Grid:
+    """The part of the grid within `reach` of a point, so that a packed field is as large as a sensor sees and not as the map is."""
+    lows, sizes = [], []
+    for at, origin, n in ((y, grid.origin_y, grid.rows), (x, grid.origin_x, grid.cols)):
+        low = min(max(math.floor((at - reach - origin) / grid.resolution) - 2, 0), n - 1)
+        high = min(max(math.floor((at + reach - origin) / grid.resolution) + 2, low), n - 1)
+        lows.append(low)
+        sizes.append(high - low + 1)
+    return Grid(grid.resolution, sizes[0], sizes[1], grid.origin_x + lows[1] * grid.resolution, grid.origin_y + lows[0] * grid.resolution)
 
-    The points of a sweep and the field are one row each beside every candidate, so that scoring is a map without a shuffle.
+
+def scores(points: DataFrame, poses: DataFrame, field: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`poses` (keys, idx, x, y, theta, ...) with score: the sum of the field under the points (keys, px, py) of the same sweep.
+
+    A point beside a candidate is a row of plain arithmetic, and sums are made on the map side. The packed field is
+    one row, and is broadcast; poses of no sweep of their own are a search's candidates and are broadcast as well. A pose
+    of a sweep without points has 0.
     """
-    held = points.agg(F.collect_list(F.struct("px", "py")).alias("points"))  # one sweep's returns
-    crossed = poses.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(field))
+    crossed = points.join(poses, list(keys)) if keys else points.crossJoin(F.broadcast(poses))
+    crossed = crossed.crossJoin(F.broadcast(field))
     c, s = F.cos("theta"), F.sin("theta")
-    value = lambda p: sampled(F.col("field"), c * p["px"] - s * p["py"] + F.col("x"), s * p["px"] + c * p["py"] + F.col("y"), grid)
-    return crossed.select("idx", "x", "y", "theta", F.aggregate("points", F.lit(0.0), lambda acc, p: acc + value(p)).alias("score"))
+    value = sampled(F.col("field"), c * F.col("px") - s * F.col("py") + F.col("x"), s * F.col("px") + c * F.col("py") + F.col("y"), grid)
+    summed = crossed.groupBy(*keys, "idx").agg(F.sum(value).alias("score"))
+    return poses.join(summed, [*keys, "idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
 
+def match_sweeps(points: DataFrame, predicted: DataFrame, field: DataFrame, grid: Grid, search: SearchWindow) -> DataFrame:
+    """(scan_idx, x, y, theta, score, predicted_score): the best pose of every sweep of `points` (scan_idx, px, py), all sweeps at once.
 
-def best(scored: DataFrame, center: Pose, translation_step: float, heading_step: float) -> DataFrame:
-    """The candidate with the highest score; of those within 1e-12 of it the one nearest to the centre, then the first."""
-    top = scored.agg(F.max("score").alias("top"))
+    `predicted` has scan_idx, x, y, theta. From coarse to fine; in each pass the candidate with the highest score counts, of those
+    within 1e-12 of it the one nearest to the pose so far, then the first; it must be better than that pose to replace it.
+    """
+    sweep = ("scan_idx",)
+    first = scores(points, predicted.withColumn("idx", F.lit(0)), field, grid, sweep)
+    at = checkpoint(first.select("scan_idx", "x", "y", "theta", "score", F.col("score").alias("predicted_score")))
+    radii = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step]
+    for _ in range(search.refinements + 1):
+        around = candidates(at.sparkSession, Pose(0.0, 0.0, 0.0), *radii).withColumnsRenamed({"x": "dx", "y": "dy", "theta": "dh"})
+        tried = at.select("scan_idx", *(F.col(c).alias(f"_{c}") for c in ("x", "y", "theta"))).crossJoin(F.broadcast(around))
+        cost = sum((F.col(d) / step) * (F.col(d) / step) for d, step in (("dx", radii[2]), ("dy", radii[2]), ("dh", radii[3])))
+        poses = tried.select("scan_idx", "idx", (F.col("_x") + F.col("dx")).alias("x"), (F.col("_y") + F.col("dy")).alias("y"), (F.col("_theta") + F.col("dh")).alias("theta"), cost.alias("cost"))
+        scored = scores(points, poses, field, grid, sweep).withColumn("top", F.max("score").over(Window.partitionBy("scan_idx")))
+        tied = scored.filter(F.col("score") >= F.col("top") - 1e-12)
+        pick = tied.groupBy("scan_idx").agg(F.min_by(F.struct("x", "y", "theta", "score"), F.struct("cost", "idx")).alias("p"))
+        better = F.col("p.score") > F.col("score")
+        take = lambda name, value: F.when(better, value).otherwise(F.col(name)).alias(name)
+        at = checkpoint(at.join(pick, "scan_idx", "left").select("scan_idx", take("x", F.col("p.x")), take("y", F.col("p.y")), take("theta", wrap_angle(F.col("p.theta"))), take("score", F.col("p.score")), "predicted_score"))
+        radii = [r / 2 for r in radii]
+    return at
+
+
+def best(scored: DataFrame, center: Pose, translation_step: float, heading_step: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The candidate with the highest score, for each of `keys`; of those within 1e-12 of it the one nearest to the centre, then the first."""
     dx, dy, dh = (F.col("x") - center.x) / translation_step, (F.col("y") - center.y) / translation_step, (F.col("theta") - center.theta) / heading_step
-    tied = scored.crossJoin(F.broadcast(top)).filter(F.col("score") >= F.col("top") - 1e-12).withColumn("cost", dx * dx + dy * dy + dh * dh)
-    return tied.orderBy("cost", "idx").limit(1).select("idx", "x", "y", "theta", "score")
+    topped = scored.join(scored.groupBy(*keys).agg(F.max("score").alias("top")), list(keys)) if keys else scored.crossJoin(F.broadcast(scored.agg(F.max("score").alias("top"))))
+    tied = topped.filter(F.col("score") >= F.col("top") - 1e-12).withColumn("cost", dx * dx + dy * dy + dh * dh)
+    return tied.groupBy(*keys).agg(F.min_by(F.struct("idx", "x", "y", "theta", "score"), F.struct("cost", "idx")).alias("p")).filter("p is not null").select(*keys, "p.*")
 
 
 def match(cells: DataFrame, points: DataFrame, grid: Grid, model: EvidenceModel, predicted: Pose, window: SearchWindow | None = None, blur_cells: float = 1.0) -> dict:
@@ -103,28 +148,27 @@ def match(cells: DataFrame, points: DataFrame, grid: Grid, model: EvidenceModel,
     one job; an empty map or sweep leaves the predicted pose.
     """
     spark, search = cells.sparkSession, window or SearchWindow()
-    field = packed(likelihood_field(cells, grid, model, blur_cells), grid).cache()
-    points = points.select("px", "py").cache()
-    one = spark.createDataFrame([(0, predicted.x, predicted.y, predicted.theta)], "idx long, x double, y double, theta double")
-    at, value = predicted, scores(points, one, field, grid).first()["score"]
-    first, tried = value, 0
-    radii = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step]
+    points = points.select(F.lit(0).alias("scan_idx"), "px", "py").cache()
+    n, far = points.agg(F.count("*"), F.coalesce(F.max(F.hypot("px", "py")), F.lit(0.0))).first()
+    # Passes halve the radius, so that the search as a whole stays within twice the first.
+    part = window_around(grid, predicted.x, predicted.y, far + 4 * search.translation_radius)
+    field = packed(likelihood_field(cells, grid, model, blur_cells), grid, part).cache()
+    start = spark.createDataFrame([(0, predicted.x, predicted.y, predicted.theta)], "scan_idx int, x double, y double, theta double")
+    found = match_sweeps(points, start, field, part, search).first()
+    at = Pose(found["x"], found["y"], found["theta"])
+    radii, tried = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step], 0
     for _ in range(search.refinements + 1):
         tried += span(radii[0], radii[2]) ** 2 * span(radii[1], radii[3])
-        pick = best(scores(points, candidates(spark, at, *radii), field, grid), at, radii[2], radii[3]).first()
-        if pick["score"] > value:
-            at, value = Pose(pick["x"], pick["y"], wrap(pick["theta"])), pick["score"]
         radii = [r / 2 for r in radii]
     result = {
         "pose": at,
-        "score": value,
-        "predicted_score": first,
+        "score": found["score"],
+        "predicted_score": found["predicted_score"],
         "translation_correction": math.hypot(at.x - predicted.x, at.y - predicted.y),
         "heading_correction": wrap(at.theta - predicted.theta),
         "evaluations": tried,
-        "points": points.count(),
+        "points": n,
     }
     field.unpersist()
     points.unpersist()
     return result
-

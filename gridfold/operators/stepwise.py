@@ -1,0 +1,264 @@
+"""Runs whose sweeps need the map that the sweeps before have made: windows that blend cells, and matched poses.
+
+Neither can be written as joins or aggregates: each step reads the whole state that the last one left. So a run is one
+group of a grouped map, and its sweeps are folded in order over dense arrays; runs go side by side. A
+group is one run's beams and its map, sizes that its sensor and grid set, whatever the number of runs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from gridfold.operators.evidence import is_whole_cell_shift, shift
+from gridfold.operators.match import gaussian_taps, span
+from gridfold.params import EvidenceModel, Grid, Pose, RunConfig, Scenario, SearchWindow, composed, wrap
+
+STEP = (
+    "scan_idx int, x double, y double, theta double, origin_x double, origin_y double, moved boolean, lossless boolean, free_cells long, occupied_cells long, unknown_cells long, "
+    "score double, predicted_score double, translation_correction double, heading_correction double, evaluations int, points int"
+)
+CELL = "row int, col int, log_odds double, observed long, occ_obs long"
+SCHEMA = f"run_id string, steps array<struct<{STEP.replace(' ', ':').replace(',:', ',')}>>, cells array<struct<{CELL.replace(' ', ':').replace(',:', ',')}>>"
+
+
+class _Axis:
+    """Crossings of one axis's grid lines by rays, as in `traverse`, over arrays."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, origin: float, resolution: float):
+        self.start, self.delta, self.origin, self.resolution = start, end - start, origin, resolution
+        self.first = np.floor((start - origin) / resolution).astype(np.int64)
+        self.sign = np.sign(self.delta).astype(np.int64)
+        self.line = self.first + (self.sign > 0)
+        self.safe = np.where(self.sign == 0, 1.0, self.delta)
+
+    def crossing(self, ray, k: np.ndarray) -> np.ndarray:
+        return ((self.origin + (self.line[ray] + self.sign[ray] * k) * self.resolution) - self.start[ray]) / self.safe[ray]
+
+    def before(self, ray, t: np.ndarray, most, inclusive: bool) -> np.ndarray:
+        """Crossings under t (or at it): the quotient tells up to one, and three crossings around it decide."""
+        quotient = ((self.start[ray] + t * self.delta[ray] - self.origin) / self.resolution - self.line[ray]) * self.sign[ray]
+        guess = np.floor(np.clip(quotient, -1.0, np.asarray(most) + 1.0)).astype(np.int64)
+        counted = np.maximum(guess - 1, 0)
+        for k in (guess - 1, guess, guess + 1):
+            at = self.crossing(ray, k)
+            counted += (k >= 0) & ((at <= t) if inclusive else (at < t))
+        return np.where(self.sign[ray] == 0, 0, np.minimum(counted, most))
+
+
+def walked(grid: Grid, x0, y0, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ray, cell, is_terminal) of the cells inside the grid that rays enter; a cell is row * cols + col."""
+    x, y = _Axis(np.broadcast_to(x0, x1.shape), x1, grid.origin_x, grid.resolution), _Axis(np.broadcast_to(y0, y1.shape), y1, grid.origin_y, grid.resolution)
+    started = np.flatnonzero((x.first >= 0) & (x.first < grid.cols) & (y.first >= 0) & (y.first < grid.rows))
+    one = np.ones(len(started))
+    n_x, n_y = x.before(started, one, grid.cols + 1, True), y.before(started, one, grid.rows + 1, True)
+    sizes = 1 + n_x + n_y
+    at = np.repeat(np.arange(len(started)), sizes)
+    i = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ray, n_x, n_y = started[at], n_x[at], n_y[at]
+    of_x = i <= n_x
+    k = np.where(of_x, i, i - n_x)
+    t = np.where(of_x, x.crossing(ray, k - 1), y.crossing(ray, k - 1))
+    other = np.where(i == 0, 0, np.where(of_x, y.before(ray, t, n_y, False), x.before(ray, t, n_x, True)))
+    col = x.first[ray] + x.sign[ray] * np.where(of_x, k, other)
+    row = y.first[ray] + y.sign[ray] * np.where(of_x, other, k)
+    inside = (row >= 0) & (row < grid.rows) & (col >= 0) & (col < grid.cols)
+    return ray[inside], (row * grid.cols + col)[inside], (k + other == n_x + n_y)[inside]
+
+
+@dataclass
+class _Map:
+    """A window's dense map: log odds, observations and returns of each cell."""
+
+    grid: Grid
+    model: EvidenceModel
+
+    def __post_init__(self):
+        shape = (self.grid.rows, self.grid.cols)
+        self.log_odds, self.observed, self.returns = np.full(shape, self.model.l_prior), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+
+    def add(self, x: float, y: float, ends: np.ndarray, is_hit: np.ndarray) -> None:
+        """One sweep: each cell counts once, a return before passing through, and is clamped."""
+        ray, cell, terminal = walked(self.grid, x, y, ends[0], ends[1])
+        touched = np.unique(cell)
+        hit = np.isin(touched, cell[terminal & is_hit[ray]], assume_unique=False)
+        flat = self.log_odds.reshape(-1)
+        added = flat[touched] + np.where(hit, self.model.l_occupied, self.model.l_free)
+        flat[touched] = np.minimum(np.maximum(added, self.model.l_min), self.model.l_max)
+        self.observed.reshape(-1)[touched] += 1
+        self.returns.reshape(-1)[touched[hit]] += 1
+
+    def move(self, target: Grid, policy: str) -> bool:
+        """Moves the window; whole-cell moves keep every bit and are told as lossless. Counts come from the nearest cell."""
+        d = shift(self.grid, target)
+        lossless = is_whole_cell_shift(*d)
+        if lossless:
+            d = (float(round(d[0])), float(round(d[1])))
+        nearest = tuple(math.floor(v + 0.5) for v in d)
+        moved = lambda a, blank, by: _moved(a, blank, by, d)
+        prior, model = self.model.l_prior, self.model
+        if lossless or policy != "bilinear":
+            made = moved(self.log_odds, prior, nearest)
+        else:
+            whole = [math.floor(v) for v in d]
+            part = [v - w for v, w in zip(d, whole, strict=True)]
+            above = self.log_odds - prior
+            made = np.zeros_like(above)
+            for i in (0, 1):
+                for j in (0, 1):
+                    weight = (part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1])
+                    if weight:
+                        made += weight * moved(above, 0.0, (whole[0] + i, whole[1] + j))
+            made = np.minimum(np.maximum(made + prior, model.l_min), model.l_max)
+        self.log_odds, self.observed, self.returns = made, moved(self.observed, 0, nearest), moved(self.returns, 0, nearest)
+        self.grid = target
+        return lossless
+
+    def field(self, blur_cells: float = 1.0) -> np.ndarray:
+        """Occupied evidence from 0 to 1, blurred along both axes; nothing comes in over the edges."""
+        value = np.clip((self.log_odds - self.model.l_prior) / (self.model.l_max - self.model.l_prior), 0.0, 1.0)
+        for axis in (0, 1):
+            spread = np.zeros_like(value)
+            taps = gaussian_taps(blur_cells)
+            for k, weight in enumerate(taps):
+                by = [0, 0]
+                by[axis] = k - len(taps) // 2
+                spread += weight * _moved(value, 0.0, tuple(by), (0.0, 0.0))
+            value = spread
+        return value
+
+    def states(self) -> tuple[int, int, int]:
+        free = int((self.log_odds <= self.model.l_prior - self.model.l_decision).sum())
+        occupied = int((self.log_odds >= self.model.l_prior + self.model.l_decision).sum())
+        return free, occupied, self.grid.size - free - occupied
+
+
+def _moved(a: np.ndarray, blank, by: tuple[int, int], d: tuple[float, float]) -> np.ndarray:
+    """a[i + by] at i, where i + d lies within the outermost centres of `a`, and `blank` elsewhere."""
+    result = np.full_like(a, blank)
+    spans = []
+    for n, b, real in zip(a.shape, by, d, strict=True):
+        low, high = max(0, -b, math.ceil(-real)), min(n - 1, n - 1 - b, math.floor(n - 1 - real))
+        if low > high:
+            return result
+        spans.append((low, high + 1, b))
+    (r0, r1, br), (c0, c1, bc) = spans
+    result[r0:r1, c0:c1] = a[r0 + br : r1 + br, c0 + bc : c1 + bc]
+    return result
+
+
+def _scores(field: np.ndarray, grid: Grid, px: np.ndarray, py: np.ndarray, poses: np.ndarray) -> np.ndarray:
+    """Sum of the field under all points for each pose (x, y, theta): bilinear, 0 outside the outermost centres."""
+    cos, sin = np.cos(poses[:, 2:]), np.sin(poses[:, 2:])
+    c = (cos * px - sin * py + poses[:, :1] - grid.origin_x) / grid.resolution - 0.5
+    r = (sin * px + cos * py + poses[:, 1:2] - grid.origin_y) / grid.resolution - 0.5
+    inside = (c >= 0) & (c <= grid.cols - 1) & (r >= 0) & (r <= grid.rows - 1)
+    c0 = np.clip(np.floor(c), 0, max(grid.cols - 2, 0)).astype(np.int64)
+    r0 = np.clip(np.floor(r), 0, max(grid.rows - 2, 0)).astype(np.int64)
+    fc, fr = c - c0, r - r0
+    at = lambda i, j: field[np.minimum(r0 + i, grid.rows - 1), np.minimum(c0 + j, grid.cols - 1)]
+    value = (1 - fr) * ((1 - fc) * at(0, 0) + fc * at(0, 1)) + fr * ((1 - fc) * at(1, 0) + fc * at(1, 1))
+    return np.where(inside, value, 0.0).sum(axis=1)
+
+
+def _around(center: Pose, radii: list[float]) -> np.ndarray:
+    """Candidate poses, the heading running fastest."""
+    axes = [-radius + np.arange(span(radius, step)) * step for radius, step in ((radii[0], radii[2]), (radii[0], radii[2]), (radii[1], radii[3]))]
+    dx, dy, dh = np.meshgrid(*axes, indexing="ij")
+    return np.stack([center.x + dx.ravel(), center.y + dy.ravel(), center.theta + dh.ravel()], axis=1)
+
+
+def _matched(made: _Map, px: np.ndarray, py: np.ndarray, predicted: Pose, search: SearchWindow) -> dict:
+    """As `match.match`, over arrays."""
+    field = made.field()
+    value = first = float(_scores(field, made.grid, px, py, np.array([[predicted.x, predicted.y, predicted.theta]]))[0])
+    at, tried = predicted, 0
+    radii = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step]
+    for _ in range(search.refinements + 1):
+        poses = _around(at, radii)
+        tried += len(poses)
+        scores = _scores(field, made.grid, px, py, poses)
+        tied = np.flatnonzero(scores >= scores.max() - 1e-12)
+        cost = ((poses[tied, 0] - at.x) / radii[2]) ** 2 + ((poses[tied, 1] - at.y) / radii[2]) ** 2 + ((poses[tied, 2] - at.theta) / radii[3]) ** 2
+        pick = tied[np.argmin(cost)]
+        if scores[pick] > value:
+            at, value = Pose(float(poses[pick, 0]), float(poses[pick, 1]), wrap(float(poses[pick, 2]))), float(scores[pick])
+        radii = [r / 2 for r in radii]
+    moved = {"translation_correction": math.hypot(at.x - predicted.x, at.y - predicted.y), "heading_correction": wrap(at.theta - predicted.theta)}
+    return {"pose": at, "score": value, "predicted_score": first, "evaluations": tried, "points": len(px)} | moved
+
+
+def window_at(grid: Grid, config: RunConfig, at: Pose) -> Grid:
+    """The window centred on a pose; `snap` moves it by whole cells, halves to even. In the world frame it stands still."""
+    if config.frame == "world":
+        return grid
+    target = grid.recentered(at.x, at.y)
+    if config.shift_policy != "snap":
+        return target
+    rows, cols = (round(d) for d in shift(grid, target))
+    return replace(grid, origin_x=grid.origin_x + cols * grid.resolution, origin_y=grid.origin_y + rows * grid.resolution)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a run needs besides its beams: where it starts, and how it believes to have moved since."""
+
+    scenario: Scenario
+    config: RunConfig
+    start: Pose
+    moves: tuple[Pose, ...]
+
+    def first_grid(self) -> Grid:
+        if self.config.frame == "world":
+            return self.scenario.grid
+        return Grid(self.scenario.grid.resolution, self.config.ego_rows, self.config.ego_cols).recentered(self.start.x, self.start.y)
+
+
+def _run(plan: Plan, sweep: Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[tuple], _Map]:
+    """Steps of one run and its map. sweep(i) has angles, ranges and hits of the i-th sweep's beams, in order."""
+    config, model = plan.config, plan.scenario.model
+    search = config.search or SearchWindow.for_resolution(plan.scenario.grid.resolution)
+    made, at, steps = _Map(plan.first_grid(), model), plan.start, []
+    for i in range(len(plan.moves) + 1):
+        if i:
+            at = composed(at, plan.moves[i - 1])
+        target, lossless = window_at(made.grid, config, at), True
+        moved = target != made.grid
+        if moved:
+            lossless = made.move(target, config.shift_policy)
+        angle, distance, is_hit = sweep(i)
+        found = {"score": 0.0, "predicted_score": 0.0, "translation_correction": 0.0, "heading_correction": 0.0, "evaluations": 0, "points": 0}
+        if config.pose_correction and i:
+            picked = np.flatnonzero(is_hit)[:: config.match_stride]
+            found = _matched(made, distance[picked] * np.cos(angle[picked]), distance[picked] * np.sin(angle[picked]), at, search)
+            at = found.pop("pose")
+        heading = angle + at.theta
+        made.add(at.x, at.y, np.stack([at.x + distance * np.cos(heading), at.y + distance * np.sin(heading)]), is_hit)
+        steps.append((i, at.x, at.y, at.theta, made.grid.origin_x, made.grid.origin_y, moved, lossless, *made.states(), *(found[k] for k in ("score", "predicted_score", "translation_correction", "heading_correction", "evaluations", "points"))))
+    return steps, made
+
+
+def fold(beams: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """(run_id, steps, cells): one row for each run of `beams` (run_id, scan_idx, beam_idx, angle, range, is_hit), which `plans` has.
+
+    steps: one record for each sweep. cells: those of the last window that were observed or hold more than the prior.
+    A sweep without beams moves the window and adds nothing.
+    """
+    names = [[part.split(" ")[0] for part in columns.split(", ")] for columns in (STEP, CELL)]
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["scan_idx", "beam_idx"])
+        edges = np.searchsorted(frame["scan_idx"].to_numpy(), np.arange(len(plans[key[0]].moves) + 2))
+        columns = [frame[c].to_numpy() for c in ("angle", "range", "is_hit")]
+        steps, made = _run(plans[key[0]], lambda i: tuple(c[edges[i] : edges[i + 1]] for c in columns))
+        row, col = np.nonzero((made.observed > 0) | (made.log_odds != made.model.l_prior))
+        cells = zip(row.tolist(), col.tolist(), made.log_odds[row, col].tolist(), made.observed[row, col].tolist(), made.returns[row, col].tolist(), strict=True)
+        records = [[dict(zip(own, values, strict=True)) for values in rows] for own, rows in zip(names, (steps, cells), strict=True)]
+        return pd.DataFrame({"run_id": [key[0]], "steps": [records[0]], "cells": [records[1]]})
+
+    return beams.select("run_id", "scan_idx", "beam_idx", "angle", "range", "is_hit").groupBy("run_id").applyInPandas(one, SCHEMA)

@@ -1,7 +1,7 @@
 """Walking rays over a grid in closed form: each crossing of a grid line is one row.
 
-A crossing's parameter and the number of crossings of the other axis before it give its cell, so that
-no step depends on the one before. At a corner the column changes first.
+A crossing's parameter gives the number of crossings of the other axis before it, and so its cell and its
+place in the walk: no step depends on the one before, and nothing is sorted. At a corner the column changes first.
 """
 
 from __future__ import annotations
@@ -12,30 +12,49 @@ from pyspark.sql import functions as F
 from gridfold.params import Grid
 
 
-def _axis(start: Column, delta: Column, origin: float, resolution: float, cells: int) -> Column:
-    """Parameters in (0, 1] at which one axis crosses grid lines, in order.
+class _Axis:
+    """One axis of rays: where its crossings of grid lines lie, and how many come before a parameter."""
 
-    Crossings beyond the grid's far side can't be followed by a cell of the grid, so there are
-    at most `cells` + 1 of them; a standing axis has none.
-    """
+    def __init__(self, name: str, origin: float, resolution: float):
+        self.origin, self.resolution = origin, resolution
+        self.start, self.delta, self.sign, self.line = (F.col(f"_{name}_{c}") for c in ("start", "delta", "sign", "line"))
+
+    def crossing(self, k: Column) -> Column:
+        """Parameter of the k-th crossing, from 0 on; it doesn't fall as k rises, also as rounded."""
+        at = (self.origin + (self.line + self.sign * k) * self.resolution) - self.start
+        return at / F.when(self.sign == 0, F.lit(1.0)).otherwise(self.delta)
+
+    def before(self, t: Column, most: Column, inclusive: bool) -> Column:
+        """Crossings with a parameter under t (or equal to it), of the first `most`.
+
+        The quotient is off by one at most through rounding, so that three crossings around it decide.
+        """
+        there = (self.start + t * self.delta - self.origin) / self.resolution
+        guess = F.floor(F.least(F.greatest((there - self.line) * self.sign, F.lit(-1.0)), most + 1.0))
+        counted = F.greatest(guess - 1, F.lit(0).cast("long"))
+        for k in (guess - 1, guess, guess + 1):
+            passed = self.crossing(k) <= t if inclusive else self.crossing(k) < t
+            counted = counted + F.when((k >= 0) & passed, 1).otherwise(0)
+        return F.when(self.sign == 0, 0).otherwise(F.least(counted, most))
+
+
+def _columns(name: str, start: Column, delta: Column, origin: float, resolution: float) -> list[Column]:
     first = F.floor((start - origin) / resolution)
-    sign = F.when(delta > 0, 1).when(delta < 0, -1).otherwise(0)
-    line = first + F.when(delta > 0, 1).otherwise(0)
-    last = F.floor((start + delta - origin) / resolution)
-    # One more than the cells apart: an endpoint on a line still crosses it when it comes from above.
-    count = F.least(F.abs(last - first) + 1, F.lit(cells + 1).cast("long"))
-    steps = F.when(sign == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("long"), count))
-    safe = F.when(sign == 0, F.lit(1.0)).otherwise(delta)
-    at = F.transform(steps, lambda k: ((origin + (line + sign * k) * resolution) - start) / safe)
-    return F.filter(at, lambda t: t <= 1)
+    return [
+        start.alias(f"_{name}_start"),
+        delta.alias(f"_{name}_delta"),
+        first.alias(f"_{name}_first"),
+        F.signum(delta).cast("long").alias(f"_{name}_sign"),
+        (first + F.when(delta > 0, 1).otherwise(0)).alias(f"_{name}_line"),
+    ]
 
 
 def walk(rays: DataFrame, grid: Grid, keep: list[str]) -> DataFrame:
-    """Cells that each ray enters, in order: `keep` columns, step, row, col, is_terminal.
+    """Cells that each ray enters, in order of step: `keep` columns, step, row, col, is_terminal.
 
     `rays` has x0, y0, x1, y1 (double). A ray that starts outside the grid, or has a null or non-finite
     coordinate, enters none; one that leaves it ends there and isn't terminal in any cell. Of a
-    ray that reaches its endpoint the last cell is terminal.
+    ray that reaches its endpoint the last cell is terminal. Rays are walked where they lie; `dealt` spreads them first.
     """
     ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     finite = F.lit(True)
@@ -43,37 +62,38 @@ def walk(rays: DataFrame, grid: Grid, keep: list[str]) -> DataFrame:
         finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     x0, y0, x1, y1 = ends
     res = grid.resolution
-    started = rays.filter(finite).select(
+    inside = (x0 >= grid.origin_x) & (x0 < grid.extent[1] + res) & (y0 >= grid.origin_y) & (y0 < grid.extent[3] + res)
+    started = rays.filter(finite).filter(inside).select(*keep, *_columns("x", x0, x1 - x0, grid.origin_x, res), *_columns("y", y0, y1 - y0, grid.origin_y, res))
+    started = started.filter((F.col("_x_first") >= 0) & (F.col("_x_first") < grid.cols) & (F.col("_y_first") >= 0) & (F.col("_y_first") < grid.rows))
+    x, y = _Axis("x", grid.origin_x, res), _Axis("y", grid.origin_y, res)
+    # One crossing more than the grid is wide leads out of it for good.
+    n_x, n_y = x.before(F.lit(1.0), F.lit(grid.cols + 1).cast("long"), True), y.before(F.lit(1.0), F.lit(grid.rows + 1).cast("long"), True)
+    counted = started.withColumns({"_nx": n_x, "_ny": n_y})
+    steps = counted.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") + F.col("_ny"))))
+    # Row 0 is the start, then come the crossings of x, then those of y; `_k` is the crossing's number on its own axis.
+    i, of_x = F.col("_i"), F.col("_i") <= F.col("_nx")
+    k = F.when(of_x, i).otherwise(i - F.col("_nx"))
+    placed = steps.withColumns({"_of_x": of_x, "_k": k}).withColumn("_t", F.when(F.col("_of_x"), x.crossing(F.col("_k") - 1)).otherwise(y.crossing(F.col("_k") - 1)))
+    t = F.col("_t")
+    other = F.when(i == 0, 0).when(F.col("_of_x"), y.before(t, F.col("_ny"), False)).otherwise(x.before(t, F.col("_nx"), True))
+    walked = placed.withColumn("_other", other)
+    on_x, on_y = F.when(F.col("_of_x"), F.col("_k")).otherwise(F.col("_other")), F.when(F.col("_of_x"), F.col("_other")).otherwise(F.col("_k"))
+    cells = walked.select(
         *keep,
-        F.floor((x0 - grid.origin_x) / res).alias("_c0"),
-        F.floor((y0 - grid.origin_y) / res).alias("_r0"),
-        F.signum(x1 - x0).cast("long").alias("_sx"),
-        F.signum(y1 - y0).cast("long").alias("_sy"),
-        _axis(x0, x1 - x0, grid.origin_x, res, grid.cols).alias("_tx"),
-        _axis(y0, y1 - y0, grid.origin_y, res, grid.rows).alias("_ty"),
-    )
-    started = started.filter((F.col("_c0") >= 0) & (F.col("_c0") < grid.cols) & (F.col("_r0") >= 0) & (F.col("_r0") < grid.rows))
-    # Both axes' crossings in one sorted array of (parameter, axis): x is 0, so it comes first at a corner.
-    tagged = F.concat(
-        F.transform("_tx", lambda t, k: F.struct(t.alias("t"), F.lit(0).alias("axis"), (k + 1).alias("n"))),
-        F.transform("_ty", lambda t, k: F.struct(t.alias("t"), F.lit(1).alias("axis"), (k + 1).alias("n"))),
-    )
-    events = F.concat(F.array(F.struct(F.lit(-1.0).alias("t"), F.lit(0).alias("axis"), F.lit(0).alias("n"))), F.sort_array(tagged))
-    steps = started.select(*keep, "_c0", "_r0", "_sx", "_sy", (F.size("_tx") + F.size("_ty")).alias("_last"), F.posexplode(events).alias("step", "_e"))
-    # Of the `step` crossings up to here, n are on the event's own axis, and the rest on the other.
-    n, other = F.col("_e.n"), F.col("step") - F.col("_e.n")
-    on_x = F.col("_e.axis") == 0
-    cells = steps.select(
-        *keep,
-        "step",
-        (F.col("_r0") + F.col("_sy") * F.when(on_x, other).otherwise(n)).cast("int").alias("row"),
-        (F.col("_c0") + F.col("_sx") * F.when(on_x, n).otherwise(other)).cast("int").alias("col"),
-        (F.col("step") == F.col("_last")).alias("is_terminal"),
+        (F.col("_k") + F.col("_other")).cast("int").alias("step"),
+        (F.col("_y_first") + F.col("_y_sign") * on_y).cast("int").alias("row"),
+        (F.col("_x_first") + F.col("_x_sign") * on_x).cast("int").alias("col"),
+        (F.col("_k") + F.col("_other") == F.col("_nx") + F.col("_ny")).alias("is_terminal"),
     )
     # Rows and columns only move one way, so that the cells inside the grid are the walk up to its exit.
     return cells.filter((F.col("row") >= 0) & (F.col("row") < grid.rows) & (F.col("col") >= 0) & (F.col("col") < grid.cols))
 
 
+def dealt(rays: DataFrame, *keys: str) -> DataFrame:
+    """`rays` over all cores by a hash of `keys`, whatever files they come from: a ray is a few bytes, and its cells are hundreds of rows."""
+    return rays.repartition(max(rays.sparkSession.sparkContext.defaultParallelism, int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def counts(visits: DataFrame, keys: list[str]) -> DataFrame:
     """Cells and reached flag of each ray that enters the grid."""
     return visits.groupBy(*keys).agg(F.count("*").alias("cells"), F.max("is_terminal").alias("reached"))

@@ -24,6 +24,9 @@ def log_odds(p: float) -> float:
     return math.log(p / (1.0 - p))
 
 
+# Default values of the records below are fixed values: results depend on them.
+
+
 @dataclass(frozen=True)
 class EvidenceModel:
     """Inverse sensor increments, clamps and decision band, all as probabilities."""
@@ -39,7 +42,7 @@ class EvidenceModel:
         for name in self.__dataclass_fields__:
             _need(0.0 < getattr(self, name) < 1.0, f"{name} must lie strictly between 0 and 1")
         _need(self.p_free < self.prior < self.p_occupied, "p_free < prior < p_occupied must hold")
-        _need(self.clamp_free_prob < self.p_free and self.p_occupied < self.clamp_occupied_prob, "the clamps must lie outside the increments")
+        _need(self.clamp_free_prob <= self.p_free and self.p_occupied <= self.clamp_occupied_prob, "the clamps must not lie inside the increments")
         _need(self.prior < self.decision_prob < self.clamp_occupied_prob, "decision_prob must lie between prior and clamp_occupied_prob")
         _need(self.clamp_free_prob < 1.0 - self.decision_prob, "clamp_free_prob must lie under 1 - decision_prob")
 
@@ -98,6 +101,17 @@ class Pose:
     y: float
     theta: float = 0.0
 
+    translation = property(lambda self: (self.x, self.y))
+
+    def rotation(self) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Rows of the rotation's matrix."""
+        c, s = math.cos(self.theta), math.sin(self.theta)
+        return ((c, -s), (s, c))
+
+    def normalized(self) -> Pose:
+        """The same pose with its heading in (-pi, pi]."""
+        return replace(self, theta=wrap(self.theta))
+
 
 def wrap(angle: float) -> float:
     """The same angle in (-pi, pi]."""
@@ -171,12 +185,12 @@ class Lidar:
     max_range: float = 30.0
     angular_resolution_deg: float = 0.5
     field_of_view_deg: float = 360.0
-    range_noise_std: float = 0.0
-    dropout_prob: float = 0.0
+    range_noise_std: float = 0.03
+    dropout_prob: float = 0.02
     min_range: float = 0.25
 
     def __post_init__(self):
-        _need(self.max_range > self.min_range >= 0, "0 <= min_range < max_range must hold")
+        _need(self.max_range > self.min_range, "max_range must exceed min_range")
         _need(0 < self.angular_resolution_deg and 0 < self.field_of_view_deg <= 360, "the angles must be positive, the field of view at most 360")
         _need(self.range_noise_std >= 0 and 0 <= self.dropout_prob < 1, "noise must not be negative, dropout in [0, 1)")
 
@@ -248,9 +262,9 @@ class Scenario:
 @dataclass(frozen=True)
 class SearchWindow:
     translation_radius: float = 0.8
-    heading_radius: float = math.radians(2.0)
+    heading_radius: float = 0.035
     translation_step: float = 0.2
-    heading_step: float = math.radians(0.5)
+    heading_step: float = 0.00873
     refinements: int = 2
 
     def __post_init__(self):
@@ -267,7 +281,7 @@ class SearchWindow:
 @dataclass(frozen=True)
 class RunConfig:
     frame: str = "world"
-    shift_policy: str = "bilinear"
+    shift_policy: str = "snap"
     ego_rows: int = 200
     ego_cols: int = 200
     max_steps: int | None = None

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import scalars
 from gridfold.operators import evidence, lidar, match, pose, score, traverse
-from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Mover, Polygon, Pose, Scenario, Trajectory
+from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Mover, Polygon, Pose, Scenario, SearchWindow, Trajectory
 from gridfold.plans import report, studies
 from gridfold.plans import run as runs
 from gridfold.sources import scenarios
@@ -72,10 +72,10 @@ beams AS (SELECT scan_idx, event_id AS beam_idx, x0, y0, x0 + ((event_id * 37) %
   20.03::DOUBLE + ((event_id * 53) % 307 - 153) / 19.0::DOUBLE AS y1, event_type <> 'error' AS is_hit FROM placed)"""
 
 
-def visits_sql(grid: Grid) -> str:
+def visits_sql(grid: Grid, beams_sql: str = BEAMS) -> str:
     """Walks by running counts over the sorted crossings, where the engine under test has closed forms."""
     res = number(grid.resolution)
-    return f"""{BEAMS},
+    return f"""{beams_sql},
 starts AS (SELECT *, CAST(floor(x0 / {res}) AS BIGINT) AS c0, CAST(floor(y0 / {res}) AS BIGINT) AS r0, CAST(sign(x1 - x0) AS BIGINT) AS sx, CAST(sign(y1 - y0) AS BIGINT) AS sy FROM beams),
 xs AS (SELECT beam_idx, 0 AS axis, unnest(generate_series(0, abs(CAST(floor(x1 / {res}) AS BIGINT) - c0) + 1)) AS k, c0 + (sx > 0)::BIGINT AS line, sx AS s, x0 AS a, x1 - x0 AS d FROM starts WHERE sx <> 0),
 ys AS (SELECT beam_idx, 1 AS axis, unnest(generate_series(0, abs(CAST(floor(y1 / {res}) AS BIGINT) - r0) + 1)) AS k, r0 + (sy > 0)::BIGINT AS line, sy AS s, y0 AS a, y1 - y0 AS d FROM starts WHERE sy <> 0),
@@ -109,7 +109,7 @@ SCENE = Scenario(
 
 
 def visits(spark, sf_dir, grid: Grid = GRID) -> DataFrame:
-    return traverse.walk(beams(spark, sf_dir), grid, ["scan_idx", "beam_idx", "is_hit"])
+    return traverse.walk(traverse.dealt(beams(spark, sf_dir), "beam_idx"), grid, ["scan_idx", "beam_idx", "is_hit"])
 
 
 def touch(spark, sf_dir) -> DataFrame:
@@ -513,26 +513,65 @@ def match_candidates(spark, sf_dir):
     return _candidates(spark).select("idx", r9("x").alias("x"), r9("y").alias("y"), r9("theta").alias("theta"))
 
 
-_SCORES = f"""{_FIELD}, {_CANDIDATES}, pts AS (SELECT x1 - x0 AS px, y1 - y0 AS py FROM beams WHERE scan_idx = 3 AND is_hit),
-loc AS (SELECT idx, (cos(theta) * px - sin(theta) * py + x) / 0.25 - 0.5 AS c, (sin(theta) * px + cos(theta) * py + y) / 0.25 - 0.5 AS r FROM cand, pts),
-cell AS (SELECT idx, CAST(floor(c) AS INTEGER) AS c0, CAST(floor(r) AS INTEGER) AS r0, c - floor(c) AS fc, r - floor(r) AS fr FROM loc WHERE c BETWEEN 0 AND {GRID.cols - 1} AND r BETWEEN 0 AND {GRID.rows - 1}),
-part AS (SELECT idx, sum(v * w) AS s FROM (SELECT idx, r0 + i AS row, c0 + j AS col, (CASE WHEN i = 1 THEN fr ELSE 1 - fr END) * (CASE WHEN j = 1 THEN fc ELSE 1 - fc END) AS w FROM cell, range(2) a(i), range(2) b(j)) q JOIN field USING (row, col) GROUP BY idx),
-scores AS (SELECT idx, x, y, theta, coalesce(s, 0) AS score FROM cand LEFT JOIN part USING (idx))"""
+def _sampled_sql(candidates: str) -> str:
+    """parts (scan_idx, idx, s): the field under all points of a sweep, for each row of `candidates` (scan_idx, idx, x, y, theta)."""
+    return f"""SELECT scan_idx, idx, sum(v * w) AS s FROM (SELECT scan_idx, idx, r0 + i AS row, c0 + j AS col, (CASE WHEN i = 1 THEN fr ELSE 1 - fr END) * (CASE WHEN j = 1 THEN fc ELSE 1 - fc END) AS w FROM
+  (SELECT scan_idx, idx, CAST(floor(c) AS INTEGER) AS c0, CAST(floor(r) AS INTEGER) AS r0, c - floor(c) AS fc, r - floor(r) AS fr FROM
+    (SELECT p.scan_idx, idx, (cos(theta) * px - sin(theta) * py + x) / 0.25 - 0.5 AS c, (sin(theta) * px + cos(theta) * py + y) / 0.25 - 0.5 AS r FROM {candidates} q JOIN pts p ON p.scan_idx = q.scan_idx)
+    WHERE c BETWEEN 0 AND {GRID.cols - 1} AND r BETWEEN 0 AND {GRID.rows - 1}), range(2) a(i), range(2) b(j)) JOIN field USING (row, col) GROUP BY scan_idx, idx"""
+
+
+_POINTS = "pts AS (SELECT scan_idx, x1 - x0 AS px, y1 - y0 AS py FROM beams WHERE is_hit)"
+_SCORES = f"""{_FIELD}, {_CANDIDATES}, {_POINTS}, tried AS (SELECT scan_idx, cand.* FROM cand, (SELECT DISTINCT scan_idx FROM pts)),
+part AS ({_sampled_sql('tried')}),
+scores AS (SELECT scan_idx, idx, x, y, theta, coalesce(s, 0) AS score FROM tried LEFT JOIN part USING (scan_idx, idx))"""
+
+
+def _points(spark, sf_dir):
+    return beams(spark, sf_dir).filter("is_hit").select("scan_idx", (F.col("x1") - F.col("x0")).alias("px"), (F.col("y1") - F.col("y0")).alias("py"))
 
 
 def _scores(spark, sf_dir):
-    points = beams(spark, sf_dir).filter("scan_idx = 3 and is_hit").select((F.col("x1") - F.col("x0")).alias("px"), (F.col("y1") - F.col("y0")).alias("py"))
-    return match.scores(points, _candidates(spark), match.packed(_field(spark, sf_dir), GRID), GRID)
+    points = _points(spark, sf_dir)
+    tried = points.select("scan_idx").distinct().crossJoin(F.broadcast(_candidates(spark)))
+    return match.scores(points, tried, match.packed(_field(spark, sf_dir), GRID), GRID, ("scan_idx",))
 
 
-@query(f"WITH {_SCORES} SELECT idx, round(score, 5)::DOUBLE AS score FROM scores")
+@query(f"WITH {_SCORES} SELECT scan_idx, idx, round(score, 5)::DOUBLE AS score FROM scores")
 def match_score(spark, sf_dir):
-    return _scores(spark, sf_dir).select("idx", F.round("score", 5).alias("score"))
+    """Every sweep's returns under every candidate."""
+    return _scores(spark, sf_dir).select("scan_idx", "idx", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_SCORES} SELECT idx, round(score, 5)::DOUBLE AS score FROM scores ORDER BY score DESC LIMIT 1")
+@query(f"WITH {_SCORES} SELECT scan_idx, arg_min(idx, (cost, idx)) AS idx, round(max(top), 5)::DOUBLE AS score FROM (SELECT *, ((x - 31.0) / 0.25) ** 2 + ((y - 20.1) / 0.25) ** 2 + ((theta - 0.05) / 0.01) ** 2 AS cost, max(score) OVER (PARTITION BY scan_idx) AS top FROM scores) WHERE score >= top - 1e-12 GROUP BY scan_idx")
 def match_best(spark, sf_dir):
-    return match.best(_scores(spark, sf_dir), _CENTER, 0.25, 0.01).select("idx", F.round("score", 5).alias("score"))
+    """Every sweep's best candidate."""
+    return match.best(_scores(spark, sf_dir), _CENTER, 0.25, 0.01, ("scan_idx",)).select("scan_idx", "idx", F.round("score", 5).alias("score"))
+
+
+_SEARCH = SearchWindow(0.25, 0.02, 0.25, 0.02, 1)
+
+
+def _passes_sql() -> str:
+    """The search's passes, each around what the one before took."""
+    made = [f"at0 AS (SELECT scan_idx, x, y, theta, coalesce(s, 0) AS score FROM start LEFT JOIN ({_sampled_sql('start')}) USING (scan_idx))"]
+    t, h = 0.25, 0.02
+    for k in range(2):
+        made.append(f"""try{k} AS (SELECT scan_idx, i * 9 + j * 3 + m AS idx, x + (-{t} + i * {t}) AS x, y + (-{t} + j * {t}) AS y, theta + (-{h} + m * {h}) AS theta, (i - 1) ** 2 + (j - 1) ** 2 + (m - 1) ** 2 AS cost FROM at{k}, range(3) a(i), range(3) b(j), range(3) c(m)),
+got{k} AS (SELECT q.*, coalesce(s, 0) AS score FROM try{k} q LEFT JOIN ({_sampled_sql(f'try{k}')}) USING (scan_idx, idx)),
+pick{k} AS (SELECT scan_idx, arg_min(x, (cost, idx)) AS x, arg_min(y, (cost, idx)) AS y, arg_min(theta, (cost, idx)) AS theta, arg_min(score, (cost, idx)) AS score FROM (SELECT *, max(score) OVER (PARTITION BY scan_idx) AS top FROM got{k}) WHERE score >= top - 1e-12 GROUP BY scan_idx),
+at{k + 1} AS (SELECT a.scan_idx, CASE WHEN p.score > a.score THEN p.x ELSE a.x END AS x, CASE WHEN p.score > a.score THEN p.y ELSE a.y END AS y, CASE WHEN p.score > a.score THEN p.theta ELSE a.theta END AS theta, greatest(p.score, a.score) AS score FROM at{k} a JOIN pick{k} p USING (scan_idx))""")
+        t, h = t / 2, h / 2
+    return ",\n".join(made)
+
+
+@query(f"""WITH {_FIELD}, {_POINTS}, start AS (SELECT scan_idx, 0 AS idx, min(x0) + 0.37 AS x, min(y0) - 0.21 AS y, 0.013::DOUBLE AS theta FROM beams GROUP BY scan_idx),
+{_passes_sql()} SELECT scan_idx, round(x, 5)::DOUBLE AS x, round(y, 5)::DOUBLE AS y, round(theta, 5)::DOUBLE AS theta, round(score, 5)::DOUBLE AS score FROM at2""")
+def match_scan(spark, sf_dir):
+    """Every sweep from a displaced pose, from coarse to fine."""
+    predicted = beams(spark, sf_dir).groupBy("scan_idx").agg((F.min("x0") + 0.37).alias("x"), (F.min("y0") - 0.21).alias("y"), F.lit(0.013).alias("theta"))
+    found = match.match_sweeps(_points(spark, sf_dir), predicted, match.packed(_field(spark, sf_dir), GRID), GRID, _SEARCH)
+    return found.select("scan_idx", *(F.round(c, 5).alias(c) for c in ("x", "y", "theta", "score")))
 
 
 # Scores -----------------------------------------------------------------------------------------
@@ -564,6 +603,15 @@ def threshold_sweep(spark, sf_dir):
     return _rounded(score.threshold_sweep(scored(spark, sf_dir), MODEL, THRESHOLDS), "decision_prob")
 
 
+_TEXT_RATES = ("decided_fraction", "free_agreement", "occupied_agreement", "balanced_agreement")
+
+
+@query("WITH t AS (" + SQL["threshold_sweep"] + ") SELECT printf('%.2f', decision_prob) AS label, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in _TEXT_RATES) + ", CAST(free_called_occupied AS VARCHAR) AS free_called_occupied, CAST(occupied_called_free AS VARCHAR) AS occupied_called_free FROM t")
+def agreement_rows(spark, sf_dir):
+    """The agreement table's strings."""
+    return report.agreement_rows(threshold_sweep(spark, sf_dir))
+
+
 _NEAR = "near AS (SELECT k, c.row, c.col, bool_or(o.row IS NOT NULL) AS matched FROM (SELECT * FROM called, range(4) t(k)) c LEFT JOIN (SELECT row, col FROM called WHERE state = 2) o ON c.occupied AND o.row BETWEEN c.row - k AND c.row + k AND o.col BETWEEN c.col - k AND c.col + k GROUP BY ALL)"
 
 
@@ -592,11 +640,12 @@ def boundary_band(spark, sf_dir):
 coalesce(lead(log_odds) OVER (PARTITION BY col ORDER BY row), log_odds) - coalesce(lag(log_odds) OVER (PARTITION BY col ORDER BY row), log_odds) AS gr,
 coalesce(lead(log_odds) OVER (PARTITION BY row ORDER BY col), log_odds) - coalesce(lag(log_odds) OVER (PARTITION BY row ORDER BY col), log_odds) AS gc FROM called)
 SELECT count(*) FILTER (scored) AS observed_cells, count(*) FILTER (scored AND (log_odds <= {L['l_min']} + 1e-9 OR log_odds >= {L['l_max']} - 1e-9)) AS clamped_cells, count(*) FILTER (scored AND b.row IS NOT NULL) AS band_cells,
-round(avg(sqrt((gr / hr) * (gr / hr) + (gc / hc) * (gc / hc))) FILTER (scored AND b.row IS NOT NULL), 6) AS edge_contrast, round(avg(abs(log_odds)) FILTER (scored), 6) AS mean_abs_evidence
+round(avg(sqrt((gr / hr) * (gr / hr) + (gc / hc) * (gc / hc))) FILTER (scored AND b.row IS NOT NULL), 6) AS edge_contrast, round(avg(abs(log_odds)) FILTER (scored), 6) AS mean_abs_evidence,
+round(coalesce(count(*) FILTER (scored AND (log_odds <= {L['l_min']} + 1e-9 OR log_odds >= {L['l_max']} - 1e-9)) / nullif(count(*) FILTER (scored), 0), 0), 6)::DOUBLE AS clamped_fraction
 FROM g LEFT JOIN band b ON b.row = g.row AND b.col = g.col""")
 def edge_contrast(spark, sf_dir):
     made = score.sharpness(scored(spark, sf_dir), score.boundary_band(truth(spark), GRID), MODEL)
-    return made.select("observed_cells", "clamped_cells", "band_cells", r9("edge_contrast").alias("edge_contrast"), r9("mean_abs_evidence").alias("mean_abs_evidence"))
+    return made.select("observed_cells", "clamped_cells", "band_cells", *(r9(c).alias(c) for c in ("edge_contrast", "mean_abs_evidence", "clamped_fraction")))
 
 
 _PATH = "(x - (24.0 + t * 12.0)) * (x - (24.0 + t * 12.0)) + (y - (14.0 + t * 9.0)) * (y - (14.0 + t * 9.0)) <= 9.0"
@@ -613,6 +662,7 @@ _SMEAR_COUNTS = """count(*) FILTER (region) AS roi_cells, count(*) FILTER (regio
 count(*) FILTER (region AND occupied AND state = 1) AS false_free_cells, count(*) FILTER (region AND occupied AND state = 2) AS detected_cells,
 round(coalesce(max(a) FILTER (region AND state = 2) - min(a) FILTER (region AND state = 2) + 0.25, 0), 5)::DOUBLE AS extent_along, round(coalesce(max(c) FILTER (region AND state = 2) - min(c) FILTER (region AND state = 2) + 0.25, 0), 5)::DOUBLE AS extent_across,
 coalesce(max(occ_obs) FILTER (region), 0) AS peak_returns_per_cell"""
+_AREAS = "round(coalesce(occupied_cells / nullif(truth_cells, 0), 0), 5)::DOUBLE AS area_ratio, truth_cells - detected_cells - false_free_cells AS unknown_footprint_cells"
 _SMEARED = f"{SCORED}, " + _REGION.split(", region AS", 1)[1].join(["region AS", ""]) + ", smeared AS (SELECT *, 0.8 * x + 0.6 * y AS a, -0.6 * x + 0.8 * y AS c FROM called JOIN region USING (row, col))"
 
 
@@ -620,23 +670,42 @@ def _regions(spark, sf_dir):
     return scored(spark, sf_dir).withColumn("region", score.in_path(GRID, (24.0, 14.0), (36.0, 23.0), 3.0))
 
 
-@query(f"WITH {_SMEARED} SELECT {_SMEAR_COUNTS} FROM smeared")
+@query(f"WITH {_SMEARED}, m AS (SELECT {_SMEAR_COUNTS} FROM smeared) SELECT *, {_AREAS} FROM m")
 def smear_metrics(spark, sf_dir):
     made = score.smear(_regions(spark, sf_dir), MODEL, GRID, (12.0, 9.0), [])
-    names = ("roi_cells", "occupied_cells", "truth_cells", "stale_cells", "false_free_cells", "detected_cells", "peak_returns_per_cell")
-    return made.select(*names, F.round("extent_along", 5).alias("extent_along"), F.round("extent_across", 5).alias("extent_across"))
+    names = ("roi_cells", "occupied_cells", "truth_cells", "stale_cells", "false_free_cells", "detected_cells", "peak_returns_per_cell", "unknown_footprint_cells")
+    return made.select(*names, F.round("area_ratio", 5).alias("area_ratio"), F.round("extent_along", 5).alias("extent_along"), F.round("extent_across", 5).alias("extent_across"))
 
 
-@query(f"""WITH {_SMEARED}, h AS (SELECT row % 2 AS half, {_SMEAR_COUNTS} FROM smeared GROUP BY 1), m AS (SELECT * FROM h WHERE half = 0), p AS (SELECT * FROM h WHERE half = 1)
-SELECT round(m.extent_along - p.extent_along, 4)::DOUBLE AS smear_length, round(coalesce(m.occupied_cells / nullif(p.occupied_cells, 0), 0), 4)::DOUBLE AS area_inflation, m.stale_cells AS moving_stale_cells, p.stale_cells AS parked_stale_cells,
-m.truth_cells AS footprint_cells, m.truth_cells - m.detected_cells - m.false_free_cells AS moving_unknown_footprint_cells, round(coalesce(m.false_free_cells / nullif(m.truth_cells, 0), 0), 4)::DOUBLE AS missed_footprint_fraction FROM m, p""")
-def smear_report(spark, sf_dir):
+_HALVES = f"""{_SMEARED}, h AS (SELECT row % 2 AS half, {_SMEAR_COUNTS} FROM smeared GROUP BY 1), m AS (SELECT * FROM h WHERE half = 0), p AS (SELECT * FROM h WHERE half = 1),
+report AS (SELECT 15.0::DOUBLE AS swept_distance, p.extent_along AS parked_extent_along, m.extent_along AS moving_extent_along, m.extent_along - p.extent_along AS smear_length, (m.extent_along - p.extent_along) / 15.0 AS smear_fraction_of_sweep,
+  coalesce(m.occupied_cells / nullif(p.occupied_cells, 0), 0) AS area_inflation, m.stale_cells AS moving_stale_cells, m.stale_cells * 0.0625::DOUBLE AS moving_stale_area, p.stale_cells AS parked_stale_cells, m.truth_cells AS footprint_cells, m.detected_cells AS moving_detected_cells,
+  p.detected_cells AS parked_detected_cells, m.false_free_cells AS moving_false_free_cells, m.truth_cells - m.detected_cells - m.false_free_cells AS moving_unknown_footprint_cells, coalesce(m.false_free_cells / nullif(m.truth_cells, 0), 0) AS missed_footprint_fraction, m.peak_returns_per_cell AS peak_returns_per_cell FROM m, p)"""
+_REPORT = ("swept_distance", "smear_length", "area_inflation", "moving_stale_cells", "parked_stale_cells", "footprint_cells", "moving_unknown_footprint_cells", "missed_footprint_fraction")
+
+
+def _smear_report(spark, sf_dir):
     """Even rows stand for the moving run, odd ones for its control."""
     made = score.smear(_regions(spark, sf_dir).withColumn("half", F.col("row") % 2), MODEL, GRID, (12.0, 9.0), ["half"])
     moving = made.filter("half = 0").withColumns({"case": F.lit("rows"), "swept_distance": F.lit(15.0)})
-    report = score.compare_smear(moving, made.filter("half = 1").withColumn("case", F.lit("rows")))
-    r4 = lambda c: F.round(c, 4).alias(c)
-    return report.select(r4("smear_length"), r4("area_inflation"), "moving_stale_cells", "parked_stale_cells", "footprint_cells", "moving_unknown_footprint_cells", r4("missed_footprint_fraction"))
+    return score.compare_smear(moving, made.filter("half = 1").withColumn("case", F.lit("rows")))
+
+
+@query(f"WITH {_HALVES} SELECT " + ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in _REPORT) + " FROM report")
+def smear_report(spark, sf_dir):
+    """As a flat row of doubles."""
+    rows = report.as_doubles(_smear_report(spark, sf_dir).select("case", *_REPORT), ("case",))
+    return rows.select(*(F.round(c, 4).alias(c) for c in _REPORT))
+
+
+def _text_sql(form: str, column: str) -> str:
+    return f"printf('{form}', {f'CAST({column} AS BIGINT)' if form == '%d' else f'CAST({column} AS DOUBLE)'})"
+
+
+@query(f"WITH {_HALVES} SELECT 'rows' AS \"case\", " + ", ".join(f"{_text_sql(form, c)} AS {c}" for _, c, form in report.SMEAR_COLUMNS) + " FROM report")
+def smear_rows(spark, sf_dir):
+    """The smear table's strings."""
+    return report.smear_rows(_smear_report(spark, sf_dir))
 
 
 _PREFIX = f"""{TOUCH}, g AS (SELECT row, col, list(scan_idx ORDER BY scan_idx) AS scans, list(CASE WHEN is_occ THEN {L['l_occupied']} ELSE {L['l_free']} END ORDER BY scan_idx) AS deltas FROM touch GROUP BY row, col),
@@ -655,12 +724,49 @@ def run_totals(spark, sf_dir):
     return counters.agg(F.count("*").alias("sweeps"), *(F.sum(c).alias(c) for c in ("beams", "placed_returns", "cell_visits")))
 
 
-# Whole studies: they take no table, and their random stream has no SQL, so they have none; the tests hold them against published figures.
+# Whole studies take no table. The room has no noise, and so has SQL; the random stream of the others has none, and the tests hold them against published figures.
 
+_ROOM = scenarios.enclosed_room(12)
+_ROOM_BEAMS = """sweeps AS (SELECT CAST(unnest(generate_series(0, 12)) AS INTEGER) AS scan_idx), fan AS (SELECT unnest(generate_series(0, 1439)) AS beam_idx),
+turned AS (SELECT scan_idx, beam_idx, cos(a) AS dx, sin(a) AS dy, 5.65::DOUBLE AS x0, 5.65::DOUBLE AS y0 FROM (SELECT *, (beam_idx - 719.5) * radians(0.25) AS a FROM sweeps, fan)),
+ranged AS (SELECT *, least((CASE WHEN dx > 0 THEN 10.6 ELSE 0.7 END - x0) / dx, (CASE WHEN dy > 0 THEN 10.6 ELSE 0.7 END - y0) / dy) AS r FROM turned),
+beams AS (SELECT scan_idx, scan_idx * 1440 + beam_idx AS beam_idx, x0, y0, x0 + r * dx AS x1, y0 + r * dy AS y1, r < 40 AS is_hit FROM ranged)"""
+_ROOM_TOUCH = f"""{visits_sql(_ROOM.grid, _ROOM_BEAMS)},
+touch AS (SELECT scan_idx, row, col, bool_or(is_terminal AND is_hit) AS is_occ, count(*) AS n FROM visits GROUP BY ALL)"""
+_ROOM_CELLS = f"""{_ROOM_TOUCH}, {CELLS.split("count(*) AS n FROM visits GROUP BY ALL),", 1)[1]},
+every AS (SELECT CAST(i // 46 AS INTEGER) AS row, CAST(i % 46 AS INTEGER) AS col FROM range(2116) t(i)),
+truth AS (SELECT row, col, NOT ((col + 0.5) * 0.25 BETWEEN 0.7 AND 10.6 AND (row + 0.5) * 0.25 BETWEEN 0.7 AND 10.6) AND (col + 0.5) * 0.25 < 11.3 AND (row + 0.5) * 0.25 < 11.3 AS occupied FROM every),
+called AS (SELECT t.row, t.col, occupied, coalesce(observed, 0) > 0 AS seen, CASE WHEN coalesce(log_odds, 0) <= -{L['l_decision']} THEN 1 WHEN coalesce(log_odds, 0) >= {L['l_decision']} THEN 2 ELSE 0 END AS state FROM truth t LEFT JOIN cells c ON c.row = t.row AND c.col = t.col)"""
 
-@query(None)
+
+@query(f"""WITH {_ROOM_CELLS}, regions AS (SELECT * FROM (VALUES ('observed', false), ('grid', true)) r(region, whole)),
+n AS (SELECT region, {_COUNTS} FROM (SELECT *, seen OR whole AS scored, state = 2 AS matched FROM called, regions) GROUP BY region) SELECT *, {_FRACTIONS} FROM n""")
 def room_map(spark, sf_dir):
-    return studies.static_map(spark, scenarios.enclosed_room(12))
+    return _rounded(studies.static_map(spark, _ROOM), "region")
+
+
+_ROOM_COUNTERS = """counted AS (SELECT scan_idx, count(*) FILTER (is_terminal AND is_hit) AS placed_returns, count(*) AS cell_visits, count(DISTINCT row * 1000 + col) AS touched_cells FROM visits GROUP BY scan_idx)"""
+
+
+@query(f"""WITH {_ROOM_TOUCH}, {_PREFIX.split("GROUP BY ALL),", 1)[1]}, {_ROOM_COUNTERS},
+states AS (SELECT d.scan_idx, count(*) FILTER (l <= -{L['l_decision']}) AS free_cells, count(*) FILTER (l >= {L['l_decision']}) AS occupied_cells FROM d JOIN p ON d.scan_idx >= p.scan_idx AND d.scan_idx < p.upto GROUP BY d.scan_idx)
+SELECT scan_idx, round(scan_idx * 0.2, 6)::DOUBLE AS time, 5.65::DOUBLE AS x, 5.65::DOUBLE AS est_y, 0.0::DOUBLE AS position_error, 1440::BIGINT AS beams, 1440::BIGINT AS hits, 0::BIGINT AS max_range_beams, 0::BIGINT AS dropped,
+placed_returns, cell_visits, touched_cells, free_cells, occupied_cells, 2116 - free_cells - occupied_cells AS unknown_cells, 0 AS match_evaluations FROM counted JOIN states USING (scan_idx)""")
+def run_step_records(spark, sf_dir):
+    """A record of each sweep."""
+    made = runs.step_records(runs.run(spark, _ROOM))
+    counts = ("beams", "hits", "max_range_beams", "dropped", "placed_returns", "cell_visits", "touched_cells", "free_cells", "occupied_cells", "unknown_cells")
+    return made.select("scan_idx", *(r9(c).alias(c) for c in ("time", "x", "est_y", "position_error")), *(F.col(c).cast("long").alias(c) for c in counts), "match_evaluations")
+
+
+@query(f"""WITH {_ROOM_CELLS} SELECT 'enclosed_room' AS scenario, 'world' AS frame, 20260731::BIGINT AS seed, 2116::BIGINT AS grid_cells, 13::BIGINT AS steps, 18720::BIGINT AS beams, (SELECT count(*) FROM visits) AS cell_visits,
+count(*) FILTER (seen) AS observed_cells, 0::BIGINT AS resamples FROM called""")
+def run_summary(spark, sf_dir):
+    """Fields read back from the run's trace in JSON, which holds the configuration, totals and a record of each sweep."""
+    json = report.to_json(runs.trace(runs.run(spark, _ROOM)))
+    schema = "scenario string, config struct<frame:string,seed:long>, totals struct<beams:long,cell_visits:long>, observed_cells long, grid_cells long, resamples long, steps array<struct<scan_idx:int>>"
+    read = json.select(F.from_json("json", schema).alias("j")).select("j.*")
+    return read.select("scenario", "config.frame", "config.seed", "grid_cells", F.size("steps").cast("long").alias("steps"), "totals.beams", "totals.cell_visits", "observed_cells", "resamples")
 
 
 @query(None)
@@ -680,7 +786,7 @@ def static_map_tolerances(spark, sf_dir):
 
 @query(None)
 def grid_frames(spark, sf_dir):
-    return studies.frames(spark, ("world", "snap", "nearest"))
+    return studies.frames(spark)
 
 
 @query(None)
@@ -693,16 +799,16 @@ def pose_drift(spark, sf_dir):
     return studies.drift(spark)
 
 
-@query(None)
-def run_step_records(spark, sf_dir):
-    return runs.step_records(runs.run(spark, scenarios.enclosed_room(12)))
+def _channel_sql(k: int) -> str:
+    unknown, free, occupied = (number(report.COLOURS[i][k]) for i in range(3))
+    return f"CASE WHEN abs(log_odds) < {L['l_decision']} THEN {unknown} WHEN log_odds < 0 THEN {free} ELSE {occupied} END"
 
 
-@query(None)
-def run_summary(spark, sf_dir):
-    return report.to_json(runs.run(spark, scenarios.enclosed_room(12)).summary())
+@query(f"WITH {CELLS} SELECT row, col, {_channel_sql(0)} AS red, {_channel_sql(1)} AS green, {_channel_sql(2)} AS blue FROM cells")
+def state_image(spark, sf_dir):
+    return report.state_image(cells(spark, sf_dir), MODEL)
 
 
-@query(f"WITH {CELLS} SELECT row, col, CASE WHEN abs(log_odds) < {L['l_decision']} THEN 0.55 WHEN log_odds < 0 THEN 0.97 ELSE 0.10 END::DOUBLE AS red FROM cells")
-def state_image(spark, sf_dir):
-    return report.state_image(cells(spark, sf_dir), MODEL).select("row", "col", "red")
+@query(f"WITH {SCORED} SELECT row, col, CASE WHEN NOT scored THEN 'unscored' WHEN state = 0 THEN 'undecided' WHEN (state = 2) = occupied THEN 'right' WHEN state = 2 THEN 'free_called_occupied' ELSE 'occupied_called_free' END AS verdict FROM called")
+def decision_image(spark, sf_dir):
+    return report.decision_image(scored(spark, sf_dir), MODEL)

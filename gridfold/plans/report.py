@@ -33,10 +33,14 @@ def agreement_rows(agreement: DataFrame, by: str = "decision_prob") -> DataFrame
     return agreement.orderBy(by).select(label.alias("label"), *(F.format_string("%.4f", c).alias(c) for c in rates), *(F.col(c).cast("string").alias(c) for c in counts))
 
 
+#: Headers of the agreement table after the first. Fixed values.
+AGREEMENT_HEADERS = ("decided", "free agr", "occ agr", "balanced", "free as occ", "occ as free")
+
+
 def agreement_table(agreement: DataFrame, by: str = "decision_prob") -> str:
     rows = [list(r) for r in agreement_rows(agreement, by).collect()]  # a row for each step of the sweep
     first = "threshold" if by == "decision_prob" else "tolerance"
-    return render([first, "decided", "free agr", "occ agr", "balanced", "free as occ", "occ as free"], rows)
+    return render([first, *AGREEMENT_HEADERS], rows)
 
 
 #: Columns of the smear table: header, column of the report, format. Fixed values.
@@ -58,8 +62,12 @@ SMEAR_COLUMNS = (
 
 
 def smear_table(report: DataFrame, label: str = "case") -> str:
-    shown = report.select(F.col(label).cast("string"), *(F.format_string(form, c).alias(c) for _, c, form in SMEAR_COLUMNS))
-    return render([label, *(h for h, _, _ in SMEAR_COLUMNS)], [list(r) for r in shown.orderBy(label).collect()])  # a row for each case
+    return render([label, *(h for h, _, _ in SMEAR_COLUMNS)], [list(r) for r in smear_rows(report, label).orderBy(label).collect()])  # a row for each case
+
+
+def smear_rows(report: DataFrame, label: str = "case") -> DataFrame:
+    """The smear table's formatted strings."""
+    return report.select(F.col(label).cast("string"), *(F.format_string(form, c).alias(c) for _, c, form in SMEAR_COLUMNS))
 
 
 def as_doubles(df: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 With exact or dead-reckoned poses a run is one plan, also for windows that move by whole cells: cells
 are folded on a lattice that stands still, with a reset wherever a cell was outside the window. Windows
-that blend cells, and poses that are matched against the map so far, go sweep by sweep.
+that blend cells, and poses that are matched against the map so far, go sweep by sweep within a run, and runs side by side.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import heading_error, pose, position_error, state
-from gridfold.operators import evidence, lidar, match, traverse
-from gridfold.params import FREE, OCCUPIED, EvidenceModel, Grid, Pose, RunConfig, Scenario, SearchWindow, composed
+from gridfold.operators import evidence, lidar, stepwise, traverse
+from gridfold.params import FREE, OCCUPIED, EvidenceModel, Grid, Pose, RunConfig, Scenario, composed, inverted
 from gridfold.session import checkpoint
 from gridfold.sources import scenarios
 
@@ -78,8 +78,9 @@ class Run:
         s, c = self.scenario, self.config
         fixed = {
             "scenario": s.name, "frame": c.frame, "shift_policy": c.shift_policy, "seed": s.seed, "resolution": self.grid.resolution, "rows": self.grid.rows, "cols": self.grid.cols,
-            "max_range": s.lidar.max_range, "p_free": s.model.p_free, "p_occupied": s.model.p_occupied, "decision_prob": s.model.decision_prob,
-            "pose_correction": c.pose_correction, "resamples": self.resamples, "lossless_resamples": self.lossless_resamples,
+            "max_range": s.lidar.max_range, "angular_resolution_deg": s.lidar.angular_resolution_deg, "range_noise_std": s.lidar.range_noise_std, "dropout_prob": s.lidar.dropout_prob,
+            "p_free": s.model.p_free, "p_occupied": s.model.p_occupied, "clamp_free_prob": s.model.clamp_free_prob, "clamp_occupied_prob": s.model.clamp_occupied_prob, "decision_prob": s.model.decision_prob,
+            "pose_correction": c.pose_correction, "resamples": self.resamples, "lossless_resamples": self.lossless_resamples, "grid_cells": self.grid.size,
         }
         counts = self.cells.agg(F.count_if(F.col("observed") > 0).alias("observed_cells"), F.count_if(state("log_odds", s.model) == OCCUPIED).alias("occupied_cells"), F.count_if(state("log_odds", s.model) == FREE).alias("free_cells"))
         return self.totals().crossJoin(counts).select(*(F.lit(v).alias(k) for k, v in fixed.items()), "*", (F.lit(self.grid.size) - F.col("occupied_cells") - F.col("free_cells")).alias("unknown_cells"))
@@ -170,63 +171,46 @@ def fold_moving(touch: DataFrame, windows: list[Window_], model: EvidenceModel)
     return placed.filter(inside & (F.col("observed") > 0))
 
 
-class Blended:
-    """A map that is made sweep by sweep, in the coordinates of its window, with state counts after each sweep."""
-
-    def __init__(self, spark: SparkSession, window: Window_, model: EvidenceModel, policy: str):
-        self.window, self.model, self.policy = window, model, policy
-        self.cells = spark.createDataFrame([], "row int, col int, log_odds double, observed long, occ_obs long")
-        self.counts: list[tuple[int, int, int]] = []
-
-    def move(self, window: Window_) -> None:
-        """The evidence as the policy moves it, counts by the nearest cell."""
-        if window.moved:
-            before, model = self.window.grid, self.model
-            evidence_ = evidence.resample(self.cells.filter("log_odds is not null"), before, window.grid, model, self.policy)
-            counted = self.cells.filter("observed > 0").withColumn("both", F.struct("observed", "occ_obs"))
-            counted = evidence.resample_counts(counted, before, window.grid, "both").select("row", "col", "both.*")
-            self.cells = evidence_.join(counted, ["row", "col"], "full").select("row", "col", F.coalesce("log_odds", F.lit(model.l_prior)).alias("log_odds"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("observed", "occ_obs")))
-        self.window = window
-
-    def add(self, touched: DataFrame) -> None:
-        """One sweep's (row, col, is_occ)."""
-        model = self.model
-        joined = self.cells.join(touched.select("row", "col", "is_occ"), ["row", "col"], "full")
-        held = F.coalesce("log_odds", F.lit(model.l_prior))
-        value = F.when(F.col("is_occ").isNull(), held).otherwise(stepped(held, F.col("is_occ").cast("int"), model))
-        count = lambda c, one: (F.coalesce(c, F.lit(0)) + F.coalesce(one, F.lit(0))).cast("long").alias(c)
-        self.cells = checkpoint(joined.select("row", "col", value.alias("log_odds"), count("observed", F.col("is_occ").isNotNull().cast("int")), count("occ_obs", F.col("is_occ").cast("int"))))
-        s = state("log_odds", model)
-        row = self.cells.agg(F.count_if(s == FREE).alias("free"), F.count_if(s == OCCUPIED).alias("occ")).first()
-        self.counts.append((row["free"], row["occ"], self.window.grid.size - row["free"] - row["occ"]))
-
-
-def fold_blended(touch: DataFrame, windows: list[Window_], model: EvidenceModel, policy: str = "bilinear") -> Blended:
-    """Sweep by sweep: the map is blended onto the next window, then the sweep is added. `touch` has rows and columns of its sweep's window."""
-    touch = touch.cache()
-    made = Blended(touch.sparkSession, windows[0], model, policy)
-    for i, w in enumerate(windows):
-        made.move(w)
-        made.add(touch.filter(F.col("scan_idx") == i))
-    touch.unpersist()
-    return made
-
-
 KEEP = ["run_id", "scan_idx", "beam_idx", "is_hit"]
 
 
 def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None, run_id: str = "run") -> Run:
     """A run's tables, lazily, but for poses that are matched and windows that blend."""
-    config = config or RunConfig()
-    poses = scenarios.poses(spark, scenario, config, run_id)
-    path = scenario.trajectory if config.max_steps is None else scenario.trajectory.subsample(config.max_steps)
-    beams = sweeps(spark, scenario, config, run_id, poses, len(path)).filter("kept")
-    matches: list[dict] = []
-    counts: list[tuple[int, int, int]] = []
-    if config.pose_correction:
-        poses, matches, windows, made, beams, visits, touch = matched(spark, scenario, config, run_id, path, beams)
-        grid, cells, counts = windows[-1].grid, made.cells, made.counts
-    elif config.frame == "world":
+    return run_many(spark, {run_id: (scenario, config or RunConfig())})[run_id]
+
+
+def run_many(spark: SparkSession, wanted: dict[str, tuple[Scenario, RunConfig]]) -> dict[str, Run]:
+    """Runs by run_id. Those that go step by step are made in one job, side by side; the others are plans of their own."""
+    made, stepped_, beams_of, plans = {}, {}, [], {}
+    for run_id, (scenario, config) in wanted.items():
+        path = scenario.trajectory if config.max_steps is None else scenario.trajectory.subsample(config.max_steps)
+        poses = scenarios.poses(spark, scenario, config, run_id)
+        beams = traverse.dealt(sweeps(spark, scenario, config, run_id, poses, len(path)).filter("kept"), "scan_idx", "beam_idx")
+        if config.pose_correction or (config.frame == "ego" and config.shift_policy == "bilinear"):
+            moves = [composed(inverted(p), q) for p, q in zip(path.poses, path.poses[1:], strict=False)] if config.odometry is None else scenarios.increments(scenario, path, config.odometry)
+            plans[run_id] = stepwise.Plan(scenario, config, path.poses[0], tuple(moves))
+            stepped_[run_id] = (scenario, config, path, beams)
+            beams_of.append(beams)
+        else:
+            made[run_id] = _planned(spark, scenario, config, run_id, path, poses, beams)
+    if plans:
+        every = beams_of[0]
+        for other in beams_of[1:]:
+            every = every.unionByName(other)
+        folded = checkpoint(stepwise.fold(every, plans))
+        steps = {r["run_id"]: r["steps"] for r in folded.select("run_id", "steps").collect()}  # one record for each sweep of a run
+        for run_id, parts in stepped_.items():
+            made[run_id] = _stepped(spark, run_id, *parts, folded.filter(F.col("run_id") == run_id), steps[run_id])
+    return {run_id: made[run_id] for run_id in wanted}
+
+
+def _truth(spark: SparkSession, scenario: Scenario, run_id: str, grid: Grid, path) -> DataFrame:
+    return lidar.truth(scenarios.scene(spark, scenario, run_id), grid, path.times[-1])
+
+
+def _planned(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: str, path, poses: DataFrame, beams: DataFrame) -> Run:
+    """A run as one plan: the world's grid, or windows that move by whole cells."""
+    if config.frame == "world":
         grid, windows = scenario.grid, []
         visits = traverse.walk(lidar.endpoints(beams), grid, KEEP)
         touch = evidence.touches(visits, SWEEP)
@@ -235,53 +219,32 @@ def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None
         believed = [Pose(r.est_x, r.est_y, r.est_theta) for r in poses.orderBy("scan_idx").select("est_x", "est_y", "est_theta").collect()]  # a pose for a sweep
         windows = ego_windows(scenario, config, believed)
         grid = windows[-1].grid
-        local = replace(grid, origin_x=0.0, origin_y=0.0)
-        visits = traverse.walk(window_rays(lidar.endpoints(beams), windows), local, [*KEEP, "_row", "_col"])
-        if config.shift_policy == "bilinear":
-            touch = evidence.touches(visits, SWEEP)
-            made = fold_blended(touch, windows, scenario.model)
-            cells, counts = made.cells, made.counts
-        else:
-            on_lattice = visits.withColumns({"row": F.col("row") + F.col("_row"), "col": F.col("col") + F.col("_col")})
-            touch = evidence.touches(on_lattice, SWEEP)
-            cells = fold_moving(touch, windows, scenario.model).drop("run_id")
-    truth = lidar.truth(scenarios.scene(spark, scenario, run_id), grid, path.times[-1])
-    return Run(scenario, config, grid, poses, beams, visits, touch, cells, truth, windows, matches, counts)
+        visits = _in_windows(beams, windows)
+        on_lattice = visits.withColumns({"row": F.col("row") + F.col("_row"), "col": F.col("col") + F.col("_col")})
+        touch = evidence.touches(on_lattice, SWEEP)
+        cells = fold_moving(touch, windows, scenario.model).drop("run_id")
+    return Run(scenario, config, grid, poses, beams, visits, touch, cells, _truth(spark, scenario, run_id, grid, path), windows, [], [])
 
 
-def matched(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id: str, path, beams: DataFrame):
-    """Poses corrected sweep by sweep against the map of the sweeps before, in either frame.
+def _in_windows(beams: DataFrame, windows: list[Window_]) -> DataFrame:
+    """Visits in rows and columns of each sweep's window."""
+    local = replace(windows[-1].grid, origin_x=0.0, origin_y=0.0)
+    return traverse.walk(window_rays(lidar.endpoints(beams), windows), local, [*KEEP, "_row", "_col"])
 
-    Each sweep needs the map that the one before made, so this is a loop of jobs over sweeps. Candidates
-    within a sweep are scored in parallel. The window moves to the predicted pose before it is matched.
-    """
-    moves = scenarios.increments(scenario, path, config.odometry)
-    search = config.search or SearchWindow.for_resolution(scenario.grid.resolution)
-    beams = beams.cache()
-    points = match.body_points(beams, config.match_stride).cache()
-    estimates, results, windows = [path.poses[0]], [], []
-    window = first_window(scenario, config, path.poses[0])
-    made = Blended(spark, window, scenario.model, config.shift_policy)
-    walked: DataFrame | None = None
-    for i in range(len(path)):
-        predicted = composed(estimates[-1], moves[i - 1]) if i else estimates[0]
-        window = next_window(window, config, predicted)
-        windows.append(window)
-        made.move(window)
-        if i:
-            made.cells = checkpoint(made.cells)
-            found = match.match(made.cells, points.filter(F.col("scan_idx") == i), window.grid, scenario.model, predicted, search)
-            results.append(found)
-            estimates.append(found["pose"])
-        p = estimates[-1]
-        placed = beams.filter(F.col("scan_idx") == i).withColumns({"est_x": F.lit(p.x), "est_y": F.lit(p.y), "est_theta": F.lit(p.theta)})
-        own = checkpoint(traverse.walk(lidar.endpoints(placed), window.grid, KEEP))
-        made.add(evidence.touches(own, SWEEP))
-        walked = own if walked is None else walked.unionByName(own)
-    points.unpersist()
-    rows = [(run_id, i, t, q.x, q.y, q.theta, e.x, e.y, e.theta) for i, (t, q, e) in enumerate(zip(path.times, path.poses, estimates, strict=True))]
+
+def _stepped(spark: SparkSession, run_id: str, scenario: Scenario, config: RunConfig, path, beams: DataFrame, folded: DataFrame, steps: list) -> Run:
+    """A run that was folded sweep by sweep; its visits are those of its estimated poses in its windows."""
+    rows = [(run_id, i, t, q.x, q.y, q.theta, s["x"], s["y"], s["theta"]) for i, (t, q, s) in enumerate(zip(path.times, path.poses, steps, strict=True))]
     poses = spark.createDataFrame(rows, "run_id string, scan_idx int, time double, x double, y double, theta double, est_x double, est_y double, est_theta double")
-    return poses, results, windows, made, beams, walked, evidence.touches(walked, SWEEP)
+    shape = scenario.grid if config.frame == "world" else Grid(scenario.grid.resolution, config.ego_rows, config.ego_cols)
+    windows = [Window_(replace(shape, origin_x=s["origin_x"], origin_y=s["origin_y"]), 0, 0, EVERYTHING, s["moved"], s["lossless"]) for s in steps]
+    placed = beams.drop("est_x", "est_y", "est_theta").join(F.broadcast(poses.select("scan_idx", "est_x", "est_y", "est_theta")), "scan_idx")  # a row for a sweep
+    visits = _in_windows(placed, windows).drop("_row", "_col")
+    cells = folded.select(F.inline("cells"))
+    matches = [s.asDict() for s in steps[1:]] if config.pose_correction else []
+    counts = [(s["free_cells"], s["occupied_cells"], s["unknown_cells"]) for s in steps]
+    grid = windows[-1].grid
+    return Run(scenario, config, grid, poses, placed, visits, evidence.touches(visits, SWEEP), cells, _truth(spark, scenario, run_id, grid, path), windows, matches, counts)
 
 
 def state_counts(touch: DataFrame, keys: list[str], model: EvidenceModel, size: int) -> DataFrame:
@@ -326,6 +289,13 @@ def run_state_counts(made: Run) -> DataFrame:
     return state_counts(made.touch, KEYS, model, size)
 
 
+#: Columns of a sweep's record.
+STEP_COLUMNS = (
+    "scan_idx", "time", "x", "y", "theta", "beams", "hits", "max_range_beams", "dropped", "placed_returns", "cell_visits", "touched_cells", "free_cells", "occupied_cells", "unknown_cells",
+    "est_x", "est_y", "est_theta", "position_error", "heading_error", "match_evaluations", "translation_correction",
+)
+
+
 def step_records(made: Run) -> DataFrame:
     """One row for each sweep of a run: pose, counters, states after it, and pose errors."""
     estimate, truth = pose(F.col("est_x"), F.col("est_y"), F.col("est_theta")), pose(F.col("x"), F.col("y"), F.col("theta"))
@@ -338,6 +308,18 @@ def step_records(made: Run) -> DataFrame:
     return records.withColumn("dropped", dropped).join(F.broadcast(matched), "scan_idx", "left").withColumns(zero)
 
 
+#: Configuration in a run's trace; the rest of its summary stays beside it.
+TRACED = ("frame", "shift_policy", "resolution", "rows", "cols", "seed", "max_range", "angular_resolution_deg", "range_noise_std", "dropout_prob", "p_free", "p_occupied", "clamp_free_prob", "clamp_occupied_prob", "decision_prob", "pose_correction")
+
+
+def trace(made: Run) -> DataFrame:
+    """One row: scenario, config, totals, counts, and steps, an array with the record of each sweep in order; ready for JSON."""
+    totals = ("sweeps", "beams", "hits", "max_range_beams", "placed_returns", "cell_visits")
+    steps = step_records(made).drop("run_id").agg(F.sort_array(F.collect_list(F.struct("scan_idx", *(c for c in STEP_COLUMNS if c != "scan_idx")))).alias("steps"))  # a record for each sweep of one run
+    crossed = made.summary().crossJoin(steps)
+    return crossed.select("scenario", F.struct(*TRACED).alias("config"), F.struct(*totals).alias("totals"), "resamples", "lossless_resamples", "observed_cells", "grid_cells", "steps")
+
+
 def pose_errors(records: DataFrame) -> DataFrame:
     """Final and peak position error, and final heading error, of each run."""
     return records.groupBy("run_id").agg(

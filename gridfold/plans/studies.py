@@ -9,20 +9,20 @@ from gridfold.functions.scalars import heading_error, pose, position_error, stat
 from gridfold.operators import evidence, score
 from gridfold.params import EvidenceModel, RunConfig
 from gridfold.plans import run as runs
+from gridfold.session import checkpoint
 from gridfold.sources import scenarios
 
 THRESHOLDS = [0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.83, 0.86]
 CLAMPS = (0.05, 0.12, 0.20, 0.28, 0.34)
 
 
-def _agreement(made: runs.Run, region: str, observed_only: bool) -> DataFrame:
-    return score.score(made.scored_cells(observed_only), made.scenario.model).select(F.lit(region).alias("region"), "*")
-
-
 def static_map(spark: SparkSession, scenario=None) -> DataFrame:
-    """Agreement over observed cells and over the whole grid."""
+    """Agreement over observed cells and over the whole grid, from one evaluation of the run."""
     made = runs.run(spark, scenario or scenarios.urban_block())
-    return _agreement(made, "observed", True).unionByName(_agreement(made, "grid", False))
+    regions = F.explode(F.array(*(F.struct(F.lit(name).alias("region"), F.lit(whole).alias("whole")) for name, whole in (("observed", False), ("grid", True)))))
+    cells = made.scored_cells().withColumn("_r", regions)
+    cells = cells.select("row", "col", "log_odds", "occupied", F.col("_r.region").alias("region"), (F.col("scored") | F.col("_r.whole")).alias("scored"))
+    return score.score(cells, made.scenario.model, keys=["region"])
 
 
 def agreement_sweeps(spark: SparkSession, scenario=None) -> tuple[DataFrame, DataFrame]:
@@ -34,11 +34,12 @@ def agreement_sweeps(spark: SparkSession, scenario=None) -> tuple[DataFrame, Dat
 
 def frames(spark: SparkSession, policies=("world", "snap", "bilinear", "nearest"), max_steps: int | None = None) -> DataFrame:
     """Agreement and sharpness of a map that stands still beside windows that move."""
-    found = []
+    found, street = [], scenarios.urban_block()
     for policy in policies:
         config = RunConfig(max_steps=max_steps) if policy == "world" else RunConfig(frame="ego", shift_policy=policy, max_steps=max_steps)
-        made = runs.run(spark, scenarios.urban_block(), config)
-        cells = made.scored_cells()
+        made = runs.run(spark, street, config)
+        # The run is evaluated once for both measures: a dense map of its cells is written.
+        cells = checkpoint(made.scored_cells())
         sharp = score.sharpness(cells, score.boundary_band(made.truth, made.grid), made.scenario.model)
         names = F.lit(policy).alias("policy"), F.lit(made.resamples).alias("resamples"), F.lit(made.lossless_resamples).alias("lossless_resamples")
         found.append(score.score(cells, made.scenario.model).crossJoin(sharp).select(*names, "*"))
@@ -52,7 +53,7 @@ def _union(found: list[DataFrame]) -> DataFrame:
     return result
 
 
-def smear_cases(spark: SparkSession, directions=scenarios.DIRECTIONS, clamps: tuple[float, ...] = (0.12,), max_steps: int | None = None, margin: float = 1.0) -> DataFrame:
+def smear_cases(spark: SparkSession, directions=scenarios.DIRECTIONS, clamps: tuple[float, ...] = CLAMPS, max_steps: int | None = None, margin: float = 1.0) -> DataFrame:
     """Moving runs beside their parked controls, for each direction and free clamp.
 
     Which cells a sweep touches doesn't depend on the model, so that a run is walked once, and its
@@ -81,16 +82,16 @@ def smear_cases(spark: SparkSession, directions=scenarios.DIRECTIONS, clamps: tu
     return _union(found)
 
 
-def drift(spark: SparkSession, scales=(1.0, 2.0, 4.0), corrections=(False,), max_steps: int | None = None) -> DataFrame:
-    """Pose errors and agreement under drifting odometry, with and without correction."""
+def drift(spark: SparkSession, scales=(0.0, 1.0, 2.0, 4.0), corrections=(False, True), max_steps: int | None = None) -> DataFrame:
+    """Pose errors and agreement under drifting odometry, with and without correction; matched runs are made side by side."""
+    street = scenarios.urban_block()
+    wanted = {(scale, correct): RunConfig(odometry=scenarios.SCANNER_ODOMETRY.scaled(scale), pose_correction=correct, max_steps=max_steps) for scale in scales for correct in corrections}
+    made = runs.run_many(spark, {f"scale {scale} corrected {correct}": (street, config) for (scale, correct), config in wanted.items()})
     found = []
-    for scale in scales:
-        for correct in corrections:
-            config = RunConfig(odometry=scenarios.SCANNER_ODOMETRY.scaled(scale), pose_correction=correct, max_steps=max_steps)
-            made = runs.run(spark, scenarios.urban_block(), config)
-            errors = runs.pose_errors(with_errors(made))
-            named = errors.select(F.lit(scale).alias("scale"), F.lit(correct).alias("corrected"), "final_position_error", "peak_position_error", "final_heading_error")
-            found.append(named.crossJoin(score.score(made.scored_cells(), made.scenario.model)))
+    for (scale, correct), one in zip(wanted, made.values(), strict=True):
+        errors = runs.pose_errors(with_errors(one))
+        named = errors.select(F.lit(scale).alias("scale"), F.lit(correct).alias("corrected"), "final_position_error", "peak_position_error", "final_heading_error")
+        found.append(named.crossJoin(score.score(one.scored_cells(), one.scenario.model)))
     return _union(found)
 
 

@@ -16,7 +16,7 @@ DIRECTIONS = tuple(MOTIONS)
 #: Odometry of a scanner vehicle, at scale 1. Fixed values.
 SCANNER_ODOMETRY = OdometryNoise(0.02, 0.004, 0.02)
 STREET_LIDAR = Lidar(30.0, 0.5, 360.0, 0.03, 0.02)
-#: The odometry's own random stream beside the run's seed.
+#: The odometry's own random stream beside the run's seed. A fixed value, as the seed of `Scenario` is.
 ODOMETRY_STREAM = 1
 
 
@@ -93,7 +93,7 @@ def enclosed_room(steps: int = 8) -> Scenario:
     return Scenario(
         "enclosed_room",
         Grid(0.25, 46, 46),
-        Lidar(40.0, 0.25, 360.0),
+        Lidar(40.0, 0.25, 360.0, 0.0, 0.0),
         constant_twist(Pose(middle, middle), 0.0, 0.0, 0.2, steps),
         tuple(Polygon.rectangle(*w) for w in walls),
     )
@@ -115,7 +115,7 @@ def variates(spark: SparkSession, scenario: Scenario, sweeps: int, run_id: str)
 
 
 def increments(scenario: Scenario, trajectory: Trajectory, noise: OdometryNoise) -> list[Pose]:
-    """Motion between poses as odometry gives it; three draws for each, whatever the noise is."""
+    """Motion between poses as odometry gives it; three draws for each, whatever the noise is. The order of draws is fixed: results depend on it."""
     rng = np.random.default_rng([scenario.seed, ODOMETRY_STREAM])
     made = []
     for before, after in zip(trajectory.poses, trajectory.poses[1:], strict=False):

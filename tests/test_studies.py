@@ -5,7 +5,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from gridfold.params import RunConfig, Trajectory
+from gridfold.operators import stepwise
+from gridfold.params import RunConfig, Trajectory, composed, inverted
 from gridfold.plans import report, studies
 from gridfold.plans import run as runs
 from gridfold.sources import scenarios
@@ -39,21 +40,41 @@ def test_sweeps(spark):
     assert report.agreement_table(thresholds).splitlines()[2].startswith("0.55")
 
 
-@pytest.mark.parametrize("policy, decided, occupied, contrast, lossless", [("snap", 0.9516, 0.9883, 1.614, 50), ("nearest", 0.9464, 0.6038, 1.174, 0)])
-def test_moving_windows(spark, policy, decided, occupied, contrast, lossless):
-    row = studies.frames(spark, (policy,)).first()
-    assert (row.decided_fraction, row.occupied_agreement) == pytest.approx((decided, occupied), abs=2e-3)
-    assert row.edge_contrast == pytest.approx(contrast, rel=5e-3)
-    assert (row.resamples, row.lossless_resamples) == (50, lossless)
+WINDOWS = [("world", 0.9831, 0.9923, 1.481, 0, 0), ("snap", 0.9516, 0.9883, 1.614, 50, 50), ("bilinear", 0.9448, 0.9226, 1.180, 50, 0), ("nearest", 0.9464, 0.6038, 1.174, 50, 0)]
 
 
-def test_blended_window_runs_sweep_by_sweep(spark):
-    row = studies.frames(spark, ("bilinear",), max_steps=4).first()
-    assert row.resamples == 3 and row.lossless_resamples == 0 and row.decided_fraction > 0.3
+def test_moving_windows(spark):
+    rows = {r.policy: r for r in studies.frames(spark).collect()}
+    for policy, decided, occupied, contrast, moves, lossless in WINDOWS:
+        row = rows[policy]
+        assert (row.decided_fraction, row.occupied_agreement) == pytest.approx((decided, occupied), abs=2e-3)
+        assert row.edge_contrast == pytest.approx(contrast, rel=5e-3)
+        assert (row.resamples, row.lossless_resamples) == (moves, lossless)
+
+
+@pytest.mark.parametrize("policy, want", [("snap", (26908, 25032, 573, 22947, 3243561)), ("bilinear", (26987, 25223, 583, 22941, 3243799)), ("nearest", (26987, 25172, 368, 22941, 3243799))])
+def test_moving_window_counts(spark, policy, want):
+    made = runs.run(spark, scenarios.urban_block(), RunConfig(frame="ego", shift_policy=policy))
+    got = counts(made)
+    for mine, its in zip((got[0], got[1], got[2], got[7], got[8]), want, strict=True):
+        assert abs(mine - its) <= max(2, 0.002 * its)
+
+
+@pytest.mark.parametrize("policy", ["snap", "nearest"])
+def test_stepwise_maps_equal_planned_ones(spark, policy):
+    """The same run as one plan and sweep by sweep: every cell agrees."""
+    scenario, config = scenarios.urban_block(), RunConfig(frame="ego", shift_policy=policy, max_steps=6)
+    planned = runs.run(spark, scenario, config)
+    path = scenario.trajectory.subsample(6)
+    moves = tuple(composed(inverted(p), q) for p, q in zip(path.poses, path.poses[1:], strict=False))
+    folded = stepwise.fold(planned.beams, {"run": stepwise.Plan(scenario, config, path.poses[0], moves)})
+    got = {(r.row, r.col): (round(r.log_odds, 9), r.observed, r.occ_obs) for r in folded.select(F.inline("cells")).filter("observed > 0").collect()}
+    want = {(r.row, r.col): (round(r.log_odds, 9), r.observed, r.occ_obs) for r in planned.cells.collect()}
+    assert len(want) > 10_000 and sum(got.get(k) != v for k, v in want.items()) + len(got.keys() - want.keys()) <= 20
 
 
 def test_smear_cases(spark):
-    got = {r.case.split()[0]: r for r in studies.smear_cases(spark).collect()}
+    got = {r.case.split()[0]: r for r in studies.smear_cases(spark, clamps=(0.12,)).collect()}
     want = {"approaching": (15, 0, 20, 60, 80), "receding": (7, 8, 72, 0, 80), "crossing": (4, 0, 1, 79, 80)}
     for case, (stale, found, unknown, free, all_) in want.items():
         r = got[case]
@@ -61,10 +82,24 @@ def test_smear_cases(spark):
     assert [round(got[c].smear_length, 2) for c in ("approaching", "receding", "crossing")] == pytest.approx([0.20, 0.40, -0.80], abs=0.1)
 
 
+def test_clamp_sweep_of_the_approaching_case(spark):
+    got = {r.case: r for r in studies.smear_cases(spark, ("approaching",)).collect()}
+    want = {0.05: (0, 0.20), 0.12: (0, 0.20), 0.20: (0, 0.20), 0.28: (20, 9.00), 0.34: (22, 9.00)}
+    for clamp, (found, length) in want.items():
+        row = got[f"approaching {clamp:.2f}"]
+        assert abs(row.moving_detected_cells - found) <= 2 and row.smear_length == pytest.approx(length, abs=0.1)
+
+
 def test_drift(spark):
-    row = studies.drift(spark, scales=(1.0,)).first()
-    assert row.final_position_error == pytest.approx(0.880, abs=0.1)
-    assert row.occupied_agreement == pytest.approx(0.5953, abs=2e-3)
+    rows = {(r.scale, r.corrected): r for r in studies.drift(spark).collect()}
+    want = {
+        (1.0, False): (0.880, 0.5953), (2.0, False): (1.759, 0.4168), (4.0, False): (3.515, 0.2390),
+        (0.0, True): (0.141, 0.9517), (1.0, True): (0.165, 0.9263), (2.0, True): (0.123, 0.9577), (4.0, True): (0.130, 0.9680),
+    }
+    for key, (error, occupied) in want.items():
+        assert rows[key].final_position_error == pytest.approx(error, abs=0.02), key
+        assert rows[key].occupied_agreement == pytest.approx(occupied, abs=1e-2), key
+    assert rows[(0.0, False)].final_position_error == pytest.approx(0.0, abs=1e-9)
 
 
 def test_matched_run_is_nearer_than_dead_reckoning(spark):
