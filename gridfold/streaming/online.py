@@ -7,9 +7,9 @@ so that it is bounded by the tile's cells, whatever the stream's length.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,10 @@ from gridfold.params import EvidenceModel, Grid
 #: Cells of a tile's side.
 TILE = 32
 OUTPUT = "run_id string, row int, col int, log_odds double, observed long, occ_obs long, last_scan int"
-STATE = "cells string, pending string"
+#: A tile's cells, and the touches that wait for the watermark, as packed records.
+STATE = "cells binary, pending binary"
+CELL = np.dtype([("l", "f8"), ("n", "i8"), ("o", "i8"), ("s", "i4")])
+TOUCH = np.dtype([("t", "i8"), ("scan", "i4"), ("cell", "i4"), ("occ", "?")])
 
 
 def touches(beams: DataFrame, grid: Grid) -> DataFrame:
@@ -30,30 +33,42 @@ def touches(beams: DataFrame, grid: Grid) -> DataFrame:
     return walked.select("run_id", "ts", "scan_idx", "row", "col", (F.col("is_terminal") & F.col("is_hit")).alias("is_occ"))
 
 
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Touches in order of time, sweep and cell; a cell counts once in a sweep, and a return wins."""
+    touched = np.sort(np.concatenate(parts), order=["t", "scan", "cell", "occ"])
+    key = touched[["t", "scan", "cell"]]
+    return touched[np.append(key[1:] != key[:-1], True)] if len(touched) else touched
+
+
 def _fold_tile(model: EvidenceModel):
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        cells, pending = {}, {}
+        cells, parts = np.zeros(TILE * TILE, CELL), []
+        cells["l"], cells["s"] = model.l_prior, -1
         if state.exists:
             held = state.get
-            cells = {tuple(k): v for k, v in json.loads(held[0])}
-            pending = {tuple(k): v for k, v in json.loads(held[1])}
+            cells, parts = np.frombuffer(bytes(held[0]), CELL).copy(), [np.frombuffer(bytes(held[1]), TOUCH)]
         for batch in batches:
-            for t, scan, row, col, occ in zip(batch["t"], batch["scan_idx"], batch["row"], batch["col"], batch["is_occ"], strict=True):
-                k = (int(t), int(scan), int(row), int(col))  # a cell counts once in a sweep, and a return wins
-                pending[k] = bool(pending.get(k, False) or occ)
+            part = np.empty(len(batch), TOUCH)
+            part["t"], part["scan"], part["occ"] = batch["t"], batch["scan_idx"], batch["is_occ"]
+            part["cell"] = batch["row"] % TILE * TILE + batch["col"] % TILE
+            parts.append(part)
+        pending = _merged(parts) if parts else np.empty(0, TOUCH)
         mark = state.getCurrentWatermarkMs()
-        changed = set()
-        for k in sorted(k for k in pending if k[0] < mark):
-            occ, cell = pending.pop(k), k[2:]
-            l, n, o, _ = cells.get(cell, (model.l_prior, 0, 0, -1))
-            l = min(max(l + (model.l_occupied if occ else model.l_free), model.l_min), model.l_max)  # noqa: E741
-            cells[cell] = (l, n + 1, o + occ, k[1])
-            changed.add(cell)
-        state.update((json.dumps([(k, v) for k, v in cells.items()]), json.dumps([(k, v) for k, v in pending.items()])))
-        if pending:
-            state.setTimeoutTimestamp(max(min(k[0] for k in pending), mark) + 1)
-        rows = [(key[0], *cell, *cells[cell]) for cell in sorted(changed)]
-        yield pd.DataFrame(rows, columns=["run_id", "row", "col", "log_odds", "observed", "occ_obs", "last_scan"])
+        due, pending = pending[pending["t"] < mark], pending[pending["t"] >= mark]
+        sweep = due[["t", "scan"]]
+        for own in np.split(due, np.flatnonzero(sweep[1:] != sweep[:-1]) + 1) if len(due) else ():
+            at = own["cell"]
+            cells["l"][at] = np.clip(cells["l"][at] + np.where(own["occ"], model.l_occupied, model.l_free), model.l_min, model.l_max)
+            cells["n"][at] += 1
+            cells["o"][at] += own["occ"]
+            cells["s"][at] = own["scan"]
+        state.update((cells.tobytes(), pending.tobytes()))
+        if len(pending):
+            state.setTimeoutTimestamp(int(max(pending["t"].min(), mark)) + 1)
+        changed = np.unique(due["cell"])
+        row, col = int(key[1]) * TILE + changed // TILE, int(key[2]) * TILE + changed % TILE
+        values = cells[changed]
+        yield pd.DataFrame({"run_id": key[0], "row": row, "col": col, "log_odds": values["l"], "observed": values["n"], "occ_obs": values["o"], "last_scan": values["s"]})
 
     return run
 
