@@ -15,28 +15,39 @@ from gridfold.llm.common import checkpoint
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't outliers of their language and source."""
+    """Documents that pass the base rules and aren't outliers of their language and source.
+
+    A null text counts as empty, and fails; null languages and sources are ones of their own. Each row has its own verdict, also
+    under a repeated or null id. An empty table gives none.
+    """
     return quality.keep_good(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document has; a text may end up empty."""
+    """Texts without the lines that an earlier document has; a text may end up empty.
+
+    Rows with one id are one document, and those with a null id are one after all others. Null texts stay null. No row goes.
+    """
     kept = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group that is linked by shingle sets."""
+    """The smallest document of each group that is linked by shingle sets.
+
+    Each row is a document of its own; of equal rows, and of rows with a null id that are linked, one stays. Empty and null texts are linked with
+    nothing, and all stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, 0 to 2 times; each row counts for itself, and a null source is one of its own. Texts without words count 0."""
     return mixing.repeat_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens and the hash of the decoded bytes of each row of the mix."""
+    """doc_id, lang, source, ids, n_tokens and the hash of the decoded bytes of each row of the mix; a null text counts as empty."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     return bpe.decode(ids, path).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
