@@ -119,6 +119,36 @@ def test_personal_data_of_odd_rows(spark):
     assert [(r.spans, r.n_spans) for r in rows if not r.doc_id] == [("", 0)] and pii.find(df.filter("false")).count() == 0
 
 
+ODD = [(1, "one two 12"), (1, "one two 12"), (None, None), (None, ""), (2, None)]
+
+
+def test_encoding_and_counts_of_odd_rows(spark, library):
+    """Repeated rows, null ids, clashing columns, nothing; texts of several chunks, also as rows of their own."""
+    rng = random.Random(1)
+    long = "".join(rng.choice(("word ", "It's ", "  ", "\n", "12345 ", "é中 ", "x" * 40)) for _ in range(60_000))
+    assert len(long) > 2 * pretokens.CHUNK
+    rows = [*ODD, (3, long), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("x"), "n_tokens": F.lit("y"), "decoded": F.lit(0)})
+    want = sorted(((i, library.encode_ordinary(t or "")) for i, t in rows), key=str)
+    for long_chars in (bpe.LONG_CHARS, 100_000):
+        got = bpe.decode(bpe.encode(df, RANKS, P.PATTERN, long_chars=long_chars), RANKS).collect()
+        assert sorted(((r.doc_id, r.ids) for r in got), key=str) == want
+        assert sorted(bytes(r.decoded).decode() for r in got) == sorted(t or "" for _, t in rows)
+    assert bpe.encode(df.filter("false"), RANKS, P.PATTERN).count() == 0
+    json = Tokenizer.from_file(JSON)
+    counted = token_counts.count_tokens(df, JSON).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in counted), key=str) == sorted(((i, len(json.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=str)
+    assert token_counts.count_tokens(df.filter("false"), JSON).count() == 0
+
+
+def test_secrets_and_statistics_of_odd_rows(spark):
+    df = spark.createDataFrame([*ODD, (4, "token: abcdef12"), (4, "token: abcdef12")], "doc_id long, text string").withColumns({"secrets": F.lit("x"), "doc": F.lit(1), "n_words": F.lit("y"), "base": F.lit(0)})
+    got = sorted(((r.doc, [(s.start, s.end) for s in r.secrets]) for r in secrets.scan(df).collect()), key=str)
+    assert got == sorted([(1, []), (1, []), (None, []), (None, []), (2, []), (4, [(0, 15)]), (4, [(0, 15)])], key=str)
+    counted = sorted(((r.doc_id, r.n_words) for r in quality.statistics(df, "text", ("doc_id",)).collect()), key=str)
+    assert counted == sorted([(1, 3), (1, 3), (None, 0), (None, 0), (2, 0), (4, 2), (4, 2)], key=str)
+
+
 def test_secrets(docs, spark):
     found = secrets.scan(docs.select(F.col("n").alias("doc_id"), "text"))
     rows = found.collect()
