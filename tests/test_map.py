@@ -185,6 +185,16 @@ def test_matching_recovers_a_displaced_pose(spark):
     assert blank["pose"] == Pose(6.4, 5.8, 0.0) and blank["score"] == 0.0
 
 
+def test_tied_candidates_go_to_the_nearest_then_the_first(spark):
+    rows = [(0, 1.0, 0.0, 0.0, 5.0), (1, 0.5, 0.0, 0.0, 5.0 - 1e-13), (2, -0.5, 0.0, 0.0, 5.0), (3, 0.0, 0.0, 0.0, 4.9)]
+    scored = spark.createDataFrame(rows, "idx long, x double, y double, theta double, score double")
+    assert match.best(scored, Pose(0.0, 0.0), 0.5, 0.1).first()["idx"] == 1
+    assert match.best(scored.filter("idx <> 1"), Pose(0.0, 0.0), 0.5, 0.1).first()["idx"] == 2
+    by_sweep = scored.withColumn("scan_idx", F.col("idx") % 2)
+    assert {r.scan_idx: r.idx for r in match.best(by_sweep, Pose(0.0, 0.0), 0.5, 0.1, ("scan_idx",)).collect()} == {0: 2, 1: 1}
+    assert match.best(scored.filter("false"), Pose(0.0, 0.0), 0.5, 0.1).count() == 0
+
+
 def test_tables_as_text(spark):
     assert report.render(["a", "bb"], [["ccc", "d"]]) == "a    bb\n---  --\nccc  d "
     with pytest.raises(ValueError):

@@ -71,3 +71,18 @@ def test_scenarios_are_as_described():
     still = scenarios.dynamic_corridor("crossing").frozen_at(8.0)
     assert not still.movers and still.discs[-1] == Disc(20.0, 13.6 + 1.6 * 8.0, 1.0)
     assert Mover(0, 0, 0, 0, 1).direction == (1.0, 0.0)
+
+
+def test_parts_of_poses():
+    p = Pose(1.0, 2.0, math.pi / 2)
+    assert p.translation == (1.0, 2.0)
+    assert p.rotation()[0] == pytest.approx((0.0, -1.0)) and p.rotation()[1] == pytest.approx((1.0, 0.0))
+    assert Pose(1.0, 2.0, 3 * math.pi).normalized() == Pose(1.0, 2.0, wrap(3 * math.pi))
+
+
+def test_defaults_and_limits_of_the_checks():
+    """Clamps may be equal to the increments; defaults are those of a noisy sensor, snapped windows and a search of 0.8 m and 0.035 rad."""
+    assert EvidenceModel(p_free=0.3, clamp_free_prob=0.3).l_min == pytest.approx(math.log(0.3 / 0.7))
+    assert EvidenceModel(p_occupied=0.9, clamp_occupied_prob=0.9).l_max == pytest.approx(math.log(9))
+    assert (Lidar().range_noise_std, Lidar().dropout_prob, RunConfig().shift_policy) == (0.03, 0.02, "snap")
+    assert (SearchWindow().translation_radius, SearchWindow().heading_radius, SearchWindow().translation_step, SearchWindow().heading_step) == (0.8, 0.035, 0.2, 0.00873)
