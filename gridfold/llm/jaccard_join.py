@@ -340,11 +340,12 @@ def _shared_lists(rest: DataFrame, percent: int) -> DataFrame:
 
     Of the elements up to where the prefix of one of them ends, two sets share at most as many as they share keys, and
     after it at most the rest of that set. What is needed beyond the rest is least at a corner of the two ranges of sizes.
-    Components with light sets, whose keys aren't elements, are all let through.
+    Components with light sets, whose keys aren't elements, are all let through. Of their lists those are given where
+    what is left after the key suffices for some two of their documents, as at the first key that two sets share.
     """
     size = _size("at")
-    own = rest.groupBy("key", "root").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.bool_or(_light("at")).alias("light"), F.count("*").alias("held"))
-    x, y = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "low", "high", "light", "held"))) for side in "xy")
+    own = rest.groupBy("key", "root").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.bool_or(_light("at")).alias("light"), F.count("*").alias("held"), F.max(size - _position("at")).alias("room"))
+    x, y = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "low", "high", "light", "held", "room"))) for side in "xy")
     comparable = (100 * F.col("x_high") >= percent * F.col("y_low")) & (100 * F.col("y_high") >= percent * F.col("x_low"))
     met = x.join(y, "key").filter((F.col("x_root") < F.col("y_root")) & comparable)
     ends = [F.min("x_low").alias("x_low"), F.max("x_high").alias("x_high"), F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high")]
@@ -352,7 +353,8 @@ def _shared_lists(rest: DataFrame, percent: int) -> DataFrame:
     beyond = lambda n, m: _need(n, m, percent) - F.ceil(F.greatest(n, m) * percent / 100)
     needed = F.least(*(beyond(F.col(f"x_{p}"), F.col(f"y_{q}")) for p in ("low", "high") for q in ("low", "high")))
     possible = counted.filter(F.col("light") | (F.col("keys") >= needed)).select("x_root", "y_root")
-    kept = met.select("key", "x_root", "y_root", (F.col("x_held") <= F.col("y_held")).alias("first")).join(possible, ["x_root", "y_root"])
+    room = F.least("x_room", "y_room") + F.when(F.col("x_light") & F.col("y_light"), SUBSET - 1).otherwise(0)
+    kept = met.filter(room >= _need(F.col("x_low"), F.col("y_low"), percent)).select("key", "x_root", "y_root", (F.col("x_held") <= F.col("y_held")).alias("first")).join(possible, ["x_root", "y_root"])
     either = lambda u, v: F.when(F.col("first"), F.col(u)).otherwise(F.col(v))
     return kept.select("key", either("x_root", "y_root").alias("r"), either("y_root", "x_root").alias("s"))
 
