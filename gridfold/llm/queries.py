@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import bpe, jaccard_join, licenses, line_dedup, mixing, pii, quality, secrets, token_counts, topk
+from gridfold.llm import alignment, bpe, jaccard_join, licenses, line_dedup, mixing, pii, quality, secrets, token_counts, topk
 from gridfold.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.score(table(spark, sf_dir, "documents"), path_a, path_b).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_pii, op3_jaccard_join, op4_token_counts, op5_source_mixing, op6_exact_topk, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan)
+    own = (op1_byte_bpe, op2_pii, op3_jaccard_join, op4_token_counts, op5_source_mixing, op6_exact_topk, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan, op11_cross_tokenizer)
     return {f.__name__: f for f in own}
