@@ -61,5 +61,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def _lloyd(rounds: int = 10, k: int = 8) -> str:
+    """Plain rounds over all pairs, one after the other."""
+    away = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, e FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})""",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, min({{'d': CAST({away} AS BIGINT), 'c': c}}) AS near FROM v CROSS JOIN c{r} c GROUP BY vec_id)")
+        if r < rounds:
+            ctes.append(f"""s{r} AS (SELECT near.c AS c, unnest(generate_series(1, 64)) AS i, unnest(e) AS x FROM a{r}),
+t{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM s{r} GROUP BY c, i),
+m{r} AS (SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS e FROM t{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m.e, c0.e) AS e FROM c{r} c0 LEFT JOIN m{r} m ON m.c = c0.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, near.c AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = near.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3, "op5_source_mixing": OP5, "op6_exact_topk": OP6, "op9_line_dedup": OP9}
+    return {"op3_jaccard_join": OP3, "op5_source_mixing": OP5, "op6_exact_topk": OP6, "op9_line_dedup": OP9, "op12_centroid_clustering": _lloyd()}
