@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import alignment, bpe, jaccard_join, licenses, line_dedup, lloyd, mixing, pii, quality, secrets, token_counts, topk
+from gridfold.llm import alignment, bpe, jaccard_join, kneser_ney, licenses, line_dedup, lloyd, mixing, pii, quality, secrets, token_counts, topk
 from gridfold.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_pii, op3_jaccard_join, op4_token_counts, op5_source_mixing, op6_exact_topk, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan, op11_cross_tokenizer, op12_centroid_clustering)
+    own = (op1_byte_bpe, op2_pii, op3_jaccard_join, op4_token_counts, op5_source_mixing, op6_exact_topk, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_license_scan, op11_cross_tokenizer, op12_centroid_clustering, op13_kneser_ney)
     return {f.__name__: f for f in own}
