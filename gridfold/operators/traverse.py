@@ -13,34 +13,32 @@ from gridfold.params import Grid
 
 
 class _Axis:
-    """One axis of rays: where its crossings of grid lines lie, and how many come before a parameter."""
+    """One axis of rays: where its crossings of grid lines lie, and how many come before a parameter. `of` gives each of its columns."""
 
-    def __init__(self, name: str, origin: float, resolution: float):
-        self.origin, self.resolution = origin, resolution
-        self.start, self.delta, self.sign, self.line = (F.col(f"_{name}_{c}") for c in ("start", "delta", "sign", "line"))
+    def __init__(self, of, resolution: float):
+        self.resolution = resolution
+        self.origin, self.start, self.delta, self.sign, self.line = map(of, ("origin", "start", "delta", "sign", "line"))
 
     def crossing(self, k: Column) -> Column:
         """Parameter of the k-th crossing, from 0 on; it doesn't fall as k rises, also as rounded."""
         at = (self.origin + (self.line + self.sign * k) * self.resolution) - self.start
         return at / F.when(self.sign == 0, F.lit(1.0)).otherwise(self.delta)
 
-    def before(self, t: Column, most: Column, inclusive: bool) -> Column:
-        """Crossings with a parameter under t (or equal to it), of the first `most`.
-
-        The quotient is off by one at most through rounding, so that three crossings around it decide.
-        """
+    def nearest(self, t: Column, most: Column) -> Column:
+        """The crossing that is nearest to the parameter t: those before it lie under t, those after it over it, whatever was rounded."""
         there = (self.start + t * self.delta - self.origin) / self.resolution
-        guess = F.floor(F.least(F.greatest((there - self.line) * self.sign, F.lit(-1.0)), most + 1.0))
-        counted = F.greatest(guess - 1, F.lit(0).cast("long"))
-        for k in (guess - 1, guess, guess + 1):
-            passed = self.crossing(k) <= t if inclusive else self.crossing(k) < t
-            counted = counted + F.when((k >= 0) & passed, 1).otherwise(0)
-        return F.when(self.sign == 0, 0).otherwise(F.least(counted, most))
+        return F.rint(F.least(F.greatest((there - self.line) * self.sign, F.lit(-1.0)), most + 1.0)).cast("long")
+
+    def counted(self, nearest: Column, passed: Column, most: Column) -> Column:
+        """Crossings before a parameter, of the first `most`: those before the nearest, and that one if it was passed."""
+        upto = nearest + F.when(passed, 1).otherwise(0)
+        return F.when(self.sign == 0, 0).otherwise(F.least(F.greatest(upto, F.lit(0).cast("long")), most))
 
 
 def _columns(name: str, start: Column, delta: Column, origin: float, resolution: float) -> list[Column]:
     first = F.floor((start - origin) / resolution)
     return [
+        F.lit(float(origin)).alias(f"_{name}_origin"),
         start.alias(f"_{name}_start"),
         delta.alias(f"_{name}_delta"),
         first.alias(f"_{name}_first"),
@@ -65,28 +63,46 @@ def walk(rays: DataFrame, grid: Grid, keep: list[str]) -> DataFrame:
     inside = (x0 >= grid.origin_x) & (x0 < grid.extent[1] + res) & (y0 >= grid.origin_y) & (y0 < grid.extent[3] + res)
     started = rays.filter(finite).filter(inside).select(*keep, *_columns("x", x0, x1 - x0, grid.origin_x, res), *_columns("y", y0, y1 - y0, grid.origin_y, res))
     started = started.filter((F.col("_x_first") >= 0) & (F.col("_x_first") < grid.cols) & (F.col("_y_first") >= 0) & (F.col("_y_first") < grid.rows))
-    x, y = _Axis("x", grid.origin_x, res), _Axis("y", grid.origin_y, res)
-    # One crossing more than the grid is wide leads out of it for good.
-    n_x, n_y = x.before(F.lit(1.0), F.lit(grid.cols + 1).cast("long"), True), y.before(F.lit(1.0), F.lit(grid.rows + 1).cast("long"), True)
-    counted = started.withColumns({"_nx": n_x, "_ny": n_y})
-    steps = counted.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") + F.col("_ny"))))
-    # Row 0 is the start, then come the crossings of x, then those of y; `_k` is the crossing's number on its own axis.
-    i, of_x = F.col("_i"), F.col("_i") <= F.col("_nx")
-    k = F.when(of_x, i).otherwise(i - F.col("_nx"))
-    placed = steps.withColumns({"_of_x": of_x, "_k": k}).withColumn("_t", F.when(F.col("_of_x"), x.crossing(F.col("_k") - 1)).otherwise(y.crossing(F.col("_k") - 1)))
-    t = F.col("_t")
-    other = F.when(i == 0, 0).when(F.col("_of_x"), y.before(t, F.col("_ny"), False)).otherwise(x.before(t, F.col("_nx"), True))
-    walked = placed.withColumn("_other", other)
+    x, y = (_Axis(lambda c, n=name: F.col(f"_{n}_{c}"), res) for name in "xy")
+
+    def counted(rays: DataFrame, name: str, axis: _Axis, t: Column, inclusive: bool, most: Column) -> DataFrame:
+        rays = rays.withColumn("_near", axis.nearest(t, most))
+        passed = axis.crossing(F.col("_near")) <= t if inclusive else axis.crossing(F.col("_near")) < t
+        return rays.withColumn(name, axis.counted(F.col("_near"), passed, most)).drop("_near")
+
+    # `_in`: crossings that stay in the grid; one more leads out of it for good.
+    for name, size in (("x", grid.cols), ("y", grid.rows)):
+        first, sign = F.col(f"_{name}_first"), F.col(f"_{name}_sign")
+        started = started.withColumn(f"_{name}_in", F.when(sign > 0, size - 1 - first).otherwise(first))
+    for name, axis in (("x", x), ("y", y)):
+        started = counted(started, f"_{name}_all", axis, F.lit(1.0), True, F.col(f"_{name}_in") + 1)
+        started = started.withColumn(f"_{name}_out", F.when(F.col(f"_{name}_all") > F.col(f"_{name}_in"), axis.crossing(F.col(f"_{name}_in"))).otherwise(float("inf")))
+    # At a corner the column changes first: a ray that leaves by x has the crossings of y under that parameter, one that leaves by y those of x up to it.
+    started = started.withColumns({"_by_x": (F.col("_x_out") < float("inf")) & (F.col("_x_out") <= F.col("_y_out")), "_by_y": F.col("_y_out") < F.col("_x_out"), "_exit": F.least("_x_out", "_y_out", F.lit(1.0))})
+    started = counted(started, "_x_upto", x, F.col("_exit"), True, F.col("_x_in"))
+    started = counted(started, "_y_upto", y, F.col("_exit"), False, F.col("_y_in"))
+    n_x = F.when(F.col("_by_x"), F.col("_x_in")).when(F.col("_by_y"), F.col("_x_upto")).otherwise(F.col("_x_all"))
+    n_y = F.when(F.col("_by_x"), F.col("_y_upto")).when(F.col("_by_y"), F.col("_y_in")).otherwise(F.col("_y_all"))
+    started = started.withColumns({"_x_n": n_x, "_y_n": n_y, "_reached": ~F.col("_by_x") & ~F.col("_by_y")})
+    steps = started.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_x_n") + F.col("_y_n"))))
+    # Row 0 is the start, then come the crossings of x, then those of y. Each row has its own axis as a, the other one as b; `_k` is the crossing's number on its own.
+    of_x = F.col("_i") <= F.col("_x_n")
+    sides = {f"_{side}_{c}": F.when(of_x, F.col(f"_{own}_{c}")).otherwise(F.col(f"_{other}_{c}")) for side, own, other in (("a", "x", "y"), ("b", "y", "x")) for c in ("origin", "start", "delta", "sign", "line", "n")}
+    placed = steps.select(*keep, "_x_first", "_y_first", "_x_sign", "_y_sign", "_i", of_x.alias("_of_x"), F.when(of_x, F.col("_i")).otherwise(F.col("_i") - F.col("_x_n")).alias("_k"), F.when(F.col("_reached"), F.col("_x_n") + F.col("_y_n")).otherwise(-1).alias("_last"), *(v.alias(k) for k, v in sides.items()))
+    own, other = (_Axis(lambda c, s=side: F.col(f"_{s}_{c}"), res) for side in "ab")
+    placed = placed.withColumn("_t", own.crossing(F.col("_k") - 1))
+    placed = placed.withColumn("_near", other.nearest(F.col("_t"), F.col("_b_n"))).withColumn("_at", other.crossing(F.col("_near")))
+    # At a corner the column changes first, so that a crossing of y counts that of x at its own parameter.
+    passed = (F.col("_at") < F.col("_t")) | (~F.col("_of_x") & (F.col("_at") == F.col("_t")))
+    walked = placed.withColumn("_other", F.when(F.col("_i") == 0, 0).otherwise(other.counted(F.col("_near"), passed, F.col("_b_n"))))
     on_x, on_y = F.when(F.col("_of_x"), F.col("_k")).otherwise(F.col("_other")), F.when(F.col("_of_x"), F.col("_other")).otherwise(F.col("_k"))
-    cells = walked.select(
+    return walked.select(
         *keep,
         (F.col("_k") + F.col("_other")).cast("int").alias("step"),
         (F.col("_y_first") + F.col("_y_sign") * on_y).cast("int").alias("row"),
         (F.col("_x_first") + F.col("_x_sign") * on_x).cast("int").alias("col"),
-        (F.col("_k") + F.col("_other") == F.col("_nx") + F.col("_ny")).alias("is_terminal"),
+        (F.col("_k") + F.col("_other") == F.col("_last")).alias("is_terminal"),
     )
-    # Rows and columns only move one way, so that the cells inside the grid are the walk up to its exit.
-    return cells.filter((F.col("row") >= 0) & (F.col("row") < grid.rows) & (F.col("col") >= 0) & (F.col("col") < grid.cols))
 
 
 def dealt(rays: DataFrame, *keys: str) -> DataFrame:
