@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,13 @@ from gridfold.llm.shingles import set_key, shingle_set
 SUBSET = 2
 #: The boundary is sought up to this size; beyond, subsets outnumber elements far too much.
 MOST_LIGHT = 128
-#: Sets in one window of hashes from which an element counts as common, and bound on the elements that are put last.
+#: Different sets from which an element counts as common, and bound on the elements that are put last.
 #: Both only order the elements: whatever comes last, no link is lost.
 COMMON, MOST_COMMON = 8, 1 << 20
-#: Hashes that are counted together by a Python worker (32 MB).
-WINDOW = 4_000_000
+#: Elements are counted by their upper 48 bits.
+DROPPED = np.uint64(16)
+#: Hashes that are counted together by a Python worker (32 MB), and those of a range that one task adds up.
+WINDOW, RANGE = 4_000_000, 1 << 21
 #: Elements of the sets in one box of pairs to verify (2 MB). A document whose partners have more gets several boxes.
 BOX = 1 << 18
 #: Up to so many ids are broadcast (16 bytes each); with more the plan does without.
@@ -66,7 +69,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 class _Window:
-    """Counts elements over the distinct sets of a window, and the sets by size."""
+    """The distinct sets of a window by size, with what their postings would meet in it."""
 
     def __init__(self):
         self.sets: dict[tuple[int, int], np.ndarray] = {}
@@ -78,11 +81,11 @@ class _Window:
             self.held += len(hashes)
         return self.held >= WINDOW
 
-    def drain(self, percent: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """Elements in two sets or more with their counts; by size of the light sets: sets, postings, and what the postings meet."""
+    def drain(self, percent: int) -> dict[int, list[int]]:
+        """By size of the light sets: sets, and what their postings meet."""
         sizes: dict[int, list[int]] = {}
         if not self.sets:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), sizes
+            return sizes
         elements, counts = np.unique(np.concatenate(list(self.sets.values())), return_counts=True)
         for h in self.sets.values():
             if 2 <= (n := len(h)) <= MOST_LIGHT:
@@ -91,12 +94,11 @@ class _Window:
                 one[0] += 1
                 one[1] += int(np.minimum(counts[np.searchsorted(elements, prefix)] - 1, COMMON).sum())
         self.sets, self.held = {}, 0
-        common = counts > 1
-        return elements[common], counts[common].astype(np.int64), sizes
+        return sizes
 
 
 def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows of three kinds: 0 (doc, n, key), 1 (element, count in a window), 2 (size, sets, postings met)."""
+    """Rows of two kinds: 0 (doc, n, key), 2 (size, sets, postings met)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = _Window()
@@ -107,8 +109,7 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "c", "d"])
 
         def drained() -> Iterator[pa.RecordBatch]:
-            elements, counts, sizes = window.drain(percent)
-            yield rows(1, _signed(elements), counts)
+            sizes = window.drain(percent)
             yield rows(2, list(sizes), [s[0] for s in sizes.values()], [s[1] for s in sizes.values()])
 
         for batch in batches:
@@ -145,8 +146,53 @@ def _boundary(sketch: DataFrame, percent: int) -> int:
     return at
 
 
+def _deltas(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(values, prepend=np.uint64(0)).tobytes(), 1)
+
+
+def _common(docs: DataFrame, width: int) -> DataFrame:
+    """(element, n): the upper bits of the elements that COMMON documents or more hold, and how many hold them.
+
+    Each worker counts windows of sets, and sends their sorted elements in a row for each range of hashes; a range's elements are added up in one task.
+    """
+    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-octets // (6 * RANGE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            elements, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+            places = np.searchsorted(((elements >> DROPPED) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            own = np.flatnonzero(places[1:] > places[:-1])
+            packed = [[_deltas(elements[places[p] : places[p + 1]]) for p in own], [zstandard.compress(n[places[p] : places[p + 1]].astype(np.uint32).tobytes(), 1) for p in own]]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "elements", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                # Different elements with the same upper bits count once.
+                held.append(np.unique(shingle_set(text.as_py(), width) >> DROPPED))
+                size += len(held[-1])
+                if size >= WINDOW:
+                    yield counted()
+                    held.clear()
+                    size = 0
+        yield counted()
+
+    def added(table: pa.Table) -> pa.Table:
+        elements = [np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint64), dtype=np.uint64) for x in table["elements"]]
+        found, at = np.unique(np.concatenate(elements), return_inverse=True)
+        n = np.zeros(len(found), np.int64)
+        np.add.at(n, at, np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in table["n"]]))
+        return pa.table({"element": found[n >= COMMON].astype(np.int64), "n": n[n >= COMMON]})
+
+    rows = docs.select("text").mapInArrow(run, "part int, elements binary, n binary")
+    return rows.groupBy("part").applyInArrow(added, "element long, n long")
+
+
 class Order:
-    """The common elements in order of their hashes, with the place of each in the order of frequency."""
+    """The upper bits of the common elements in order, with the place of each in the order of frequency."""
 
     def __init__(self, elements: np.ndarray, counts: np.ndarray):
         by_hash = np.argsort(elements)
@@ -158,11 +204,12 @@ class Order:
     def prefix(self, hashes: np.ndarray, length: int) -> np.ndarray:
         """The first elements of a set: common ones last, from rare to frequent; the others by hash."""
         if len(self.elements):
-            at = np.minimum(np.searchsorted(self.elements, hashes), len(self.elements) - 1)
-            last = self.elements[at] == hashes
+            upper = hashes >> DROPPED
+            at = np.minimum(np.searchsorted(self.elements, upper), len(self.elements) - 1)
+            last = self.elements[at] == upper
             if last.any():
                 rare, often = hashes[~last], hashes[last]
-                return np.concatenate([rare, often[np.argsort(self.place[at[last]])]])[:length]
+                return np.concatenate([rare, often[np.argsort(self.place[at[last]], kind="stable")]])[:length]
         return hashes[:length]
 
 
@@ -392,18 +439,21 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """`join` of rows (doc, text) with keys that no two share."""
     sketch = checkpoint(_sketched(docs, width, percent))
     own = sketch.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
-    common_rows = sketch.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
-    most = common_rows.orderBy(F.desc("n"), "a").limit(MOST_COMMON).toArrow()  # 16 MB at most
-    order = Order(most["a"].to_numpy().astype(np.int64).view(np.uint64), most["n"].to_numpy())
     boundary = _boundary(sketch, percent)
 
     # Equal sets are a class, named by its smallest document. Its rows are summed before they are shuffled.
     first = own.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("class"))
     classes = checkpoint(own.join(first, ["k1", "k2"], "left").select("doc", "n", F.coalesce("class", "doc").alias("class")))
     copies = classes.filter("doc <> class").select("doc")
-    # With few copies only a class's first document is posted. Otherwise all are, and the lists are brought down to classes.
-    if copies.count() <= BROADCAST_IDS:
-        lists = _listed(_postings(docs.join(F.broadcast(copies), "doc", "left_anti"), order, boundary, width, percent))
+    # With few copies only a class's first document is counted and posted. Otherwise all are, and the lists are brought down to classes.
+    few = copies.count() <= BROADCAST_IDS
+    firsts = docs.join(F.broadcast(copies), "doc", "left_anti") if few else docs
+    common = checkpoint(_common(firsts, width))
+    free_shuffles(docs.sparkSession)
+    most = common.orderBy(F.desc("n"), "element").limit(MOST_COMMON).toArrow()  # 16 MB at most
+    order = Order(most["element"].to_numpy().astype(np.int64).view(np.uint64), most["n"].to_numpy())
+    if few:
+        lists = _listed(_postings(firsts, order, boundary, width, percent))
     else:
         posted = _listed(_postings(docs, order, boundary, width, percent)).select("key", "doc", "at")
         of = classes.filter("n > 1").select("doc", "class")
