@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from gridfold.session import checkpoint
 
-__all__ = ["BLANKS", "NO_ID", "WORD", "checkpoint", "free_shuffles", "ids_are_keys", "keyed", "let", "numbered", "replace_columns", "table"]
+__all__ = ["BLANKS", "WORD", "checkpoint", "free_shuffles", "ids_are_keys", "keyed", "let", "numbered", "replace_columns", "table"]
 #: ASCII white space, as the contracts count it: space, and tab to carriage return.
 BLANKS = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Stands for a null document id: one unnamed document that comes after all others.
-NO_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import NO_ID, checkpoint, let, replace_columns
+from gridfold.llm.common import checkpoint, let, replace_columns
 
 #: The blanks that are stripped from both ends of a line to make its key.
 _STRIP = " \t\n\x0b\x0c\r"
@@ -30,8 +30,11 @@ def key_of(line: Column) -> Column:
 
 
 def dropped_positions(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc, text_hash, positions) of the rows that lose lines; positions are distinct and start at 0."""
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    """(doc, text_hash, positions) of the rows that lose lines; positions are distinct and start at 0.
+
+    The null id is a group of its own, and the minimum passes over it.
+    """
+    doc = F.col(f"`{id_col}`").cast("long")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = df.select(doc.alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.transform(lines_of(text), key_of)).alias("pos", "key"))
     lines = lines.filter(F.char_length("key") >= min_chars).select(
@@ -56,7 +59,7 @@ def dropped_positions(df: DataFrame, id_col: str, text_col: str, min_chars: int,
     rest = tagged.filter("keeper is null").drop("keeper").join(drop.filter(F.col("docs") <= least).select("h1", "h2", "keeper"), ["h1", "h2"])
     return (
         of_hot.unionByName(rest)
-        .filter(F.col("doc") != F.col("keeper"))
+        .filter(~F.col("doc").eqNullSafe(F.col("keeper")))
         .select("doc", F.explode("at").alias("at"))
         .groupBy("doc", F.col("at.text_hash").alias("text_hash"))
         .agg(F.collect_set("at.pos").alias("positions"))
@@ -74,14 +77,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     dropped = dropped_positions(df, id_col, text_col, min_chars, min_docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    left = df.withColumns(
-        {"_gf_doc": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "_gf_hash": F.xxhash64(text)}
-    )
-    joined = left.join(
-        dropped.select(F.col("doc").alias("_gf_doc"), F.col("text_hash").alias("_gf_hash"), F.col("positions").alias("_gf_drop")),
-        ["_gf_doc", "_gf_hash"],
-        "left",
-    )
+    key = lambda doc: {"_gf_null": doc.isNull(), "_gf_doc": F.coalesce(doc, F.lit(0).cast("long"))}
+    left = df.withColumns(key(F.col(f"`{id_col}`").cast("long")) | {"_gf_hash": F.xxhash64(text)})
+    right = dropped.select(*(c.alias(name) for name, c in key(F.col("doc")).items()), F.col("text_hash").alias("_gf_hash"), F.col("positions").alias("_gf_drop"))
+    joined = left.join(right, ["_gf_null", "_gf_doc", "_gf_hash"], "left")
     lines = lines_of(F.col(f"`{text_col}`"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gf_drop"))
     kept = F.when(F.col("_gf_drop").isNull(), F.col(f"`{text_col}`")).otherwise(

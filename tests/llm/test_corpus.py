@@ -62,6 +62,12 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert got == sorted([(1, "the same long line\nx"), (1, "the same long line\nx"), (2, "z"), (None, "y")], key=str)
 
 
+def test_line_dedup_tells_a_null_id_from_the_largest(spark):
+    rows = [(2**63 - 1, "the same long line\nx"), (None, "the same long line\ny"), (None, "the same long line\ny"), (0, "z")]
+    got = sorted(((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(2**63 - 1, "the same long line\nx", 0), (None, "y", 1), (None, "y", 1), (0, "z", 0)], key=str)
+
+
 @pytest.mark.parametrize(("boundary", "tight"), [(None, False), (0, False), (60, False), (30, True)])
 def test_jaccard_join(docs, texts, boundary, tight, monkeypatch):
     """With `tight`, nothing is broadcast and a box holds a few sets, so that all paths for large tables are taken."""
