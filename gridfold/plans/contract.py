@@ -579,8 +579,13 @@ def match_scan(spark, sf_dir):
 _COUNTS = """count(*) FILTER (scored) AS scored_cells, count(*) FILTER (scored AND state > 0) AS decided_cells, count(*) FILTER (scored AND NOT occupied AND state > 0) AS free_truth,
 count(*) FILTER (scored AND NOT occupied AND state = 1) AS free_correct, count(*) FILTER (scored AND occupied AND state > 0) AS occupied_truth, count(*) FILTER (scored AND occupied AND state > 0 AND matched) AS occupied_correct,
 count(*) FILTER (scored AND NOT occupied AND state = 2) AS free_called_occupied, count(*) FILTER (scored AND occupied AND state = 1) AS occupied_called_free"""
-_FRACTIONS = """round(coalesce(decided_cells / nullif(scored_cells, 0), 0), 6)::DOUBLE AS decided_fraction, round(coalesce(free_correct / nullif(free_truth, 0), 0), 6)::DOUBLE AS free_agreement,
-round(coalesce(occupied_correct / nullif(occupied_truth, 0), 0), 6)::DOUBLE AS occupied_agreement, round(0.5 * (coalesce(free_correct / nullif(free_truth, 0), 0) + coalesce(occupied_correct / nullif(occupied_truth, 0), 0)), 6)::DOUBLE AS balanced_agreement"""
+_RATIOS = {
+    "decided_fraction": "coalesce(decided_cells / nullif(scored_cells, 0), 0)",
+    "free_agreement": "coalesce(free_correct / nullif(free_truth, 0), 0)",
+    "occupied_agreement": "coalesce(occupied_correct / nullif(occupied_truth, 0), 0)",
+    "balanced_agreement": "0.5 * (coalesce(free_correct / nullif(free_truth, 0), 0) + coalesce(occupied_correct / nullif(occupied_truth, 0), 0))",
+}
+_FRACTIONS = ", ".join(f"round({v}, 6)::DOUBLE AS {k}" for k, v in _RATIOS.items())
 _RATES = ("decided_fraction", "free_agreement", "occupied_agreement", "balanced_agreement")
 
 
@@ -596,20 +601,20 @@ def score_grid(spark, sf_dir):
 THRESHOLDS = [0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.83, 0.86]
 
 
-@query(
-    f"WITH {SCORED}, b AS (SELECT * FROM (VALUES " + ", ".join(f"({p}::DOUBLE, {number(math.log(p / (1 - p)))})" for p in THRESHOLDS) + f") t(decision_prob, d)), n AS (SELECT decision_prob, {_COUNTS} FROM (SELECT *, state = 2 AS matched FROM (SELECT decision_prob, row, col, occupied, scored, CASE WHEN log_odds <= -d THEN 1 WHEN log_odds >= d THEN 2 ELSE 0 END AS state FROM scored, b)) GROUP BY decision_prob) SELECT *, {_FRACTIONS} FROM n"
+_THRESHOLD_COUNTS = (
+    f"WITH {SCORED}, b AS (SELECT * FROM (VALUES " + ", ".join(f"({p}::DOUBLE, {number(math.log(p / (1 - p)))})" for p in THRESHOLDS) + f") t(decision_prob, d)), n AS (SELECT decision_prob, {_COUNTS} FROM (SELECT *, state = 2 AS matched FROM (SELECT decision_prob, row, col, occupied, scored, CASE WHEN log_odds <= -d THEN 1 WHEN log_odds >= d THEN 2 ELSE 0 END AS state FROM scored, b)) GROUP BY decision_prob)"
 )
-def threshold_sweep(spark, sf_dir):
-    return _rounded(score.threshold_sweep(scored(spark, sf_dir), MODEL, THRESHOLDS), "decision_prob")
 
 
-_TEXT_RATES = ("decided_fraction", "free_agreement", "occupied_agreement", "balanced_agreement")
+@query(_THRESHOLD_COUNTS + f" SELECT *, {_FRACTIONS} FROM n")
+def threshold_sweep(spark, sf_dir):
+    return _rounded(score.threshold_sweep(scored(spark, sf_dir), MODEL, THRESHOLDS), "decision_prob")
 
 
-@query("WITH t AS (" + SQL["threshold_sweep"] + ") SELECT printf('%.2f', decision_prob) AS label, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in _TEXT_RATES) + ", CAST(free_called_occupied AS VARCHAR) AS free_called_occupied, CAST(occupied_called_free AS VARCHAR) AS occupied_called_free FROM t")
+@query(_THRESHOLD_COUNTS + " SELECT printf('%.2f', decision_prob) AS label, " + ", ".join(f"printf('%.4f', CAST({v} AS DOUBLE)) AS {k}" for k, v in _RATIOS.items()) + ", CAST(free_called_occupied AS VARCHAR) AS free_called_occupied, CAST(occupied_called_free AS VARCHAR) AS occupied_called_free FROM n")
 def agreement_rows(spark, sf_dir):
-    """The agreement table's strings."""
-    return report.agreement_rows(threshold_sweep(spark, sf_dir))
+    """The agreement table's strings, from rates that aren't rounded before."""
+    return report.agreement_rows(score.threshold_sweep(scored(spark, sf_dir), MODEL, THRESHOLDS))
 
 
 _NEAR = "near AS (SELECT k, c.row, c.col, bool_or(o.row IS NOT NULL) AS matched FROM (SELECT * FROM called, range(4) t(k)) c LEFT JOIN (SELECT row, col FROM called WHERE state = 2) o ON c.occupied AND o.row BETWEEN c.row - k AND c.row + k AND o.col BETWEEN c.col - k AND c.col + k GROUP BY ALL)"
@@ -698,11 +703,11 @@ def smear_report(spark, sf_dir):
     return rows.select(*(F.round(c, 4).alias(c) for c in _REPORT))
 
 
-def _text_sql(form: str, column: str) -> str:
-    return f"printf('{form}', {f'CAST({column} AS BIGINT)' if form == '%d' else f'CAST({column} AS DOUBLE)'})"
+def _text_sql(digits: int, column: str) -> str:
+    return f"printf('%.{digits}f', CAST({column} AS DOUBLE))"
 
 
-@query(f"WITH {_HALVES} SELECT 'rows' AS \"case\", " + ", ".join(f"{_text_sql(form, c)} AS {c}" for _, c, form in report.SMEAR_COLUMNS) + " FROM report")
+@query(f"WITH {_HALVES} SELECT 'rows' AS \"case\", " + ", ".join(f"{_text_sql(digits, c)} AS {c}" for _, c, digits in report.SMEAR_COLUMNS) + " FROM report")
 def smear_rows(spark, sf_dir):
     """The smear table's strings."""
     return report.smear_rows(_smear_report(spark, sf_dir))

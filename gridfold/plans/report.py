@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import state
@@ -23,14 +23,19 @@ def render(headers: list[str], rows: list[list[str]]) -> str:
     return "\n".join(map(text, lines))
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """A number with so many decimals: rounded from its exact binary value, halves to even."""
+    return F.translate(F.format_number(F.col(value).cast("double") if isinstance(value, str) else value, digits), ",", "")
+
+
 def agreement_rows(agreement: DataFrame, by: str = "decision_prob") -> DataFrame:
     """Formatted strings of a threshold or tolerance sweep, in order of it."""
     if by not in ("decision_prob", "spatial_tolerance"):
         raise ValueError("by must be decision_prob or spatial_tolerance")
-    label = F.format_string("%.2f", F.col(by).cast("double")) if by == "decision_prob" else F.col(by).cast("string")
+    label = fixed(by, 2) if by == "decision_prob" else F.col(by).cast("string")
     rates = ("decided_fraction", "free_agreement", "occupied_agreement", "balanced_agreement")
     counts = ("free_called_occupied", "occupied_called_free")
-    return agreement.orderBy(by).select(label.alias("label"), *(F.format_string("%.4f", c).alias(c) for c in rates), *(F.col(c).cast("string").alias(c) for c in counts))
+    return agreement.orderBy(by).select(label.alias("label"), *(fixed(c, 4).alias(c) for c in rates), *(F.col(c).cast("string").alias(c) for c in counts))
 
 
 #: Headers of the agreement table after the first. Fixed values.
@@ -43,21 +48,21 @@ def agreement_table(agreement: DataFrame, by: str = "decision_prob") -> str:
     return render([first, *AGREEMENT_HEADERS], rows)
 
 
-#: Columns of the smear table: header, column of the report, format. Fixed values.
+#: Columns of the smear table: header, column of the report, decimals. Fixed values.
 SMEAR_COLUMNS = (
-    ("swept (m)", "swept_distance", "%.2f"),
-    ("parked (m)", "parked_extent_along", "%.2f"),
-    ("moving (m)", "moving_extent_along", "%.2f"),
-    ("smear (m)", "smear_length", "%.2f"),
-    ("smear/swept", "smear_fraction_of_sweep", "%.3f"),
-    ("stale cells", "moving_stale_cells", "%d"),
-    ("stale (m2)", "moving_stale_area", "%.2f"),
-    ("footprint", "footprint_cells", "%d"),
-    ("found", "moving_detected_cells", "%d"),
-    ("unknown", "moving_unknown_footprint_cells", "%d"),
-    ("called free", "moving_false_free_cells", "%d"),
-    ("parked finds", "parked_detected_cells", "%d"),
-    ("peak returns", "peak_returns_per_cell", "%d"),
+    ("swept (m)", "swept_distance", 2),
+    ("parked (m)", "parked_extent_along", 2),
+    ("moving (m)", "moving_extent_along", 2),
+    ("smear (m)", "smear_length", 2),
+    ("smear/swept", "smear_fraction_of_sweep", 3),
+    ("stale cells", "moving_stale_cells", 0),
+    ("stale (m2)", "moving_stale_area", 2),
+    ("footprint", "footprint_cells", 0),
+    ("found", "moving_detected_cells", 0),
+    ("unknown", "moving_unknown_footprint_cells", 0),
+    ("called free", "moving_false_free_cells", 0),
+    ("parked finds", "parked_detected_cells", 0),
+    ("peak returns", "peak_returns_per_cell", 0),
 )
 
 
@@ -67,7 +72,7 @@ def smear_table(report: DataFrame, label: str = "case") -> str:
 
 def smear_rows(report: DataFrame, label: str = "case") -> DataFrame:
     """The smear table's formatted strings."""
-    return report.select(F.col(label).cast("string"), *(F.format_string(form, c).alias(c) for _, c, form in SMEAR_COLUMNS))
+    return report.select(F.col(label).cast("string"), *(fixed(c, digits).alias(c) for _, c, digits in SMEAR_COLUMNS))
 
 
 def as_doubles(df: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
