@@ -55,12 +55,43 @@ def threshold_sweep(cells: DataFrame, model: EvidenceModel, decision_probs: list
     return with_fractions(counted.withColumn("spatial_tolerance", F.lit(0)))
 
 
-def occupied_distance(cells: DataFrame, occupied: Column, reach: int, keys: list[str]) -> DataFrame:
-    """(keys, row, col, distance): Chebyshev distance to the nearest cell that `occupied` marks, where it is at most `reach`."""
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = cells.filter(occupied).select(*keys, *CELL, F.explode(around).alias("_i")).select(*keys, *CELL, "_i", F.explode(around).alias("_j"))
-    near = spread.select(*keys, (F.col("row") + F.col("_i")).cast("int").alias("row"), (F.col("col") + F.col("_j")).cast("int").alias("col"), F.greatest(F.abs("_i"), F.abs("_j")).alias("distance"))
-    return near.groupBy(*keys, *CELL).agg(F.min("distance").alias("distance"))
+def _runs(cells: DataFrame, keys: list[str], axis: str, gap: Column) -> DataFrame:
+    """(keys, the other axis, low, high): stretches of cells along an axis with steps of at most `gap` between them."""
+    across = "col" if axis == "row" else "row"
+    line = Window.partitionBy(*keys, across).orderBy(axis)
+    begins = F.when(F.col(axis) - F.lag(axis).over(line) <= gap, 0).otherwise(1)
+    numbered = cells.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, across, "_run").agg(F.min(axis).alias("low"), F.max(axis).alias("high"))
+
+
+def _along(cells: DataFrame, keys: list[str], radius: Column, by: int, sizes: tuple[int, int] | None) -> DataFrame:
+    """Stretches along columns, then along rows, moved out (by 1) or in (by -1) at both ends: a square of any radius in two passes, each cell made once a pass."""
+    cells = cells.select(*keys, *CELL)
+    for axis, across, k in (("col", "row", 1), ("row", "col", 0)):
+        runs = _runs(cells, keys, axis, 2 * radius + 1 if by > 0 else F.lit(1))
+        low, high = F.col("low") - by * radius, F.col("high") + by * radius
+        if sizes:
+            low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(sizes[k] - 1))
+        ends = runs.select(*keys, across, low.cast("int").alias("low"), high.cast("int").alias("high")).filter("low <= high")
+        cells = ends.select(*keys, across, F.explode(F.sequence("low", "high")).alias(axis)).select(*keys, *CELL)
+    return cells
+
+
+def thickened(cells: DataFrame, radius: int | Column, grid: Grid | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, row, col) within Chebyshev distance `radius` of one of `cells`, inside the grid if one is given. The radius may be one of the keys."""
+    return _along(cells, keys or [], F.lit(radius) if isinstance(radius, int) else radius, 1, (grid.rows, grid.cols) if grid else None)
+
+
+def thinned(cells: DataFrame, radius: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, row, col) of `cells` that have all cells within Chebyshev distance `radius` among them; each of `cells` must be there once."""
+    return _along(cells, keys or [], F.lit(radius), -1, None)
+
+
+def occupied_distance(cells: DataFrame, occupied: Column, reaches: list[int], keys: list[str]) -> DataFrame:
+    """(keys, row, col, distance): the smallest of `reaches` within which of a cell, by Chebyshev distance, there is one that `occupied` marks."""
+    marked = cells.filter(occupied).select(*keys, *CELL, F.explode(F.array(*(F.lit(r) for r in reaches))).alias("_reach"))
+    near = thickened(marked, F.col("_reach"), keys=[*keys, "_reach"])
+    return near.groupBy(*keys, *CELL).agg(F.min("_reach").alias("distance"))
 
 
 def tolerance_sweep(cells: DataFrame, model: EvidenceModel, tolerances: list[int], keys: list[str] | None = None) -> DataFrame:
@@ -69,7 +100,7 @@ def tolerance_sweep(cells: DataFrame, model: EvidenceModel, tolerances: list[int
         raise ValueError("a tolerance must not be negative")
     keys = keys or []
     called = state("log_odds", model)
-    near = occupied_distance(cells, called == OCCUPIED, max(tolerances), keys)
+    near = occupied_distance(cells, called == OCCUPIED, tolerances, keys)
     joined = cells.join(near, [*keys, *CELL], "left").withColumn("spatial_tolerance", F.explode(F.array(*(F.lit(t) for t in tolerances))))
     matched = F.coalesce(F.col("distance") <= F.col("spatial_tolerance"), F.lit(False))
     return with_fractions(joined.groupBy(*keys, "spatial_tolerance").agg(*_agreement(called, matched)).withColumn("decision_prob", F.lit(model.decision_prob)))
@@ -88,21 +119,15 @@ def score(cells: DataFrame, model: EvidenceModel, decision_prob: float | None =
 
 def dilated(cells: DataFrame, mask: str, radius: int, grid: Grid) -> DataFrame:
     """(row, col) within Chebyshev distance `radius` of a marked cell, inside the grid."""
-    near = occupied_distance(cells, F.col(mask), radius, [])
-    return near.filter((F.col("row") >= 0) & (F.col("row") < grid.rows) & (F.col("col") >= 0) & (F.col("col") < grid.cols)).select(*CELL)
+    return thickened(cells.filter(F.col(mask)), radius, grid)
 
 
 def boundary_band(truth: DataFrame, grid: Grid, width: int = 2) -> DataFrame:
     """(row, col) within `width` of the edge of an occupied area: dilation without erosion. Outside counts as not occupied."""
     if width < 1:
         raise ValueError("width must be at least one")
-    occupied = truth.filter("occupied").select(*CELL)
-    around = F.sequence(F.lit(-width), F.lit(width))
-    spread = occupied.select(*CELL, F.explode(around).alias("_i")).select(*CELL, "_i", F.explode(around).alias("_j"))
-    counted = spread.groupBy((F.col("row") + F.col("_i")).cast("int").alias("row"), (F.col("col") + F.col("_j")).cast("int").alias("col")).count()
-    inside = (F.col("row") >= 0) & (F.col("row") < grid.rows) & (F.col("col") >= 0) & (F.col("col") < grid.cols)
-    # A cell all of whose neighbours are occupied is in the erosion.
-    return counted.filter(inside & (F.col("count") < (2 * width + 1) ** 2)).select(*CELL)
+    occupied = truth.filter("occupied")
+    return thickened(occupied, width, grid).join(thinned(occupied, width), CELL, "left_anti")
 
 
 def gradient(cells: DataFrame) -> DataFrame:

@@ -201,3 +201,20 @@ def test_tables_as_text(spark):
         report.render(["a"], [["b", "c"]])
     with pytest.raises(ValueError):
         report.agreement_rows(spark.range(1), by="colour")
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 9])
+def test_thick_and_thin_cells_against_squares(spark, radius):
+    """Cells may be repeated for the one, and lie at the grid's edge for both."""
+    rng = random.Random(radius)
+    marked = {(rng.randrange(30), rng.randrange(40)) for _ in range(25)} | {(r, c) for r in range(5, 24) for c in range(0, 21)} | {(29, 39)}
+    grid = Grid(1.0, 30, 40)
+    square = lambda r, c: [(i, j) for i in range(r - radius, r + radius + 1) for j in range(c - radius, c + radius + 1)]
+    df = spark.createDataFrame(sorted(marked), "row int, col int")
+    thick = {tuple(r) for r in score.thickened(df.union(df), radius, grid).collect()}
+    assert thick == {(i, j) for r, c in marked for i, j in square(r, c) if 0 <= i < 30 and 0 <= j < 40}
+    assert {tuple(r) for r in score.thinned(df, radius).collect()} == {(r, c) for r, c in marked if set(square(r, c)) <= marked}
+    near = score.occupied_distance(df, F.lit(True), [radius, 2 * radius + 1], []).collect()
+    far = {(r.row, r.col): r.distance for r in near}
+    assert len(near) == len(far) and all(d == min(k for k in (radius, 2 * radius + 1) if any(max(abs(x - r), abs(y - c)) <= k for r, c in marked)) for (x, y), d in far.items())
+    assert score.thickened(df.filter("false"), radius, grid).count() == 0
