@@ -160,8 +160,8 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Aligner:
     """Chunks that a worker has met, with their alignment in arrays."""
 
-    def __init__(self, tokens: Tokens):
-        self.tokens = tokens
+    def __init__(self, tokens: Tokens, most: int, most_chars: int):
+        self.tokens, self.most, self.most_chars = tokens, most, most_chars
         self.forget()
 
     def forget(self) -> None:
@@ -184,7 +184,7 @@ class Aligner:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks' places for all texts, one after the other, and where each text's end; none for a text without tokens."""
-        if len(self.index) > CACHED or self.chars > CACHED_CHARS:
+        if len(self.index) > self.most or self.chars > self.most_chars:
             self.forget()
         cut = [chunks_of(t) if t else [] for t in texts]
         if new := [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self.index]:
@@ -212,19 +212,19 @@ class Aligner:
 
 
 @lru_cache(maxsize=2)
-def aligner(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str, most: int, most_chars: int) -> Aligner:
     """One for each Python worker and pair of files."""
-    return Aligner(Tokens(path_a, path_b))
+    return Aligner(Tokens(path_a, path_b), most, most_chars)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows with their texts (column 1), about TOGETHER characters at once."""
+def _runs(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows with their texts (column 1), about `together` characters at once."""
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
         start, held = 0, 0
         for k, text in enumerate(texts):
             held += len(text)
-            if held >= TOGETHER or k == len(texts) - 1:
+            if held >= together or k == len(texts) - 1:
                 yield batch.slice(start, k + 1 - start), texts[start : k + 1]
                 start, held = k + 1, 0
 
@@ -243,10 +243,11 @@ def align(df: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> Da
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in made))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"), F.col(f"`{text_col}`").alias("text"))
     schema = f"own {rows.schema['own'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups string, links array<long>"
+    limits, together = (CACHED, CACHED_CHARS), TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        for batch, texts in _runs(batches):
+        own = aligner(path_a, path_b, *limits)
+        for batch, texts in _runs(batches, together):
             at, ends = own(texts)
             places, n = own.links_of(at)
             links = _lists(np.concatenate([[0], np.cumsum(n)])[ends], pa.array(own.links.of()[places]))
@@ -282,10 +283,11 @@ def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _held(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """For each (key, text, doc) the alignment's counts, its groups' hash, and its links, packed."""
     names = ("n_a", "n_b", "n_groups", "n_links")
+    limits, together = (CACHED, CACHED_CHARS), TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
-        for batch, texts in _runs(batches):
+        own = aligner(path_a, path_b, *limits)
+        for batch, texts in _runs(batches, together):
             at, ends = own(texts)
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in own.texts_of(at, ends)]
             places, n = own.links_of(at)
@@ -303,6 +305,7 @@ def _held(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _pair_counts(held: DataFrame) -> DataFrame:
     """(pair, docs): how many texts hold each linked pair of ids. Workers count windows of pairs before these are shuffled."""
+    window = WINDOW
 
     def counted(pairs: list[np.ndarray]) -> pa.RecordBatch:
         found, docs = np.unique(np.concatenate(pairs or [np.empty(0, np.int64)]), return_counts=True)
@@ -314,7 +317,7 @@ def _pair_counts(held: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 pairs.append(_unpacked(batch.column(0).slice(start, 500))[0])
                 size += len(pairs[-1])
-                if size >= WINDOW:
+                if size >= window:
                     yield counted(pairs)
                     pairs, size = [], 0
         yield counted(pairs)

@@ -142,8 +142,10 @@ def _unpacked(table: pa.Table, n_columns: int, n_weights: int) -> tuple[list[np.
 
 
 def _counted(docs: DataFrame, order: int, bounds: Bounds) -> DataFrame:
+    window = WINDOW
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _ in _texts(batches, WINDOW):
+        for texts, _ in _texts(batches, window):
             columns = grams(texts, order)
             columns, (n,) = summed(columns, [np.ones(len(columns[0]), np.int64)])
             yield _blobs(columns, [n], cuts(columns[0], columns[-1], bounds))
@@ -179,7 +181,7 @@ def _word_places(words: np.ndarray, files: int) -> np.ndarray:
 
 def _merged(blobs: DataFrame, model: Model, level: int, weighted: int) -> DataFrame:
     """Writes each range of a level of two words or more. (rows, counts of 1 to 4, and the totals of the contexts that its two bounds cut)."""
-    bounds = model.bounds[level]
+    bounds, byte = model.bounds[level], BYTE
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -188,9 +190,9 @@ def _merged(blobs: DataFrame, model: Model, level: int, weighted: int) -> DataFr
         new = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
         ends = np.append(new[1:], len(contexts))
         about = np.array([np.add.reduceat(x, new) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64))] + [ends - new])
-        big = np.flatnonzero(n >= BYTE)
+        big = np.flatnonzero(n >= byte)
         arrays = {"context": contexts[new], "offset": np.append(new, len(contexts)).astype(np.uint32), "total": about[0], "n1": about[1].astype(np.uint32), "n2": about[2].astype(np.uint32)}
-        arrays |= {"word": words, "n": np.minimum(n, BYTE).astype(np.uint8), "big_at": big.astype(np.uint32), "big": n[big]}
+        arrays |= {"word": words, "n": np.minimum(n, byte).astype(np.uint8), "big_at": big.astype(np.uint32), "big": n[big]}
         arrays |= {f"lower{j}": c for j, c in enumerate(columns[1:-1])}
         write_arrays(model.path(level, part), arrays | ({"raw": raw[0]} if raw else {}))
         edge = dict.fromkeys(bounds[0][max(0, part - 1) : part + 1].tolist())
@@ -212,13 +214,14 @@ def _merged_words(blobs: DataFrame, model: Model) -> DataFrame:
 
 def _bounds(docs: DataFrame, order: int, size: int, parts: int) -> dict[int, Bounds]:
     """Places that cut the n-grams of each level into about `parts` equal ranges, from a sample of the texts."""
+    together, part = TOGETHER, np.uint64(SAMPLE_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, _ in _texts(batches, TOGETHER):
+        for texts, _ in _texts(batches, together):
             columns = grams(texts, order)
             for level in range(2, order + 1):
                 first, last = columns[order - level], columns[-1]
-                taken = (mixed(last, first) >> _B) % np.uint64(SAMPLE_PART) == 0
+                taken = (mixed(last, first) >> _B) % part == 0
                 pair = np.unique(np.stack([first[taken], last[taken]], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), level, np.int32)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["level", "first", "last"])
 
@@ -342,9 +345,10 @@ def score(model: Model, df: DataFrame, text_col: str = "text", keep: list[str] |
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), F.col(f"`{text_col}`").alias("text"))
     schema = f"own {rows.schema['own'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    together = TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, held in _texts(batches, TOGETHER):
+        for texts, held in _texts(batches, together):
             p, raw = probabilities(model, texts)
             ends = np.cumsum([len(t) for t in texts])
             base = np.log10((raw + 1) / (model.tokens + model.words + 1))
