@@ -2,7 +2,8 @@
 
 With exact or dead-reckoned poses a run is one plan, also for windows that move by whole cells: cells
 are folded on a lattice that stands still, with a reset wherever a cell was outside the window. Windows
-that blend cells, and poses that are matched against the map so far, go sweep by sweep within a run, and runs side by side.
+that blend cells are folded over tiles, a block of sweeps at a time, all runs at once. Poses that are matched against the map
+so far go sweep by sweep within a run, and runs side by side.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import heading_error, pose, position_error, state
-from gridfold.operators import evidence, lidar, stepwise, traverse
+from gridfold.operators import evidence, lidar, stepwise, traverse, windows as blending
 from gridfold.params import FREE, OCCUPIED, EvidenceModel, Grid, Pose, RunConfig, Scenario, composed, inverted
 from gridfold.session import checkpoint
 from gridfold.sources import scenarios
@@ -180,19 +181,23 @@ def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None
 
 
 def run_many(spark: SparkSession, wanted: dict[str, tuple[Scenario, RunConfig]]) -> dict[str, Run]:
-    """Runs by run_id. Those that go step by step are made in one job, side by side; the others are plans of their own."""
-    made, stepped_, beams_of, plans = {}, {}, [], {}
+    """Runs by run_id. Those whose poses are matched are made in one job, side by side, and so are those whose windows blend cells; the others are plans of their own."""
+    made, stepped_, beams_of, plans, blended = {}, {}, [], {}, {}
     for run_id, (scenario, config) in wanted.items():
         path = scenario.trajectory if config.max_steps is None else scenario.trajectory.subsample(config.max_steps)
         poses = scenarios.poses(spark, scenario, config, run_id)
         beams = traverse.dealt(sweeps(spark, scenario, config, run_id, poses, len(path)).filter("kept"), "scan_idx", "beam_idx")
-        if config.pose_correction or (config.frame == "ego" and config.shift_policy == "bilinear"):
+        if config.frame == "ego" and config.shift_policy == "bilinear" and not config.pose_correction:
+            blended[run_id] = (scenario, config, path, poses, beams)
+        elif config.pose_correction:
             moves = [composed(inverted(p), q) for p, q in zip(path.poses, path.poses[1:], strict=False)] if config.odometry is None else scenarios.increments(scenario, path, config.odometry)
             plans[run_id] = stepwise.Plan(scenario, config, path.poses[0], tuple(moves))
             stepped_[run_id] = (scenario, config, path, beams)
             beams_of.append(beams)
         else:
             made[run_id] = _planned(spark, scenario, config, run_id, path, poses, beams)
+    if blended:
+        made |= _blended(spark, blended)
     if plans:
         every = beams_of[0]
         for other in beams_of[1:]:
@@ -216,8 +221,7 @@ def _planned(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id:
         touch = evidence.touches(visits, SWEEP)
         cells = evidence.fold(touch, KEYS, scenario.model).drop("run_id")
     else:
-        believed = [Pose(r.est_x, r.est_y, r.est_theta) for r in poses.orderBy("scan_idx").select("est_x", "est_y", "est_theta").collect()]  # a pose for a sweep
-        windows = ego_windows(scenario, config, believed)
+        windows = ego_windows(scenario, config, _believed(poses))
         grid = windows[-1].grid
         visits = _in_windows(beams, windows)
         on_lattice = visits.withColumns({"row": F.col("row") + F.col("_row"), "col": F.col("col") + F.col("_col")})
@@ -226,6 +230,34 @@ def _planned(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id:
     return Run(scenario, config, grid, poses, beams, visits, touch, cells, _truth(spark, scenario, run_id, grid, path), windows, [], [])
 
 
+def _believed(poses: DataFrame) -> list[Pose]:
+    return [Pose(r.est_x, r.est_y, r.est_theta) for r in poses.orderBy("scan_idx").select("est_x", "est_y", "est_theta").collect()]  # a pose for a sweep
+
+
+def _blended(spark: SparkSession, wanted: dict[str, tuple]) -> dict[str, Run]:
+    """Runs whose windows blend cells, folded together over tiles."""
+    parts, paths = {}, {}
+    for run_id, (scenario, config, _, poses, beams) in wanted.items():
+        windows = ego_windows(scenario, config, _believed(poses))
+        visits = _in_windows(beams, windows).drop("_row", "_col")
+        parts[run_id] = (windows, visits, evidence.touches(visits, SWEEP))
+        paths[run_id] = blending.path([w.grid for w in windows], scenario.model)
+    touched = [touch.select(*SWEEP, "row", "col", "is_occ") for *_, touch in parts.values()]
+    every = touched[0]
+    for other in touched[1:]:
+        every = every.unionByName(other)
+    cells, states = blending.fold(every, paths)
+    cells, counts = checkpoint(cells), {(r["run_id"], r["scan_idx"]): (r["free"], r["occupied"]) for r in states.collect()}  # a row for each sweep of a run
+    made = {}
+    for run_id, (scenario, config, path, poses, beams) in wanted.items():
+        windows, visits, touch = parts[run_id]
+        grid = windows[-1].grid
+        own = [counts.get((run_id, k), (0, 0)) for k in range(len(windows))]
+        own = [(free, occupied, grid.size - free - occupied) for free, occupied in own]
+        made[run_id] = Run(scenario, config, grid, poses, beams, visits, touch, cells.filter(F.col("run_id") == run_id).drop("run_id"), _truth(spark, scenario, run_id, grid, path), windows, [], own)
+    return made
+
+
 def _in_windows(beams: DataFrame, windows: list[Window_]) -> DataFrame:
     """Visits in rows and columns of each sweep's window."""
     local = replace(windows[-1].grid, origin_x=0.0, origin_y=0.0)
