@@ -40,6 +40,8 @@ from gridfold.llm.common import checkpoint, free_shuffles, ids_are_keys, keyed,
 from gridfold.llm.components import components
 from gridfold.llm.shingles import set_key, shingle_set
 
+#: Longs of a set's parities (512 bits): two sets differ in as many elements at least as their parities differ in bits.
+PARITIES = 8
 #: Elements in a subset that light sets enumerate.
 SUBSET = 2
 #: The boundary is sought up to this size; beyond, subsets outnumber elements far too much.
@@ -59,6 +61,9 @@ BROADCAST_IDS = 500_000
 MAP_BITS = 1 << 26
 
 
+_ODD = [f"odd{k}" for k in range(PARITIES)]
+
+
 def least_common(n: int | np.ndarray, percent: int):
     """Elements that a set of n shares at least with one that it links with."""
     return -(-percent * n // 100)
@@ -97,36 +102,43 @@ class _Window:
         return sizes
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether the number of elements is odd, for each of the values of their upper bits."""
+    return np.packbits(np.bincount(hashes >> np.uint64(55), minlength=64 * PARITIES) & 1).tobytes()
+
+
 def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows of two kinds: 0 (doc, n, key), 2 (size, sets, postings met)."""
+    """Rows of two kinds: 0 (doc, n, key, parities), 2 (size, sets, postings met)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = _Window()
 
-        def rows(kind: int, *columns) -> pa.RecordBatch:
+        def rows(kind: int, *columns, odd: np.ndarray | None = None) -> pa.RecordBatch:
             columns = [np.asarray(c, np.int64) for c in columns]
             columns += [np.zeros(len(columns[0]), np.int64)] * (4 - len(columns))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "c", "d"])
+            odd = np.zeros((len(columns[0]), PARITIES), np.int64) if odd is None else odd
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(PARITIES))], names=["kind", "a", "b", "c", "d", *_ODD])
 
         def drained() -> Iterator[pa.RecordBatch]:
             sizes = window.drain(percent)
             yield rows(2, list(sizes), [s[0] for s in sizes.values()], [s[1] for s in sizes.values()])
 
         for batch in batches:
-            ids, ns, first, second = [], [], [], []
+            ids, ns, first, second, odd = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingle_set(text.as_py(), width)
                 key = set_key(hashes)
+                odd.append(parities(hashes))
                 ids.append(doc)
                 ns.append(len(hashes))
                 first.append(key[0])
                 second.append(key[1])
                 if len(hashes) > 1 and window.add(key, hashes):
                     yield from drained()
-            yield rows(0, ids, ns, first, second)
+            yield rows(0, ids, ns, first, second, odd=np.frombuffer(b"".join(odd), np.int64).reshape(-1, PARITIES))
         yield from drained()
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long, d long")
+    return docs.mapInArrow(run, "kind int, a long, b long, c long, d long, " + ", ".join(f"{c} long" for c in _ODD))
 
 
 def _boundary(sketch: DataFrame, percent: int) -> int:
@@ -387,14 +399,18 @@ def _shared_lists(rest: DataFrame, percent: int) -> DataFrame:
 
     Of the elements up to where the prefix of one of them ends, two sets share at most as many as they share keys, and
     after it at most the rest of that set. What is needed beyond the rest is least at a corner of the two ranges of sizes.
-    Components with light sets, whose keys aren't elements, are all let through. Of their lists those are given where
+    Components with light sets, whose keys aren't elements, are all let through. Of two that have one document each in a list, the
+    documents' parities tell how many elements they differ in at least; that list is left out if they can't link. Of their lists those are given where
     what is left after the key suffices for some two of their documents, as at the first key that two sets share.
     """
     size = _size("at")
-    own = rest.groupBy("key", "root").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.bool_or(_light("at")).alias("light"), F.count("*").alias("held"), F.max(size - _position("at")).alias("room"))
-    x, y = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "low", "high", "light", "held", "room"))) for side in "xy")
+    own = rest.groupBy("key", "root").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.bool_or(_light("at")).alias("light"), F.count("*").alias("held"), F.max(size - _position("at")).alias("room"), *(F.max(c).alias(c) for c in _ODD))
+    x, y = (own.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("root", "low", "high", "light", "held", "room", *_ODD))) for side in "xy")
     comparable = (100 * F.col("x_high") >= percent * F.col("y_low")) & (100 * F.col("y_high") >= percent * F.col("x_low"))
-    met = x.join(y, "key").filter((F.col("x_root") < F.col("y_root")) & comparable)
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _ODD), F.lit(0))
+    alone = (F.col("x_held") == 1) & (F.col("y_held") == 1)
+    near = ~alone | (F.col("x_low") + F.col("y_low") - differ >= 2 * _need(F.col("x_low"), F.col("y_low"), percent))
+    met = x.join(y, "key").filter((F.col("x_root") < F.col("y_root")) & comparable & near)
     ends = [F.min("x_low").alias("x_low"), F.max("x_high").alias("x_high"), F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high")]
     counted = met.groupBy("x_root", "y_root").agg(F.count("*").alias("keys"), *ends, F.bool_or(F.col("x_light") | F.col("y_light")).alias("light"))
     beyond = lambda n, m: _need(n, m, percent) - F.ceil(F.greatest(n, m) * percent / 100)
@@ -439,6 +455,7 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """`join` of rows (doc, text) with keys that no two share."""
     sketch = checkpoint(_sketched(docs, width, percent))
     own = sketch.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
+    odd = sketch.filter("kind = 0").select(F.col("a").alias("doc"), *_ODD)
     boundary = _boundary(sketch, percent)
 
     # Equal sets are a class, named by its smallest document. Its rows are summed before they are shuffled.
@@ -469,7 +486,7 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     roots = checkpoint(components(links))
     labelled = lists.select("key", "doc", "at").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_lists = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = checkpoint(labelled.join(open_lists, "key", "left_semi").select("key", "doc", "at", "root"))
+    rest = checkpoint(labelled.join(open_lists, "key", "left_semi").select("key", "doc", "at", "root").join(odd, "doc"))
     free_shuffles(docs.sparkSession)
     more = checkpoint(_across(rest, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     links = checkpoint(links.union(_verified(more, docs, width, percent)))
