@@ -25,8 +25,10 @@ SYMBOLS = r"[#*$%&|<>]"
 #: have no symbol and no repeated line, so that without it any would be infinitely far away.
 VECTOR = (("v_words", 500), ("v_word_chars", 500), ("v_symbols", 100), ("v_dup_lines", 100), ("v_repeats", 100))
 SCALE = 1000
-#: Share of the vectors in each concentration step, and the most steps, should the determinant not settle before.
+#: Share of the vectors in each concentration step, and the steps after which it is an error that a determinant still falls.
 SUBSET, STEPS = 0.5, 100
+#: Sums are kept in two parts, of multiples of this and of what is left.
+LOW = 1 << 20
 #: Quantiles of all statistics that are the starts' centres. The first counts unless another's determinant is smaller
 #: by over TIE in its logarithm: distances are cut in bins of a percent, so that less says nothing.
 STARTS, TIE = (0.5, 0.25, 0.75, 0.1, 0.9), 0.01
@@ -196,16 +198,21 @@ def _bin(distance: Column) -> Column:
     return F.floor(100 * F.log1p(distance)).cast("int")
 
 
-def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Centre, inverse Cholesky factor and the determinant's logarithm of each group's and start's rows; sums of whole numbers are exact."""
-    sums = [F.sum(F.col(n).cast("decimal(20,0)")).cast("double").alias(f"s{i}") for i, n in enumerate(NAMES)]
-    products = [F.sum((F.col(NAMES[i]) * F.col(NAMES[j])).cast("decimal(20,0)")).cast("double").alias(f"p{i}{j}") for i, j in PAIRS]
-    summed = rows.groupBy("g", "s").agg(F.count("*").cast("double").alias("n"), *sums, *products)
+def _estimate(summed: DataFrame, factor: float) -> DataFrame:
+    """Centre, inverse Cholesky factor and the determinant's logarithm of each group and start, from the sums of `_sums`; `falls` says whether the determinant is smaller than before."""
     d = len(VECTOR)
-    made = summed.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
-    cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(float(VECTOR[i][1] ** 2) if i == j else 0.0) for i, j in PAIRS}
+    whole = lambda name: F.col(f"{name}h") * float(LOW) + F.col(f"{name}l")
+    made = summed.select("g", "s", "before", F.col("n").cast("double").alias("n"), *((whole(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)), *((whole(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i, j in PAIRS))
+    cov = {f"c{i}{j}": factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(float(VECTOR[i][1] ** 2) if i == j else 0.0) for i, j in PAIRS}
     made = _factored(made.withColumns(cov))
-    return made.select("g", "s", "n", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS), *(f"c{i}{j}" for i, j in PAIRS), "logdet")
+    falls = F.col("before").isNull() | (F.col("logdet") < F.col("before"))
+    return made.select("g", "s", "n", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS), *(f"c{i}{j}" for i, j in PAIRS), "logdet", falls.alias("falls"))
+
+
+def _sums() -> dict[str, Column]:
+    """Terms whose sums make an estimate: statistics and their products, each as two whole numbers whose sums fit 64 bits for any number of rows."""
+    values = {f"s{i}": F.col(n) for i, n in enumerate(NAMES)} | {f"p{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i, j in PAIRS}
+    return {f"{k}h": F.floor(v / LOW).cast("long") for k, v in values.items()} | {f"{k}l": F.pmod(v, F.lit(LOW)) for k, v in values.items()}
 
 
 def _factored(made: DataFrame) -> DataFrame:
@@ -225,41 +232,47 @@ def _factored(made: DataFrame) -> DataFrame:
         if below:
             made = made.withColumns(below)
     for i in range(d):  # its inverse by rows
-        made = made.withColumn(f"k{i}{i}", 1 / F.col(f"l{i}{i}"))
+        inverse = 1 / F.col(f"l{i}{i}")
+        row = {f"k{i}{i}": inverse}
         for j in range(i):
             value = F.lit(0.0)
             for q in range(j, i):
                 value = value + F.col(f"l{i}{q}") * F.col(f"k{q}{j}")
-            made = made.withColumn(f"k{i}{j}", -value * F.col(f"k{i}{i}"))
+            row[f"k{i}{j}"] = -value * inverse
+        made = made.withColumns(row)
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))
     return made.withColumn("logdet", logdet).drop(*(f"l{i}{j}" for i, j in PAIRS))
 
 
 def _step(fitted: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
-    """The next estimate of each group and start; `falls` says whether its determinant is smaller than before."""
+    """Sums over the half of each group's vectors that is nearest to each start's estimate, with that estimate's determinant as `before`.
+
+    Vectors are summed by bins of their distance in one pass; of the bins those up to the one that fills the half are added up.
+    """
     d = len(VECTOR)
-    factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
-    near = _joined(fitted, estimate.select("g", "s", *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS)), few).withColumn("b", _bin(_distance())).select("g", "s", "b", *NAMES)
-    counts = near.groupBy("g", "s", "b").count()
+    near = _joined(fitted, estimate.select("g", "s", F.col("logdet").alias("before"), *(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in PAIRS)), few).withColumn("b", _bin(_distance()))
+    terms = _sums()
+    binned = near.groupBy("g", "s", "b").agg(F.max("before").alias("before"), F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in terms.items()))
     part = Window.partitionBy("g", "s")
-    upto = counts.withColumns({"upto": F.sum("count").over(part.orderBy("b")), "n": F.sum("count").over(part)})
-    cut = upto.filter(F.col("upto") >= SUBSET * F.col("n")).groupBy("g", "s").agg(F.min("b").alias("cut"))
-    nearest = _joined(near, cut, few, ("g", "s")).filter(F.col("b") <= F.col("cut"))
-    before = estimate.select("g", "s", F.col("logdet").alias("before"))
-    falls = F.col("before").isNull() | (F.col("logdet") < F.col("before"))
-    return _joined(_estimate(nearest.select("g", "s", *NAMES), factor), before, few, ("g", "s")).withColumn("falls", falls).drop("before")
+    upto = binned.withColumns({"_upto": F.sum("n").over(part.orderBy("b")), "_n": F.sum("n").over(part)})
+    # A bin is in if those before it don't fill the half.
+    inside = upto.filter(F.col("_upto") - F.col("n") < SUBSET * F.col("_n"))
+    return inside.groupBy("g", "s").agg(F.max("before").alias("before"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in terms))
 
 
 def _least(fitted: DataFrame, few: bool) -> DataFrame:
     """Each group's estimate with the least determinant."""
+    d = len(VECTOR)
+    factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
     moving, settled = checkpoint(_start(fitted)), []
     for _ in range(STEPS):
-        made = checkpoint(_step(fitted, moving, few))
+        made = checkpoint(_estimate(checkpoint(_step(fitted, moving, few)), factor))
         settled.append(made.filter(~F.col("falls")).drop("falls"))
         moving = made.filter("falls").drop("falls")
         if moving.isEmpty():
             break
-    settled.append(moving)
+    else:
+        raise ArithmeticError(f"estimates still move after {STEPS} steps")
     every = settled[0]
     for some in settled[1:]:
         every = every.unionByName(some)
