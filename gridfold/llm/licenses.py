@@ -30,7 +30,7 @@ SENTENCES = (
     ("ApacheComply", r"you may not use this file except in compliance with the license"),
     ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("ApacheSee", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("MitRef", _UNDER + r"mit license"),
+    ("MitRef", _UNDER + r"(mit|mit x11|x11 mit|expat) license"),
     ("MitStyleRef", r"use of this source code is governed by an mit style license that can be found in the license file.*"),
     ("BoostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
     ("NcsaGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction .*"),
@@ -64,12 +64,22 @@ SENTENCES = (
     ("GplRef2", _UNDER + r"gnu general public license (version |v)?2( 0)?( or later| or any later version)?"),
     ("AgplGrant", r"(this program is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license .*"),
     ("LgplGrant", r"(this library is free software )?you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license .*"),
-    ("GplGrant", r"(this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version ([23]) of the license or at your option any later version"),
+    ("GplGrant3", r"(this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("GplGrant2", r"(this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GplHead3", r"gnu general public license version 3 29 june 2007"),
+    ("GplHead2", r"gnu general public license version 2 june 1991"),
+    ("LgplHead3", r"gnu lesser general public license version 3 29 june 2007"),
+    ("LgplHead21", r"gnu lesser general public license version 2 1 february 1999"),
+    ("AgplHead", r"gnu affero general public license version 3 19 november 2007"),
     ("GplGrantOnly", r"(this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license version 2( only)? as published by the free software foundation"),
     ("PerlTerms", r"(this is free software )?you can redistribute it and or modify it under the same terms as perl( [0-9] system)?( programming language system)?( itself)?"),
     ("GplNoWarranty", r"this (program|library) is distributed in the hope that it will be useful but without any warranty .*"),
     ("GplSee", r"see the gnu (lesser |library |affero )?general public license for more details"),
     ("GplReceived", r"you should have received a copy of the gnu (lesser |library |affero )?general public license along with this (program|library).*"),
+    ("ArtisticHead", r"the artistic license( 2 0)?"),
+    ("WtfplHead", r"do what the fuck you want to public license"),
+    ("MplHead", r"mozilla public license version 2 0"),
+    ("ApacheHead", r"apache license version 2 0 january 2004"),
     ("MplRef", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("MplObtain", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
     ("EplRef2", r"this program and the accompanying materials are made available under the terms of the eclipse public license (v |v|version )?2 0.*"),
@@ -91,12 +101,14 @@ SENTENCES = (
     ("CopyrightLine", r"copyright (c )?[0-9]{4}.*"),
     ("AllRights", r"all rights reserved"),
 )
-#: Licence names that a line "SPDX-License-Identifier: ..." may give, alone or with -only or -or-later. Fixed values.
+#: Licence names that a line "SPDX-License-Identifier: ..." may give, alone, with -only, -or-later or +, or joined by OR, AND and WITH. Fixed values.
 SPDX_NAMES = (
     "0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
     "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "PSF-2.0", "Unlicense", "WTFPL", "X11", "Zlib",
 )
-SPDX = tuple((f"Spdx-{name}", r"spdx license identifier " + re.sub(r"[^a-z0-9]+", " ", name.lower()) + r"( only| or later)?") for name in SPDX_NAMES)
+SPDX_LINE = "spdx license identifier"
+#: Normalised names with the identifiers of their sentences.
+SPDX = {re.sub(r"[^a-z0-9]+", " ", name.lower()): f"Spdx-{name}" for name in SPDX_NAMES}
 
 
 def _holes(pattern: str) -> str:
@@ -104,7 +116,7 @@ def _holes(pattern: str) -> str:
     return re.sub(r"\.\*$", r"[^\n|]*", pattern).replace(".*", "[^|]*?").replace(" ", r"[ \n]")
 
 
-_PLAIN = [p for _, p in (*SENTENCES, *SPDX) if not p.startswith(_UNDER)]
+_PLAIN = [p for _, p in (*SENTENCES, ("", SPDX_LINE + " .*")) if not p.startswith(_UNDER)]
 _NAMED = [p.removeprefix(_UNDER) for _, p in SENTENCES if p.startswith(_UNDER)]
 #: Any known sentence in a marked text. Those that begin alike share that part; their order among themselves is kept.
 KNOWN = "(?<![a-z0-9 ])(?:" + "|".join([*map(_holes, _PLAIN), _holes(_UNDER) + "(?:" + "|".join(map(_holes, _NAMED)) + ")"]) + ")(?![a-z0-9 ])"
@@ -128,10 +140,12 @@ RULES = (
     ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone")),
     ("AGPL-3.0", ("AgplGrant", "GplNoWarranty", "GplSee", "GplReceived")),
     ("LGPL", ("LgplGrant", "GplNoWarranty", "GplSee", "GplReceived")),
-    ("GPL", ("GplGrant", "GplNoWarranty", "GplSee", "GplReceived")),
+    ("GPL-3.0", ("GplGrant3", "GplNoWarranty", "GplSee", "GplReceived")),
+    ("GPL-2.0", ("GplGrant2", "GplNoWarranty", "GplSee", "GplReceived")),
     ("AGPL-3.0", ("AgplGrant", "GplNoWarranty")),
     ("LGPL", ("LgplGrant", "GplNoWarranty")),
-    ("GPL", ("GplGrant", "GplNoWarranty")),
+    ("GPL-3.0", ("GplGrant3", "GplNoWarranty")),
+    ("GPL-2.0", ("GplGrant2", "GplNoWarranty")),
     ("GPL-2.0", ("GplGrantOnly", "GplNoWarranty")),
     ("MPL-2.0", ("MplRef", "MplObtain")),
     ("Apache-2.0", ("ApacheRef",)),
@@ -153,7 +167,17 @@ RULES = (
     ("AGPL-3.0", ("AgplGrant",)),
     ("GPL-3.0", ("GplRef3",)),
     ("GPL-2.0", ("GplRef2",)),
-    ("GPL", ("GplGrant",)),
+    ("GPL-3.0", ("GplGrant3",)),
+    ("GPL-2.0", ("GplGrant2",)),
+    ("GPL-3.0", ("GplHead3",)),
+    ("GPL-2.0", ("GplHead2",)),
+    ("LGPL", ("LgplHead3",)),
+    ("LGPL", ("LgplHead21",)),
+    ("AGPL-3.0", ("AgplHead",)),
+    ("Artistic", ("ArtisticHead",)),
+    ("WTFPL", ("WtfplHead",)),
+    ("MPL-2.0", ("MplHead",)),
+    ("Apache-2.0", ("ApacheHead",)),
     ("GPL-2.0", ("GplGrantOnly",)),
     ("LGPL", ("LgplRef",)),
     ("LGPL", ("LgplGrant",)),
@@ -190,14 +214,23 @@ def marked(text: Column) -> Column:
 
 def identifier(sentence: Column) -> Column:
     """Of a normalised sentence: the first of the table whose pattern it is as a whole; null where it is none that is known."""
-    table = F.array(*(F.struct(F.lit(f"^({p})$").alias("pattern"), F.lit(name).alias("name")) for name, p in (*SENTENCES, *SPDX)))
+    table = F.array(*(F.struct(F.lit(f"^({p})$").alias("pattern"), F.lit(name).alias("name")) for name, p in SENTENCES))
     return F.get(F.filter(table, lambda row: F.call_function("regexp_like", sentence, row["pattern"])), F.lit(0))["name"]
 
 
+def expression(line: Column) -> Column:
+    """The identifiers of the known licences that a normalised line with an SPDX expression names; exceptions and unknown names give none."""
+    parts = F.split(F.substring(line, F.lit(len(SPDX_LINE) + 2), F.length(line)), " (?:or(?! later)|and|with) ")
+    table = F.map_from_arrays(F.array(*map(F.lit, SPDX)), F.array(*map(F.lit, SPDX.values())))
+    named = F.transform(parts, lambda p: F.try_element_at(table, F.regexp_replace(p, " (only|or later)$", "")))
+    return F.filter(named, lambda name: name.isNotNull())
+
+
 def identifiers(text: Column) -> Column:
-    """The known sentences of a text, in order."""
-    found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
-    return let(found, lambda all_of: F.transform(all_of, lambda s: identifier(F.translate(s, "\n", " "))))
+    """The known sentences of a text, in order; an SPDX expression gives one for each licence in it."""
+    found = F.transform(F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    of = lambda s: F.when(F.startswith(s, F.lit(SPDX_LINE)), expression(s)).otherwise(F.array(identifier(s)))
+    return let(found, lambda all_of: F.flatten(F.transform(all_of, of)))
 
 
 def licences(found: Column) -> Column:

@@ -218,7 +218,11 @@ KNOWN_SENTENCES = {
     "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
     "BsdEndorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
     "GplRef3": "Licensed under the GNU General Public License, version 3 or later", "GplRef2": "Licensed under the GNU General Public License version 2",
-    "GplGrant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GplGrant3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GplGrant2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "GplHead3": "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GplHead2": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "LgplHead3": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+    "LgplHead21": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "AgplHead": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "ArtisticHead": "The Artistic License 2.0",
+    "WtfplHead": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "MplHead": "Mozilla Public License Version 2.0", "ApacheHead": "Apache License\nVersion 2.0, January 2004",
     "GplNoWarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the implied warranty of MERCHANTABILITY",
     "LgplRef": "Licensed under the GNU Lesser General Public License v2.1", "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "CcByNcRef": "Licensed under CC BY-NC 4.0", "CcByRef": "Licensed under CC BY 4.0", "CcBySaRef": "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -248,11 +252,11 @@ KNOWN_SENTENCES = {
     "Cc0Ref": "Licensed under CC0 1.0 Universal", "Cc0Waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "CcByNcSaRef": "Licensed under CC BY-NC-SA 4.0",
     "CcByNcNdRef": "Licensed under CC BY-NC-ND 4.0", "CcByNdRef": "Licensed under CC BY-ND 4.0",
 }
-KNOWN_SENTENCES |= {name: f"SPDX-License-Identifier: {name.removeprefix('Spdx-')}" for name, _ in licenses.SPDX}
+KNOWN_SENTENCES |= {name: f"SPDX-License-Identifier: {name.removeprefix('Spdx-')}" for name in licenses.SPDX.values()}
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
-    assert sorted(KNOWN_SENTENCES) == sorted(name for name, _ in (*licenses.SENTENCES, *licenses.SPDX))
+    assert sorted(KNOWN_SENTENCES) == sorted([*(name for name, _ in licenses.SENTENCES), *licenses.SPDX.values()])
     texts = list(KNOWN_SENTENCES.values()) + [". ".join(KNOWN_SENTENCES[i] for i in sequence) + "." for _, sequence in licenses.RULES]
     texts.append("Copyright (c) 2020 X. All rights reserved.")
     got = {r.doc: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
@@ -270,7 +274,7 @@ def test_wrapped_notices(spark, prefix, width):
         "MIT": [["CopyrightLine"], ["MitGrant"], ["MitNotice"], ["MitAsIs"]],
         "BSD-3-Clause": [["CopyrightLine", "AllRights"], ["BsdGrant"], ["BsdSource"], ["BsdBinary"], ["BsdEndorse"]],
         "Apache-2.0": [["CopyrightLine"], ["ApacheRef", "ApacheComply", "ApacheObtain"], ["ApacheAsIs"]],
-        "GPL": [["GplGrant"], ["GplNoWarranty"]],
+        "GPL-3.0": [["GplGrant3"], ["GplNoWarranty"]],
         "CC-BY-SA": [["CcBySaRef"]],
     }
     rows = []
@@ -285,6 +289,34 @@ def test_wrapped_notices(spark, prefix, width):
     assert got["lines"].sentences == ["MitRef", "CopyrightLine", "CopyrightLine", "AllRights"] and got["none"].sentences == []
 
 
+def test_spdx_expressions_and_heads(spark):
+    cases = {
+        "// SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later": ["BSD-3-Clause", "GPL-2.0", "MIT"],
+        "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": ["GPL-2.0"],
+        "/* SPDX-License-Identifier: GPL-2.0+ */": ["GPL-2.0"],
+        "SPDX-License-Identifier: LGPL-2.1-or-later AND Foo-1.0": ["LGPL-2.1"],
+        "SPDX-License-Identifier: Foo-1.0": [],
+        "SPDX-License-Identifier: MIT\nand the licence Apache-2.0 is none": ["MIT"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation": ["GPL-2.0"],
+        "Released under the MIT/X11 License.": ["MIT"],
+    }
+    got = {r.doc: r.licences for r in licenses.scan(spark.createDataFrame([(k, k) for k in cases], "doc_id string, text string")).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in cases.items()}
+
+
+def plain_expression(line: str) -> list[str]:
+    names = {re.sub("[^a-z0-9]+", " ", name.lower()): f"Spdx-{name}" for name in licenses.SPDX_NAMES}
+    words, found, own = line.split(" ")[3:], [], []
+    for k, word in enumerate([*words, "and"]):
+        if word in ("or", "and", "with") and not (word == "or" and words[k + 1 : k + 2] == ["later"]):
+            found.append(re.sub(" (only|or later)$", "", " ".join(own)))
+            own = []
+        else:
+            own.append(word)
+    return [names[f] for f in found if f in names]
+
+
 def plain_licences(text: str | None) -> tuple[list[str], list[str]]:
     """The scan restated: lines are runs of normalised words, known sentences are looked for from each line on, rules are taken one after the other."""
     lower = re.sub(licenses.SENTENCE_END, "\n\n", (text or "").lower())
@@ -295,11 +327,11 @@ def plain_licences(text: str | None) -> tuple[list[str], list[str]]:
         own = [line for line in block.split("\n") if line]
         i = 0
         while i < len(own):
-            for name, pattern in (*licenses.SENTENCES, *licenses.SPDX):
+            for name, pattern in (*licenses.SENTENCES, ("", licenses.SPDX_LINE + " .*")):
                 open_end = pattern.endswith(".*")
                 ends = [j for j in range(i + 1, len(own) + 1) if (m := re.fullmatch(pattern, " ".join(own[i:j]))) and not (open_end and re.fullmatch(pattern, " ".join(own[i : j - 1])))]
                 if ends:
-                    sentences.append(name)
+                    sentences += [name] if name else plain_expression(" ".join(own[i : ends[0]]))
                     i = ends[0]
                     break
             else:
