@@ -1,4 +1,9 @@
-"""Correlative matching of a sweep against the map so far."""
+"""Correlative matching of a sweep against the map so far.
+
+The field lies in tiles, each with the one row and column after it that blending needs; a point is looked up in the tile
+of its cell, by an equi-join. A search is exact without trying all candidates: the field's maximum over the cells that a box of candidates
+can reach gives each point its most in that box, so that boxes whose sum falls under a score that is reached already are left out.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfold.functions.scalars import wrap_angle
+from gridfold.functions.scalars import in_bounds, wrap_angle
 from gridfold.params import EvidenceModel, Grid, Pose, SearchWindow, wrap
 from gridfold.session import checkpoint
 
@@ -46,26 +51,35 @@ def likelihood_field(cells: DataFrame, grid: Grid, model: EvidenceModel, blur_ce
     return field
 
 
-def packed(field: DataFrame, grid: Grid, part: Grid | None = None) -> DataFrame:
-    """The field, or that of a part of the grid, as one row with one array, row by row: 8 bytes a cell."""
-    part = part or grid
-    row0, col0 = round((part.origin_y - grid.origin_y) / grid.resolution), round((part.origin_x - grid.origin_x) / grid.resolution)
-    row, col = F.col("row") - row0, F.col("col") - col0
-    own = field.filter((row >= 0) & (row < part.rows) & (col >= 0) & (col < part.cols)).withColumn("at", row.cast("long") * part.cols + col)
-    every = field.sparkSession.range(part.size).withColumn("at", F.col("id"))
-    filled = every.join(own, "at", "left").select("at", F.coalesce("v", F.lit(0.0)).alias("v"))
-    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("field"))
+#: Rows and columns of a tile, and candidates along each axis of translation in a box.
+TILE, BOX = 32, 3
+#: The blended field is bounded by its values at so many places a cell along each axis.
+NODES = 4
+
+
+def tiled(field: DataFrame, halo: int = 1) -> DataFrame:
+    """(tile_row, tile_col, field): the cells of each tile that holds any, row by row, with `halo` rows and columns after it: some 9 kB a tile, whatever the map's size."""
+    side = TILE + halo
+    own = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    # A cell at a tile's beginning is also in the halo of the tile before it.
+    owners = lambda c: F.when(F.pmod(F.col(c), F.lit(TILE)) < halo, F.array(own(c), own(c) - 1)).otherwise(F.array(own(c)))
+    spread = field.withColumn("tile_row", F.explode(owners("row"))).withColumn("tile_col", F.explode(owners("col")))
+    at = (F.col("row") - F.col("tile_row") * TILE) * side + F.col("col") - F.col("tile_col") * TILE
+    held = spread.groupBy("tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("at"), "v"))).alias("cells"))
+    return held.select("tile_row", "tile_col", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0.0))).alias("field"))
 
 
-def sampled(field: Column, x: Column, y: Column, grid: Grid) -> Column:
-    """Bilinear value of the packed field at a world point; 0 outside the outermost centres."""
+def _placed(points: DataFrame, x: Column, y: Column, grid: Grid) -> DataFrame:
+    """`points` with _c and _r, their place in cells between centres, and the cell (_r0, _c0) from which they are blended, with its tile."""
     c, r = (x - grid.origin_x) / grid.resolution - 0.5, (y - grid.origin_y) / grid.resolution - 0.5
-    c0, r0 = F.least(F.floor(c), F.lit(max(grid.cols - 2, 0))), F.least(F.floor(r), F.lit(max(grid.rows - 2, 0)))
-    fc, fr = c - c0, r - r0
-    at = lambda i, j: F.coalesce(F.get(field, ((r0 + i) * grid.cols + c0 + j).cast("int")), F.lit(0.0))
-    value = (1 - fr) * ((1 - fc) * at(0, 0) + fc * at(0, 1)) + fr * ((1 - fc) * at(1, 0) + fc * at(1, 1))
-    inside = (c >= 0) & (c <= grid.cols - 1) & (r >= 0) & (r <= grid.rows - 1)
-    return F.when(inside, value).otherwise(0.0)
+    placed = points.withColumns({"_c": c, "_r": r})
+    placed = placed.withColumns({"_c0": F.least(F.floor("_c"), F.lit(max(grid.cols - 2, 0))), "_r0": F.least(F.floor("_r"), F.lit(max(grid.rows - 2, 0)))})
+    return placed.withColumns({"tile_row": F.floor(F.col("_r0") / TILE).cast("int"), "tile_col": F.floor(F.col("_c0") / TILE).cast("int")})
+
+
+def _local(i: int, j: int, side: int) -> Column:
+    at = (F.col("_r0") - F.col("tile_row") * TILE + i) * side + F.col("_c0") - F.col("tile_col") * TILE + j
+    return F.get("field", at.cast("int"))
 
 
 def span(radius: float, step: float) -> int:
@@ -83,7 +97,7 @@ def candidates(spark, center: Pose, translation_radius: float, heading_radius: f
 
 
 def window_around(grid: Grid, x: float, y: float, reach: float) -> Grid:
-    """The part of the grid within `reach` of a point, so that a packed field is as large as a sensor sees and not as the map is."""
+    """The part of the grid within `reach` of a point, as large as a sensor sees, and not as the map is."""
     lows, sizes = [], []
     for at, origin, n in ((y, grid.origin_y, grid.rows), (x, grid.origin_x, grid.cols)):
         low = min(max(math.floor((at - reach - origin) / grid.resolution) - 2, 0), n - 1)
@@ -93,42 +107,110 @@ def window_around(grid: Grid, x: float, y: float, reach: float) -> Grid:
     return Grid(grid.resolution, sizes[0], sizes[1], grid.origin_x + lows[1] * grid.resolution, grid.origin_y + lows[0] * grid.resolution)
 
 
-def scores(points: DataFrame, poses: DataFrame, field: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
-    """`poses` (keys, idx, x, y, theta, ...) with score: the sum of the field under the points (keys, px, py) of the same sweep.
-
-    A point beside a candidate is a row of plain arithmetic, and sums are made on the map side. The packed field is
-    one row, and is broadcast; poses of no sweep of their own are a search's candidates and are broadcast as well. A pose
-    of a sweep without points has 0.
-    """
+def _crossed(points: DataFrame, poses: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Column, Column]:
+    """Points (keys, px, py) beside the poses (keys, idx, x, y, theta) of the same sweep, and where they lie in the world. Poses of no sweep of their own are a search's candidates, and are broadcast."""
     crossed = points.join(poses, list(keys)) if keys else points.crossJoin(F.broadcast(poses))
-    crossed = crossed.crossJoin(F.broadcast(field))
     c, s = F.cos("theta"), F.sin("theta")
-    value = sampled(F.col("field"), c * F.col("px") - s * F.col("py") + F.col("x"), s * F.col("px") + c * F.col("py") + F.col("y"), grid)
-    summed = crossed.groupBy(*keys, "idx").agg(F.sum(value).alias("score"))
+    crossed = crossed.select(*keys, "idx", (c * F.col("px") - s * F.col("py") + F.col("x")).alias("_x"), (s * F.col("px") + c * F.col("py") + F.col("y")).alias("_y"))
+    return crossed, F.col("_x"), F.col("_y")
+
+
+def scores(points: DataFrame, poses: DataFrame, tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`poses` (keys, idx, x, y, theta, ...) with score: the sum of the blended field under the points (keys, px, py) of the same sweep; 0 outside the outermost centres.
+
+    A point beside a candidate is a row of plain arithmetic, joined with the tile (as of `tiled`) of its cell, and sums are made on the map side. Tiles that are few are broadcast, by
+    Spark's own bound. A pose of a sweep without points has 0.
+    """
+    crossed, x, y = _crossed(points, poses, keys)
+    placed = _placed(crossed, x, y, grid)
+    inside = (F.col("_c") >= 0) & (F.col("_c") <= grid.cols - 1) & (F.col("_r") >= 0) & (F.col("_r") <= grid.rows - 1)
+    found = placed.filter(inside).join(tiles, ["tile_row", "tile_col"])
+    at = lambda i, j: _local(i, j, TILE + 1)
+    fc, fr = F.col("_c") - F.col("_c0"), F.col("_r") - F.col("_r0")
+    value = (1 - fr) * ((1 - fc) * at(0, 0) + fc * at(0, 1)) + fr * ((1 - fc) * at(1, 0) + fc * at(1, 1))
+    summed = found.groupBy(*keys, "idx").agg(F.sum(value).alias("score"))
     return poses.join(summed, [*keys, "idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def reach(nodes: float) -> int:
+    """Nodes along an axis between which a point stays that moves by up to `nodes` of their distances."""
+    return math.ceil(nodes - 1e-9) + 2
+
+
+def blended(field: DataFrame, nodes: int) -> DataFrame:
+    """(row, col, v): the field's blended values at `nodes` places a cell along each axis; place 0 is the centre of cell 0. Between neighbouring places it has no higher value than at them."""
+    for axis in ("row", "col"):
+        spread = field.withColumn("_d", F.explode(F.sequence(F.lit(1 - nodes), F.lit(nodes - 1))))
+        field = spread.withColumns({axis: F.col(axis) * nodes + F.col("_d"), "v": F.col("v") * (1 - F.abs("_d") / F.lit(float(nodes)))}).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    return field
+
+
+def pooled(field: DataFrame, width: int) -> DataFrame:
+    """(row, col, v): the field's maximum over the `width` rows and columns from each place on, along one axis after the other."""
+    for axis in ("row", "col"):
+        spread = field.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn(axis, F.col(axis) - F.col("_d"))
+        field = spread.groupBy("row", "col").agg(F.max("v").alias("v"))
+    return field
+
+
+def bounds(points: DataFrame, boxes: DataFrame, tiles: DataFrame, grid: Grid, nodes: int, keys: tuple[str, ...]) -> DataFrame:
+    """`boxes` (keys, idx, x, y, theta, ...; x and y of their lowest corners) with bound: what no candidate of the box can exceed. `tiles` are those of the blended field, pooled over the nodes that a box reaches."""
+    crossed, x, y = _crossed(points, boxes, keys)
+    at = lambda v, origin: F.floor(((v - origin) / grid.resolution - 0.5) * nodes)
+    placed = crossed.withColumns({"_c0": at(x, grid.origin_x), "_r0": at(y, grid.origin_y)})
+    placed = placed.withColumns({"tile_row": F.floor(F.col("_r0") / TILE).cast("int"), "tile_col": F.floor(F.col("_c0") / TILE).cast("int")})
+    summed = placed.join(tiles, ["tile_row", "tile_col"]).groupBy(*keys, "idx").agg(F.sum(_local(0, 0, TILE)).alias("bound"))
+    return boxes.join(summed, [*keys, "idx"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+
+
 def match_sweeps(points: DataFrame, predicted: DataFrame, field: DataFrame, grid: Grid, search: SearchWindow) -> DataFrame:
-    """(scan_idx, x, y, theta, score, predicted_score): the best pose of every sweep of `points` (scan_idx, px, py), all sweeps at once.
+    """(scan_idx, x, y, theta, score, predicted_score, bounded, scored): the best pose of every sweep of `points` (scan_idx, px, py), all sweeps at once.
 
-    `predicted` has scan_idx, x, y, theta. From coarse to fine; in each pass the candidate with the highest score counts, of those
+    `predicted` has scan_idx, x, y, theta; `field` is that of `likelihood_field`. From coarse to fine; in each pass the candidate with the highest score counts, of those
     within 1e-12 of it the one nearest to the pose so far, then the first; it must be better than that pose to replace it.
+
+    In a pass the boxes of candidates get their bounds; the box with the highest is scored first, then all boxes whose bound
+    reaches what was scored. The others can't hold the best candidate, so that the result is that of all candidates. `bounded` and `scored` count the boxes and candidates.
     """
     sweep = ("scan_idx",)
-    first = scores(points, predicted.withColumn("idx", F.lit(0)), field, grid, sweep)
-    at = checkpoint(first.select("scan_idx", "x", "y", "theta", "score", F.col("score").alias("predicted_score")))
+    tiles = checkpoint(tiled(field))
+    first = scores(points, predicted.withColumn("idx", F.lit(0)), tiles, grid, sweep)
+    zero = F.lit(0).cast("long")
+    at = checkpoint(first.select("scan_idx", "x", "y", "theta", "score", F.col("score").alias("predicted_score"), zero.alias("bounded"), zero.alias("scored")))
     radii = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step]
     for _ in range(search.refinements + 1):
+        n, h = span(radii[0], radii[2]), span(radii[1], radii[3])
+        nodes = NODES
+        coarse = checkpoint(tiled(pooled(blended(field, nodes), reach((BOX - 1) * radii[2] / grid.resolution * nodes)), 0))
         around = candidates(at.sparkSession, Pose(0.0, 0.0, 0.0), *radii).withColumnsRenamed({"x": "dx", "y": "dy", "theta": "dh"})
-        tried = at.select("scan_idx", *(F.col(c).alias(f"_{c}") for c in ("x", "y", "theta"))).crossJoin(F.broadcast(around))
+        i, j, k = F.floor(F.col("idx") / (n * h)), F.floor(F.col("idx") / h) % n, F.col("idx") % h
+        across = -(-n // BOX)
+        around = around.withColumn("box", (F.floor(i / BOX) * across + F.floor(j / BOX)) * h + k)
+        corners = around.groupBy("box").agg(F.min("dx").alias("dx"), F.min("dy").alias("dy"), F.first("dh").alias("dh"), F.count("*").alias("held"))
         cost = sum((F.col(d) / step) * (F.col(d) / step) for d, step in (("dx", radii[2]), ("dy", radii[2]), ("dh", radii[3])))
-        poses = tried.select("scan_idx", "idx", (F.col("_x") + F.col("dx")).alias("x"), (F.col("_y") + F.col("dy")).alias("y"), (F.col("_theta") + F.col("dh")).alias("theta"), cost.alias("cost"))
-        scored = scores(points, poses, field, grid, sweep).withColumn("top", F.max("score").over(Window.partitionBy("scan_idx")))
-        tied = scored.filter(F.col("score") >= F.col("top") - 1e-12)
+        moved = lambda here, rows: here.crossJoin(F.broadcast(rows)).select(
+            "scan_idx", "box", *(c for c in ("idx", "held") if c in rows.columns), (F.col("_x") + F.col("dx")).alias("x"), (F.col("_y") + F.col("dy")).alias("y"), (F.col("_theta") + F.col("dh")).alias("theta"), cost.alias("cost")
+        )
+        here = at.select("scan_idx", *(F.col(c).alias(f"_{c}") for c in ("x", "y", "theta")))
+        boxes = moved(here, corners).withColumnRenamed("box", "idx").drop("cost")
+        bounded = checkpoint(bounds(points, boxes, coarse, grid, nodes, sweep).select("scan_idx", F.col("idx").alias("box"), "bound", "held"))
+        every = moved(here, around)
+        top = bounded.groupBy("scan_idx").agg(F.max_by("box", F.struct("bound", -F.col("box"))).alias("box"))
+        tried = checkpoint(scores(points, every.join(F.broadcast(top), ["scan_idx", "box"]), tiles, grid, sweep))
+        reached = tried.groupBy("scan_idx").agg(F.max("score").alias("reached")).join(at.select("scan_idx", "score"), "scan_idx").select("scan_idx", F.greatest("reached", "score").alias("reached"))
+        # Sums are rounded, so that a bound is given some slack.
+        open_ = bounded.join(top, ["scan_idx", "box"], "left_anti").join(reached, "scan_idx").filter(F.col("bound") >= F.col("reached") - 1e-9 * (1 + F.col("reached"))).select("scan_idx", "box")
+        rest = checkpoint(scores(points, every.join(open_, ["scan_idx", "box"]), tiles, grid, sweep))
+        scored = tried.unionByName(rest)
+        counted = bounded.groupBy("scan_idx").agg(F.count("*").alias("n_boxes")).join(scored.groupBy("scan_idx").agg(F.count("*").alias("n_scored")), "scan_idx")
+        topped = scored.withColumn("top", F.max("score").over(Window.partitionBy("scan_idx")))
+        tied = topped.filter(F.col("score") >= F.col("top") - 1e-12)
         pick = tied.groupBy("scan_idx").agg(F.min_by(F.struct("x", "y", "theta", "score"), F.struct("cost", "idx")).alias("p"))
         better = F.col("p.score") > F.col("score")
         take = lambda name, value: F.when(better, value).otherwise(F.col(name)).alias(name)
-        at = checkpoint(at.join(pick, "scan_idx", "left").select("scan_idx", take("x", F.col("p.x")), take("y", F.col("p.y")), take("theta", wrap_angle(F.col("p.theta"))), take("score", F.col("p.score")), "predicted_score"))
+        joined = at.join(pick, "scan_idx", "left").join(counted, "scan_idx", "left")
+        more = [(F.col(c) + F.coalesce(new, zero)).alias(c) for c, new in (("bounded", "n_boxes"), ("scored", "n_scored"))]
+        at = checkpoint(joined.select("scan_idx", take("x", F.col("p.x")), take("y", F.col("p.y")), take("theta", wrap_angle(F.col("p.theta"))), take("score", F.col("p.score")), "predicted_score", *more))
         radii = [r / 2 for r in radii]
     return at
 
@@ -144,17 +226,20 @@ def best(scored: DataFrame, center: Pose, translation_step: float, heading_step:
 def match(cells: DataFrame, points: DataFrame, grid: Grid, model: EvidenceModel, predicted: Pose, window: SearchWindow | None = None, blur_cells: float = 1.0) -> dict:
     """Best pose of a sweep's points against the map, from coarse to fine; a candidate must be better to replace the pose so far.
 
-    Returns pose, score, predicted_score, translation_correction, heading_correction, evaluations and points. Each pass is
-    one job; an empty map or sweep leaves the predicted pose.
+    Returns pose, score, predicted_score, translation_correction, heading_correction, evaluations (candidates of the search), scored (those that had to be scored), bounded (boxes) and points. An
+    empty map or sweep leaves the predicted pose.
     """
     spark, search = cells.sparkSession, window or SearchWindow()
     points = points.select(F.lit(0).alias("scan_idx"), "px", "py").cache()
     n, far = points.agg(F.count("*"), F.coalesce(F.max(F.hypot("px", "py")), F.lit(0.0))).first()
-    # Passes halve the radius, so that the search as a whole stays within twice the first.
-    part = window_around(grid, predicted.x, predicted.y, far + 4 * search.translation_radius)
-    field = packed(likelihood_field(cells, grid, model, blur_cells), grid, part).cache()
+    # Passes halve the radius, so that the search as a whole stays within twice the first; cells further off than that and the blur don't count.
+    taps = len(gaussian_taps(blur_cells)) // 2 if blur_cells else 0
+    part = window_around(grid, predicted.x, predicted.y, far + 4 * search.translation_radius + taps * grid.resolution)
+    row0, col0 = round((part.origin_y - grid.origin_y) / grid.resolution), round((part.origin_x - grid.origin_x) / grid.resolution)
+    near = cells.filter(in_bounds(F.col("row") - row0, F.col("col") - col0, part))
+    field = checkpoint(likelihood_field(near, grid, model, blur_cells))
     start = spark.createDataFrame([(0, predicted.x, predicted.y, predicted.theta)], "scan_idx int, x double, y double, theta double")
-    found = match_sweeps(points, start, field, part, search).first()
+    found = match_sweeps(points, start, field, grid, search).first()
     at = Pose(found["x"], found["y"], found["theta"])
     radii, tried = [search.translation_radius, search.heading_radius, search.translation_step, search.heading_step], 0
     for _ in range(search.refinements + 1):
@@ -167,8 +252,9 @@ def match(cells: DataFrame, points: DataFrame, grid: Grid, model: EvidenceModel,
         "translation_correction": math.hypot(at.x - predicted.x, at.y - predicted.y),
         "heading_correction": wrap(at.theta - predicted.theta),
         "evaluations": tried,
+        "scored": found["scored"],
+        "bounded": found["bounded"],
         "points": n,
     }
-    field.unpersist()
     points.unpersist()
     return result

@@ -17,6 +17,7 @@ from gridfold.operators import evidence, lidar, match, pose, score, traverse
 from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Mover, Polygon, Pose, Scenario, SearchWindow, Trajectory
 from gridfold.plans import report, studies
 from gridfold.plans import run as runs
+from gridfold.session import checkpoint
 from gridfold.sources import scenarios
 
 GRID = Grid(0.25, 160, 240)
@@ -534,7 +535,7 @@ def _points(spark, sf_dir):
 def _scores(spark, sf_dir):
     points = _points(spark, sf_dir)
     tried = points.select("scan_idx").distinct().crossJoin(F.broadcast(_candidates(spark)))
-    return match.scores(points, tried, match.packed(_field(spark, sf_dir), GRID), GRID, ("scan_idx",))
+    return match.scores(points, tried, match.tiled(_field(spark, sf_dir)), GRID, ("scan_idx",))
 
 
 @query(f"WITH {_SCORES} SELECT scan_idx, idx, round(score, 5)::DOUBLE AS score FROM scores")
@@ -552,28 +553,47 @@ def match_best(spark, sf_dir):
 _SEARCH = SearchWindow(0.25, 0.02, 0.25, 0.02, 1)
 
 
-def _passes_sql() -> str:
-    """The search's passes, each around what the one before took."""
+def _passes_sql(search: SearchWindow) -> str:
+    """The search's passes over all candidates, each around what the one before took."""
     made = [f"at0 AS (SELECT scan_idx, x, y, theta, coalesce(s, 0) AS score FROM start LEFT JOIN ({_sampled_sql('start')}) USING (scan_idx))"]
-    t, h = 0.25, 0.02
-    for k in range(2):
-        made.append(f"""try{k} AS (SELECT scan_idx, i * 9 + j * 3 + m AS idx, x + (-{t} + i * {t}) AS x, y + (-{t} + j * {t}) AS y, theta + (-{h} + m * {h}) AS theta, (i - 1) ** 2 + (j - 1) ** 2 + (m - 1) ** 2 AS cost FROM at{k}, range(3) a(i), range(3) b(j), range(3) c(m)),
+    t, h, ts, hs = search.translation_radius, search.heading_radius, search.translation_step, search.heading_step
+    for k in range(search.refinements + 1):
+        n, m = match.span(t, ts), match.span(h, hs)
+        cost = f"((-{t} + i * {ts}) / {ts}) ** 2 + ((-{t} + j * {ts}) / {ts}) ** 2 + ((-{h} + m * {hs}) / {hs}) ** 2"
+        made.append(f"""try{k} AS (SELECT scan_idx, (i * {n} + j) * {m} + m AS idx, x + (-{t} + i * {ts}) AS x, y + (-{t} + j * {ts}) AS y, theta + (-{h} + m * {hs}) AS theta, {cost} AS cost FROM at{k}, range({n}) a(i), range({n}) b(j), range({m}) c(m)),
 got{k} AS (SELECT q.*, coalesce(s, 0) AS score FROM try{k} q LEFT JOIN ({_sampled_sql(f'try{k}')}) USING (scan_idx, idx)),
 pick{k} AS (SELECT scan_idx, arg_min(x, (cost, idx)) AS x, arg_min(y, (cost, idx)) AS y, arg_min(theta, (cost, idx)) AS theta, arg_min(score, (cost, idx)) AS score FROM (SELECT *, max(score) OVER (PARTITION BY scan_idx) AS top FROM got{k}) WHERE score >= top - 1e-12 GROUP BY scan_idx),
 at{k + 1} AS (SELECT a.scan_idx, CASE WHEN p.score > a.score THEN p.x ELSE a.x END AS x, CASE WHEN p.score > a.score THEN p.y ELSE a.y END AS y, CASE WHEN p.score > a.score THEN p.theta ELSE a.theta END AS theta, greatest(p.score, a.score) AS score FROM at{k} a JOIN pick{k} p USING (scan_idx))""")
-        t, h = t / 2, h / 2
+        t, h, ts, hs = t / 2, h / 2, ts / 2, hs / 2
     return ",\n".join(made)
 
 
-@query(f"""WITH {_FIELD}, {_POINTS}, start AS (SELECT scan_idx, 0 AS idx, min(x0) + 0.37 AS x, min(y0) - 0.21 AS y, 0.013::DOUBLE AS theta FROM beams GROUP BY scan_idx),
-{_passes_sql()} SELECT scan_idx, round(x, 5)::DOUBLE AS x, round(y, 5)::DOUBLE AS y, round(theta, 5)::DOUBLE AS theta, round(score, 5)::DOUBLE AS score FROM at2""")
-def match_scan(spark, sf_dir):
-    """Every sweep from a displaced pose, from coarse to fine."""
+def _searched_sql(search: SearchWindow) -> str:
+    return f"""WITH {_FIELD}, {_POINTS}, start AS (SELECT scan_idx, 0 AS idx, min(x0) + 0.37 AS x, min(y0) - 0.21 AS y, 0.013::DOUBLE AS theta FROM beams GROUP BY scan_idx),
+{_passes_sql(search)} SELECT scan_idx, round(x, 5)::DOUBLE AS x, round(y, 5)::DOUBLE AS y, round(theta, 5)::DOUBLE AS theta, round(score, 5)::DOUBLE AS score FROM at{search.refinements + 1}"""
+
+
+def _searched(spark, sf_dir, search: SearchWindow) -> DataFrame:
     predicted = beams(spark, sf_dir).groupBy("scan_idx").agg((F.min("x0") + 0.37).alias("x"), (F.min("y0") - 0.21).alias("y"), F.lit(0.013).alias("theta"))
-    found = match.match_sweeps(_points(spark, sf_dir), predicted, match.packed(_field(spark, sf_dir), GRID), GRID, _SEARCH)
+    found = match.match_sweeps(checkpoint(_points(spark, sf_dir)), predicted, checkpoint(_field(spark, sf_dir)), GRID, search)
     return found.select("scan_idx", *(F.round(c, 5).alias(c) for c in ("x", "y", "theta", "score")))
 
 
+@query(_searched_sql(_SEARCH))
+def match_scan(spark, sf_dir):
+    """Every sweep from a displaced pose, from coarse to fine."""
+    return _searched(spark, sf_dir, _SEARCH)
+
+
+_WIDE_SEARCH = SearchWindow(1.0, 0.04, 0.25, 0.02, 1)
+
+
+@query(_searched_sql(_WIDE_SEARCH))
+def match_search(spark, sf_dir):
+    """Every sweep over 405 candidates a pass, most of which bounds leave out; the SQL tries them all."""
+    return _searched(spark, sf_dir, _WIDE_SEARCH)
+
+
 # Scores -----------------------------------------------------------------------------------------
 
 _COUNTS = """count(*) FILTER (scored) AS scored_cells, count(*) FILTER (scored AND state > 0) AS decided_cells, count(*) FILTER (scored AND NOT occupied AND state > 0) AS free_truth,
