@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import in_bounds
 from gridfold.params import EvidenceModel, Grid
+from gridfold.session import checkpoint
 
 CELL = ["row", "col"]
 
@@ -59,6 +60,10 @@ def fold_by_models(touch: DataFrame, keys: list[str], models: DataFrame) -> Data
     return crossed.select("model_id", *keys, *CELL, folded(F.col("sweeps"), *values).alias("log_odds"), "observed", "occ_obs")
 
 
+#: Sweeps whose touches of a cell are held in one array; runs with more are folded by ranges of so many.
+RANGE = 1000
+
+
 def monoid(first: Column, second: Column) -> Column:
     """Two clamped sums (a, lo, hi) of x -> min(hi, max(lo, x + a)) in sequence, as one.
 
@@ -70,17 +75,33 @@ def monoid(first: Column, second: Column) -> Column:
     return F.struct((first["a"] + a).alias("a"), clip(first["lo"] + a).alias("lo"), clip(first["hi"] + a).alias("hi"))
 
 
-def fold_in_ranges(touch: DataFrame, keys: list[str], model: EvidenceModel, sweeps_per_range: int = 1000) -> DataFrame:
-    """log_odds by the monoid: partial sums of ranges of sweeps, then of the ranges. For runs too long for one array."""
-    increment = F.when(F.col("is_occ"), F.lit(model.l_occupied)).otherwise(F.lit(model.l_free))
-    one = F.struct(increment.alias("a"), F.lit(model.l_min).alias("lo"), F.lit(model.l_max).alias("hi"))
+def ranged(touch: DataFrame, keys: list[str], model: EvidenceModel, sweeps_per_range: int = RANGE) -> DataFrame:
+    """(keys, row, col, part, sweeps, start): each cell's sweeps in order, range by range, with the log odds before the range.
+
+    A range is one clamped sum (see `monoid`); a cell's are gone through in order to give the starts, so that arrays hold a range's sweeps or a cell's
+    ranges. The first range starts from the prior to the last bit, later ones up to rounding.
+    """
+    part = F.floor(F.col("scan_idx") / sweeps_per_range).alias("part")
+    own = checkpoint(touch.groupBy(*keys, *CELL, part).agg(F.sort_array(F.collect_list(F.struct("scan_idx", "is_occ"))).alias("sweeps")))
     unit = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    part = touch.select(*keys, *CELL, F.floor(F.col("scan_idx") / sweeps_per_range).alias("part"), F.struct("scan_idx", one.alias("f")).alias("s"))
-    run = lambda items: F.aggregate(F.sort_array(F.collect_list(items)), unit, lambda acc, s: monoid(acc, s["f"]))
-    ranged = part.groupBy(*keys, *CELL, "part").agg(run("s").alias("f"))
-    whole = ranged.groupBy(*keys, *CELL).agg(run(F.struct("part", "f")).alias("f"))
-    clip = F.least(F.greatest(F.lit(model.l_prior) + F.col("f.a"), F.col("f.lo")), F.col("f.hi"))
-    return whole.select(*keys, *CELL, clip.alias("log_odds"))
+    one = lambda s: F.struct(F.when(s["is_occ"], model.l_occupied).otherwise(model.l_free).alias("a"), F.lit(model.l_min).alias("lo"), F.lit(model.l_max).alias("hi"))
+    sums = own.select(*keys, *CELL, "part", F.aggregate("sweeps", unit, lambda acc, s: monoid(acc, one(s))).alias("f"))
+    before = F.struct(F.lit(model.l_prior).alias("l"), F.array().cast("array<struct<part:bigint,start:double>>").alias("starts"))
+
+    def step(acc: Column, r: Column) -> Column:
+        after = F.least(F.greatest(acc["l"] + r["f"]["a"], r["f"]["lo"]), r["f"]["hi"])
+        return F.struct(after.alias("l"), F.array_append(acc["starts"], F.struct(r["part"].alias("part"), acc["l"].alias("start"))).alias("starts"))
+
+    parts = sums.groupBy(*keys, *CELL).agg(F.sort_array(F.collect_list(F.struct("part", "f"))).alias("parts"))
+    starts = parts.select(*keys, *CELL, F.inline(F.aggregate("parts", before, step)["starts"]))
+    return own.join(starts, [*keys, *CELL, "part"])
+
+
+def fold_in_ranges(touch: DataFrame, keys: list[str], model: EvidenceModel, sweeps_per_range: int = RANGE) -> DataFrame:
+    """As `fold`, for runs of any length: the last range of each cell is folded from its start."""
+    values = [F.lit(v) for v in (model.l_free, model.l_occupied, model.l_min, model.l_max)]
+    last = ranged(touch, keys, model, sweeps_per_range).select(*keys, *CELL, "part", folded(F.col("sweeps"), F.col("start"), *values).alias("l"), F.size("sweeps").alias("n"), F.size(F.filter("sweeps", lambda s: s["is_occ"])).alias("o"))
+    return last.groupBy(*keys, *CELL).agg(F.max_by("l", "part").alias("log_odds"), F.sum("n").alias("observed"), F.sum("o").alias("occ_obs"))
 
 
 def dense(cells: DataFrame, grid: Grid, model: EvidenceModel) -> DataFrame:

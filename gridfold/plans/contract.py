@@ -423,10 +423,10 @@ def fold_log_odds(spark, sf_dir):
     return cells(spark, sf_dir).select("row", "col", r9("log_odds").alias("log_odds"))
 
 
-@query(f"WITH {CELLS} SELECT row, col, round(log_odds, 6) AS log_odds FROM cells")
+@query(f"WITH {CELLS} SELECT row, col, round(log_odds, 6) AS log_odds, observed, occ_obs FROM cells")
 def fold_in_ranges(spark, sf_dir):
-    """The same by the monoid, over ranges of four sweeps."""
-    return evidence.fold_in_ranges(touch(spark, sf_dir), [], MODEL, 4).select("row", "col", r9("log_odds").alias("log_odds"))
+    """The same over ranges of four sweeps, whose clamped sums are put together."""
+    return evidence.fold_in_ranges(touch(spark, sf_dir), [], MODEL, 4).select("row", "col", r9("log_odds").alias("log_odds"), "observed", "occ_obs")
 
 
 @query(f"WITH {CELLS} SELECT row, col, observed, occ_obs FROM cells")
@@ -743,6 +743,12 @@ def state_counts(spark, sf_dir):
     return runs.state_counts(touch(spark, sf_dir), [], MODEL, GRID.size)
 
 
+@query(f"WITH {_PREFIX} SELECT d.scan_idx, count(*) FILTER (l <= -{L['l_decision']}) AS free_cells, count(*) FILTER (l >= {L['l_decision']}) AS occupied_cells, {GRID.size} - count(*) FILTER (abs(l) >= {L['l_decision']}) AS unknown_cells FROM d JOIN p ON d.scan_idx >= p.scan_idx AND d.scan_idx < p.upto GROUP BY d.scan_idx")
+def state_counts_in_ranges(spark, sf_dir):
+    """The same with cells' sweeps in ranges of seven."""
+    return runs.state_counts(touch(spark, sf_dir), [], MODEL, GRID.size, 7)
+
+
 @query(f"WITH {visits_sql(GRID)} SELECT count(DISTINCT scan_idx) AS sweeps, (SELECT count(*) FROM beams) AS beams, count(*) FILTER (is_terminal AND is_hit) AS placed_returns, count(*) AS cell_visits FROM visits")
 def run_totals(spark, sf_dir):
     counters = evidence.sweep_counters(visits(spark, sf_dir), beams(spark, sf_dir), SWEEP)

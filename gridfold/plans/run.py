@@ -55,6 +55,11 @@ class Run:
     #: Free, occupied and unknown cells after each sweep, where the map was made sweep by sweep.
     counts: list[tuple[int, int, int]]
 
+    @property
+    def sweeps(self) -> int:
+        n = self.config.max_steps
+        return len(self.scenario.trajectory) if n is None else min(n, len(self.scenario.trajectory))
+
     @property
     def resamples(self) -> int:
         return sum(w.moved for w in self.windows)
@@ -219,7 +224,7 @@ def _planned(spark: SparkSession, scenario: Scenario, config: RunConfig, run_id:
         grid, windows = scenario.grid, []
         visits = traverse.walk(lidar.endpoints(beams), grid, KEEP)
         touch = evidence.touches(visits, SWEEP)
-        cells = evidence.fold(touch, KEYS, scenario.model).drop("run_id")
+        cells = (evidence.fold if len(path) <= evidence.RANGE else evidence.fold_in_ranges)(touch, KEYS, scenario.model).drop("run_id")
     else:
         windows = ego_windows(scenario, config, _believed(poses))
         grid = windows[-1].grid
@@ -279,20 +284,24 @@ def _stepped(spark: SparkSession, run_id: str, scenario: Scenario, config: RunCo
     return Run(scenario, config, grid, poses, placed, visits, evidence.touches(visits, SWEEP), cells, _truth(spark, scenario, run_id, grid, path), windows, matches, counts)
 
 
-def state_counts(touch: DataFrame, keys: list[str], model: EvidenceModel, size: int) -> DataFrame:
-    """(keys, scan_idx, free_cells, occupied_cells, unknown_cells) after each sweep, for a grid that stands still."""
+def state_counts(touch: DataFrame, keys: list[str], model: EvidenceModel, size: int, sweeps_per_range: int | None = None) -> DataFrame:
+    """(keys, scan_idx, free_cells, occupied_cells, unknown_cells) after each sweep, for a grid that stands still; by ranges of sweeps if so many are given."""
     kind = lambda s: F.struct(s["scan_idx"].alias("scan_idx"), F.when(s["is_occ"], 1).otherwise(0).alias("kind"))
-    gathered = evidence.gather(touch, keys).select(*keys, F.transform("sweeps", kind).alias("events"))
+    events = F.transform("sweeps", kind).alias("events")
+    if sweeps_per_range is None:
+        gathered = evidence.gather(touch, keys).select(*keys, events, F.lit(model.l_prior).alias("start"))
+    else:
+        gathered = evidence.ranged(touch, keys, model, sweeps_per_range).select(*keys, events, "start")
     return counted_changes(gathered, touch.select(*keys, "scan_idx").distinct(), keys, model, size)
 
 
 def counted_changes(cells: DataFrame, every: DataFrame, keys: list[str], model: EvidenceModel, size: int) -> DataFrame:
-    """State counts after each of `every` (keys, scan_idx), from cells with sorted events.
+    """State counts after each of `every` (keys, scan_idx), from cells with sorted events and the log odds before them (`start`).
 
-    Each cell's sum is kept after every event; only changes of state are summed, and running sums give the counts.
-    A cell that a window has lost is reset, and so isn't counted any more.
+    Each cell's sum is kept after every event; only changes of state are summed, and running sums give the counts: within ranges of sweeps, and over
+    the ranges before. A cell that a window has lost is reset, and so isn't counted any more.
     """
-    start = F.struct(F.lit(model.l_prior).alias("l"), F.lit(0).alias("state"), F.array().cast("array<struct<scan_idx:int,old:int,new:int>>").alias("changes"))
+    start = F.struct(F.col("start").alias("l"), state(F.col("start"), model).alias("state"), F.array().cast("array<struct<scan_idx:int,old:int,new:int>>").alias("changes"))
 
     def step(acc: Column, s: Column) -> Column:
         value = stepped(acc["l"], s["kind"], model)
@@ -303,10 +312,15 @@ def counted_changes(cells: DataFrame, every: DataFrame, keys: list[str], model:
     changes = cells.select(*keys, F.explode(F.aggregate("events", start, step)["changes"]).alias("c"))
     gain = lambda s: F.sum(F.when(F.col("c.new") == s, 1).otherwise(0) - F.when(F.col("c.old") == s, 1).otherwise(0))
     per_sweep = changes.groupBy(*keys, F.col("c.scan_idx").alias("scan_idx")).agg(gain(FREE).alias("f"), gain(OCCUPIED).alias("o"))
-    joined = every.join(per_sweep, [*keys, "scan_idx"], "left")
-    upto = Window.partitionBy(*keys).orderBy("scan_idx").rowsBetween(Window.unboundedPreceding, 0)
-    summed = joined.withColumns({"free_cells": F.coalesce(F.sum("f").over(upto), F.lit(0)), "occupied_cells": F.coalesce(F.sum("o").over(upto), F.lit(0))})
-    return summed.select(*keys, "scan_idx", "free_cells", "occupied_cells", (F.lit(size) - F.col("free_cells") - F.col("occupied_cells")).alias("unknown_cells"))
+    joined = every.join(per_sweep, [*keys, "scan_idx"], "left").select(*keys, "scan_idx", F.floor(F.col("scan_idx") / evidence.RANGE).alias("_part"), *(F.coalesce(c, F.lit(0)).alias(c) for c in "fo"))
+    within = Window.partitionBy(*keys, "_part").orderBy("scan_idx").rowsBetween(Window.unboundedPreceding, 0)
+    # A row for each range of sweeps.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = joined.groupBy(*keys, "_part").agg(F.sum("f").alias("_f"), F.sum("o").alias("_o"))
+    parts = parts.select(*keys, "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_f", "_o")))
+    summed = joined.withColumns({c: F.sum(c).over(within) for c in "fo"}).join(parts, [*keys, "_part"])
+    counted = summed.select(*keys, "scan_idx", (F.col("f") + F.col("_f")).alias("free_cells"), (F.col("o") + F.col("_o")).alias("occupied_cells"))
+    return counted.withColumn("unknown_cells", F.lit(size) - F.col("free_cells") - F.col("occupied_cells"))
 
 
 def run_state_counts(made: Run) -> DataFrame:
@@ -317,8 +331,8 @@ def run_state_counts(made: Run) -> DataFrame:
         counted = spark.createDataFrame(rows, "scan_idx int, free_cells long, occupied_cells long, unknown_cells long")  # one row for a sweep
         return made.poses.select(*SWEEP).join(F.broadcast(counted), "scan_idx").select(*SWEEP, "free_cells", "occupied_cells", "unknown_cells")
     if made.windows:
-        return counted_changes(with_resets(made.touch, made.windows), made.poses.select(*SWEEP), KEYS, model, size)
-    return state_counts(made.touch, KEYS, model, size)
+        return counted_changes(with_resets(made.touch, made.windows).withColumn("start", F.lit(model.l_prior)), made.poses.select(*SWEEP), KEYS, model, size)
+    return state_counts(made.touch, KEYS, model, size, evidence.RANGE if made.sweeps > evidence.RANGE else None)
 
 
 #: Columns of a sweep's record.

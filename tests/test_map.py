@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridfold.functions import scalars
 from gridfold.operators import evidence, lidar, match, pose, score, traverse
 from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Polygon, Pose, Scenario, SearchWindow, Trajectory
-from gridfold.plans import report
+from gridfold.plans import report, run as runs
 from gridfold.sources import scenarios
 
 UNIT, M = Grid(1.0, 10, 10), EvidenceModel()
@@ -218,3 +218,50 @@ def test_thick_and_thin_cells_against_squares(spark, radius):
     far = {(r.row, r.col): r.distance for r in near}
     assert len(near) == len(far) and all(d == min(k for k in (radius, 2 * radius + 1) if any(max(abs(x - r), abs(y - c)) <= k for r, c in marked)) for (x, y), d in far.items())
     assert score.thickened(df.filter("false"), radius, grid).count() == 0
+
+
+def test_folds_in_ranges_of_long_runs(spark, monkeypatch):
+    """Thousands of sweeps of few cells, with gaps: maps, counts and states after each sweep as by plain sums."""
+    monkeypatch.setattr(evidence, "RANGE", 300)
+    rng = random.Random(12)
+    rows = [(k, 0, c, rng.random() < (0.35 if (k // 700) % 2 else 0.1)) for k in range(2500) for c in range(6) if rng.random() < (0.02 if c == 5 else 0.6) and not 900 < k < 1600]
+    touch = spark.createDataFrame(rows, "scan_idx int, row int, col int, is_occ boolean")
+    log_odds, counts, states = dict.fromkeys(range(6), M.l_prior), {c: [0, 0] for c in range(6)}, {}
+    for k, _, c, occ in sorted(rows):
+        log_odds[c] = min(max(log_odds[c] + (M.l_occupied if occ else M.l_free), M.l_min), M.l_max)
+        counts[c][0] += 1
+        counts[c][1] += occ
+        free = sum(v <= M.l_prior - M.l_decision for v in log_odds.values())
+        states[k] = (free, sum(v >= M.l_prior + M.l_decision for v in log_odds.values()))
+    for size in (100, 5000):
+        got = evidence.fold_in_ranges(touch, [], M, size).collect()
+        assert {r.col: r.log_odds for r in got} == pytest.approx(log_odds, abs=1e-9)
+        assert {r.col: [r.observed, r.occ_obs] for r in got} == counts
+        found = {r.scan_idx: (r.free_cells, r.occupied_cells) for r in runs.state_counts(touch, [], M, 6, size).collect()}
+        assert found == states
+    assert evidence.fold_in_ranges(touch.filter("false"), [], M).count() == 0
+
+
+def test_report_strings_round_exact_values(spark):
+    """From unrounded rates, halves to even, as the value in binary says."""
+    rates = {"decided_fraction": 32 / 801, "free_agreement": 0.03125, "occupied_agreement": 1 / 3, "balanced_agreement": 1.0}
+    row = report.agreement_rows(spark.range(1).select(F.lit(0.7).alias("decision_prob"), *(F.lit(v).alias(k) for k, v in rates.items()), F.lit(1).alias("free_called_occupied"), F.lit(2).alias("occupied_called_free"))).first()
+    assert tuple(row) == ("0.70", *(f"{v:.4f}" for v in rates.values()), "1", "2")
+    assert spark.range(1).select(report.fixed(F.lit(1234.5), 0), report.fixed(F.lit(-0.125), 2)).first() == ("1234", "-0.12")
+
+
+def test_the_walk_is_compiled_whole(spark):
+    """No method of the generated code is too large for the just-in-time compiler (8000 bytes), nor for the class file."""
+    rows = [(k, 0.3 * k, 0.1 + 0.2 * k, 60.0 - k, 0.7 * k, k % 2 == 0) for k in range(40)]
+    beams = spark.createDataFrame(rows, "scan_idx int, x0 double, y0 double, x1 double, y1 double, is_hit boolean")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        touch = evidence.touches(traverse.walk(beams, Grid(0.5, 60, 80), ["scan_idx", "is_hit"]), ["scan_idx"])
+        assert touch.count() > 1000
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(touch._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    assert len(sizes) >= 2 and 0 < max(sizes) < 8000
