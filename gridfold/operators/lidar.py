@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.functions.scalars import INF, circle_range, edge_range, x_of, y_of
+from gridfold.functions.scalars import INF, circle_range, edge_range
+from gridfold.operators import shapes
 from gridfold.params import Grid, Lidar
 
 
@@ -72,12 +73,12 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
 
 
 def truth(scenes: DataFrame, grid: Grid, time: float) -> DataFrame:
-    """(run_id, row, col, occupied) of every cell: whether its centre lies in an obstacle at a time."""
+    """(run_id, row, col, occupied) of every cell: whether its centre lies in an obstacle at a time. Obstacles are filled line by line."""
     spark = scenes.sparkSession
     cells = spark.range(grid.size).select(F.floor(F.col("id") / grid.cols).cast("int").alias("row"), (F.col("id") % grid.cols).cast("int").alias("col"))
-    cells = cells.withColumns({"cx": x_of("col", grid), "cy": y_of("row", grid)})
-    there = F.broadcast(scenes.withColumn("discs", discs_at(F.lit(time))))  # one row for a run
-    crossed = cells.crossJoin(there)
-    inside = lambda d: (F.col("cx") - d["x"]) * (F.col("cx") - d["x"]) + (F.col("cy") - d["y"]) * (F.col("cy") - d["y"]) <= d["r"] * d["r"]
-    occupied = F.exists("discs", inside) | F.exists("rings", lambda ring: in_polygon(F.col("cx"), F.col("cy"), ring))
-    return crossed.select("run_id", "row", "col", occupied.alias("occupied"))
+    rings = scenes.select("run_id", F.posexplode("rings").alias("_ring", "_points"))
+    polygons = shapes.polygon_cells(shapes.edges(rings, "_points", ["run_id", "_ring"]), grid, ["run_id", "_ring"])
+    discs = shapes.disc_cells(scenes.select("run_id", F.inline(discs_at(F.lit(time)))), grid, ["run_id"])
+    covered = polygons.select("run_id", "row", "col").unionByName(discs).distinct().withColumn("occupied", F.lit(True))
+    every = cells.crossJoin(F.broadcast(scenes.select("run_id")))  # one row for a run
+    return every.join(covered, ["run_id", "row", "col"], "left").select("run_id", "row", "col", F.coalesce("occupied", F.lit(False)).alias("occupied"))

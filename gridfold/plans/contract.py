@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions import scalars
-from gridfold.operators import evidence, lidar, match, pose, score, traverse
+from gridfold.operators import evidence, lidar, match, pose, score, shapes, traverse
 from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Mover, Polygon, Pose, Scenario, SearchWindow, Trajectory
 from gridfold.plans import report, studies
 from gridfold.plans import run as runs
@@ -388,6 +388,31 @@ def occupancy_truth(spark, sf_dir):
     return truth(spark).select("row", "col", "occupied")
 
 
+#: A dart (concave) and a disc at each event's endpoint.
+_DARTS = f"{BEAMS}, shapes AS (SELECT beam_idx, x1, y1, [x1, x1 + 1.6, x1 + 0.5, x1 + 0.2 + (beam_idx % 7) / 10.0::DOUBLE] AS xs, [y1, y1 + 0.3, y1 + 0.6, y1 + 1.7] AS ys, 0.3 + (beam_idx % 11) / 10.0::DOUBLE AS r FROM beams)"
+_AROUND = f"""around AS (SELECT s.*, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, (row + 0.5) * 0.25::DOUBLE AS cy, (col + 0.5) * 0.25::DOUBLE AS cx
+  FROM shapes s, unnest(generate_series(greatest(CAST(floor((y1 - 1.5) * 4) AS BIGINT), 0), least(CAST(floor((y1 + 2) * 4) AS BIGINT), {GRID.rows - 1}))) a(row),
+  unnest(generate_series(greatest(CAST(floor((x1 - 1.5) * 4) AS BIGINT), 0), least(CAST(floor((x1 + 2) * 4) AS BIGINT), {GRID.cols - 1}))) b(col))"""
+_CROSSES = " + ".join(f"CASE WHEN (ys[{i}] > cy) <> (ys[{j}] > cy) AND cx < xs[{i}] + (cy - ys[{i}]) * (xs[{j}] - xs[{i}]) / (ys[{j}] - ys[{i}]) THEN 1 ELSE 0 END" for i, j in ((1, 2), (2, 3), (3, 4), (4, 1)))
+
+
+@query(f"WITH {_DARTS}, {_AROUND} SELECT row, col, count(*) AS shapes FROM around WHERE ({_CROSSES}) % 2 = 1 GROUP BY row, col")
+def filled_polygons(spark, sf_dir):
+    """How many darts cover each cell."""
+    x, y, e = F.col("x1"), F.col("y1"), F.col("beam_idx")
+    corners = ((x, y), (x + 1.6, y + 0.3), (x + 0.5, y + 0.6), (x + 0.2 + (e % 7) / F.lit(10.0), y + 1.7))
+    rings = beams(spark, sf_dir).select("beam_idx", F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in corners)).alias("ring"))
+    covered = shapes.polygon_cells(shapes.edges(rings, "ring", ["beam_idx"]), GRID, ["beam_idx"])
+    return covered.groupBy("row", "col").agg(F.count("*").alias("shapes"))
+
+
+@query(f"WITH {_DARTS}, {_AROUND} SELECT row, col, count(*) AS shapes FROM around WHERE (cx - x1) * (cx - x1) + (cy - y1) * (cy - y1) <= r * r GROUP BY row, col")
+def filled_discs(spark, sf_dir):
+    """How many discs cover each cell."""
+    discs = beams(spark, sf_dir).select("beam_idx", F.col("x1").alias("x"), F.col("y1").alias("y"), (0.3 + (F.col("beam_idx") % 11) / F.lit(10.0)).alias("r"))
+    return shapes.disc_cells(discs, GRID, ["beam_idx"]).groupBy("row", "col").agg(F.count("*").alias("shapes"))
+
+
 # Traversal and evidence -------------------------------------------------------------------------
 
 

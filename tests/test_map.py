@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions import scalars
-from gridfold.operators import evidence, lidar, match, pose, score, traverse
+from gridfold.operators import evidence, lidar, match, pose, score, shapes, traverse
 from gridfold.params import Disc, EvidenceModel, Grid, Lidar, Polygon, Pose, Scenario, SearchWindow, Trajectory
 from gridfold.plans import report, run as runs
 from gridfold.sources import scenarios
@@ -265,3 +265,25 @@ def test_the_walk_is_compiled_whole(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
     assert len(sizes) >= 2 and 0 < max(sizes) < 8000
+
+
+def test_scan_lines_against_crossing_numbers(spark):
+    """Concave, self-crossing and level-sided polygons, corners on centres, shapes over the grid's edge and outside it."""
+    rng = random.Random(3)
+    grid = Grid(0.5, 24, 30, -2.0, 1.0)
+    rings = [[(rng.uniform(-4, 15), rng.uniform(-2, 15)) for _ in range(rng.randint(3, 9))] for _ in range(12)]
+    rings += [[(0.25, 3.25), (6.25, 3.25), (6.25, 7.25), (3.25, 7.25), (3.25, 5.25), (0.25, 5.25)], [(100.0, 100.0), (101.0, 100.0), (101.0, 101.0)], [(-2.0, 1.0), (13.0, 1.0), (13.0, 13.0), (-2.0, 13.0)]]
+
+    def inside(ring, x, y):
+        n = 0
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            n += (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay)
+        return n % 2 == 1
+
+    centres = [(r, c, -2.0 + (c + 0.5) * 0.5, 1.0 + (r + 0.5) * 0.5) for r in range(24) for c in range(30)]
+    table = spark.createDataFrame([(k, ring) for k, ring in enumerate(rings)], "shape long, ring array<struct<x:double,y:double>>")
+    got = [tuple(r) for r in shapes.polygon_cells(shapes.edges(table, "ring", ["shape"]), grid, ["shape"]).collect()]
+    assert sorted(got) == sorted((k, r, c) for k, ring in enumerate(rings) for r, c, x, y in centres if inside(ring, x, y))
+    discs = [(k, rng.uniform(-3, 14), rng.uniform(0, 14), rng.uniform(0.01, 4)) for k in range(15)] + [(20, -1.75, 1.25, 0.5), (21, 50.0, 50.0, 1.0)]
+    got = [tuple(r) for r in shapes.disc_cells(spark.createDataFrame(discs, "shape long, x double, y double, r double"), grid, ["shape"]).collect()]
+    assert sorted(got) == sorted((k, r, c) for k, cx, cy, radius in discs for r, c, x, y in centres if (x - cx) ** 2 + (y - cy) ** 2 <= radius**2)
