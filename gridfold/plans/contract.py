@@ -865,6 +865,18 @@ def state_image(spark, sf_dir):
     return report.state_image(cells(spark, sf_dir), MODEL)
 
 
+_LEVELS = [1, 3, 5]
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT *, CASE WHEN log_odds <= {L["l_prior"]} - {L["l_decision"]} THEN 1 WHEN log_odds >= {L["l_prior"]} + {L["l_decision"]} THEN 2 ELSE 0 END AS state FROM cells),
+b AS (SELECT level, row // (2 ** level)::INTEGER AS row, col // (2 ** level)::INTEGER AS col, count(*) FILTER (state = 1) AS free, count(*) FILTER (state = 2) AS occupied, greatest(max(log_odds), {L["l_prior"]}) AS most FROM s, unnest({_LEVELS}) l(level) GROUP BY 1, 2, 3),
+u AS (SELECT *, least((2 ** level)::INTEGER, {GRID.rows} - row * (2 ** level)::INTEGER) * least((2 ** level)::INTEGER, {GRID.cols} - col * (2 ** level)::INTEGER) - free - occupied AS unknown FROM b)
+SELECT level, row, col, free, occupied, unknown, round(most, 6) AS most, CASE WHEN occupied >= free AND occupied >= unknown THEN 2 WHEN free >= unknown THEN 1 ELSE 0 END AS state FROM u""")
+def map_pyramid(spark, sf_dir):
+    """The map at three scales."""
+    return report.pyramid(cells(spark, sf_dir), MODEL, GRID, _LEVELS).withColumn("most", r9("most"))
+
+
 @query(f"WITH {SCORED} SELECT row, col, CASE WHEN NOT scored THEN 'unscored' WHEN state = 0 THEN 'undecided' WHEN (state = 2) = occupied THEN 'right' WHEN state = 2 THEN 'free_called_occupied' ELSE 'occupied_called_free' END AS verdict FROM called")
 def decision_image(spark, sf_dir):
     return report.decision_image(scored(spark, sf_dir), MODEL)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import state
-from gridfold.params import EvidenceModel
+from gridfold.params import FREE, OCCUPIED, UNKNOWN, EvidenceModel, Grid
 
 #: Red, green and blue of unknown, free and occupied cells, and of cells that are wrong. Our own choice of colours.
 COLOURS = {0: (0.55, 0.55, 0.60), 1: (0.97, 0.97, 0.95), 2: (0.10, 0.14, 0.26)}
@@ -97,3 +97,20 @@ def decision_image(cells: DataFrame, model: EvidenceModel) -> DataFrame:
     s = state("log_odds", model)
     verdict = F.when(~F.col("scored"), "unscored").when(s == 0, "undecided").when((s == 2) == F.col("occupied"), "right").when(s == 2, "free_called_occupied").otherwise("occupied_called_free")
     return cells.select("row", "col", verdict.alias("verdict"))
+
+
+def pyramid(cells: DataFrame, model: EvidenceModel, grid: Grid, levels: list[int]) -> DataFrame:
+    """(level, row, col, free, occupied, unknown, most, state): what blocks of 2 ** level by 2 ** level cells hold, so that a map of any size is drawn from as many rows as a picture has pixels.
+
+    free, occupied and unknown count the block's cells inside the grid, `most` is its highest log odds (the prior counts), state the one that most of its cells have: of equally many occupied, then free. Blocks
+    without a touched cell are left out. Cells are summed on the map side, each for every level.
+    """
+    shown = state("log_odds", model)
+    side = F.pow(F.lit(2.0), F.col("level")).cast("int")
+    block = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(c)
+    spread = cells.withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)))).select("level", block("row"), block("col"), shown.alias("_state"), "log_odds")
+    counted = spread.groupBy("level", "row", "col").agg(F.count_if(F.col("_state") == FREE).alias("free"), F.count_if(F.col("_state") == OCCUPIED).alias("occupied"), F.greatest(F.max("log_odds"), F.lit(model.l_prior)).alias("most"))
+    inside = F.least(side, F.lit(grid.rows) - F.col("row") * side) * F.least(side, F.lit(grid.cols) - F.col("col") * side)
+    counted = counted.withColumn("unknown", inside.cast("long") - F.col("free") - F.col("occupied"))
+    majority = F.when((F.col("occupied") >= F.col("free")) & (F.col("occupied") >= F.col("unknown")), OCCUPIED).when(F.col("free") >= F.col("unknown"), FREE).otherwise(UNKNOWN)
+    return counted.select("level", "row", "col", "free", "occupied", "unknown", "most", majority.alias("state"))
