@@ -2,8 +2,8 @@
 
 Texts are cut into pre-tokens by overlapping chunks that are stitched where their cuts
 resynchronise (see pretokens); each pre-token is encoded by itself, and decoding concatenates the
-raw bytes of the ids. Texts over `long_chars` are cut in parallel: their chunks are rows of their
-own, dealt over the cluster, and only the cuts come back to the text's row.
+raw bytes of the ids. The chunks of a text are cut in parallel: they are rows of their
+own, dealt over the cluster, and only the cuts come back to the text's row. A text of one chunk is cut where it lies.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from gridfold.llm.common import replace_columns
 from gridfold.llm.pretokens import CHUNK, OVERLAP, compiled, cuts, load_ranks, pretokens, stitch
 
-#: Texts of more code points have their chunks cut by tasks of their own.
-LONG_CHARS = 1 << 22
+#: Texts of more code points have several chunks.
+LONG_CHARS = CHUNK
 #: Pre-tokens whose ids a Python worker remembers, and the longest that it remembers, in code points.
 CACHED, CACHED_CHARS = 150_000, 64
 

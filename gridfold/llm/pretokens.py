@@ -16,7 +16,7 @@ from functools import lru_cache
 import regex
 
 #: Chunk and overlap in code points; texts of at most CHUNK are one chunk.
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP = 1 << 15, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
