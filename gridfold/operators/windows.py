@@ -49,28 +49,36 @@ class Path:
     steps: tuple[Step, ...]
 
 
+def first_step(grid: Grid) -> Step:
+    return Step(0, 0, (0.0, 0.0), (0, 0), (0, grid.rows - 1, 0, grid.cols - 1), False)
+
+
+def next_step(last: Step, before: Grid, after: Grid) -> Step:
+    """The step from one window to the next, of the same size and resolution; `last` is the one that led to the first."""
+    d = shift(before, after)
+    if is_whole_cell_shift(*d):
+        d = (float(round(d[0])), float(round(d[1])))
+    whole = [math.floor(v) for v in d]
+    part = tuple(v - w for v, w in zip(d, whole, strict=True))
+    nearest = tuple(math.floor(v + 0.5) - w for v, w in zip(d, whole, strict=True))
+    # A cell comes from its place plus d, which must lie within the outermost centres of the window before.
+    kept = [b for v, n in zip(d, (after.rows, after.cols), strict=True) for b in (max(0, math.ceil(-v)), min(n - 1, math.floor(n - 1 - v)))]
+    return Step(last.row + whole[0], last.col + whole[1], part, nearest, tuple(kept), after != before)
+
+
 def path(grids: list[Grid], model: EvidenceModel) -> Path:
     """The steps between windows of one size and resolution."""
-    first = grids[0]
-    steps = [Step(0, 0, (0.0, 0.0), (0, 0), (0, first.rows - 1, 0, first.cols - 1), False)]
+    steps = [first_step(grids[0])]
     for before, after in zip(grids, grids[1:], strict=False):
-        d = shift(before, after)
-        if is_whole_cell_shift(*d):
-            d = (float(round(d[0])), float(round(d[1])))
-        whole = [math.floor(v) for v in d]
-        part = tuple(v - w for v, w in zip(d, whole, strict=True))
-        nearest = tuple(math.floor(v + 0.5) - w for v, w in zip(d, whole, strict=True))
-        # A cell comes from its place plus d, which must lie within the outermost centres of the window before.
-        kept = [b for v, n in zip(d, (after.rows, after.cols), strict=True) for b in (max(0, math.ceil(-v)), min(n - 1, math.floor(n - 1 - v)))]
-        steps.append(Step(steps[-1].row + whole[0], steps[-1].col + whole[1], part, nearest, tuple(kept), after != before))
-    return Path(model, first.rows, first.cols, tuple(steps))
+        steps.append(next_step(steps[-1], before, after))
+    return Path(model, grids[0].rows, grids[0].cols, tuple(steps))
 
 
 class _Tile:
     """A tile's cells and those after it that a block needs, at rows top.. and columns left.. of the lattice."""
 
-    def __init__(self, run: Path, row: int, col: int, tile: int, block: int):
-        self.run, self.top, self.left, self.tile, self.size = run, row * tile, col * tile, tile, tile + block
+    def __init__(self, run: Path, row: int, col: int, tile: int, halo: int):
+        self.run, self.top, self.left, self.tile, self.size = run, row * tile, col * tile, tile, tile + halo
         shape = (self.size, self.size)
         self.log_odds, self.observed, self.returns = np.full(shape, run.model.l_prior), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
 
@@ -123,36 +131,40 @@ class _Tile:
         return tuple(np.ascontiguousarray(a[: self.tile, : self.tile]) for a in (self.log_odds, self.observed, self.returns))
 
 
-def _arrays(tile: int, log_odds: bytes, observed: bytes, returns: bytes) -> tuple[np.ndarray, ...]:
+def arrays(tile: int, log_odds: bytes, observed: bytes, returns: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(raw, kind).reshape(tile, tile) for raw, kind in zip((log_odds, observed, returns), (np.float64, np.int64, np.int64), strict=True))
 
 
-def _owners(row: Column, col: Column, tile: int, block: int) -> Column:
-    """The tiles that need a lattice cell in a block: its own, and those before it that it is within a block of."""
+def _owners(row: Column, col: Column, tile: int, halo: int) -> Column:
+    """The tiles that need a lattice cell: its own, and those before it that it is within the halo of."""
     at = lambda c: F.floor(c / tile).cast("int")
-    reach = lambda c: F.when(F.pmod(c, F.lit(tile)) < block, F.array(at(c), at(c) - 1)).otherwise(F.array(at(c)))
+    reach = lambda c: F.when(F.pmod(c, F.lit(tile)) < halo, F.array(at(c), at(c) - 1)).otherwise(F.array(at(c)))
     return F.flatten(F.transform(reach(row), lambda r: F.transform(reach(col), lambda c: F.struct(r.alias("tile_row"), c.alias("tile_col")))))
 
 
-def _folded(state: DataFrame, touch: DataFrame, paths: dict[str, Path], first: int, size: int, block: int) -> DataFrame:
-    """`state` after a block of sweeps from the first on, with the states after each of them."""
-    spread = F.explode(F.flatten(F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.transform(F.array(F.lit(0), F.lit(1)), lambda j: F.struct((F.col("tile_row") - i).alias("r"), (F.col("tile_col") - j).alias("c"))))))
+def folded(state: DataFrame, touch: DataFrame, paths: dict[str, Path], first: int, size: int, block: int, halo: int) -> DataFrame:
+    """`state` after a block of sweeps from the first on, with the states after each of them. The halo is as wide as windows blend in the block; with 0 none may move.
+
+    `touch` has lattice rows and columns. `paths` has the runs' steps, at least up to the block's end or the run's.
+    """
+    ahead = F.array(F.lit(0), F.lit(1)) if halo else F.array(F.lit(0))
+    spread = F.explode(F.flatten(F.transform(ahead, lambda i: F.transform(ahead, lambda j: F.struct((F.col("tile_row") - i).alias("r"), (F.col("tile_col") - j).alias("c"))))))
     tiles = state.withColumn("to", spread).select("run_id", F.col("to.r").alias("tile_row"), F.col("to.c").alias("tile_col"), F.col("tile_row").alias("row"), F.col("tile_col").alias("col"), "log_odds", "observed", "returns")
-    own = touch.filter((F.col("scan_idx") >= first) & (F.col("scan_idx") < first + block)).withColumn("to", F.explode(_owners(F.col("row"), F.col("col"), size, block)))
+    own = touch.filter((F.col("scan_idx") >= first) & (F.col("scan_idx") < first + block)).withColumn("to", F.explode(_owners(F.col("row"), F.col("col"), size, halo)))
     cells = own.select("run_id", "to.tile_row", "to.tile_col", "scan_idx", "row", "col", "is_occ")
 
     def run(key: tuple[pa.Scalar, ...], parts: pa.Table, touched: pa.Table) -> pa.Table:
         run_id, tile_row, tile_col = (k.as_py() for k in key)
         own = paths[run_id]
-        tile = _Tile(own, tile_row, tile_col, size, block)
+        tile = _Tile(own, tile_row, tile_col, size, halo)
         for r, c, *raw in zip(*(parts[name].to_pylist() for name in ("row", "col", "log_odds", "observed", "returns")), strict=True):
-            tile.place(r, c, _arrays(size, *raw))
+            tile.place(r, c, arrays(size, *raw))
         scan, rows, cols, is_occ = (touched[name].to_numpy() for name in ("scan_idx", "row", "col", "is_occ"))
         by = np.argsort(scan, kind="stable")
         edges = np.searchsorted(scan[by], np.arange(first, first + block + 1))
         counts = []
         for k in range(first, min(first + block, len(own.steps))):
-            if own.steps[k].moved:
+            if own.steps[k].moved and halo:
                 tile.move(own.steps[k])
             at = by[edges[k - first] : edges[k - first + 1]]
             tile.add(rows[at], cols[at], is_occ[at].astype(bool))
@@ -164,13 +176,13 @@ def _folded(state: DataFrame, touch: DataFrame, paths: dict[str, Path], first: i
     return tiles.groupBy(*KEYS).cogroup(cells.groupBy(*KEYS)).applyInArrow(run, STATE)
 
 
-def _cells(state: DataFrame, paths: dict[str, Path], size: int) -> DataFrame:
+def final_cells(state: DataFrame, paths: dict[str, Path], size: int) -> DataFrame:
     """(run_id, row, col, log_odds, observed, occ_obs) of each last window's cells that were observed or hold more than the prior."""
 
     def run(batches):
         for batch in batches:
             for run_id, tile_row, tile_col, *raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                own, (log_odds, observed, returns) = paths[run_id], _arrays(size, *raw)
+                own, (log_odds, observed, returns) = paths[run_id], arrays(size, *raw)
                 row, col = np.nonzero((observed > 0) | (log_odds != own.model.l_prior))
                 r, c = row + tile_row * size - own.steps[-1].row, col + tile_col * size - own.steps[-1].col
                 inside = (r >= 0) & (r < own.rows) & (c >= 0) & (c < own.cols)
@@ -195,9 +207,9 @@ def fold(touch: DataFrame, paths: dict[str, Path], tile: int = TILE, block: int
     state = spark.createDataFrame([], STATE)
     counts = []
     for first in range(0, max(len(p.steps) for p in paths.values()), block):
-        state = checkpoint(_folded(state, on_lattice, paths, first, tile, block))
+        state = checkpoint(folded(state, on_lattice, paths, first, tile, block, block))
         counts.append(state.select("run_id", F.inline("counts")))
     every = counts[0]
     for more in counts[1:]:
         every = every.unionByName(more)
-    return _cells(state, paths, tile), every.groupBy("run_id", "scan_idx").agg(F.sum("free").alias("free"), F.sum("occupied").alias("occupied"))
+    return final_cells(state, paths, tile), every.groupBy("run_id", "scan_idx").agg(F.sum("free").alias("free"), F.sum("occupied").alias("occupied"))

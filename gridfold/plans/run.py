@@ -3,7 +3,7 @@
 With exact or dead-reckoned poses a run is one plan, also for windows that move by whole cells: cells
 are folded on a lattice that stands still, with a reset wherever a cell was outside the window. Windows
 that blend cells are folded over tiles, a block of sweeps at a time, all runs at once. Poses that are matched against the map
-so far go sweep by sweep within a run, and runs side by side.
+so far go sweep by sweep, all runs together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.functions.scalars import heading_error, pose, position_error, state
-from gridfold.operators import evidence, lidar, stepwise, traverse, windows as blending
+from gridfold.operators import evidence, lidar, matched, traverse, windows as blending
 from gridfold.params import FREE, OCCUPIED, EvidenceModel, Grid, Pose, RunConfig, Scenario, composed, inverted
 from gridfold.session import checkpoint
 from gridfold.sources import scenarios
@@ -186,7 +186,7 @@ def run(spark: SparkSession, scenario: Scenario, config: RunConfig | None = None
 
 
 def run_many(spark: SparkSession, wanted: dict[str, tuple[Scenario, RunConfig]]) -> dict[str, Run]:
-    """Runs by run_id. Those whose poses are matched are made in one job, side by side, and so are those whose windows blend cells; the others are plans of their own."""
+    """Runs by run_id. Those whose poses are matched are made together, sweep by sweep, and those whose windows blend cells together by blocks of sweeps; the others are plans of their own."""
     made, stepped_, beams_of, plans, blended = {}, {}, [], {}, {}
     for run_id, (scenario, config) in wanted.items():
         path = scenario.trajectory if config.max_steps is None else scenario.trajectory.subsample(config.max_steps)
@@ -196,7 +196,7 @@ def run_many(spark: SparkSession, wanted: dict[str, tuple[Scenario, RunConfig]])
             blended[run_id] = (scenario, config, path, poses, beams)
         elif config.pose_correction:
             moves = [composed(inverted(p), q) for p, q in zip(path.poses, path.poses[1:], strict=False)] if config.odometry is None else scenarios.increments(scenario, path, config.odometry)
-            plans[run_id] = stepwise.Plan(scenario, config, path.poses[0], tuple(moves))
+            plans[run_id] = matched.Plan(scenario, config, path.poses[0], tuple(moves))
             stepped_[run_id] = (scenario, config, path, beams)
             beams_of.append(beams)
         else:
@@ -207,10 +207,10 @@ def run_many(spark: SparkSession, wanted: dict[str, tuple[Scenario, RunConfig]])
         every = beams_of[0]
         for other in beams_of[1:]:
             every = every.unionByName(other)
-        folded = checkpoint(stepwise.fold(every, plans))
-        steps = {r["run_id"]: r["steps"] for r in folded.select("run_id", "steps").collect()}  # one record for each sweep of a run
+        steps, cells = matched.fold(every, plans)
+        cells = checkpoint(cells)
         for run_id, parts in stepped_.items():
-            made[run_id] = _stepped(spark, run_id, *parts, folded.filter(F.col("run_id") == run_id), steps[run_id])
+            made[run_id] = _stepped(spark, run_id, *parts, cells.filter(F.col("run_id") == run_id).drop("run_id"), steps[run_id])
     return {run_id: made[run_id] for run_id in wanted}
 
 
@@ -269,7 +269,7 @@ def _in_windows(beams: DataFrame, windows: list[Window_]) -> DataFrame:
     return traverse.walk(window_rays(lidar.endpoints(beams), windows), local, [*KEEP, "_row", "_col"])
 
 
-def _stepped(spark: SparkSession, run_id: str, scenario: Scenario, config: RunConfig, path, beams: DataFrame, folded: DataFrame, steps: list) -> Run:
+def _stepped(spark: SparkSession, run_id: str, scenario: Scenario, config: RunConfig, path, beams: DataFrame, cells: DataFrame, steps: list[dict]) -> Run:
     """A run that was folded sweep by sweep; its visits are those of its estimated poses in its windows."""
     rows = [(run_id, i, t, q.x, q.y, q.theta, s["x"], s["y"], s["theta"]) for i, (t, q, s) in enumerate(zip(path.times, path.poses, steps, strict=True))]
     poses = spark.createDataFrame(rows, "run_id string, scan_idx int, time double, x double, y double, theta double, est_x double, est_y double, est_theta double")
@@ -277,8 +277,7 @@ def _stepped(spark: SparkSession, run_id: str, scenario: Scenario, config: RunCo
     windows = [Window_(replace(shape, origin_x=s["origin_x"], origin_y=s["origin_y"]), 0, 0, EVERYTHING, s["moved"], s["lossless"]) for s in steps]
     placed = beams.drop("est_x", "est_y", "est_theta").join(F.broadcast(poses.select("scan_idx", "est_x", "est_y", "est_theta")), "scan_idx")  # a row for a sweep
     visits = _in_windows(placed, windows).drop("_row", "_col")
-    cells = folded.select(F.inline("cells"))
-    matches = [s.asDict() for s in steps[1:]] if config.pose_correction else []
+    matches = steps[1:] if config.pose_correction else []
     counts = [(s["free_cells"], s["occupied_cells"], s["unknown_cells"]) for s in steps]
     grid = windows[-1].grid
     return Run(scenario, config, grid, poses, placed, visits, evidence.touches(visits, SWEEP), cells, _truth(spark, scenario, run_id, grid, path), windows, matches, counts)

@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from gridfold.operators import stepwise
+from gridfold.operators import matched
 from gridfold.params import RunConfig, Trajectory, composed, inverted
 from gridfold.plans import report, studies
 from gridfold.plans import run as runs
@@ -61,14 +61,14 @@ def test_moving_window_counts(spark, policy, want):
 
 
 @pytest.mark.parametrize("policy", ["snap", "nearest"])
-def test_stepwise_maps_equal_planned_ones(spark, policy):
+def test_maps_made_sweep_by_sweep_equal_planned_ones(spark, policy):
     """The same run as one plan and sweep by sweep: every cell agrees."""
     scenario, config = scenarios.urban_block(), RunConfig(frame="ego", shift_policy=policy, max_steps=6)
     planned = runs.run(spark, scenario, config)
     path = scenario.trajectory.subsample(6)
     moves = tuple(composed(inverted(p), q) for p, q in zip(path.poses, path.poses[1:], strict=False))
-    folded = stepwise.fold(planned.beams, {"run": stepwise.Plan(scenario, config, path.poses[0], moves)})
-    got = {(r.row, r.col): (round(r.log_odds, 9), r.observed, r.occ_obs) for r in folded.select(F.inline("cells")).filter("observed > 0").collect()}
+    _, cells = matched.fold(planned.beams, {"run": matched.Plan(scenario, replace(config, pose_correction=False), path.poses[0], moves)})
+    got = {(r.row, r.col): (round(r.log_odds, 9), r.observed, r.occ_obs) for r in cells.filter("observed > 0").collect()}
     want = {(r.row, r.col): (round(r.log_odds, 9), r.observed, r.occ_obs) for r in planned.cells.collect()}
     assert len(want) > 10_000 and sum(got.get(k) != v for k, v in want.items()) + len(got.keys() - want.keys()) <= 20
 
