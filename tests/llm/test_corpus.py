@@ -353,4 +353,4 @@ def test_pipeline_keeps_rows_of_repeated_and_null_ids(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
