@@ -146,3 +146,19 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = {(r.row, r.col): (round(r.l, 9), r.n) for r in latest.collect()}
     want = {(r.row, r.col): (round(r.log_odds, 9), r.observed) for r in online.batch_map(beams, grid, model).collect()}
     assert got == want
+
+
+def test_matched_runs_in_all_frames(spark):
+    """World and moving windows of every policy together, of different lengths. Poses that are 16 m apart share little of the map, so that corrections are only held to the search's reach."""
+    street = scenarios.urban_block()
+    configs = {"world": RunConfig(pose_correction=True, odometry=scenarios.SCANNER_ODOMETRY.scaled(1.0), max_steps=5)}
+    configs |= {policy: RunConfig(frame="ego", shift_policy=policy, pose_correction=True, odometry=scenarios.SCANNER_ODOMETRY.scaled(0.0), max_steps=4) for policy in ("snap", "bilinear", "nearest")}
+    made = runs.run_many(spark, {name: (street, config) for name, config in configs.items()})
+    for name, one in made.items():
+        n = configs[name].max_steps
+        assert len(one.windows) == len(one.counts) == n and len(one.matches) == n - 1
+        assert all(m["evaluations"] == 2187 and m["points"] > 50 and m["score"] >= m["predicted_score"] for m in one.matches)
+        reach = 4 * street.grid.resolution * (1 + 0.5 + 0.25)
+        assert all(m["translation_correction"] <= 2**0.5 * reach + 1e-9 for m in one.matches)
+        state = studies.state_counts(one)
+        assert (state["free"], state["occupied"], state["unknown"]) == one.counts[-1]
