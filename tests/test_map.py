@@ -267,6 +267,19 @@ def test_the_walk_is_compiled_whole(spark):
     assert len(sizes) >= 2 and 0 < max(sizes) < 8000
 
 
+def test_equal_extents_are_equal_after_turning(spark):
+    """The same block at several places, along a slanted direction: what turning rounds doesn't make a smear of -0.00."""
+    grid = Grid(0.25, 160, 240)
+    places = [(k, 3 + 11 * k % 140, 5 + 17 * k % 200) for k in range(40)]
+    rows = [(k, r + i, c + j, 3.0, 1, True, True) for k, r, c in places for i in range(7) for j in range(9)]
+    cells = spark.createDataFrame(rows, "case int, row int, col int, log_odds double, occ_obs int, occupied boolean, region boolean")
+    made = score.smear(cells, M, grid, (12.0, 9.0), ["case"]).withColumn("swept_distance", F.lit(15.0)).cache()
+    assert made.select("extent_along", "extent_across").distinct().count() == 1
+    parked = made.filter("case = 0").drop("case")
+    table = report.smear_rows(score.compare_smear(made, made.select("case").crossJoin(parked)))
+    assert {(r.smear_length, r.smear_fraction_of_sweep) for r in table.collect()} == {("0.00", "0.000")}
+
+
 def test_scan_lines_against_crossing_numbers(spark):
     """Concave, self-crossing and level-sided polygons, corners on centres, shapes over the grid's edge and outside it."""
     rng = random.Random(3)
