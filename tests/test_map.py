@@ -267,6 +267,22 @@ def test_the_walk_is_compiled_whole(spark):
     assert len(sizes) >= 2 and 0 < max(sizes) < 8000
 
 
+@pytest.mark.parametrize("where", ["row between 3 and 50 and col + 12 between 0 and 70", "row % 2 = 0", "is_terminal"])
+def test_filters_after_the_walk_leave_it_compiled(spark, where):
+    """A filter on visits or on what is made of them isn't pushed into the walk."""
+    rows = [(k, 0.3 * k, 0.1 + 0.2 * k, 60.0 - k, 0.7 * k, k % 2 == 0) for k in range(40)]
+    beams = spark.createDataFrame(rows, "scan_idx int, x0 double, y0 double, x1 double, y1 double, is_hit boolean")
+    visits = traverse.walk(beams, Grid(0.5, 60, 80), ["scan_idx", "is_hit"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = visits.filter(where) if where == "is_terminal" else evidence.fold(evidence.touches(visits, ["scan_idx"]), [], M).filter(where)
+        assert made.count() > 0
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(made._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+
+
 def test_equal_extents_are_equal_after_turning(spark):
     """The same block at several places, along a slanted direction: what turning rounds doesn't make a smear of -0.00."""
     grid = Grid(0.25, 160, 240)
