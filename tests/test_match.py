@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridfold.operators import match
+from gridfold.operators import evidence, match, traverse
 from gridfold.params import Grid, SearchWindow
 
 GRID = Grid(0.25, 90, 110, -3.0, 2.0)
@@ -114,3 +114,43 @@ def test_scores_of_nothing(spark):
     points = spark.createDataFrame([(0, 1.0, 1.0)], "scan_idx int, px double, py double")
     assert match.scores(points, poses, tiles, GRID, ("scan_idx",)).first()["score"] == 0.0
     assert match.scores(points.filter("false"), poses, tiles, GRID, ("scan_idx",)).select(F.sum("score")).first()[0] == 0.0
+
+
+def test_scores_of_many_points_are_exact_sums(spark):
+    """A plain sum of these is off by some 6e-10, and differs with the order of its rows."""
+    rng = random.Random(3)
+    v = np.full((GRID.rows, GRID.cols), 0.9) + np.arange(GRID.cols) / 1100.0
+    field = spark.createDataFrame([(r, c, float(v[r, c])) for r in range(GRID.rows) for c in range(GRID.cols)], "row int, col int, v double")
+    own = [(rng.uniform(0.0, 20.0), rng.uniform(5.0, 20.0)) for _ in range(40_000)]
+    points = spark.createDataFrame([(0, *p) for p in own], "scan_idx int, px double, py double").crossJoin(spark.range(7).select("id")).drop("id").repartition(7)
+    poses = spark.createDataFrame([(0, 0, 1.0, 0.5, 0.0)], "scan_idx int, idx int, x double, y double, theta double")
+    want = 7 * math.fsum(value(v, px + 1.0, py + 0.5) for px, py in own)
+    for given in (points, match.weighed(points)):
+        assert match.scores(given, poses, match.tiled(field), GRID, ("scan_idx",)).first()["score"] == pytest.approx(want, abs=2e-10, rel=0)
+
+
+def test_equal_points_and_rays_are_one_row(spark):
+    points = spark.createDataFrame([(0, 1.0, 2.0)] * 5 + [(0, 1.0, 3.0), (1, 1.0, 2.0)], "scan_idx int, px double, py double")
+    assert sorted(map(tuple, match.weighed(points).collect())) == [(0, 1.0, 2.0, 5), (0, 1.0, 3.0, 1), (1, 1.0, 2.0, 1)]
+    rays = [(0, 1.1, 4.1, 6.3, 5.2, k == 3) for k in range(6)] + [(0, 1.1, 4.1, 6.3, 5.3, True), (1, 1.1, 4.1, 6.3, 5.2, False), (1, 1.1, 4.1, 6.3, 5.2, False)]
+    rays = spark.createDataFrame([(k, *r) for k, r in enumerate(rays)], "beam_idx int, scan_idx int, x0 double, y0 double, x1 double, y1 double, is_hit boolean")
+    alike = traverse.alike(rays, ["scan_idx"])
+    assert alike.count() == 3 and alike.select(F.sum("n")).first()[0] == 9
+    apart, together = (evidence.touches(traverse.walk(r, GRID, ["scan_idx", *more]), ["scan_idx"]) for r, more in ((rays, ["is_hit"]), (alike, ["is_hit", "n"])))
+    columns = ("scan_idx", "row", "col", "is_occ", "visits")
+    assert sorted(map(tuple, apart.select(*columns).collect())) == sorted(map(tuple, together.select(*columns).collect()))
+
+
+def test_few_tiles_and_poses_are_broadcast(spark):
+    """Cells come out of a walk whose size the optimizer doesn't know: it planned to shuffle every point beside every candidate."""
+    cells = spark.range(900).select((F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"), F.lit(1.0).alias("v"))
+    for _ in range(4):
+        cells = cells.join(cells.select("row", "col", F.lit(1.0).alias("w")), ["row", "col"]).drop("w")
+    points = spark.range(50).select(F.lit(0).alias("scan_idx"), (F.col("id") / 9).alias("px"), (F.col("id") / 7).alias("py"))
+    poses = spark.createDataFrame([(0, 0, 1.0, 3.0, 0.0), (0, 1, 1.5, 3.5, 0.1)], "scan_idx int, idx int, x double, y double, theta double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = match.scores(points, poses, match.tiled(cells), GRID, ("scan_idx",))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("strategy=broadcast") == 2
