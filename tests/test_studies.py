@@ -162,3 +162,17 @@ def test_matched_runs_in_all_frames(spark):
         assert all(m["translation_correction"] <= 2**0.5 * reach + 1e-9 for m in one.matches)
         state = studies.state_counts(one)
         assert (state["free"], state["occupied"], state["unknown"]) == one.counts[-1]
+
+
+def test_sweeps_of_matched_runs_share_their_code(spark, monkeypatch):
+    """Sweeps after the first ones compile nothing: their numbers, poses and windows are rows, not literals."""
+    compiled, plain = [], matched.checkpoint
+
+    def counting(df):
+        made = plain(df)
+        compiled.append(spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount())
+        return made
+
+    monkeypatch.setattr(matched, "checkpoint", counting)
+    runs.run(spark, scenarios.urban_block(), RunConfig(odometry=scenarios.SCANNER_ODOMETRY, pose_correction=True, max_steps=8))
+    assert len(compiled) == 9 and compiled[-1] - compiled[4] <= 4, compiled
